@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analytics this package re-expresses are batch computations over finished
+territory/sector tables (no stream sources, watermarks or state in the original
+project), so nothing here is streamed.  Every operator is a pure DataFrame
+transformation, which means it can be applied inside ``foreachBatch`` of a
+Structured Streaming query when the inputs arrive incrementally.
+"""
