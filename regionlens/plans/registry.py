@@ -180,3 +180,190 @@ GROUP BY setor
 def q_kpi_sector_means(spark, base):
     """G-10: per-sector mean of every numeric fact column."""
     return round_doubles(kpi.group_means(si.sector_facts(spark, base), "setor"))
+
+
+# ---------------------------------------------------------------- panel features
+from ..operators import panel as pnl  # noqa: E402
+
+SQL_PANEL = """
+SELECT n.n_name AS uf, year(o.o_orderdate) AS ano, month(o.o_orderdate) AS mes, o.o_orderpriority AS setor,
+       count(*) AS empregos,
+       sum(CAST(o.o_totalprice AS DECIMAL(12,2))) AS massa_salarial,
+       CAST(sum(CAST(o.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / count(*) AS salario_medio_nominal
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY 1, 2, 3, 4
+"""
+
+SQL_GROWTH_Y = f"""
+SELECT uf, avg(g) AS avg_growth_rate FROM (
+  SELECT uf, (j - lag(j) OVER (PARTITION BY uf ORDER BY ano)) / CAST(lag(j) OVER (PARTITION BY uf ORDER BY ano) AS DOUBLE) AS g
+  FROM (SELECT uf, ano, sum(empregos) AS j FROM ({SQL_PANEL}) p GROUP BY uf, ano) t) s
+GROUP BY uf
+"""
+
+SQL_VOL = f"""
+SELECT uf, stddev_samp(g) AS volatility_index FROM (
+  SELECT uf, (j - lag(j) OVER w) / CAST(lag(j) OVER w AS DOUBLE) AS g
+  FROM (SELECT uf, ano, mes, sum(empregos) AS j FROM ({SQL_PANEL}) p GROUP BY uf, ano, mes) t
+  WINDOW w AS (PARTITION BY uf ORDER BY ano, mes)) s
+GROUP BY uf
+"""
+
+SQL_LEVELS = f"""
+SELECT uf, avg(salario_medio_nominal) AS avg_salary_nominal,
+       CAST(sum(massa_salarial) AS DOUBLE) / CAST(sum(empregos) AS DOUBLE) AS productivity_proxy
+FROM ({SQL_PANEL}) p GROUP BY uf
+"""
+
+SQL_DIVERS = f"""
+SELECT uf, 1.0 - sum(share * share) AS diversification_index FROM (
+  SELECT uf, CAST(j AS DOUBLE) / sum(j) OVER (PARTITION BY uf) AS share
+  FROM (SELECT uf, setor, sum(empregos) AS j FROM ({SQL_PANEL}) p GROUP BY uf, setor) t) s
+GROUP BY uf
+"""
+
+
+@register(
+    "panel_monthly",
+    f"""
+SELECT uf, ano, mes, setor, empregos, round(CAST(massa_salarial AS DOUBLE), 6) AS massa_salarial,
+       round(salario_medio_nominal, 6) AS salario_medio_nominal
+FROM ({SQL_PANEL}) p
+""",
+)
+def q_panel_monthly(spark, base):
+    p = si.labour_panel(spark, base)
+    return round_doubles(p.withColumn("massa_salarial", F.col("massa_salarial").cast("double")))
+
+
+@register("panel_growth_rate", f"SELECT uf, round(avg_growth_rate, 6) AS avg_growth_rate FROM ({SQL_GROWTH_Y}) x")
+def q_panel_growth_rate(spark, base):
+    return round_doubles(pnl.avg_growth_rate(si.labour_panel(spark, base)))
+
+
+@register("panel_volatility", f"SELECT uf, round(volatility_index, 6) AS volatility_index FROM ({SQL_VOL}) x")
+def q_panel_volatility(spark, base):
+    return round_doubles(pnl.volatility_index(si.labour_panel(spark, base)))
+
+
+@register(
+    "panel_levels",
+    f"SELECT uf, round(avg_salary_nominal, 6) AS avg_salary_nominal, round(productivity_proxy, 6) AS productivity_proxy FROM ({SQL_LEVELS}) x",
+)
+def q_panel_levels(spark, base):
+    return round_doubles(pnl.level_features(si.labour_panel(spark, base)))
+
+
+@register("panel_diversification", f"SELECT uf, round(diversification_index, 6) AS diversification_index FROM ({SQL_DIVERS}) x")
+def q_panel_diversification(spark, base):
+    return round_doubles(pnl.diversification_index(si.labour_panel(spark, base)))
+
+
+SQL_PANEL_FEATURES = f"""
+SELECT g.uf, g.avg_growth_rate, v.volatility_index, l.avg_salary_nominal, l.productivity_proxy, d.diversification_index
+FROM ({SQL_GROWTH_Y}) g JOIN ({SQL_VOL}) v USING (uf) JOIN ({SQL_LEVELS}) l USING (uf) JOIN ({SQL_DIVERS}) d USING (uf)
+"""
+
+
+@register(
+    "panel_territory_features",
+    f"SELECT uf, {_r6(list(pnl.PANEL_FEATURES))} FROM ({SQL_PANEL_FEATURES}) x",
+)
+def q_panel_territory_features(spark, base):
+    return round_doubles(pnl.territory_features(si.labour_panel(spark, base)))
+
+
+# ---------------------------------------------------------------- spatial weights
+from ..operators import weights as wts  # noqa: E402
+
+SQL_POINTS = """
+SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+       CAST(embedding[3] AS DOUBLE) AS value, label
+FROM embeddings
+"""
+
+SQL_KNN4 = f"""
+SELECT src, dst, d2, rank FROM (
+  SELECT a.id AS src, b.id AS dst, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2,
+         row_number() OVER (PARTITION BY a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.id) AS rank
+  FROM ({SQL_POINTS}) a JOIN ({SQL_POINTS}) b ON a.id <> b.id) t
+WHERE rank <= 4
+"""
+
+SQL_CELLS = f"""
+SELECT CAST(floor(x * 10) AS BIGINT) AS gx, CAST(floor(y * 10) AS BIGINT) AS gy,
+       CAST(floor(x * 10) AS BIGINT) || ':' || CAST(floor(y * 10) AS BIGINT) AS id,
+       count(*) AS n_points, avg(value) AS value
+FROM ({SQL_POINTS}) p GROUP BY 1, 2
+"""
+
+SQL_QUEEN = f"""
+SELECT a.id AS src, b.id AS dst FROM ({SQL_CELLS}) a JOIN ({SQL_CELLS}) b
+  ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.id <> b.id
+"""
+
+SQL_ROOK = f"""
+SELECT a.id AS src, b.id AS dst FROM ({SQL_CELLS}) a JOIN ({SQL_CELLS}) b
+  ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1
+"""
+
+SQL_KNN_W = f"SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({SQL_KNN4}) k"
+
+
+def _points(spark, base):
+    return si.points(spark, base)
+
+
+def _knn_w(spark, base, k=4):
+    return wts.row_standardize(wts.binary(wts.knn(_points(spark, base), k=k)))
+
+
+@register("spatial_knn", f"SELECT src, dst, round(d2, 12) AS d2, rank FROM ({SQL_KNN4}) k")
+def q_spatial_knn(spark, base):
+    """J-2 + W-1: exact 4 nearest neighbours of every point."""
+    e = wts.knn(_points(spark, base), k=4)
+    return e.select("src", "dst", F.round("d2", 12).alias("d2"), "rank")
+
+
+@register("spatial_queen", SQL_QUEEN)
+def q_spatial_queen(spark, base):
+    """J-3: queen contiguity of the occupied grid cells (shared-vertex join)."""
+    return wts.queen(si.grid_polygons(_points(spark, base)))
+
+
+@register("spatial_rook", SQL_ROOK)
+def q_spatial_rook(spark, base):
+    """J-4: rook contiguity of the occupied grid cells (shared-segment join)."""
+    return wts.rook(si.grid_polygons(_points(spark, base)))
+
+
+@register(
+    "spatial_row_standardize",
+    f"SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 6) AS w FROM ({SQL_QUEEN}) q",
+)
+def q_spatial_row_standardize(spark, base):
+    """X-1: row-standardised queen weights."""
+    return round_doubles(wts.row_standardize(wts.binary(wts.queen(si.grid_polygons(_points(spark, base))))))
+
+
+@register(
+    "spatial_row_sums",
+    f"SELECT src, round(sum(w), 6) AS row_sum, count(*) AS cardinality FROM ({SQL_KNN_W}) w GROUP BY src",
+)
+def q_spatial_row_sums(spark, base):
+    """G-17: row sums of the row-standardised k-NN weights (all 1)."""
+    return round_doubles(wts.row_sums(_knn_w(spark, base)))
+
+
+@register(
+    "spatial_lag",
+    f"""
+SELECT p.id, round(coalesce(sum(w.w * q.value), 0.0), 6) AS lag
+FROM ({SQL_POINTS}) p LEFT JOIN ({SQL_KNN_W}) w ON w.src = p.id LEFT JOIN ({SQL_POINTS}) q ON q.id = w.dst
+GROUP BY p.id
+""",
+)
+def q_spatial_lag(spark, base):
+    """J-5: spatial lag of the point value over row-standardised 4-NN weights."""
+    lag = wts.spatial_lag(_knn_w(spark, base), _points(spark, base).select("id", "value"))
+    return round_doubles(lag.select("id", "lag"))
