@@ -367,3 +367,202 @@ def q_spatial_lag(spark, base):
     """J-5: spatial lag of the point value over row-standardised 4-NN weights."""
     lag = wts.spatial_lag(_knn_w(spark, base), _points(spark, base).select("id", "value"))
     return round_doubles(lag.select("id", "lag"))
+
+
+# ---------------------------------------------------------------- autocorrelation
+from ..functions.columns import erfc_sql  # noqa: E402
+from ..operators import autocorr as ac  # noqa: E402
+
+PERMS = 999
+SEED = 123
+
+
+def _sql_hash(*parts: str) -> str:
+    text = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+
+
+SQL_Z = f"""
+stats AS (SELECT count(*) AS n, avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS m FROM ({SQL_POINTS}) p),
+zt AS (SELECT p.id, coalesce(CASE WHEN isnan(p.value) THEN NULL ELSE p.value END, s.m) AS y,
+              coalesce(CASE WHEN isnan(p.value) THEN NULL ELSE p.value END, s.m) - s.m AS z
+       FROM ({SQL_POINTS}) p, stats s),
+w AS ({SQL_KNN_W}),
+zz AS (SELECT sum(z * z) AS zz FROM zt),
+lag AS (SELECT zt.id, zt.y, zt.z, coalesce(l.lag, 0.0) AS lag FROM zt LEFT JOIN
+        (SELECT w.src, sum(w.w * zt.z) AS lag FROM w JOIN zt ON zt.id = w.dst GROUP BY w.src) l ON l.src = zt.id)
+"""
+
+SQL_LOCAL = f"""
+WITH {SQL_Z},
+loc AS (SELECT id, y, z, lag, (s.n - 1) * z * lag / zz.zz AS lisa_i,
+               CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2
+                    WHEN z <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant
+        FROM lag, stats s, zz)
+"""
+
+
+@register(
+    "spatial_local_moran",
+    SQL_LOCAL + "SELECT id, round(y, 6) AS y, round(z, 6) AS z, round(lag, 6) AS lag, round(lisa_i, 6) AS lisa_i, quadrant FROM loc",
+)
+def q_spatial_local_moran(spark, base):
+    """X-5 + P-12: local Moran statistic and quadrant over 4-NN weights."""
+    return round_doubles(ac.local_moran(_points(spark, base), _knn_w(spark, base), transform="none"))
+
+
+def _sql_floyd(k: int) -> tuple[str, str]:
+    """Unrolled Floyd draws s1..sk for pool size N (column N) -> (select list, unpivot)."""
+    sel, prev = [], []
+    for step in range(k):
+        j = f"(N - {k - step})"
+        t = f"({_sql_hash(SEED, 'perm', 'id', j)} % ({j} + 1))"
+        if prev:
+            sel.append(f"CASE WHEN {t} IN ({', '.join(prev)}) THEN {j} ELSE {t} END AS s{step + 1}")
+        else:
+            sel.append(f"{t} AS s{step + 1}")
+        prev.append(f"s{step + 1}")
+    # later draws refer to earlier ones: use a lateral chain of subqueries
+    return sel, prev
+
+
+def _sql_lisa(k: int = 4, threshold: float = 0.05) -> str:
+    sel, names = _sql_floyd(k)
+    chain = "SELECT id, pos, perm, N FROM reps"
+    for i, s in enumerate(sel):
+        keep = ", ".join(["id", "pos", "perm", "N"] + names[:i])
+        chain = f"SELECT {keep}, {s} FROM ({chain}) c{i}"
+    unpivot = " UNION ALL ".join(f"SELECT id, pos, perm, {r} AS r, {names[r]} AS q FROM draws" for r in range(k))
+    labels = " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items())
+    return f"""
+{SQL_LOCAL},
+idx AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS pos FROM zt),
+nbr AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r FROM w),
+reps AS (SELECT i.id, i.pos, p.perm, s.n - 1 AS N FROM idx i, stats s, (SELECT range AS perm FROM range(0, {PERMS})) p),
+draws AS ({chain}),
+flat AS ({unpivot}),
+shifted AS (SELECT id, perm, r, CASE WHEN q >= pos THEN q + 1 ELSE q END AS q FROM flat),
+sim AS (SELECT sh.id, sh.perm, sum(nb.w * ix.z) AS lag_sim
+        FROM shifted sh JOIN idx ix ON ix.pos = sh.q JOIN nbr nb ON nb.src = sh.id AND nb.r = sh.r
+        GROUP BY sh.id, sh.perm),
+cnt AS (SELECT l.id, sum(CASE WHEN (s.n - 1) * l.z * sim.lag_sim / zz.zz >= l.lisa_i THEN 1 ELSE 0 END) AS n_ge
+        FROM loc l JOIN sim ON sim.id = l.id, stats s, zz GROUP BY l.id),
+res AS (SELECT l.*, c.n_ge, (least(c.n_ge, {PERMS} - c.n_ge) + 1.0) / {PERMS + 1}.0 AS lisa_p_value FROM loc l JOIN cnt c USING (id)),
+fin AS (SELECT *, CASE WHEN lisa_p_value < {threshold} THEN quadrant ELSE 0 END AS lisa_quad FROM res)
+"""
+
+
+SQL_LISA = _sql_lisa(4, 0.05) + """
+SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad,
+       CASE lisa_quad {labels} END AS lisa_label FROM fin
+""".replace("{labels}", " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items()))
+
+
+def _lisa(spark, base):
+    return ac.lisa(_points(spark, base), _knn_w(spark, base), permutations=PERMS, seed=SEED, p_threshold=0.05, transform="none")
+
+
+@register("spatial_lisa", SQL_LISA)
+def q_spatial_lisa(spark, base):
+    """X-6, X-7, P-11: local Moran with 999 conditional permutations, significance 0.05."""
+    out = _lisa(spark, base).select("id", "lisa_i", "quadrant", "n_ge", "lisa_p_value", "lisa_quad", "lisa_label")
+    return round_doubles(out)
+
+
+@register(
+    "spatial_lisa_counts",
+    SQL_LISA.replace(
+        "SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad,",
+        "SELECT lisa_label, count(*) AS n FROM (SELECT",
+    ).rstrip().rstrip(";")
+    + ") t GROUP BY lisa_label ORDER BY n DESC, lisa_label",
+)
+def q_spatial_lisa_counts(spark, base):
+    """G-11: observations per LISA label."""
+    return ac.label_counts(_lisa(spark, base))
+
+
+SQL_MORAN = f"""
+WITH {SQL_Z},
+agg AS (SELECT sum(z * lag) AS num FROM lag),
+ws AS (SELECT sum(w) AS s0 FROM w),
+s1 AS (SELECT 0.5 * sum((coalesce(a.w, 0.0) + coalesce(b.w, 0.0)) * (coalesce(a.w, 0.0) + coalesce(b.w, 0.0))) AS s1
+       FROM w a FULL OUTER JOIN w b ON a.src = b.dst AND a.dst = b.src),
+s2 AS (SELECT sum((coalesce(r, 0.0) + coalesce(c, 0.0)) * (coalesce(r, 0.0) + coalesce(c, 0.0))) AS s2
+       FROM (SELECT src AS id, sum(w) AS r FROM w GROUP BY src) rr
+       FULL OUTER JOIN (SELECT dst AS id, sum(w) AS c FROM w GROUP BY dst) cc USING (id)),
+res AS (SELECT s.n, s.n / ws.s0 * agg.num / zz.zz AS moran_i, -1.0 / (s.n - 1) AS expected_i,
+               (s.n * s.n * s1.s1 - s.n * s2.s2 + 3.0 * ws.s0 * ws.s0) / ((s.n * s.n - 1.0) * ws.s0 * ws.s0)
+                 - (1.0 / (s.n - 1)) * (1.0 / (s.n - 1)) AS vi,
+               ws.s0, s1.s1, s2.s2, zz.zz
+        FROM stats s, agg, ws, s1, s2, zz),
+nrm AS (SELECT *, (moran_i - expected_i) / sqrt(vi) AS z_norm FROM res)
+"""
+
+
+@register(
+    "spatial_moran",
+    SQL_MORAN
+    + f"""
+SELECT 'value' AS variable, n, round(moran_i, 6) AS moran_i, round(expected_i, 6) AS expected_i,
+       round(z_norm, 6) AS z_norm, round({erfc_sql('abs(z_norm) / sqrt(2.0)')}, 6) AS p_norm,
+       round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2
+FROM nrm
+""",
+)
+def q_spatial_moran(spark, base):
+    """X-2 + X-4: global Moran's I with analytic (normality) inference."""
+    m = ac.moran(_points(spark, base), _knn_w(spark, base), permutations=0, transform="none")
+    return round_doubles(m.select("variable", "n", "moran_i", "expected_i", "z_norm", "p_norm", "s0", "s1", "s2"))
+
+
+SQL_MORAN_PERM = (
+    SQL_MORAN
+    + f""",
+reps AS (SELECT p.perm, zt.id, zt.z, {_sql_hash(SEED, 'p.perm', 'zt.id')} AS h
+         FROM zt, (SELECT range AS perm FROM range(0, {PERMS})) p),
+ranked AS (SELECT perm, id, z, row_number() OVER (PARTITION BY perm ORDER BY h, id) AS r_h,
+                  row_number() OVER (PARTITION BY perm ORDER BY id) AS r_id FROM reps),
+permuted AS (SELECT a.perm, a.id, b.z AS zp FROM ranked a JOIN ranked b ON a.perm = b.perm AND a.r_id = b.r_h),
+lagp AS (SELECT p.perm, w.src, sum(w.w * p.zp) AS lag FROM w JOIN permuted p ON p.id = w.dst GROUP BY p.perm, w.src),
+sims AS (SELECT l.perm, (SELECT n / s0 FROM res) * sum(p.zp * l.lag) / (SELECT zz FROM res) AS i_sim
+         FROM lagp l JOIN permuted p ON p.perm = l.perm AND p.id = l.src GROUP BY l.perm),
+sagg AS (SELECT sum(CASE WHEN i_sim >= (SELECT moran_i FROM res) THEN 1 ELSE 0 END) AS n_ge,
+                avg(i_sim) AS mean_sim, stddev_pop(i_sim) AS std_sim FROM sims),
+fin AS (SELECT nrm.*, (least(n_ge, {PERMS} - n_ge) + 1.0) / {PERMS + 1}.0 AS p_value,
+               (moran_i - mean_sim) / std_sim AS z_score, mean_sim, std_sim FROM nrm, sagg)
+SELECT 'value' AS variable, n, round(moran_i, 6) AS moran_i, round(p_value, 6) AS p_value, round(z_score, 6) AS z_score,
+       round(mean_sim, 6) AS mean_sim, round(std_sim, 6) AS std_sim, {PERMS} AS permutations,
+       CASE WHEN p_value < 0.05 AND moran_i > expected_i THEN '{ac.PATTERN_CLUSTERED}'
+            WHEN p_value < 0.05 THEN '{ac.PATTERN_DISPERSED}' ELSE '{ac.PATTERN_RANDOM}' END AS pattern
+FROM fin
+"""
+)
+
+
+@register("spatial_moran_perm", SQL_MORAN_PERM)
+def q_spatial_moran_perm(spark, base):
+    """X-3, G-19, P-13: 999 deterministic permutations, pseudo p, z_sim and pattern."""
+    m = ac.moran(_points(spark, base), _knn_w(spark, base), permutations=PERMS, seed=SEED, transform="none")
+    return round_doubles(m.select("variable", "n", "moran_i", "p_value", "z_score", "mean_sim", "std_sim", "permutations", "pattern"))
+
+
+@register(
+    "spatial_moran_scatter",
+    f"""
+WITH pts AS (SELECT id, value FROM ({SQL_POINTS}) p),
+st AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM pts),
+zs AS (SELECT id, (value - st.m) / st.sd AS z FROM pts, st),
+w AS ({SQL_KNN_W}),
+lag AS (SELECT zs.id, zs.z, coalesce(l.lag, 0.0) AS lag FROM zs LEFT JOIN
+        (SELECT w.src, sum(w.w * zs.z) AS lag FROM w JOIN zs ON zs.id = w.dst GROUP BY w.src) l ON l.src = zs.id),
+fit AS (SELECT regr_slope(lag, z) AS slope, regr_intercept(lag, z) AS intercept FROM lag)
+SELECT id, round(z, 6) AS z, round(lag, 6) AS lag, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(intercept + slope * z, 6) AS fitted,
+       CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant
+FROM lag, fit
+""",
+)
+def q_spatial_moran_scatter(spark, base):
+    """X-8, G-13, G-18: Moran scatter data (z, lag, regression line, quadrant)."""
+    return round_doubles(ac.moran_scatter(_points(spark, base), _knn_w(spark, base), transform="none"))
