@@ -6,6 +6,7 @@ W is never a dense matrix: it is a sparse edge list partitioned like any other t
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..sources.tables import require_columns
 
 # ------------------------------------------------------------------ k nearest neighbours
 
+_DEBUG = bool(os.environ.get("REGIONLENS_DEBUG"))
+
 
 def _bbox(points: DataFrame, x: str, y: str) -> tuple[int, float, float, float, float]:
     r = points.agg(
@@ -57,30 +60,34 @@ def knn(
             F.floor((F.col("py") - F.lit(y0)) / level_col_size).cast("long"),
         )
 
-    # start level per point: finer for hot cells
+    # start level per point: finer than the base grid only inside hot cells
     cx0, cy0 = cell(F.lit(c0))
     base = pts.withColumns({"bx": cx0, "by": cy0})
     hot = hot_cell_factor * (k + 1)
     cnt = base.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
-    start = F.when(
-        F.col("cnt") > hot, -F.ceil(F.log(4.0, F.col("cnt") / F.lit(float(k + 1))))
-    ).otherwise(F.lit(0)).cast("int")
-    probes = base.join(cnt, ["bx", "by"]).select("pid", "px", "py", start.alias("lvl"))
-    ensure_checkpoint_dir(points.sparkSession)
-    probes = probes.checkpoint()
-    min_level = probes.agg(F.min("lvl")).first()[0] or 0
+    max_cnt = int(cnt.agg(F.max("cnt")).first()[0] or 0)
+    cached = []
+    if max_cnt > hot:
+        start = F.when(
+            F.col("cnt") > hot, -F.ceil(F.log(4.0, F.col("cnt") / F.lit(float(k + 1))))
+        ).otherwise(F.lit(0)).cast("int")
+        probes = base.join(cnt, ["bx", "by"]).select("pid", "px", "py", start.alias("lvl")).persist()
+        cached.append(probes)
+        level = int(probes.agg(F.min("lvl")).first()[0] or 0)
+    else:
+        probes = pts.withColumn("lvl", F.lit(0))
+        level = 0
 
     results = []
-    unresolved = probes
-    level = int(min_level)
+    waiting = probes
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     while True:
         size = c0 * (2.0 ** level)
         covers_all = level >= max_level
-        active = unresolved.where(F.col("lvl") <= level)
+        active = waiting.where(F.col("lvl") <= level)
         qx, qy = cell(F.lit(size))
         probe_cells = active.select(
-            F.col("pid").alias("src"), F.col("px").alias("sx"), F.col("py").alias("sy"), qx.alias("cx"), qy.alias("cy")
+            F.col("pid").alias("src"), F.col("px").alias("sx"), F.col("py").alias("sy"), "lvl", qx.alias("cx"), qy.alias("cy")
         )
         lo_x = F.lit(x0) + (F.col("cx") - 1).cast("double") * F.lit(size)
         hi_x = F.lit(x0) + (F.col("cx") + 2).cast("double") * F.lit(size)
@@ -88,29 +95,45 @@ def knn(
         hi_y = F.lit(y0) + (F.col("cy") + 2).cast("double") * F.lit(size)
         border = F.least(F.col("sx") - lo_x, hi_x - F.col("sx"), F.col("sy") - lo_y, hi_y - F.col("sy")) - F.lit(1e-9 * size)
         probe_cells = probe_cells.withColumn("border", border).withColumn("o", F.explode(offsets)).select(
-            "src", "sx", "sy", "border", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky")
+            "src", "sx", "sy", "lvl", "border", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky")
         )
         build = pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
-        cand = probe_cells.join(build, ["kx", "ky"]).where(F.col("src") != F.col("dst"))
-        cand = cand.withColumn("d2", (F.col("tx") - F.col("sx")) * (F.col("tx") - F.col("sx")) + (F.col("ty") - F.col("sy")) * (F.col("ty") - F.col("sy")))
-        w = Window.partitionBy("src").orderBy("d2", "dst")
+        # left join: a probe whose block is empty still yields one (NULL) row and stays visible
+        cand = probe_cells.join(build, ["kx", "ky"], "left").where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
+        dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+        cand = cand.withColumn("d2", dx * dx + dy * dy)
+        w = Window.partitionBy("src").orderBy(F.asc_nulls_last("d2"), F.asc_nulls_last("dst"))
         top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        top = top.select("src", "dst", "d2", "rank", "border").checkpoint()
-        stats = top.groupBy("src").agg(F.count(F.lit(1)).alias("m"), F.max("d2").alias("kth"), F.first("border").alias("border"))
-        if covers_all:
-            ok = stats.select("src")
-        else:
-            ok = stats.where((F.col("m") >= k) & (F.col("kth") < F.col("border") * F.col("border"))).select("src")
-        results.append(top.join(ok, "src", "left_semi").select("src", "dst", "d2", "rank"))
+        # per-source resolution stats over the same partitioning as the window (no new shuffle)
+        g = Window.partitionBy("src")
+        top = top.withColumns({"m": F.count("dst").over(g), "kth": F.max("d2").over(g)})
+        ok = F.lit(True) if covers_all else (F.col("m") >= k) & (F.col("kth") < F.col("border") * F.col("border"))
+        top = top.withColumn("ok", ok).select("src", "dst", "d2", "rank", "sx", "sy", "lvl", "ok").persist()
+        cached.append(top)
+        results.append(top.where(F.col("ok") & F.col("dst").isNotNull()).select("src", "dst", "d2", "rank"))
         if covers_all:
             break
-        unresolved = unresolved.join(ok.withColumnRenamed("src", "pid"), "pid", "left_anti").checkpoint()
-        if unresolved.limit(1).count() == 0:
+        retry = top.where(~F.col("ok") & (F.col("rank") == 1)).select(
+            F.col("src").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"), "lvl"
+        )
+        waiting = retry.unionByName(waiting.where(F.col("lvl") > level)).persist()
+        cached.append(waiting)
+        remaining = waiting.count()
+        if _DEBUG:
+            print(f"knn level {level}: size {size:.4g} remaining {remaining}")
+        if remaining == 0:
             break
         level += 1
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
+    # The result is small (n x k rows) and reused by every statistic built on W:
+    # materialise it once in the shared checkpoint folder (lineage cut, survives executor loss).
+    ensure_checkpoint_dir(points.sparkSession)
+    staged = out.persist()
+    out = staged.checkpoint()
+    for c in cached + [staged]:
+        c.unpersist()
     return out
 
 
