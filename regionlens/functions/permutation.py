@@ -13,8 +13,8 @@ from ..session import ensure_checkpoint_dir
 from .columns import hash_u32
 
 
-def dense_index(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
-    """Attach a 0-based position in ``order_col`` order without a single-partition window.
+def dense_index(df: DataFrame, *order, out: str = "pos") -> DataFrame:
+    """Attach a 0-based position in ``order`` (a total order) without a single-partition window.
 
     Range-partition + local sort, tag each row with its partition and in-partition ordinal,
     then add the running row count of the preceding partitions.  Only one row per partition
@@ -23,8 +23,8 @@ def dense_index(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     tagged = (
-        df.repartitionByRange(order_col)
-        .sortWithinPartitions(order_col)
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint()

@@ -223,7 +223,7 @@ def lisa(
     w = _prepare_w(w, transform)
     loc = local_moran(values, w, id_col, value, transform="none")
     z, n, zz = centered(values, id_col, value)
-    idx = dense_index(z.select("id", "z"), "id")
+    idx = dense_index(z.select("id", "z"), "id", out="pos")
     nbr = w.select(
         "src", "w", (F.row_number().over(_win_src()) - 1).alias("r")
     )

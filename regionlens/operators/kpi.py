@@ -122,7 +122,14 @@ def group_means(df: DataFrame, key: str, columns: Sequence[str] | None = None) -
     """G-10: mean of every numeric column per ``key`` (NULLs ignored), names kept."""
     require_columns(df, key)
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=[key])
-    return df.groupBy(key).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+    return df.groupBy(key).agg(*[_mean(df, c).alias(c) for c in cols])
+
+
+def _mean(df: DataFrame, c: str):
+    """Mean as double; DECIMAL inputs are averaged exactly before the conversion."""
+    if isinstance(df.schema[c].dataType, T.DecimalType):
+        return F.avg(c).cast("double")
+    return F.avg(F.col(c).cast("double"))
 
 
 def cluster_profile(df: DataFrame, cluster_col: str, indicators: Sequence[str]) -> DataFrame:

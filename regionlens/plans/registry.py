@@ -168,10 +168,10 @@ def q_kpi_top_territories(spark, base):
     f"""
 SELECT setor,
        round(avg(CAST(emprego_industrial AS DOUBLE)), 6) AS emprego_industrial,
-       round(avg(CAST(valor_adicionado_brut AS DOUBLE)), 6) AS valor_adicionado_brut,
-       round(avg(CAST(massa_salarial AS DOUBLE)), 6) AS massa_salarial,
-       round(avg(CAST(consumo_energia_mwh AS DOUBLE)), 6) AS consumo_energia_mwh,
-       round(avg(CAST(investimento_inovacao AS DOUBLE)), 6) AS investimento_inovacao,
+       round(CAST(avg(valor_adicionado_brut) AS DOUBLE), 6) AS valor_adicionado_brut,
+       round(CAST(avg(massa_salarial) AS DOUBLE), 6) AS massa_salarial,
+       round(CAST(avg(consumo_energia_mwh) AS DOUBLE), 6) AS consumo_energia_mwh,
+       round(CAST(avg(investimento_inovacao) AS DOUBLE), 6) AS investimento_inovacao,
        round(avg(indice_esg), 6) AS indice_esg
 FROM ({SQL_FACTS}) f
 GROUP BY setor
@@ -566,3 +566,7 @@ FROM lag, fit
 def q_spatial_moran_scatter(spark, base):
     """X-8, G-13, G-18: Moran scatter data (z, lag, regression line, quadrant)."""
     return round_doubles(ac.moran_scatter(_points(spark, base), _knn_w(spark, base), transform="none"))
+
+
+# ---------------------------------------------------------------- network layer (registers on import)
+from . import graph_queries as _graph_queries  # noqa: E402,F401
