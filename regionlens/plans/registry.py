@@ -570,3 +570,4 @@ def q_spatial_moran_scatter(spark, base):
 
 # ---------------------------------------------------------------- network layer (registers on import)
 from . import graph_queries as _graph_queries  # noqa: E402,F401
+from . import ml_queries as _ml_queries  # noqa: E402,F401
