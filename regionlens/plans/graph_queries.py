@@ -178,6 +178,10 @@ BT AS (SELECT n.id, coalesce(p.b, 0.0) / CAST(((SELECT n FROM N) - 1) * ((SELECT
        FROM NODES n LEFT JOIN PAIR p ON p.id = n.id)"""
 
 
+def _betweenness_sql_cte() -> str:
+    return _sql_betweenness()
+
+
 @register("graph_betweenness", f"WITH {SQL_GRAPH}, {_sql_betweenness()} SELECT id, round(betweenness_centrality, 6) AS betweenness_centrality FROM BT")
 def q_graph_betweenness(spark, base):
     """N-2: normalised shortest-path betweenness with the weight as length."""

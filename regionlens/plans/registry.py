@@ -452,7 +452,8 @@ fin AS (SELECT *, CASE WHEN lisa_p_value < {threshold} THEN quadrant ELSE 0 END
 """
 
 
-SQL_LISA = _sql_lisa(4, 0.05) + """
+SQL_LISA_BODY = _sql_lisa(4, 0.05)
+SQL_LISA = SQL_LISA_BODY + """
 SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad,
        CASE lisa_quad {labels} END AS lisa_label FROM fin
 """.replace("{labels}", " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items()))
@@ -571,3 +572,4 @@ def q_spatial_moran_scatter(spark, base):
 # ---------------------------------------------------------------- network layer (registers on import)
 from . import graph_queries as _graph_queries  # noqa: E402,F401
 from . import ml_queries as _ml_queries  # noqa: E402,F401
+from . import misc_queries as _misc_queries  # noqa: E402,F401
