@@ -45,15 +45,30 @@ def floyd_sample(n_pool: Column, k: Column, seed: int, *key: Column | str) -> Co
 
     Draw j (for j = n_pool-k .. n_pool-1) is ``t = md5(seed:key:j) mod (j+1)``; if t was
     drawn already, j is taken instead.  Uniform over k-subsets, O(k) per row, JVM-side.
+    The k hashes are computed once (``transform``) before the sequential pass.
     """
     start = n_pool - k
     steps = F.when(k > 0, F.sequence(start.cast("long"), (n_pool - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    draws = F.transform(steps, lambda j: F.struct(j.alias("j"), F.pmod(hash_u32(seed, *key, j), j + 1).alias("t")))
 
-    def step(acc, j):
-        t = F.pmod(hash_u32(seed, *key, j), j + 1)
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
+    def step(acc, e):
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, e["t"]), e["j"]).otherwise(e["t"])))
 
-    return F.aggregate(steps, F.array().cast("array<long>"), step)
+    return F.aggregate(draws, F.array().cast("array<long>"), step)
+
+
+def spread_for_fanout(df: DataFrame, n_rows: int, fanout: int, rows_per_task: int = 200_000) -> DataFrame:
+    """Round-robin a small frame over enough partitions before a row fan-out (explode).
+
+    A tiny input often sits in one partition; multiplying it by ``fanout`` there would run
+    the whole replicated workload in one task.  Only the small side is moved.
+    """
+    sc = df.sparkSession.sparkContext
+    want = max(sc.defaultParallelism, -(-n_rows * fanout // rows_per_task))
+    want = max(1, min(want, n_rows))
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
 
 
 def folded_count(n_ge: Column, permutations: int) -> Column:

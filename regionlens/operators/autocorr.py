@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, normal_two_sided_p
-from ..functions.permutation import dense_index, floyd_sample, hash_u32, pseudo_p
+from ..functions.permutation import dense_index, floyd_sample, hash_u32, pseudo_p, spread_for_fanout
 from ..sources.tables import require_columns
 from .weights import row_standardize, spatial_lag
 
@@ -164,7 +164,8 @@ def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float
     Permutations are generated with ``explode(sequence)`` (no join); each permutation is a
     window over its n ids, so a task holds n rows, never n x P.
     """
-    reps = z.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
+    small = spread_for_fanout(z.select("id", "z"), n, permutations)
+    reps = small.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
     from pyspark.sql import Window
 
     by_hash = Window.partitionBy("perm").orderBy(hash_u32(seed, "perm", "id"), "id")
@@ -229,6 +230,7 @@ def lisa(
     )
     card = nbr.groupBy("src").agg(F.count(F.lit(1)).alias("card"))
     base = idx.join(card, idx.id == card.src).select("id", "pos", "z", "card")
+    base = spread_for_fanout(base, n, permutations)
     reps = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     drawn = reps.withColumn(
         "draws", floyd_sample(F.lit(n - 1), F.col("card"), seed, F.col("perm"), F.col("id"))

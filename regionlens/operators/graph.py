@@ -21,21 +21,37 @@ from .kpi import group_means
 class _Loop:
     """Loop state is re-read by the next round more than once (joins on both sides), so an
     uncut lineage would grow the plan tree exponentially.  Every round the state is
-    persisted, written to the shared checkpoint folder (plan cut to a scan, survives
-    executor loss) and the cache is dropped again.
+    persisted and marked for a reliable checkpoint in the shared folder: the round's one
+    action computes it once into the cache, the checkpoint is then written from the cache
+    (plan cut to a scan, survives executor loss), and the cache of the round before is
+    dropped.
     """
 
     def __init__(self, spark, every: int = 1):
         ensure_checkpoint_dir(spark)
+        self._held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, i: int = 0) -> DataFrame:
         cached = df.persist()
-        out = cached.checkpoint()
-        cached.unpersist()
+        out = cached.checkpoint(eager=False)
+        self._held.append(cached)
+        while len(self._held) > 2:
+            self._held.pop(0).unpersist()
         return out
 
     def release(self):
-        pass
+        for d in self._held:
+            d.unpersist()
+        self._held = []
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a (derived, reused) input once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint()
+    cached.unpersist()
+    return out
 
 
 # ------------------------------------------------------------------ construction
@@ -125,33 +141,30 @@ def pagerank(
     alpha: float = 0.85,
     max_iter: int = 100,
     tol: float = 1.0e-6,
-    checkpoint_every: int = 5,
+    checkpoint_every: int = 1,
 ) -> DataFrame:
     """N-3: weighted PageRank, uniform teleport and uniform dangling redistribution.
 
     Stops when the L1 change is below n * tol (at most ``max_iter`` rounds).  Per round:
-    one join of the transition edges (partitioned by src, cached) with the rank vector,
-    one aggregate by dst, and one scalar (L1 change + dangling mass) to the driver.
-    Returns (id, pagerank, iterations).
+    one join of the transition edges (hash-partitioned by src once, reused every round)
+    with the rank vector, one aggregate by dst, and one scalar (L1 change + dangling mass)
+    to the driver.  Returns (id, pagerank, iterations).
     """
     spark = nodes.sparkSession
-    ids = nodes.select("id").distinct().persist()
+    ids = materialize(nodes.select("id").distinct())
     n = ids.count()
     if n == 0:
         return ids.withColumn("pagerank", F.lit(None).cast("double")).withColumn("iterations", F.lit(0))
-    outw = edges.groupBy("src").agg(F.sum("weight").alias("ws"))
-    trans = (
-        edges.join(outw, "src")
-        .where(F.col("ws") != 0)
-        .select("src", "dst", (F.col("weight") / F.col("ws")).alias("p"))
-        .repartition("src")
-        .persist()
+    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    outw = e.groupBy("src").agg(F.sum("weight").alias("ws"))
+    trans = materialize(
+        e.join(outw, "src").where(F.col("ws") != 0).select("src", "dst", (F.col("weight") / F.col("ws")).alias("p")).repartition("src")
     )
-    dangling = ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id")), "id", "left_anti").select(
-        "id", F.lit(True).alias("dangling")
+    marked = materialize(
+        ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
+        .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
     )
-    marked = ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling")).persist()
-    loop = _Loop(spark, checkpoint_every)
+    loop = _Loop(spark)
     x = marked.select("id", "dangling", F.lit(1.0 / n).alias("x"))
     dsum = marked.agg(F.sum(F.when(F.col("dangling"), F.lit(1.0 / n)).otherwise(0.0))).first()[0] or 0.0
     it = 0
@@ -177,42 +190,40 @@ def pagerank(
         dsum = r["dsum"] or 0.0
         if r["err"] < n * tol:
             break
-    out = x.select("id", F.col("x").alias("pagerank"), F.lit(it).alias("iterations")).checkpoint()
+    out = materialize(x.select("id", F.col("x").alias("pagerank"), F.lit(it).alias("iterations")))
     loop.release()
-    for d in (ids, trans, marked):
-        d.unpersist()
     return out
 
 
 # ------------------------------------------------------------------ shortest paths
 
 
-def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:
-    """All-pairs hop distances (s, v, d) by multi-source frontier expansion (weights ignored)."""
+def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+    """All-pairs hop distances (s, v, d) by multi-source frontier expansion (weights ignored).
+
+    State is one table; the frontier of round h is its rows with d = h, so each round costs
+    one join, one anti-join and one checkpoint of the state.
+    """
     spark = nodes.sparkSession
-    adj = edges.select("src", "dst").distinct().persist()
-    reached = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"))
-    reached = reached.checkpoint()
-    frontier = reached
-    loop = _Loop(spark, checkpoint_every)
+    adj = materialize(edges.select("src", "dst").distinct())
+    loop = _Loop(spark)
+    reached = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d")))
     h = 0
     while True:
         h += 1
+        frontier = reached.where(F.col("d") == h - 1)
         nxt = (
             frontier.join(adj, frontier.v == adj.src)
             .select("s", F.col("dst").alias("v"))
             .distinct()
-            .join(reached, ["s", "v"], "left_anti")
+            .join(reached.select("s", "v"), ["s", "v"], "left_anti")
             .withColumn("d", F.lit(h))
         )
-        nxt = loop.keep(nxt, h)
-        if nxt.limit(1).count() == 0:
-            break
         reached = loop.keep(reached.unionByName(nxt), h)
-        frontier = nxt
-    out = reached.checkpoint()
+        if reached.where(F.col("d") == h).limit(1).count() == 0:
+            break
+    out = materialize(reached)
     loop.release()
-    adj.unpersist()
     return out
 
 
@@ -230,37 +241,38 @@ def closeness(nodes: DataFrame, edges: DataFrame, direction: str = "in") -> Data
     return nodes.select("id").join(agg, "id", "left").select("id", F.coalesce(c, F.lit(0.0)).alias("closeness_centrality"))
 
 
-def weighted_distances(nodes: DataFrame, edges: DataFrame, scale: int = 10_000, checkpoint_every: int = 3) -> DataFrame:
+def weighted_distances(nodes: DataFrame, edges: DataFrame, scale: int = 10_000, checkpoint_every: int = 1) -> DataFrame:
     """All-pairs shortest distances (s, v, d) with edge weight as length.
 
     Lengths are rounded to integers of 1/scale so equal-length paths compare exactly.
-    Bellman-Ford style relaxation of the improved pairs only; weights must be > 0.
+    Bellman-Ford style relaxation from the pairs improved in the previous round only
+    (flag column); weights must be > 0.  One checkpoint of the state per round.
     """
     spark = nodes.sparkSession
-    ln = edges.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len"))
-    ln = ln.groupBy("src", "dst").agg(F.min("len").alias("len")).persist()
-    dist = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("d")).checkpoint()
-    changed = dist
-    loop = _Loop(spark, checkpoint_every)
+    ln = materialize(
+        edges.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len"))
+        .groupBy("src", "dst").agg(F.min("len").alias("len"))
+    )
+    loop = _Loop(spark)
+    dist = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("chg")))
     i = 0
     while True:
         i += 1
         cand = (
-            changed.join(ln, changed.v == ln.src)
+            dist.where("chg").join(ln, F.col("v") == ln.src)
             .groupBy("s", F.col("dst").alias("v"))
-            .agg(F.min(F.col("d") + F.col("len")).alias("d"))
+            .agg(F.min(F.col("d") + F.col("len")).alias("dc"))
+        )
+        merged = dist.join(cand, ["s", "v"], "full_outer").select(
+            "s", "v",
+            F.least(F.col("d"), F.col("dc")).alias("d"),
+            (F.col("dc").isNotNull() & (F.col("d").isNull() | (F.col("dc") < F.col("d")))).alias("chg"),
         )
-        better = cand.join(dist.withColumnRenamed("d", "d_old"), ["s", "v"], "left").where(
-            F.col("d_old").isNull() | (F.col("d") < F.col("d_old"))
-        ).select("s", "v", "d")
-        better = loop.keep(better, i)
-        if better.limit(1).count() == 0:
+        dist = loop.keep(merged, i)
+        if dist.where("chg").limit(1).count() == 0:
             break
-        dist = loop.keep(dist.join(better.select("s", "v"), ["s", "v"], "left_anti").unionByName(better), i)
-        changed = better
-    out = dist.checkpoint()
+    out = materialize(dist.select("s", "v", "d"))
     loop.release()
-    ln.unpersist()
     return out
 
 
@@ -284,7 +296,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, dis
         e = edges.withColumn("weight", F.lit(1.0))
     else:
         raise ValueError(f"unknown distance {distance!r}")
-    e = e.where(F.col("src") != F.col("dst"))
+    e = materialize(e.where(F.col("src") != F.col("dst")).select("src", "dst", F.col("weight").cast("double").alias("weight")))
     dist = weighted_distances(nodes, e, scale)
     ln = e.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len")).groupBy("src", "dst").agg(
         F.min("len").alias("len")
@@ -297,30 +309,29 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, dis
         step.join(dv, ["s", "v"])
         .where(F.col("du") + F.col("len") == F.col("dv"))
         .select("s", "u", "v")
-        .persist()
     )
-    loop = _Loop(spark, 3)
-    diag = dist.where(F.col("s") == F.col("v")).select("s", "v", F.lit(1).cast("decimal(38,0)").alias("sigma"))
-    sigma = diag
+    tight = materialize(tight)
+    loop = _Loop(spark)
+    layer = dist.where(F.col("s") == F.col("v")).select("s", "v", F.lit(1).cast("decimal(38,0)").alias("c"))
+    layers = [layer]
     rounds = 0
     while True:
         rounds += 1
-        step = (
-            tight.join(sigma.withColumnRenamed("v", "u"), ["s", "u"])
-            .groupBy("s", "v")
-            .agg(F.sum("sigma").alias("sigma"))
-        )
-        nxt = loop.keep(step.unionByName(diag), rounds)
-        diff = nxt.join(sigma.withColumnRenamed("sigma", "old"), ["s", "v"], "full_outer").where(
-            F.col("old").isNull() | F.col("sigma").isNull() | (F.col("old") != F.col("sigma"))
+        layer = loop.keep(
+            tight.join(layer.withColumnRenamed("v", "u"), ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")),
+            rounds,
         )
-        if diff.limit(1).count() == 0:
+        if layer.limit(1).count() == 0:
             break
-        sigma = nxt
-    sig = sigma.select("s", "v", F.col("sigma").cast("double").alias("sigma")).checkpoint()
+        layers.append(layer)
+    sigma = layers[0]
+    for lay in layers[1:]:
+        sigma = sigma.unionByName(lay)
+    sigma = sigma.groupBy("s", "v").agg(F.sum("c").alias("sigma"))
+    sig = materialize(sigma.select("s", "v", F.col("sigma").cast("double").alias("sigma")))
     sv = sig.select("s", F.col("v").alias("u"), F.col("sigma").alias("su"))
     sw = sig.select("s", "v", F.col("sigma").alias("sv"))
-    coef = tight.join(sv, ["s", "u"]).join(sw, ["s", "v"]).select("s", "u", "v", (F.col("su") / F.col("sv")).alias("q")).persist()
+    coef = materialize(tight.join(sv, ["s", "u"]).join(sw, ["s", "v"]).select("s", "u", "v", (F.col("su") / F.col("sv")).alias("q")))
     delta = None
     for i in range(1, rounds + 1):
         if delta is None:
@@ -332,6 +343,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, dis
                 .agg(F.sum(F.col("q") * (F.lit(1.0) + F.coalesce(F.col("dw"), F.lit(0.0)))).alias("delta"))
             )
         delta = loop.keep(acc, i)
+        delta.count()
     scale_f = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
     if delta is None:
         b = nodes.select("id").withColumn("betweenness_centrality", F.lit(0.0))
@@ -340,10 +352,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, dis
         b = nodes.select("id").join(tot, "id", "left").select(
             "id", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale_f)).alias("betweenness_centrality")
         )
-    out = b.checkpoint()
+    out = materialize(b)
     loop.release()
-    tight.unpersist()
-    coef.unpersist()
     return out
 
 
@@ -386,13 +396,13 @@ def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "parallel",
     spark = nodes.sparkSession
     ids = nodes.select("id").distinct()
     ends = und.select(F.col("u").alias("id"), "weight").unionByName(und.select(F.col("v").alias("id"), "weight"))
-    kdeg = ids.join(ends.groupBy("id").agg(F.sum("weight").alias("k")), "id", "left").select(
+    kdeg = materialize(ids.join(ends.groupBy("id").agg(F.sum("weight").alias("k")), "id", "left").select(
         "id", F.coalesce("k", F.lit(0.0)).alias("k")
-    ).persist()
+    ))
     m = und.agg(F.sum("weight")).first()[0] or 0.0
-    label = ids.select("id", F.col("id").alias("c")).checkpoint()
-    loop = _Loop(spark, 5)
-    pairs = und.where(F.col("u") != F.col("v")).persist()
+    label = materialize(ids.select("id", F.col("id").alias("c")))
+    loop = _Loop(spark)
+    pairs = materialize(und.where(F.col("u") != F.col("v")))
     rounds = 0
     while m > 0 and rounds < max_rounds:
         rounds += 1
@@ -434,10 +444,8 @@ def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "parallel",
         )
     sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
     order = dense_index(sizes, F.desc("size"), F.asc("first"), out="community")
-    out = label.join(order.select("c", "community"), "c").select("id", F.col("community").cast("int")).checkpoint()
+    out = materialize(label.join(order.select("c", "community"), "c").select("id", F.col("community").cast("int")))
     loop.release()
-    kdeg.unpersist()
-    pairs.unpersist()
     return out
 
 

@@ -33,6 +33,7 @@ def knn(
     x: str = "x",
     y: str = "y",
     hot_cell_factor: int = 16,
+    remainder_budget: int = 20_000_000,
 ) -> DataFrame:
     """J-2: exact k nearest neighbours (Euclidean, self excluded, ties broken by neighbour id).
 
@@ -123,7 +124,7 @@ def knn(
             print(f"knn level {level}: size {size:.4g} remaining {remaining}")
         if remaining == 0:
             break
-        level += 1
+        level = max_level if remaining * n <= remainder_budget else level + 1
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

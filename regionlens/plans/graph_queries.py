@@ -35,8 +35,10 @@ N AS (SELECT count(*) AS n FROM NODES)
 
 
 def _graph(spark, base):
+    """The derived nation graph, written once: every algorithm below reuses it many times."""
     nodes, edges = si.trade_graph(spark, base)
-    return g.build_graph(nodes, edges)
+    nodes, edges = g.build_graph(nodes, edges)
+    return g.materialize(nodes), g.materialize(edges)
 
 
 @register("graph_edges", f"WITH {SQL_GRAPH} SELECT src, dst, round(weight, 6) AS weight FROM E")
@@ -255,7 +257,7 @@ def q_graph_community_labels(spark, base):
 def q_graph_communities(spark, base):
     """N-8: greedy modularity communities (mutual-best merges) with the modularity reached."""
     nodes, edges = _graph(spark, base)
-    und = g.to_undirected(edges)
+    und = g.materialize(g.to_undirected(edges))
     mem = g.greedy_communities(nodes, und)
     q = g.modularity(und, mem).first()[0]
     return round_doubles(g.community_attributes(nodes.select("id"), mem).withColumn("modularity", F.lit(q)))
