@@ -71,6 +71,19 @@ def spread_for_fanout(df: DataFrame, n_rows: int, fanout: int, rows_per_task: in
     return df.repartition(want)
 
 
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only for a side whose row count is known and within ``max_rows``;
+    beyond it the frame is returned unchanged and the join shuffles.
+
+    Used for the per-id side of a join against a fanned-out (x P) side: the optimizer's
+    estimate of an ``explode`` output is unreliable and may otherwise pick the big side.
+    """
+    return F.broadcast(df) if rows <= max_rows else df
+
+
 def folded_count(n_ge: Column, permutations: int) -> Column:
     """min(#sim >= obs, P - #sim >= obs): the folded tail count of a pseudo p-value."""
     return F.least(n_ge, F.lit(permutations) - n_ge)

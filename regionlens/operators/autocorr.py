@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, normal_two_sided_p
-from ..functions.permutation import dense_index, floyd_sample, hash_u32, pseudo_p, spread_for_fanout
+from ..functions.permutation import bounded_broadcast, dense_index, floyd_sample, hash_u32, pseudo_p, spread_for_fanout
 from ..sources.tables import require_columns
 from .weights import row_standardize, spatial_lag
 
@@ -174,8 +174,9 @@ def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float
     slots = ranked.select("perm", F.col("r_id").alias("r"), "id")
     draws = ranked.select("perm", F.col("r_h").alias("r"), F.col("z").alias("zp"))
     permuted = slots.join(draws, ["perm", "r"]).select("perm", "id", "zp")
+    w_rows = w.count()
     lag = (
-        w.join(permuted.withColumnRenamed("id", "dst"), "dst")
+        bounded_broadcast(w, w_rows).join(permuted.withColumnRenamed("id", "dst"), "dst")
         .groupBy("perm", "src")
         .agg(F.sum(F.col("w") * F.col("zp")).alias("lag"))
     )
@@ -236,11 +237,12 @@ def lisa(
         "draws", floyd_sample(F.lit(n - 1), F.col("card"), seed, F.col("perm"), F.col("id"))
     ).select("id", "pos", "perm", F.posexplode("draws").alias("r", "q"))
     drawn = drawn.withColumn("q", F.when(F.col("q") >= F.col("pos"), F.col("q") + 1).otherwise(F.col("q")))
-    valued = drawn.join(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj")), "q")
-    weighted = valued.join(nbr.withColumnRenamed("src", "id"), ["id", "r"])
+    w_rows = w.count()
+    valued = drawn.join(bounded_broadcast(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj")), n), "q")
+    weighted = valued.join(bounded_broadcast(nbr.withColumnRenamed("src", "id"), w_rows), ["id", "r"])
     lag_sim = weighted.groupBy("id", "perm").agg(F.sum(F.col("w") * F.col("zj")).alias("lag_sim"))
     counts = (
-        lag_sim.join(loc.select("id", "z", "lisa_i"), "id")
+        lag_sim.join(bounded_broadcast(loc.select("id", "z", "lisa_i"), n), "id")
         .withColumn("i_sim", F.lit(float(n - 1)) * F.col("z") * F.col("lag_sim") / F.lit(zz))
         .groupBy("id")
         .agg(F.sum(F.when(F.col("i_sim") >= F.col("lisa_i"), 1).otherwise(0)).alias("n_ge"))
