@@ -141,14 +141,21 @@ def pagerank(
     alpha: float = 0.85,
     max_iter: int = 100,
     tol: float = 1.0e-6,
-    checkpoint_every: int = 1,
+    hub_edges: int | None = None,
+    salts: int = 32,
 ) -> DataFrame:
     """N-3: weighted PageRank, uniform teleport and uniform dangling redistribution.
 
     Stops when the L1 change is below n * tol (at most ``max_iter`` rounds).  Per round:
-    one join of the transition edges (hash-partitioned by src once, reused every round)
-    with the rank vector, one aggregate by dst, and one scalar (L1 change + dangling mass)
-    to the driver.  Returns (id, pagerank, iterations).
+    one join of the transition edges (partitioned once by (src, salt), reused every round)
+    with the rank vector, one aggregate by dst (partial aggregation first), and one scalar
+    (L1 change + dangling mass) to the driver.
+
+    Skew: a source with more than ``hub_edges`` out-edges (default: a quarter of an even
+    per-task share, at least 100k) has its edges spread over ``salts`` sub-keys by
+    hash(dst), and its rank row is replicated once per salt, so a hub holding a large share
+    of all edges is joined by many tasks.  The hub list is bounded by m / hub_edges rows.
+    Returns (id, pagerank, iterations).
     """
     spark = nodes.sparkSession
     ids = materialize(nodes.select("id").distinct())
@@ -156,25 +163,44 @@ def pagerank(
     if n == 0:
         return ids.withColumn("pagerank", F.lit(None).cast("double")).withColumn("iterations", F.lit(0))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    outw = e.groupBy("src").agg(F.sum("weight").alias("ws"))
-    trans = materialize(
-        e.join(outw, "src").where(F.col("ws") != 0).select("src", "dst", (F.col("weight") / F.col("ws")).alias("p")).repartition("src")
+    outw = materialize(e.groupBy("src").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("deg")))
+    if hub_edges is None:
+        m = outw.agg(F.sum("deg")).first()[0] or 0
+        hub_edges = max(100_000, m // (4 * spark.sparkContext.defaultParallelism))
+    hubs = outw.where(F.col("deg") > hub_edges).select("src", F.lit(True).alias("hub"))
+    n_hubs = hubs.count()
+    salt_of = F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    trans = (
+        e.join(outw.where(F.col("ws") != 0), "src")
+        .join(F.broadcast(hubs), "src", "left")
+        .withColumn("hub", F.coalesce("hub", F.lit(False)))
+        .select("src", salt_of.alias("salt"), "dst", (F.col("weight") / F.col("ws")).alias("p"))
+        .repartition("src", "salt")
     )
+    trans = materialize(trans)
     marked = materialize(
         ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
-        .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
+        .join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
+        .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.coalesce("hub", F.lit(False)).alias("hub"))
     )
     loop = _Loop(spark)
-    x = marked.select("id", "dangling", F.lit(1.0 / n).alias("x"))
+    x = marked.select("id", "dangling", "hub", F.lit(1.0 / n).alias("x"))
     dsum = marked.agg(F.sum(F.when(F.col("dangling"), F.lit(1.0 / n)).otherwise(0.0))).first()[0] or 0.0
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     it = 0
     for it in range(1, max_iter + 1):
-        contrib = trans.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(
+        ranks = x.select(F.col("id").alias("src"), "x", "hub")
+        if n_hubs:
+            ranks = ranks.withColumn("salt", F.explode(F.when(F.col("hub"), all_salts).otherwise(F.array(F.lit(0)))))
+        else:
+            ranks = ranks.withColumn("salt", F.lit(0))
+        contrib = trans.join(ranks.select("src", "salt", "x"), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("x") * F.col("p")).alias("c")
         )
         xn = x.join(contrib, "id", "left").select(
             "id",
             "dangling",
+            "hub",
             F.col("x").alias("x_old"),
             (
                 F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(dsum) * F.lit(1.0 / n))
@@ -186,7 +212,7 @@ def pagerank(
             F.sum(F.abs(F.col("x") - F.col("x_old"))).alias("err"),
             F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("dsum"),
         ).first()
-        x = xn.select("id", "dangling", "x")
+        x = xn.select("id", "dangling", "hub", "x")
         dsum = r["dsum"] or 0.0
         if r["err"] < n * tol:
             break

@@ -82,3 +82,17 @@ def test_edge_cases(spark):
     assert bt["b"] > 0 and bt["a"] == 0.0
     cl = {r.id: r.closeness_centrality for r in g.closeness(n, e).collect()}
     assert cl["a"] == 0.0 and cl["zz"] > 0
+
+
+def test_pagerank_hub_salting_gives_same_result(spark):
+    # a hub with most of the edges: salted and unsalted runs must agree
+    edges = spark.createDataFrame(
+        [("hub", f"n{i}", 1.0 + (i % 3)) for i in range(60)] + [(f"n{i}", "hub", 1.0) for i in range(0, 60, 7)] + [("n1", "n2", 2.0)],
+        "src string, dst string, weight double",
+    )
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    plain = {r.id: r.pagerank for r in g.pagerank(nodes, edges).collect()}
+    salted = {r.id: r.pagerank for r in g.pagerank(nodes, edges, hub_edges=10, salts=8).collect()}
+    assert plain.keys() == salted.keys()
+    for k in plain:
+        assert salted[k] == pytest.approx(plain[k], abs=1e-12)
