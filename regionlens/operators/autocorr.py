@@ -161,19 +161,21 @@ def moran(
 def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float, permutations: int, seed: int) -> DataFrame:
     """X-3: one simulated I per permutation, ``(perm, i_sim)``.
 
-    Permutations are generated with ``explode(sequence)`` (no join); each permutation is a
-    window over its n ids, so a task holds n rows, never n x P.
+    Permutation p gives the id at position r (in id order) the value of the id ranked r-th
+    by md5(seed:p:id).  All ranks come from distributed sorts: the id positions from one
+    dense index over n rows, and the hash ranks from one dense index over the n x P rows in
+    (perm, hash, id) order - every permutation holds exactly n rows, so the rank within a
+    permutation is the global position minus perm * n.  No task ever holds a whole
+    permutation.  Replicas are made with ``explode`` (no join).
     """
-    small = spread_for_fanout(z.select("id", "z"), n, permutations)
-    reps = small.select("id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    from pyspark.sql import Window
-
-    by_hash = Window.partitionBy("perm").orderBy(hash_u32(seed, "perm", "id"), "id")
-    by_id = Window.partitionBy("perm").orderBy("id")
-    ranked = reps.withColumns({"r_h": F.row_number().over(by_hash), "r_id": F.row_number().over(by_id)})
-    slots = ranked.select("perm", F.col("r_id").alias("r"), "id")
-    draws = ranked.select("perm", F.col("r_h").alias("r"), F.col("z").alias("zp"))
-    permuted = slots.join(draws, ["perm", "r"]).select("perm", "id", "zp")
+    idx = dense_index(z.select("id", "z"), "id", out="pos")
+    small = spread_for_fanout(idx, n, permutations)
+    reps = small.select(
+        "id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
+    ).withColumn("h", hash_u32(seed, "perm", "id"))
+    ranked = dense_index(reps, "perm", "h", "id", out="g")
+    draws = ranked.select("perm", (F.col("g") - F.col("perm").cast("long") * F.lit(n)).alias("pos"), F.col("z").alias("zp"))
+    permuted = draws.join(bounded_broadcast(idx.select("pos", "id"), n), "pos").select("perm", "id", "zp")
     w_rows = w.count()
     lag = (
         bounded_broadcast(w, w_rows).join(permuted.withColumnRenamed("id", "dst"), "dst")
