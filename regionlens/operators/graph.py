@@ -12,12 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.permutation import dense_index
+from ..functions.permutation import bounded_broadcast, dense_index
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import require_columns
 from .kpi import group_means
 
 
+# Per-node vectors (ranks, labels) and edge lists up to these sizes are broadcast inside
+# loops; larger ones are joined by shuffle on co-partitioned inputs.
+RANK_BROADCAST_ROWS = 500_000
+EDGE_BROADCAST_ROWS = 1_000_000
+
+
 class _Loop:
     """Loop state is re-read by the next round more than once (joins on both sides), so an
     uncut lineage would grow the plan tree exponentially.  Every round the state is
@@ -158,12 +164,12 @@ def pagerank(
     Returns (id, pagerank, iterations).
     """
     spark = nodes.sparkSession
-    ids = materialize(nodes.select("id").distinct())
+    ids = nodes.select("id").distinct()
     n = ids.count()
     if n == 0:
         return ids.withColumn("pagerank", F.lit(None).cast("double")).withColumn("iterations", F.lit(0))
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    outw = materialize(e.groupBy("src").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("deg")))
+    outw = e.groupBy("src").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("deg"))
     if hub_edges is None:
         m = outw.agg(F.sum("deg")).first()[0] or 0
         hub_edges = max(100_000, m // (4 * spark.sparkContext.defaultParallelism))
@@ -178,7 +184,7 @@ def pagerank(
         .repartition("src", "salt")
     )
     trans = materialize(trans)
-    marked = materialize(
+    marked = (
         ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
         .join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
         .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.coalesce("hub", F.lit(False)).alias("hub"))
@@ -194,10 +200,11 @@ def pagerank(
             ranks = ranks.withColumn("salt", F.explode(F.when(F.col("hub"), all_salts).otherwise(F.array(F.lit(0)))))
         else:
             ranks = ranks.withColumn("salt", F.lit(0))
-        contrib = trans.join(ranks.select("src", "salt", "x"), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
+        rank_rows = bounded_broadcast(ranks.select("src", "salt", "x"), n + n_hubs * salts, RANK_BROADCAST_ROWS)
+        contrib = trans.join(rank_rows, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("x") * F.col("p")).alias("c")
         )
-        xn = x.join(contrib, "id", "left").select(
+        xn = x.join(bounded_broadcast(contrib, n, RANK_BROADCAST_ROWS), "id", "left").select(
             "id",
             "dangling",
             "hub",
@@ -232,6 +239,7 @@ def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1)
     """
     spark = nodes.sparkSession
     adj = materialize(edges.select("src", "dst").distinct())
+    adj_side = bounded_broadcast(adj, adj.count(), EDGE_BROADCAST_ROWS)
     loop = _Loop(spark)
     reached = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d")))
     h = 0
@@ -239,7 +247,7 @@ def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1)
         h += 1
         frontier = reached.where(F.col("d") == h - 1)
         nxt = (
-            frontier.join(adj, frontier.v == adj.src)
+            frontier.join(adj_side, frontier.v == adj_side.src)
             .select("s", F.col("dst").alias("v"))
             .distinct()
             .join(reached.select("s", "v"), ["s", "v"], "left_anti")
@@ -279,13 +287,14 @@ def weighted_distances(nodes: DataFrame, edges: DataFrame, scale: int = 10_000,
         edges.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len"))
         .groupBy("src", "dst").agg(F.min("len").alias("len"))
     )
+    ln_side = bounded_broadcast(ln, ln.count(), EDGE_BROADCAST_ROWS)
     loop = _Loop(spark)
     dist = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("chg")))
     i = 0
     while True:
         i += 1
         cand = (
-            dist.where("chg").join(ln, F.col("v") == ln.src)
+            dist.where("chg").join(ln_side, F.col("v") == ln_side.src)
             .groupBy("s", F.col("dst").alias("v"))
             .agg(F.min(F.col("d") + F.col("len")).alias("dc"))
         )

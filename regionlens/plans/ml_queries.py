@@ -126,7 +126,12 @@ def q_ml_assign_nearest(spark, base):
 
 
 def _kmeans(spark, base):
-    return ml.kmeans_pipeline(_profile(spark, base), INDICATORS, k=4, seed=123, key="uf", partitions=4)
+    # the profile is an aggregate over lineitem; MLlib makes several passes (scaler fit,
+    # k-means|| init, iterations, transform, evaluation), so it is written once first
+    from ..operators.graph import materialize
+
+    prof = materialize(ml.stable_layout(_profile(spark, base), "uf", 4))
+    return ml.kmeans_pipeline(prof, INDICATORS, k=4, seed=123)
 
 
 @register("ml_kmeans")
@@ -155,8 +160,9 @@ def q_ml_kmeans_sweep(spark, base):
     """M-7, M-8, R-6: silhouette and WSSSE for k = 2..6 on the scaled panel features."""
     from ..operators import panel as pnl
 
-    feats = pnl.territory_features(si.labour_panel(spark, base)).na.drop()
-    feats = ml.stable_layout(feats, "uf", 4)
+    from ..operators.graph import materialize
+
+    feats = materialize(ml.stable_layout(pnl.territory_features(si.labour_panel(spark, base)).na.drop(), "uf", 4))
     prep = ml.assemble(feats, list(pnl.PANEL_FEATURES))
     from pyspark.ml.feature import StandardScaler
 

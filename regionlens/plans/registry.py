@@ -568,8 +568,3 @@ def q_spatial_moran_scatter(spark, base):
     """X-8, G-13, G-18: Moran scatter data (z, lag, regression line, quadrant)."""
     return round_doubles(ac.moran_scatter(_points(spark, base), _knn_w(spark, base), transform="none"))
 
-
-# ---------------------------------------------------------------- network layer (registers on import)
-from . import graph_queries as _graph_queries  # noqa: E402,F401
-from . import ml_queries as _ml_queries  # noqa: E402,F401
-from . import misc_queries as _misc_queries  # noqa: E402,F401
