@@ -38,6 +38,13 @@ def label_clusters(profile: DataFrame, rules=LABEL_RULES, default: str = LABEL_D
     return profile.withColumn(out, expr.otherwise(F.lit(default)))
 
 
+def drop_vector_columns(df: DataFrame) -> DataFrame:
+    """P-7: drop every ML vector column (keeps exported tables plain)."""
+    from pyspark.ml.linalg import VectorUDT
+
+    return df.drop(*[f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT)])
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features_raw", handle_invalid: str = "error") -> DataFrame:
     """M-1: VectorAssembler."""
     require_columns(df, *cols)

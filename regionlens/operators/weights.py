@@ -244,3 +244,29 @@ def create_weights(geo: DataFrame, method: str = "knn", k: int = 4, row_standard
 def attach_attributes(geo: DataFrame, attrs: DataFrame, key: str = "uf") -> DataFrame:
     """J-1: every geometry row kept, attributes joined by key (NULL where absent)."""
     return geo.join(attrs, key, "left")
+
+
+# ------------------------------------------------------------------ ring geometry (F-12)
+
+
+def buffer_rings(points: DataFrame, radius: float, n_vertices: int = 64, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """F-12: regular n-gon ring of ``radius`` around every point (the buffer polygon), as
+    ``array<struct<x,y>>`` built with ``transform(sequence)`` - no geometry library."""
+    step = 2.0 * math.pi / n_vertices
+    ring = F.transform(
+        F.sequence(F.lit(0), F.lit(n_vertices - 1)),
+        lambda i: F.struct(
+            (F.col(x) + F.lit(radius) * F.cos(i * F.lit(step))).alias("x"),
+            (F.col(y) + F.lit(radius) * F.sin(i * F.lit(step))).alias("y"),
+        ),
+    )
+    return points.select(F.col(id_col).alias("id"), ring.alias("ring"))
+
+
+def ring_centroids(polygons: DataFrame, id_col: str = "id", ring: str = "ring") -> DataFrame:
+    """F-12: vertex centroid of each ring (equals the area centroid for the symmetric rings
+    made by ``buffer_rings``), computed per row with ``aggregate``."""
+    n = F.size(ring).cast("double")
+    sx = F.aggregate(F.col(ring), F.lit(0.0), lambda s, p: s + p["x"])
+    sy = F.aggregate(F.col(ring), F.lit(0.0), lambda s, p: s + p["y"])
+    return polygons.select(F.col(id_col).alias("id"), (sx / n).alias("cx"), (sy / n).alias("cy"), F.size(ring).alias("n_vertices"))

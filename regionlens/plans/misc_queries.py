@@ -133,3 +133,16 @@ FROM ({SQL_POINTS}) p LEFT JOIN lab l ON l.id = p.id""",
 def q_report_lisa_map(spark, base):
     """R-3: LISA map view (points with label and colour)."""
     return round_doubles(report.lisa_map_view(_lisa(spark, base), _points(spark, base)))
+
+
+@register(
+    "spatial_buffer_centroids",
+    f"""WITH p AS ({SQL_POINTS}),
+r AS (SELECT id, unnest(list_transform(range(0, 64), lambda i: x + 0.012 * cos(i * (2 * pi() / 64)))) AS vx,
+             unnest(list_transform(range(0, 64), lambda i: y + 0.012 * sin(i * (2 * pi() / 64)))) AS vy FROM p)
+SELECT id, round(avg(vx), 6) AS cx, round(avg(vy), 6) AS cy, count(*) AS n_vertices FROM r GROUP BY id""",
+)
+def q_spatial_buffer_centroids(spark, base):
+    """F-12: 64-vertex buffer ring around every point and the ring centroid."""
+    rings = wts.buffer_rings(_points(spark, base), radius=0.012, n_vertices=64)
+    return round_doubles(wts.ring_centroids(rings))

@@ -139,7 +139,8 @@ def q_ml_kmeans(spark, base):
     """M-1..M-4, M-6: scaled K-Means (k=4, seed 123) on the territory indicators + silhouette."""
     model, pred = _kmeans(spark, base)
     sil = ml.silhouette_mllib(pred.select("uf", "cluster_id", vector_col("features_scaled")), "fs", "cluster_id")
-    return round_doubles(pred.select("uf", "cluster_id", *INDICATORS).withColumn("silhouette", F.lit(sil)))
+    out = ml.drop_vector_columns(pred).select("uf", "cluster_id", *INDICATORS)
+    return round_doubles(out.withColumn("silhouette", F.lit(sil)))
 
 
 def vector_col(c):

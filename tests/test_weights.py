@@ -76,3 +76,18 @@ def test_grid_polygons_on_driver_tables(spark):
     poly = si.grid_polygons(pts)
     assert poly.count() > 0
     assert wts.queen(poly).count() >= wts.rook(poly).count()
+
+
+def test_buffer_rings_centroids_and_knn(spark):
+    from regionlens.sources.builtin_dims import uf_centroids
+
+    pts = uf_centroids(spark).withColumnRenamed("uf", "id")
+    rings = wts.buffer_rings(pts, radius=1.2, n_vertices=64)
+    cen = wts.ring_centroids(rings)
+    got = {r.id: (r.cx, r.cy, r.n_vertices) for r in cen.collect()}
+    for r in pts.collect():
+        assert got[r.id][0] == pytest.approx(r.x, abs=1e-9) and got[r.id][1] == pytest.approx(r.y, abs=1e-9)
+        assert got[r.id][2] == 64
+    a = {(r.src, r.dst) for r in wts.knn(pts, k=4).collect()}
+    b = {(r.src, r.dst) for r in wts.knn(cen.select("id", F.col("cx").alias("x"), F.col("cy").alias("y")), k=4).collect()}
+    assert a == b
