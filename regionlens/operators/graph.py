@@ -12,12 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import os
+
 from ..functions.permutation import bounded_broadcast, dense_index
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import require_columns
 from .kpi import group_means
 
 
+_DEBUG = bool(os.environ.get("REGIONLENS_DEBUG"))
+
 # Per-node vectors (ranks, labels) and edge lists up to these sizes are broadcast inside
 # loops; larger ones are joined by shuffle on co-partitioned inputs.
 RANK_BROADCAST_ROWS = 500_000
@@ -436,19 +440,21 @@ def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "parallel",
     ))
     m = und.agg(F.sum("weight")).first()[0] or 0.0
     label = materialize(ids.select("id", F.col("id").alias("c")))
+    n_ids = label.count()
     loop = _Loop(spark)
     pairs = materialize(und.where(F.col("u") != F.col("v")))
     rounds = 0
     while m > 0 and rounds < max_rounds:
         rounds += 1
-        lu = label.withColumnRenamed("id", "u").withColumnRenamed("c", "a")
-        lv = label.withColumnRenamed("id", "v").withColumnRenamed("c", "b")
+        lab = bounded_broadcast(label, n_ids, RANK_BROADCAST_ROWS)
+        lu = lab.withColumnRenamed("id", "u").withColumnRenamed("c", "a")
+        lv = lab.withColumnRenamed("id", "v").withColumnRenamed("c", "b")
         cw = (
             pairs.join(lu, "u").join(lv, "v").where(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
             .groupBy("a", "b").agg(F.sum("weight").alias("w"))
         )
-        dc = kdeg.join(label, "id").groupBy("c").agg(F.sum("k").alias("D"))
+        dc = bounded_broadcast(kdeg.join(lab, "id").groupBy("c").agg(F.sum("k").alias("D")), n_ids, RANK_BROADCAST_ROWS)
         gain = (
             cw.join(dc.withColumnRenamed("c", "a").withColumnRenamed("D", "Da"), "a")
             .join(dc.withColumnRenamed("c", "b").withColumnRenamed("D", "Db"), "b")
@@ -462,17 +468,23 @@ def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "parallel",
             best = both.orderBy(F.desc("dq"), F.least("x", "y"), F.greatest("x", "y")).limit(1)
             merges = best.select(F.least("x", "y").alias("keep"), F.greatest("x", "y").alias("drop"))
         else:
-            rk = Window.partitionBy("x").orderBy(F.desc("dq"), F.asc("y"))
-            choice = both.withColumn("r", F.row_number().over(rk)).where(F.col("r") == 1).select("x", "y")
+            # best neighbour per community: largest dq, then smallest id, as a partial
+            # aggregate (no window group per community, so a hub community is split up)
+            key = F.struct((-F.col("dq")).alias("neg_dq"), F.col("y").alias("y"))
+            choice = both.groupBy("x").agg(F.min_by("y", key).alias("y"))
             mutual = choice.alias("p").join(
-                choice.alias("q"), (F.col("p.x") == F.col("q.y")) & (F.col("p.y") == F.col("q.x"))
+                bounded_broadcast(choice, n_ids, RANK_BROADCAST_ROWS).alias("q"),
+                (F.col("p.x") == F.col("q.y")) & (F.col("p.y") == F.col("q.x")),
             ).where(F.col("p.x") < F.col("p.y"))
             merges = mutual.select(F.col("p.x").alias("keep"), F.col("p.y").alias("drop"))
         merges = loop.keep(merges, rounds)
-        if merges.limit(1).count() == 0:
+        n_merges = merges.count()
+        if _DEBUG:
+            print(f"greedy round {rounds}: {n_merges} merges")
+        if n_merges == 0:
             break
         label = loop.keep(
-            label.join(merges.withColumnRenamed("drop", "c"), "c", "left").select(
+            label.join(bounded_broadcast(merges.withColumnRenamed("drop", "c"), n_merges, RANK_BROADCAST_ROWS), "c", "left").select(
                 "id", F.coalesce(F.col("keep"), F.col("c")).alias("c")
             ),
             rounds,
