@@ -140,7 +140,7 @@ def q_report_lisa_map(spark, base):
     f"""WITH p AS ({SQL_POINTS}),
 r AS (SELECT id, unnest(list_transform(range(0, 64), lambda i: x + 0.012 * cos(i * (2 * pi() / 64)))) AS vx,
              unnest(list_transform(range(0, 64), lambda i: y + 0.012 * sin(i * (2 * pi() / 64)))) AS vy FROM p)
-SELECT id, round(avg(vx), 6) AS cx, round(avg(vy), 6) AS cy, count(*) AS n_vertices FROM r GROUP BY id""",
+SELECT id, round(avg(vx), 6) AS cx, round(avg(vy), 6) AS cy, CAST(count(*) AS INTEGER) AS n_vertices FROM r GROUP BY id""",
 )
 def q_spatial_buffer_centroids(spark, base):
     """F-12: 64-vertex buffer ring around every point and the ring centroid."""

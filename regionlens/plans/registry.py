@@ -186,7 +186,7 @@ def q_kpi_sector_means(spark, base):
 from ..operators import panel as pnl  # noqa: E402
 
 SQL_PANEL = """
-SELECT n.n_name AS uf, year(o.o_orderdate) AS ano, month(o.o_orderdate) AS mes, o.o_orderpriority AS setor,
+SELECT n.n_name AS uf, CAST(year(o.o_orderdate) AS INTEGER) AS ano, CAST(month(o.o_orderdate) AS INTEGER) AS mes, o.o_orderpriority AS setor,
        count(*) AS empregos,
        sum(CAST(o.o_totalprice AS DECIMAL(12,2))) AS massa_salarial,
        CAST(sum(CAST(o.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / count(*) AS salario_medio_nominal
@@ -318,7 +318,7 @@ def _knn_w(spark, base, k=4):
     return wts.row_standardize(wts.binary(wts.knn(_points(spark, base), k=k)))
 
 
-@register("spatial_knn", f"SELECT src, dst, round(d2, 12) AS d2, rank FROM ({SQL_KNN4}) k")
+@register("spatial_knn", f"SELECT src, dst, round(d2, 12) AS d2, CAST(rank AS INTEGER) AS rank FROM ({SQL_KNN4}) k")
 def q_spatial_knn(spark, base):
     """J-2 + W-1: exact 4 nearest neighbours of every point."""
     e = wts.knn(_points(spark, base), k=4)
@@ -445,7 +445,7 @@ shifted AS (SELECT id, perm, r, CASE WHEN q >= pos THEN q + 1 ELSE q END AS q FR
 sim AS (SELECT sh.id, sh.perm, sum(nb.w * ix.z) AS lag_sim
         FROM shifted sh JOIN idx ix ON ix.pos = sh.q JOIN nbr nb ON nb.src = sh.id AND nb.r = sh.r
         GROUP BY sh.id, sh.perm),
-cnt AS (SELECT l.id, sum(CASE WHEN (s.n - 1) * l.z * sim.lag_sim / zz.zz >= l.lisa_i THEN 1 ELSE 0 END) AS n_ge
+cnt AS (SELECT l.id, CAST(sum(CASE WHEN (s.n - 1) * l.z * sim.lag_sim / zz.zz >= l.lisa_i THEN 1 ELSE 0 END) AS BIGINT) AS n_ge
         FROM loc l JOIN sim ON sim.id = l.id, stats s, zz GROUP BY l.id),
 res AS (SELECT l.*, c.n_ge, (least(c.n_ge, {PERMS} - c.n_ge) + 1.0) / {PERMS + 1}.0 AS lisa_p_value FROM loc l JOIN cnt c USING (id)),
 fin AS (SELECT *, CASE WHEN lisa_p_value < {threshold} THEN quadrant ELSE 0 END AS lisa_quad FROM res)
