@@ -43,13 +43,27 @@ def dense_index(df: DataFrame, *order, out: str = "pos") -> DataFrame:
 def floyd_sample(n_pool: Column, k: Column, seed: int, *key: Column | str) -> Column:
     """k distinct positions from 0..n_pool-1 (Floyd's algorithm), as array<long>.
 
-    Draw j (for j = n_pool-k .. n_pool-1) is ``t = md5(seed:key:j) mod (j+1)``; if t was
-    drawn already, j is taken instead.  Uniform over k-subsets, O(k) per row, JVM-side.
-    The k hashes are computed once (``transform``) before the sequential pass.
+    Step r (r = 0..k-1) draws j = n_pool-k+r: ``t = u32_r mod (j+1)``; if t was drawn
+    already, j is taken instead.  u32_r is the (r mod 4)-th 32-bit slice of the md5 digest
+    of ``seed:key:(r div 4)`` - one digest serves four draws.  Uniform over k-subsets, O(k)
+    per row, JVM-side; the digests are computed once per row before the sequential pass.
     """
     start = n_pool - k
-    steps = F.when(k > 0, F.sequence(start.cast("long"), (n_pool - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
-    draws = F.transform(steps, lambda j: F.struct(j.alias("j"), F.pmod(hash_u32(seed, *key, j), j + 1).alias("t")))
+    n_blocks = F.greatest(F.lit(1), F.ceil(k / F.lit(4.0)).cast("int"))
+    text_key = [_as_text(c) for c in key]
+    blocks = F.transform(
+        F.sequence(F.lit(0), n_blocks - 1),
+        lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), *text_key, b.cast("string"))),
+    )
+    steps = F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def draw(r):
+        j = (start + r).cast("long")
+        hexpart = F.substring(F.element_at(blocks, (r / 4).cast("int") + 1), F.lit(1), F.lit(40)).substr((r % 4) * 8 + 1, F.lit(8))
+        u32 = F.conv(hexpart, 16, 10).cast("long")
+        return F.struct(j.alias("j"), F.pmod(u32, j + 1).alias("t"))
+
+    draws = F.transform(steps, draw)
 
     def step(acc, e):
         return F.concat(acc, F.array(F.when(F.array_contains(acc, e["t"]), e["j"]).otherwise(e["t"])))
@@ -57,6 +71,39 @@ def floyd_sample(n_pool: Column, k: Column, seed: int, *key: Column | str) -> Co
     return F.aggregate(draws, F.array().cast("array<long>"), step)
 
 
+FLOYD_STAGED_MAX_K = 16
+
+
+def floyd_columns(df: DataFrame, n_pool: Column, k: str, k_max: int, seed: int, key: list[str], out: str = "draws") -> DataFrame:
+    """The same draws as ``floyd_sample`` for k <= k_max, as staged projected columns.
+
+    Each step is its own column referring to the earlier ones, so every md5 digest and
+    step is evaluated once and the whole chain compiles into whole-stage code (higher-
+    order functions are interpreted).  Inactive steps (r >= k) are NULL.  Use with
+    ``posexplode_outer``: the optimizer infers a ``size(array) > 0`` filter for plain
+    generators and would inline the whole chain into it.
+    """
+    text_key = [_as_text(c) for c in key]
+    blocks = (k_max + 3) // 4
+    tmp = [f"_fd{b}" for b in range(blocks)] + [f"_fu{r}" for r in range(k_max)] + [f"_fs{r}" for r in range(k_max)]
+    df = df.withColumns({f"_fd{b}": F.md5(F.concat_ws(":", F.lit(str(seed)), *text_key, F.lit(str(b)))) for b in range(blocks)})
+    df = df.withColumns({f"_fu{r}": F.conv(F.substring(f"_fd{r // 4}", (r % 4) * 8 + 1, 8), 16, 10).cast("long") for r in range(k_max)})
+    for r in range(k_max):
+        j = (n_pool - F.col(k) + F.lit(r)).cast("long")
+        t = F.pmod(F.col(f"_fu{r}"), j + 1)
+        seen = F.lit(False)
+        for p in range(r):
+            seen = seen | (F.col(f"_fs{p}") == t)
+        df = df.withColumn(f"_fs{r}", F.when(F.lit(r) < F.col(k), F.when(seen, j).otherwise(t)))
+    return df.withColumn(out, F.array(*[F.col(f"_fs{r}") for r in range(k_max)])).drop(*tmp)
+
+
+def _as_text(c) -> Column:
+    if isinstance(c, (int, float)):
+        return F.lit(str(c))
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
 def spread_for_fanout(df: DataFrame, n_rows: int, fanout: int, rows_per_task: int = 200_000) -> DataFrame:
     """Round-robin a small frame over enough partitions before a row fan-out (explode).
 

@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, normal_two_sided_p
-from ..functions.permutation import bounded_broadcast, dense_index, floyd_sample, hash_u32, pseudo_p, spread_for_fanout
+from ..functions.permutation import (
+    FLOYD_STAGED_MAX_K,
+    bounded_broadcast,
+    dense_index,
+    floyd_columns,
+    floyd_sample,
+    hash_u32,
+    pseudo_p,
+    spread_for_fanout,
+)
 from ..sources.tables import require_columns
 from .weights import row_standardize, spatial_lag
 
@@ -235,9 +244,12 @@ def lisa(
     base = idx.join(card, idx.id == card.src).select("id", "pos", "z", "card")
     base = spread_for_fanout(base, n, permutations)
     reps = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    drawn = reps.withColumn(
-        "draws", floyd_sample(F.lit(n - 1), F.col("card"), seed, F.col("perm"), F.col("id"))
-    ).select("id", "pos", "perm", F.posexplode("draws").alias("r", "q"))
+    k_max = int(card.agg(F.max("card")).first()[0] or 0)
+    if k_max <= FLOYD_STAGED_MAX_K:
+        with_draws = floyd_columns(reps, F.lit(n - 1), "card", k_max, seed, ["perm", "id"])
+    else:
+        with_draws = reps.withColumn("draws", floyd_sample(F.lit(n - 1), F.col("card"), seed, F.col("perm"), F.col("id")))
+    drawn = with_draws.select("id", "pos", "perm", F.posexplode_outer("draws").alias("r", "q")).where(F.col("q").isNotNull())
     drawn = drawn.withColumn("q", F.when(F.col("q") >= F.col("pos"), F.col("q") + 1).otherwise(F.col("q")))
     w_rows = w.count()
     valued = drawn.join(bounded_broadcast(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj")), n), "q")

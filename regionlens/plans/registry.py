@@ -411,12 +411,17 @@ def q_spatial_local_moran(spark, base):
     return round_doubles(ac.local_moran(_points(spark, base), _knn_w(spark, base), transform="none"))
 
 
+def _sql_u32(block: int, part: int) -> str:
+    text = f"CAST({SEED} AS VARCHAR) || ':' || CAST(perm AS VARCHAR) || ':' || CAST(id AS VARCHAR) || ':' || '{block}'"
+    return f"('0x' || substr(md5({text}), {part * 8 + 1}, 8))::BIGINT"
+
+
 def _sql_floyd(k: int) -> tuple[str, str]:
-    """Unrolled Floyd draws s1..sk for pool size N (column N) -> (select list, unpivot)."""
+    """Unrolled Floyd draws s1..sk for pool size N (column N) -> (select list, names)."""
     sel, prev = [], []
     for step in range(k):
         j = f"(N - {k - step})"
-        t = f"({_sql_hash(SEED, 'perm', 'id', j)} % ({j} + 1))"
+        t = f"({_sql_u32(step // 4, step % 4)} % ({j} + 1))"
         if prev:
             sel.append(f"CASE WHEN {t} IN ({', '.join(prev)}) THEN {j} ELSE {t} END AS s{step + 1}")
         else:

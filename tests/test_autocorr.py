@@ -84,3 +84,14 @@ def test_constant_variable_does_not_fail(spark, w27):
     const = uf_centroids(spark).select(F.col("uf").alias("id"), F.lit(5.0).alias("value"))
     r = ac.moran(const, w27, permutations=0, transform="none").first()
     assert math.isnan(r.moran_i)
+
+
+def test_floyd_staged_equals_aggregate_form(spark):
+    from regionlens.functions.permutation import floyd_columns, floyd_sample
+
+    df = spark.range(300).withColumn("k", (F.col("id") % 7).cast("int")).withColumn("perm", F.lit(3))
+    a = df.withColumn("a", floyd_sample(F.lit(40), F.col("k"), 5, F.col("perm"), F.col("id")))
+    b = floyd_columns(a, F.lit(40), "k", 6, 5, ["perm", "id"], out="b")
+    for r in b.collect():
+        got = [x for x in r.b if x is not None]
+        assert got == list(r.a) and len(set(got)) == r.k and all(0 <= x < 40 for x in got)
