@@ -42,7 +42,7 @@ class _Loop:
         self._held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, i: int = 0) -> DataFrame:
-        cached = df.persist()
+        cached = _bounded_partitions(df).persist()
         out = cached.checkpoint(eager=False)
         self._held.append(cached)
         while len(self._held) > 2:
@@ -55,10 +55,16 @@ class _Loop:
         self._held = []
 
 
+def _bounded_partitions(df: DataFrame) -> DataFrame:
+    """Unions of loop state add up partitions round after round; merge them (no shuffle)
+    down to the cluster's default parallelism.  A no-op when already fewer."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a (derived, reused) input once to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
+    cached = _bounded_partitions(df).persist()
     out = cached.checkpoint()
     cached.unpersist()
     return out
