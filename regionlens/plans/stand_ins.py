@@ -138,10 +138,15 @@ def trade_flows(spark: SparkSession, base: str) -> DataFrame:
     orders = read_table(spark, base, "orders", ["o_orderkey", "o_custkey"])
     cust = read_table(spark, base, "customer", ["c_custkey", "c_nationkey"])
     rev = F.col("l_extendedprice").cast(MONEY) * (F.lit(1) - F.col("l_discount").cast(RATE))
+    # One exchange on orderkey serves both the per-(order, nation) aggregate (a hash
+    # partitioning on a subset of the grouping keys already clusters it) and the join
+    # with orders; grouping on (order, nation) directly would shuffle twice.
     per_order = (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
-        .groupBy("l_orderkey", F.col("s_nationkey").alias("src_key"))
-        .agg(F.sum(rev).alias("rev"))
+        .select("l_orderkey", F.col("s_nationkey").alias("src_key"), rev.alias("r"))
+        .repartition("l_orderkey")
+        .groupBy("l_orderkey", "src_key")
+        .agg(F.sum("r").alias("rev"))
     )
     buyers = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", F.col("c_nationkey").alias("dst_key"))
     return (
