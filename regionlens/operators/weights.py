@@ -61,25 +61,48 @@ def knn(
             F.floor((F.col("py") - F.lit(y0)) / level_col_size).cast("long"),
         )
 
+    # Identical coordinates: points at one location are at equal distance from everyone,
+    # so (ties by id) only the k smallest ids of a location can be anyone's neighbour.  The
+    # candidate side keeps just those (row_number filter, limited per group before the
+    # shuffle), and points of a location holding more than k points take their neighbours
+    # directly from its k+1 smallest ids at distance 0 - a location holding a third of all
+    # points never becomes a quadratic candidate set.
+    cached = []
+    results = []
+    gsize = pts.groupBy("px", "py").agg(F.count(F.lit(1)).alias("m"))
+    max_m = int(gsize.agg(F.max("m")).first()[0] or 0)
+    probe_pts, build_pts = pts, pts
+    if max_m > k:
+        first_ids = pts.withColumn("drk", F.row_number().over(Window.partitionBy("px", "py").orderBy("pid")))
+        first_ids = first_ids.where(F.col("drk") <= k + 1).persist()
+        cached.append(first_ids)
+        crowded = gsize.where(F.col("m") > k).select("px", "py")
+        members = pts.join(crowded, ["px", "py"], "left_semi").select(F.col("pid").alias("src"), "px", "py")
+        same = members.join(first_ids.select("px", "py", F.col("pid").alias("dst"), "drk"), ["px", "py"]).where(
+            F.col("src") != F.col("dst")
+        )
+        same = same.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("drk"))).where(F.col("rank") <= k)
+        results.append(same.select("src", "dst", F.lit(0.0).alias("d2"), "rank"))
+        probe_pts = pts.join(crowded, ["px", "py"], "left_anti")
+        build_pts = first_ids.where(F.col("drk") <= k).select("pid", "px", "py")
+
     # start level per point: finer than the base grid only inside hot cells
     cx0, cy0 = cell(F.lit(c0))
-    base = pts.withColumns({"bx": cx0, "by": cy0})
+    base = probe_pts.withColumns({"bx": cx0, "by": cy0})
     hot = hot_cell_factor * (k + 1)
-    cnt = base.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
+    cnt = build_pts.withColumns({"bx": cx0, "by": cy0}).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
     max_cnt = int(cnt.agg(F.max("cnt")).first()[0] or 0)
-    cached = []
     if max_cnt > hot:
         start = F.when(
             F.col("cnt") > hot, -F.ceil(F.log(4.0, F.col("cnt") / F.lit(float(k + 1))))
         ).otherwise(F.lit(0)).cast("int")
-        probes = base.join(cnt, ["bx", "by"]).select("pid", "px", "py", start.alias("lvl")).persist()
+        probes = base.join(cnt, ["bx", "by"], "left").select("pid", "px", "py", F.coalesce(start, F.lit(0)).alias("lvl")).persist()
         cached.append(probes)
         level = int(probes.agg(F.min("lvl")).first()[0] or 0)
     else:
-        probes = pts.withColumn("lvl", F.lit(0))
+        probes = probe_pts.withColumn("lvl", F.lit(0))
         level = 0
 
-    results = []
     waiting = probes
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     while True:
@@ -98,7 +121,7 @@ def knn(
         probe_cells = probe_cells.withColumn("border", border).withColumn("o", F.explode(offsets)).select(
             "src", "sx", "sy", "lvl", "border", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky")
         )
-        build = pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
+        build = build_pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
         # left join: a probe whose block is empty still yields one (NULL) row and stays visible
         cand = probe_cells.join(build, ["kx", "ky"], "left").where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
         dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")

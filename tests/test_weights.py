@@ -91,3 +91,11 @@ def test_buffer_rings_centroids_and_knn(spark):
     a = {(r.src, r.dst) for r in wts.knn(pts, k=4).collect()}
     b = {(r.src, r.dst) for r in wts.knn(cen.select("id", F.col("cx").alias("x"), F.col("cy").alias("y")), k=4).collect()}
     assert a == b
+
+
+def test_knn_third_of_points_at_one_location(spark):
+    rnd = random.Random(3)
+    pts = [(i, rnd.random(), rnd.random()) for i in range(200)]
+    pts += [(1000 + i, 0.5, 0.5) for i in range(100)]  # a third of all points, identical coordinates
+    pts += [(5000, 0.5000001, 0.5)]
+    _check(spark, pts, 4)
