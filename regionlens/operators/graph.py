@@ -42,7 +42,7 @@ class _Loop:
         self._held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, i: int = 0) -> DataFrame:
-        cached = _bounded_partitions(df).persist()
+        cached = df.persist()
         out = cached.checkpoint(eager=False)
         self._held.append(cached)
         while len(self._held) > 2:
@@ -57,16 +57,25 @@ class _Loop:
 
 def _bounded_partitions(df: DataFrame) -> DataFrame:
     """Unions of loop state add up partitions round after round; merge them (no shuffle)
-    down to the cluster's default parallelism.  A no-op when already fewer."""
+    down to the cluster's default parallelism.  Only used on union outputs: a coalesce
+    reports unknown partitioning, which would undo a hash partitioning worth keeping."""
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a (derived, reused) input once to the shared checkpoint folder."""
+    """Write a (derived, reused) input once to the shared checkpoint folder.
+
+    The written table keeps the input's partitioning (so a hash-partitioned input needs no
+    new exchange when joined on its key); only a table with far more partitions than the
+    cluster has cores is read back through fewer, merged partitions.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    cached = _bounded_partitions(df).persist()
+    cached = df.persist()
     out = cached.checkpoint()
     cached.unpersist()
+    bound = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    if out.rdd.getNumPartitions() > 4 * bound:
+        out = out.coalesce(bound)
     return out
 
 
@@ -263,7 +272,7 @@ def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1)
             .join(reached.select("s", "v"), ["s", "v"], "left_anti")
             .withColumn("d", F.lit(h))
         )
-        reached = loop.keep(reached.unionByName(nxt), h)
+        reached = loop.keep(_bounded_partitions(reached.unionByName(nxt)), h)
         if reached.where(F.col("d") == h).limit(1).count() == 0:
             break
     out = materialize(reached)
