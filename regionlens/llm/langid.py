@@ -5,7 +5,8 @@ and an end mark. Spark counts the character 4-grams of all training texts per la
 continuation counts of the lower orders, discounts and back-off weights by grouped aggregations, and
 the model becomes one table of sorted 64-bit hashes per language and order. The predicted language
 has the lowest cross-entropy per character; a text is rejected if that value is above the limit that
-the training texts of its language and length calibrate.
+the training texts of its language and length calibrate, from their entropies under their own and
+under the next best language.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ MAX_GRAMS = 500_000
 """Distinct 4-grams kept per language (rarest counts go first): the bound of the broadcast model."""
 MAX_LANGUAGES = 300
 QUANTILE, MARGIN = 0.999, 0.5
-"""A text is rejected above the QUANTILE of its calibration class plus MARGIN bits a character."""
+"""A text is rejected above the QUANTILE of its calibration class plus MARGIN bits a character, or
+half-way to what texts cost under a foreign language's model, if that is more."""
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 _FLUSH = 400_000
@@ -193,7 +195,7 @@ class Scorer:
         return out
 
 
-_SCORED = "struct<lang: string, score: double, bits: double, chars: bigint>"
+_SCORED = "struct<lang: string, score: double, bits: double, next: double, chars: bigint>"
 
 
 def with_scores(docs: DataFrame, rows: pd.DataFrame, out: str, text_col: str = "text") -> DataFrame:
@@ -208,17 +210,19 @@ def with_scores(docs: DataFrame, rows: pd.DataFrame, out: str, text_col: str = "
         for batch in batches:
             n = len(batch)
             if scorer is None:
-                yield pd.DataFrame({"lang": [UND] * n, "score": 0.0, "bits": np.nan, "chars": 0})
+                yield pd.DataFrame({"lang": [UND] * n, "score": 0.0, "bits": np.nan, "next": np.nan, "chars": 0})
                 continue
             sums = scorer.sums(batch.tolist())
             bits, chars = sums[:, :-1], sums[:, -1]
             best, some = bits.argmin(axis=1), chars > 0
             least = bits.min(axis=1)
+            second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.full(n, np.nan)
             score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
             lang = np.array(scorer.model.langs, dtype=object)[best]
             yield pd.DataFrame({
                 "lang": np.where(some, lang, UND), "score": np.where(some, score, 0.0),
-                "bits": np.where(some, least / np.maximum(chars, 1), np.nan), "chars": chars.astype(np.int64),
+                "bits": np.where(some, least / np.maximum(chars, 1), np.nan),
+                "next": np.where(some, second / np.maximum(chars, 1), np.nan), "chars": chars.astype(np.int64),
             })
 
     return docs.withColumn(out, scored.asNondeterministic()(F.col(text_col)))
@@ -243,17 +247,19 @@ def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> pd.DataFrame:
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, size, limit) from scored training rows (lang, bits, chars): the quantile of the
+    """(lang, size, limit) from scored training rows (lang, bits, next, chars): the quantile of the
     cross-entropy among texts of the same language and at least the same size (powers of two), plus
-    the margin. Shorter texts get wider limits, never narrower ones."""
+    the margin or half the way to the median under the next best language, whichever is more. Shorter
+    texts get wider limits, never narrower ones."""
     part = scored.where("chars > 0").groupBy("lang", _size().alias("size")).agg(
         F.percentile_approx("bits", quantile, 10_000).alias("q"), F.count("*").alias("n")
     )
     # a class with too few texts for its quantile takes at least that of the whole language
-    whole = scored.where("chars > 0").groupBy("lang").agg(F.percentile_approx("bits", quantile, 10_000).alias("all"))
+    whole = scored.where("chars > 0").groupBy("lang").agg(F.percentile_approx("bits", quantile, 10_000).alias("all"), F.percentile_approx(F.nanvl("next", F.lit(None)), 0.5, 10_000).alias("foreign"))
     longer = Window.partitionBy("lang").orderBy(F.desc("size"))
     part = part.join(whole, "lang").withColumn("q", F.when(F.col("n") < 1 / (1 - quantile), F.greatest("q", "all")).otherwise(F.col("q")))
-    return part.select("lang", "size", (F.max("q").over(longer) + margin).alias("limit"))
+    q = F.max("q").over(longer)
+    return part.select("lang", "size", F.greatest(q + margin, (q + F.col("foreign")) / 2).alias("limit"))
 
 
 def _size(chars: str = "chars"):
@@ -271,7 +277,7 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     """
     train = docs.where(train_rows(docs, id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = fit(train)
-    taught = written(with_scores(train.where("lang is not null").select("text"), rows, "s").select("s.lang", "s.bits", "s.chars"), "calibration")
+    taught = written(with_scores(train.where("lang is not null").select("text"), rows, "s").select("s.lang", "s.bits", "s.next", "s.chars"), "calibration")
     limit = written(limits(taught), "limits")
     scored = with_scores(docs, rows, out, text_col)
     # languages x sizes: at most MAX_LANGUAGES x 64 rows

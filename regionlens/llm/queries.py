@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .decontaminate import op4_decontaminate
 from .langid import op8_language
+from .licences import op2_licences
 from .packing import op9_packing
+from .quality import op1_quality
+from .quotes import op3_chat
 from .secrets import op10_secrets
+from .sharding import op7_sharding
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_licences": op2_licences,
+    "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_ann": op6_ann,
+    "op7_sharding": op7_sharding,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
