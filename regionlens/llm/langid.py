@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,8 @@ ORDER = 4
 MAX_GRAMS = 500_000
 """Distinct 4-grams kept per language (rarest counts go first): the bound of the broadcast model."""
 MAX_LANGUAGES = 300
+SIZES = 40
+"""Size classes: powers of two of the characters, the last one open."""
 QUANTILE, MARGIN = 0.999, 0.5
 """A text is rejected above the QUANTILE of its calibration class plus MARGIN bits a character, or
 half-way to what texts cost under a foreign language's model, if that is more."""
@@ -251,19 +253,26 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
     cross-entropy among texts of the same language and at least the same size (powers of two), plus
     the margin or half the way to the median under the next best language, whichever is more. Shorter
     texts get wider limits, never narrower ones."""
-    part = scored.where("chars > 0").groupBy("lang", _size().alias("size")).agg(
+    part = scored.where("chars > 0").groupBy("lang", _size(F.col("chars")).alias("size")).agg(
         F.percentile_approx("bits", quantile, 10_000).alias("q"), F.count("*").alias("n")
     )
+    whole = scored.where("chars > 0").groupBy("lang").agg(
+        F.percentile_approx("bits", quantile, 10_000).alias("all"), F.percentile_approx(F.nanvl("next", F.lit(None)), 0.5, 10_000).alias("foreign")
+    )
     # a class with too few texts for its quantile takes at least that of the whole language
-    whole = scored.where("chars > 0").groupBy("lang").agg(F.percentile_approx("bits", quantile, 10_000).alias("all"), F.percentile_approx(F.nanvl("next", F.lit(None)), 0.5, 10_000).alias("foreign"))
-    longer = Window.partitionBy("lang").orderBy(F.desc("size"))
-    part = part.join(whole, "lang").withColumn("q", F.when(F.col("n") < 1 / (1 - quantile), F.greatest("q", "all")).otherwise(F.col("q")))
-    q = F.max("q").over(longer)
-    return part.select("lang", "size", F.greatest(q + margin, (q + F.col("foreign")) / 2).alias("limit"))
+    every = whole.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(SIZES))))
+    part = every.join(part, ["lang", "size"], "left").withColumn(
+        "q", F.when(F.col("n") < 1 / (1 - quantile), F.greatest("q", "all")).otherwise(F.col("q"))
+    )
+    longer = Window.partitionBy("lang").orderBy(F.desc("size"))  # SIZES + 1 rows
+    shorter = Window.partitionBy("lang").orderBy("size")
+    # sizes beyond the longest training text take the limit of that
+    part = part.withColumn("q", F.max("q").over(longer)).withColumn("q", F.last("q", ignorenulls=True).over(shorter))
+    return part.select("lang", "size", F.greatest(F.col("q") + margin, (F.col("q") + F.col("foreign")) / 2).alias("limit"))
 
 
-def _size(chars: str = "chars"):
-    return F.floor(F.log2(F.greatest(F.col(chars), F.lit(1)))).cast("int")
+def _size(chars: Column) -> Column:
+    return F.least(F.floor(F.log2(F.greatest(chars, F.lit(1)))), F.lit(SIZES)).cast("int")
 
 
 def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -280,10 +289,10 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     taught = written(with_scores(train.where("lang is not null").select("text"), rows, "s").select("s.lang", "s.bits", "s.next", "s.chars"), "calibration")
     limit = written(limits(taught), "limits")
     scored = with_scores(docs, rows, out, text_col)
-    # languages x sizes: at most MAX_LANGUAGES x 64 rows
+    # at most MAX_LANGUAGES x (SIZES + 1) rows
     names = [free_name([*docs.columns, out], x) for x in ("_lang", "_size", "_limit")]
     limit = F.broadcast(limit.toDF(*names))
-    size = F.floor(F.log2(F.greatest(F.col(out)["chars"], F.lit(1)))).cast("int")
+    size = _size(F.col(out)["chars"])
     joined = scored.join(limit, (F.col(out)["lang"] == F.col(names[0])) & (size == F.col(names[1])), "left")
     rejected = (F.col(out)["chars"] == 0) | F.coalesce(F.col(out)["bits"] > F.col(names[2]), F.lit(False))
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

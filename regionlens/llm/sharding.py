@@ -30,11 +30,12 @@ def _wishes(state: DataFrame, quota: DataFrame, turn: int) -> DataFrame:
     Usually that is one shard; a group that the room there cannot hold gets as many of its fullest
     shards as together hold it, and its other parts are dealt out to these.
     """
-    part = F.struct((-F.col("n")).alias("order"), F.xxhash64("grp", "shard").alias("tie"), "shard", "n", "room")
-    groups = state.join(F.broadcast(quota), "shard").groupBy("grp").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a part a shard
+    part = F.struct(F.xxhash64("grp", "shard").alias("tie"), "shard", "n", "room")
+    groups = state.join(F.broadcast(quota), "shard").groupBy("grp").agg(F.collect_list(part).alias("parts"), F.sum("n").alias("total"))  # a part a shard
+    # shards that can hold the whole group first, then by members
+    first = lambda p: F.struct((p["n"] + p["room"] < F.col("total")).alias("small"), (-p["n"]).alias("order"), p["tie"].alias("tie"), p["shard"].alias("shard"), p["n"].alias("n"), p["room"].alias("room"))
+    groups = groups.where(F.size("parts") > 1).withColumn("parts", F.array_sort(F.transform("parts", first)))
     held = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("bigint"), lambda x, p: x + p["n"] + p["room"])
-    total = F.aggregate("parts", F.lit(0).cast("bigint"), lambda x, p: x + p["n"])
-    groups = groups.where(F.size("parts") > 1).withColumn("total", total)
     groups = groups.withColumn("kept", F.size(F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: held(i) < F.col("total"))) + 1)
     groups = groups.where(F.col("kept") < F.size("parts"))
     moving = groups.select("grp", "parts", "kept", F.posexplode(F.expr("slice(parts, kept + 1, size(parts))")).alias("i", "p"))
