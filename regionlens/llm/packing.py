@@ -22,7 +22,7 @@ from .common import positions, ship, table, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 250_000
+_CACHE = 400_000
 _PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
 
 
@@ -36,9 +36,10 @@ class WordIds:
     """Token ids (little-endian unsigned 32-bit) of texts.
 
     The tokenizer's pre-tokens never reach over a space or a line feed, so a text's ids are those of
-    its chunks between them; the ids of a bounded number of chunks are kept. New chunks that are
-    ASCII letters with punctuation behind are split into both parts, lower-cased as the tokenizer
-    does, and encoded many at a time: a part's last token is the one that ends a word.
+    its chunks between them; the ids of a bounded number of chunks are kept, those that came up last.
+    Texts of Latin-1 characters are lower-cased first, as the tokenizer would do (its composition of
+    accents leaves them alone). New chunks that are letters with punctuation behind are split into both
+    parts, and parts are encoded many at a time: a part's last token is the one that ends a word.
     """
 
     def __init__(self, path: str):
@@ -52,6 +53,7 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _one(self, s: str) -> bytes:
@@ -72,32 +74,45 @@ class WordIds:
                 a = b
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        chunks = self.chunks
-        new = [c for c in set().union(*split) if c not in chunks] if split else []
-        if len(chunks) + len(new) > _CACHE and len(chunks) > 1:
-            chunks.clear()
-            chunks[""] = b""
-            new = [c for c in set().union(*split) if c]
-        if len(self.parts) > _CACHE:
-            self.parts = {"": b""}
-        plain, other = {}, []
+        split = [_chunks(t) if t else [] for t in texts]
+        every = set().union(*split) if split else set()
+        if len(self.chunks) > _CACHE:
+            self.older, self.chunks = self.chunks, {"": b""}
+        chunks, older, parts = self.chunks, self.older, self.parts
+        new, halves, other = every.difference(chunks), [], []
+        if len(parts) > _CACHE:
+            parts = self.parts = {"": b""}
         for c in new:
+            if (ids := older.get(c)) is not None:
+                chunks[c] = ids
+                continue
             body = c.rstrip(".,;:!?|%$&*#")
-            if c.isascii() and (body.isalpha() or not body):
-                plain[c] = body.lower(), c[len(body) :]
-            elif c.isalpha() and c.islower() and max(c) < "ƀ":  # composed Latin letters stay as they are
-                plain[c] = c, ""
+            if (body.isalpha() or not body) and _latin(c):
+                halves.append((c, body.lower(), c[len(body) :]))
             else:
                 other.append(c)
-        self._learn([p for p in {p for both in plain.values() for p in both} if p not in self.parts])
-        for c, (body, tail) in plain.items():
-            chunks[c] = self.parts[body] + self.parts[tail]
+        self._learn([p for p in {p for _, *both in halves for p in both} if p not in parts])
+        for c, body, tail in halves:
+            chunks[c] = parts[body] + parts[tail] if tail else parts[body]
         for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             chunks[c] = array("I", e.ids).tobytes()
         return [b"".join(map(chunks.__getitem__, s)) for s in split]
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _chunks(text: str) -> list[str]:
+    if _latin(text):
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
+
+
 _tokenizers: dict[str, WordIds] = {}
 
 
