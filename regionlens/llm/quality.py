@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, table
+from .common import free_name, ship, table, utf8
 
 BUCKETS = 1 << 16
 SAMPLE = 6000
@@ -28,33 +28,44 @@ _CACHE = 400_000
 _SEED = 7
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of the heuristics on a non-null text. All are native expressions over counts of
-    characters; thresholds leave a gap in which a labeller abstains."""
-    n = F.greatest(F.length(text), F.lit(1))
-    bare = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / n  # noqa: E731  share left
-    letters, symbols = 1 - bare(r"\p{L}+"), 1 - bare(r"[#$%&*|!@^~<>{}=+\\]+")
-    spaces = 1 - bare(r"\s+")
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / F.greatest(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.lit(1))
-    ends = F.length(text) - F.length(F.translate(text, ".", ""))
-    words = F.length(text) - F.length(F.translate(text, " \n", "")) + 1
-    vote = lambda bad, good: F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
-    return {
-        "letters": vote(letters < 0.7, letters > 0.78),
-        "symbols": vote(symbols > 0.06, symbols < 0.005),
-        "spaces": vote((spaces < 0.08) | (spaces > 0.35), spaces.between(0.1, 0.25)),
-        "upper": vote(upper > 0.4, upper < 0.15),
-        "stops": vote((ends == 0) & (words > 40), (ends / words).between(0.02, 0.3)),
-        "words": vote(words < 4, words > 20),
-    }
+LABELLERS = ("letters", "symbols", "spaces", "upper", "stops", "words")
+#: Fixed: classes of UTF-8 bytes. A character that is not ASCII counts once, by its first byte, as a letter.
+_LATER = bytes(range(0x80, 0xC0))
+_UPPER = bytes(range(65, 91))
+_LETTER = _UPPER + bytes(range(97, 123)) + bytes(range(0xC0, 0x100))
+_SYMBOL = b"#$%&*|!@^~<>{}=+\\"
+_SPACE = b" \t\n\r\x0b\x0c"
+
+
+def heard(raw: bytes | None) -> list[int]:
+    """Votes of the heuristics on the UTF-8 bytes of a text, in the order of LABELLERS. Shares of
+    character classes are counted; thresholds leave a gap in which a labeller abstains. A null or
+    empty text gets bad votes only."""
+    if not raw:
+        return [0] * len(LABELLERS)
+    count = lambda kind: len(raw) - len(raw.translate(None, kind))
+    n = len(raw) - count(_LATER)
+    letters = count(_LETTER)
+    symbols, spaces, upper = count(_SYMBOL) / n, count(_SPACE) / n, count(_UPPER) / max(1, letters)
+    words = raw.count(b" ") + raw.count(b"\n") + 1
+    stops = raw.count(b".") / words
+    letters /= n
+    vote = lambda bad, good: 0 if bad else 1 if good else -1
+    return [
+        vote(letters < 0.7, letters > 0.78), vote(symbols > 0.06, symbols < 0.005),
+        vote(spaces < 0.08 or spaces > 0.35, 0.1 <= spaces <= 0.25), vote(upper > 0.4, upper < 0.15),
+        vote(stops == 0 and words > 40, 0.02 <= stops <= 0.3), vote(words < 4, words > 20),
+    ]
+
+
+def _votes(texts: pd.Series) -> pd.Series:
+    return pd.Series([heard(None if t is None else bytes(t)) for t in texts], dtype=object)
 
 
 def votes(docs: DataFrame, out: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``out``, the array of votes. Null and empty texts get bad votes only."""
-    text = F.col(text_col)
-    heard = F.array(*labellers(text).values())
-    none = F.array(*[F.lit(0) for _ in labellers(text)])
-    return docs.withColumn(out, F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(heard))
+    """``docs`` with ``out``, the array of votes."""
+    ship(docs.sparkSession)
+    return docs.withColumn(out, F.pandas_udf(_votes, "array<int>").asNondeterministic()(utf8(F.col(text_col))))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, dict]:
@@ -159,21 +170,19 @@ def classify(docs: DataFrame, out: str, text_col: str = "text", sample: int = SA
     are not kept; equal texts have equal results; an empty table stays empty. Rows and other columns stay.
     """
     spark = ship(docs.sparkSession)
-    heard = "votes"
-    counted = votes(docs.select(F.col(text_col).alias("text")), heard).groupBy(heard).count().toPandas()  # <= 3 ** labellers rows
-    m = len(labellers(F.lit("")))
-    patterns = np.array(counted[heard].tolist(), dtype=int).reshape(-1, m)
+    counted = votes(docs.select(F.col(text_col).alias("text")), "votes").groupBy("votes").count().toPandas()  # <= 3 ** labellers rows
+    patterns = np.array(counted["votes"].tolist(), dtype=int).reshape(-1, len(LABELLERS))
     post, _ = expectation_maximisation(patterns, counted["count"].to_numpy(float))
     n = int(counted["count"].sum())
     names = [free_name([*docs.columns, out], x) for x in ("_votes", "_post")]
     table_ = spark.createDataFrame(
         [([int(v) for v in p], float(q)) for p, q in zip(patterns, post, strict=True)], f"{names[0]} array<int>, {names[1]} double"
     )
-    taught = votes(docs.select(F.col(text_col).alias("text")), names[0])
-    # an even sample by a hash of the text: copies come in together, so the share of the texts is kept
+    taught = docs.select(F.col(text_col).alias("text"))
+    # an even sample of the texts by a hash
     part = min(1.0, sample / max(1, n))
     taught = taught.where(F.pmod(F.xxhash64("text", F.lit(_SEED)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).dropDuplicates(["text"])
-    taught = taught.limit(2 * sample).join(F.broadcast(table_), names[0]).select("text", F.col(names[1]).alias("post"))
+    taught = votes(taught.limit(2 * sample), names[0]).join(F.broadcast(table_), names[0]).select("text", F.col(names[1]).alias("post"))
     rows = taught.mapInPandas(_counted, "post double, at array<int>, n array<double>").toPandas()
     shared = spark.sparkContext.broadcast(fit_linear(rows.sort_values(["post"], kind="stable")))
     scored = votes(docs, names[0], text_col).join(F.broadcast(table_), names[0], "left")
