@@ -1,7 +1,8 @@
 """Deterministic Monte-Carlo building blocks (W-4, G-19).
 
-Random draws are md5 hashes of ``seed:perm:...`` text, so a permutation test gives the
-same answer on every run, on any cluster layout, and in any SQL engine with md5.
+Permutations are keyed bijections whose round keys are md5 hashes of ``seed:perm:round`` text,
+so a permutation test gives the same answer on every run, on any cluster layout, and in any
+SQL engine with md5.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .columns import hash_u32
 
 
 def dense_index(df: DataFrame, *order, out: str = "pos") -> DataFrame:
@@ -40,68 +40,39 @@ def dense_index(df: DataFrame, *order, out: str = "pos") -> DataFrame:
     )
 
 
-def floyd_sample(n_pool: Column, k: Column, seed: int, *key: Column | str) -> Column:
-    """k distinct positions from 0..n_pool-1 (Floyd's algorithm), as array<long>.
+ROUNDS = 16
+PRIME = 2_147_483_647
 
-    Step r (r = 0..k-1) draws j = n_pool-k+r: ``t = u32_r mod (j+1)``; if t was drawn
-    already, j is taken instead.  u32_r is the (r mod 4)-th 32-bit slice of the md5 digest
-    of ``seed:key:(r div 4)`` - one digest serves four draws.  Uniform over k-subsets, O(k)
-    per row, JVM-side; the digests are computed once per row before the sequential pass.
-    """
-    start = n_pool - k
-    n_blocks = F.greatest(F.lit(1), F.ceil(k / F.lit(4.0)).cast("int"))
-    text_key = [_as_text(c) for c in key]
-    blocks = F.transform(
-        F.sequence(F.lit(0), n_blocks - 1),
-        lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), *text_key, b.cast("string"))),
-    )
-    steps = F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    def draw(r):
-        j = (start + r).cast("long")
-        hexpart = F.substring(F.element_at(blocks, (r / 4).cast("int") + 1), F.lit(1), F.lit(40)).substr((r % 4) * 8 + 1, F.lit(8))
-        u32 = F.conv(hexpart, 16, 10).cast("long")
-        return F.struct(j.alias("j"), F.pmod(u32, j + 1).alias("t"))
+def round_keys(perms: DataFrame, seed: int, n: int, perm: str = "perm", out: str = "keys") -> DataFrame:
+    """``perms`` with the round keys of each permutation of 0..n-1: ROUNDS structs, k (60 bits, mod n) and s (28 bits)."""
 
-    draws = F.transform(steps, draw)
+    def key(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(perm).cast("string"), i.cast("string")))
+        number = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("long")
+        return F.struct(F.pmod(number(1, 15), F.lit(n).cast("long")).alias("k"), number(16, 7).alias("s"))
 
-    def step(acc, e):
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, e["t"]), e["j"]).otherwise(e["t"])))
+    return perms.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), key))
 
-    return F.aggregate(draws, F.array().cast("array<long>"), step)
 
+def permuted_position(x: Column, n: int, keys: Column) -> Column:
+    """Image of position ``x`` under the keyed bijection of 0..n-1 ("swap or not" shuffle).
 
-FLOYD_STAGED_MAX_K = 16
+    Each round pairs x with (k - x) mod n and lets a hash of the pair's larger member decide
+    whether they change places; a round is its own inverse, so the whole is a permutation for
+    every n.  O(1) per position: no sort, and the first r images are a random ordered sample
+    without replacement.  k has 60 bits, far beyond any n.
+    """
+    size, prime = F.lit(n).cast("long"), F.lit(PRIME).cast("long")
 
+    def swap(x: Column, key: Column) -> Column:
+        y = F.when(x <= key["k"], key["k"] - x).otherwise(key["k"] - x + size)
+        t = F.greatest(x, y) + key["s"]
+        t = t if n + (1 << 28) < PRIME else F.pmod(t, prime)  # already below the prime
+        odd = F.shiftright(F.pmod(t * t + key["s"], prime), 10).bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.when(odd, y).otherwise(x)
 
-def floyd_columns(df: DataFrame, n_pool: Column, k: str, k_max: int, seed: int, key: list[str], out: str = "draws") -> DataFrame:
-    """The same draws as ``floyd_sample`` for k <= k_max, as staged projected columns.
-
-    Each step is its own column referring to the earlier ones, so every md5 digest and
-    step is evaluated once and the whole chain compiles into whole-stage code (higher-
-    order functions are interpreted).  Inactive steps (r >= k) are NULL.  Use with
-    ``posexplode_outer``: the optimizer infers a ``size(array) > 0`` filter for plain
-    generators and would inline the whole chain into it.
-    """
-    text_key = [_as_text(c) for c in key]
-    blocks = (k_max + 3) // 4
-    tmp = [f"_fd{b}" for b in range(blocks)] + [f"_fu{r}" for r in range(k_max)] + [f"_fs{r}" for r in range(k_max)]
-    df = df.withColumns({f"_fd{b}": F.md5(F.concat_ws(":", F.lit(str(seed)), *text_key, F.lit(str(b)))) for b in range(blocks)})
-    df = df.withColumns({f"_fu{r}": F.conv(F.substring(f"_fd{r // 4}", (r % 4) * 8 + 1, 8), 16, 10).cast("long") for r in range(k_max)})
-    for r in range(k_max):
-        j = (n_pool - F.col(k) + F.lit(r)).cast("long")
-        t = F.pmod(F.col(f"_fu{r}"), j + 1)
-        seen = F.lit(False)
-        for p in range(r):
-            seen = seen | (F.col(f"_fs{p}") == t)
-        df = df.withColumn(f"_fs{r}", F.when(F.lit(r) < F.col(k), F.when(seen, j).otherwise(t)))
-    return df.withColumn(out, F.array(*[F.col(f"_fs{r}") for r in range(k_max)])).drop(*tmp)
-
-
-def _as_text(c) -> Column:
-    if isinstance(c, (int, float)):
-        return F.lit(str(c))
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.aggregate(keys, x.cast("long"), swap)
 
 
 def spread_for_fanout(df: DataFrame, n_rows: int, fanout: int, rows_per_task: int = 200_000) -> DataFrame:
@@ -118,17 +89,22 @@ def spread_for_fanout(df: DataFrame, n_rows: int, fanout: int, rows_per_task: in
     return df.repartition(want)
 
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's size of a frame in bytes; for a table read from files, that of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose row count is known and within ``max_rows``;
-    beyond it the frame is returned unchanged and the join shuffles.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint for a written table within ``max_bytes``; a larger one is returned as it is
+    and the join shuffles.
 
     Used for the per-id side of a join against a fanned-out (x P) side: the optimizer's
     estimate of an ``explode`` output is unreliable and may otherwise pick the big side.
     """
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
 def folded_count(n_ge: Column, permutations: int) -> Column:

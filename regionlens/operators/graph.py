@@ -1,82 +1,34 @@
 """Directed weighted graphs as two DataFrames: ``nodes(id, ...)`` and ``edges(src, dst, weight)``.
 
 N-1..N-10, U-1, U-2, G-14..G-16, J-6, J-7, L-3.  Iterative algorithms run as a driver loop
-of joins and aggregates; only a one-row convergence scalar is collected per round, and the
-loop state is checkpointed to the shared checkpoint folder to cut lineage.
+of joins and aggregates; only one-row scalars are collected per round.  Loop state is written
+to the shared folder each round (plan cut, survives executor loss) and deleted when the loop
+ends.  Sides small enough to broadcast are left to Spark, which knows their written size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import os
-
-from ..functions.permutation import bounded_broadcast, dense_index
-from ..session import ensure_checkpoint_dir
+from ..functions.permutation import dense_index
+from ..session import Scratch, stage
 from ..sources.tables import require_columns
 from .kpi import group_means
 
-
-_DEBUG = bool(os.environ.get("REGIONLENS_DEBUG"))
-
-# Per-node vectors (ranks, labels) and edge lists up to these sizes are broadcast inside
-# loops; larger ones are joined by shuffle on co-partitioned inputs.
-RANK_BROADCAST_ROWS = 500_000
-EDGE_BROADCAST_ROWS = 1_000_000
-
-
-class _Loop:
-    """Loop state is re-read by the next round more than once (joins on both sides), so an
-    uncut lineage would grow the plan tree exponentially.  Every round the state is
-    persisted and marked for a reliable checkpoint in the shared folder: the round's one
-    action computes it once into the cache, the checkpoint is then written from the cache
-    (plan cut to a scan, survives executor loss), and the cache of the round before is
-    dropped.
-    """
-
-    def __init__(self, spark, every: int = 1):
-        ensure_checkpoint_dir(spark)
-        self._held: list[DataFrame] = []
-
-    def keep(self, df: DataFrame, i: int = 0) -> DataFrame:
-        cached = df.persist()
-        out = cached.checkpoint(eager=False)
-        self._held.append(cached)
-        while len(self._held) > 2:
-            self._held.pop(0).unpersist()
-        return out
-
-    def release(self):
-        for d in self._held:
-            d.unpersist()
-        self._held = []
-
-
-def _bounded_partitions(df: DataFrame) -> DataFrame:
-    """Unions of loop state add up partitions round after round; merge them (no shuffle)
-    down to the cluster's default parallelism.  Only used on union outputs: a coalesce
-    reports unknown partitioning, which would undo a hash partitioning worth keeping."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+BLOCK_SOURCES = 4096
+"""Sources per pass of the all-sources algorithms: the state of a pass is at most this many rows per node."""
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a (derived, reused) input once to the shared checkpoint folder.
+    """A (derived, reused) input written once to the shared folder."""
+    return stage(df, "input")
 
-    The written table keeps the input's partitioning (so a hash-partitioned input needs no
-    new exchange when joined on its key); only a table with far more partitions than the
-    cluster has cores is read back through fewer, merged partitions.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
-    out = cached.checkpoint()
-    cached.unpersist()
-    bound = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    if out.rdd.getNumPartitions() > 4 * bound:
-        out = out.coalesce(bound)
-    return out
+
+def _empty(df: DataFrame) -> bool:
+    return df.isEmpty()
 
 
 # ------------------------------------------------------------------ construction
@@ -91,15 +43,16 @@ def build_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """N-1, U-2, J-6: nodes (+ bare endpoint nodes) and de-duplicated edges.
 
-    A repeated (src, dst) keeps the weight of its last row by ``order_col`` (the loop
-    semantics of an edge upsert); without an order column the largest weight is kept.
+    A repeated (src, dst) keeps the weight of its last row by ``order_col``, as an edge upsert
+    in a loop does (ties in the order: the larger weight).  Rows of a table have no order of
+    their own, so without an order column the largest weight is kept.
     ``features`` adds the per-key mean of every numeric column to matching nodes.
     """
     require_columns(nodes, "id")
     require_columns(edges, "src", "dst", "weight")
     e = edges.withColumn("weight", F.col("weight").cast("double"))
     if order_col:
-        e = e.groupBy("src", "dst").agg(F.max_by("weight", order_col).alias("weight"))
+        e = e.groupBy("src", "dst").agg(F.max_by("weight", F.struct(order_col, "weight")).alias("weight"))
     else:
         e = e.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     ends = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
@@ -171,7 +124,8 @@ def pagerank(
 ) -> DataFrame:
     """N-3: weighted PageRank, uniform teleport and uniform dangling redistribution.
 
-    Stops when the L1 change is below n * tol (at most ``max_iter`` rounds).  Per round:
+    Stops when the L1 change is below n * tol and raises if ``max_iter`` rounds do not reach
+    that.  Per round:
     one join of the transition edges (partitioned once by (src, salt), reused every round)
     with the rank vector, one aggregate by dst (partial aggregation first), and one scalar
     (L1 change + dangling mass) to the driver.
@@ -202,213 +156,215 @@ def pagerank(
         .select("src", salt_of.alias("salt"), "dst", (F.col("weight") / F.col("ws")).alias("p"))
         .repartition("src", "salt")
     )
-    trans = materialize(trans)
-    marked = (
-        ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
-        .join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
-        .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.coalesce("hub", F.lit(False)).alias("hub"))
-    )
-    loop = _Loop(spark)
-    x = marked.select("id", "dangling", "hub", F.lit(1.0 / n).alias("x"))
-    dsum = marked.agg(F.sum(F.when(F.col("dangling"), F.lit(1.0 / n)).otherwise(0.0))).first()[0] or 0.0
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    it = 0
-    for it in range(1, max_iter + 1):
-        ranks = x.select(F.col("id").alias("src"), "x", "hub")
-        if n_hubs:
-            ranks = ranks.withColumn("salt", F.explode(F.when(F.col("hub"), all_salts).otherwise(F.array(F.lit(0)))))
-        else:
-            ranks = ranks.withColumn("salt", F.lit(0))
-        rank_rows = bounded_broadcast(ranks.select("src", "salt", "x"), n + n_hubs * salts, RANK_BROADCAST_ROWS)
-        contrib = trans.join(rank_rows, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
-            F.sum(F.col("x") * F.col("p")).alias("c")
-        )
-        xn = x.join(bounded_broadcast(contrib, n, RANK_BROADCAST_ROWS), "id", "left").select(
-            "id",
-            "dangling",
-            "hub",
-            F.col("x").alias("x_old"),
-            (
-                F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(dsum) * F.lit(1.0 / n))
-                + F.lit((1.0 - alpha) / n)
-            ).alias("x"),
+    with Scratch(spark, "pagerank") as scratch:
+        trans = scratch.keep(trans)
+        marked = scratch.keep(
+            ids.join(outw.where(F.col("ws") != 0).select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
+            .join(F.broadcast(hubs.withColumnRenamed("src", "id")), "id", "left")
+            .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.coalesce("hub", F.lit(False)).alias("hub"))
         )
-        xn = loop.keep(xn, it)
-        r = xn.agg(
-            F.sum(F.abs(F.col("x") - F.col("x_old"))).alias("err"),
-            F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("dsum"),
-        ).first()
-        x = xn.select("id", "dangling", "hub", "x")
-        dsum = r["dsum"] or 0.0
-        if r["err"] < n * tol:
-            break
-    out = materialize(x.select("id", F.col("x").alias("pagerank"), F.lit(it).alias("iterations")))
-    loop.release()
-    return out
+        x = marked.select("id", "dangling", "hub", F.lit(1.0 / n).alias("x"))
+        dsum = marked.agg(F.sum(F.when(F.col("dangling"), F.lit(1.0 / n)).otherwise(0.0))).first()[0] or 0.0
+        for it in range(1, max_iter + 1):
+            ranks = x.select(F.col("id").alias("src"), "x", "hub")
+            if n_hubs:
+                ranks = ranks.withColumn("salt", F.explode(F.when(F.col("hub"), all_salts).otherwise(F.array(F.lit(0)))))
+            else:
+                ranks = ranks.withColumn("salt", F.lit(0))
+            contrib = trans.join(ranks.select("src", "salt", "x"), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
+                F.sum(F.col("x") * F.col("p")).alias("c")
+            )
+            xn = scratch.keep(x.join(contrib, "id", "left").select(
+                "id",
+                "dangling",
+                "hub",
+                F.col("x").alias("x_old"),
+                (
+                    F.lit(alpha) * (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(dsum) * F.lit(1.0 / n))
+                    + F.lit((1.0 - alpha) / n)
+                ).alias("x"),
+            ))
+            r = xn.agg(
+                F.sum(F.abs(F.col("x") - F.col("x_old"))).alias("err"),
+                F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("dsum"),
+            ).first()
+            x = xn.select("id", "dangling", "hub", "x")
+            dsum = r["dsum"] or 0.0
+            if r["err"] < n * tol:
+                return materialize(x.select("id", F.col("x").alias("pagerank"), F.lit(it).alias("iterations")))
+    raise RuntimeError(f"PageRank did not converge in {max_iter} rounds (last change {r['err']:.3g}, wanted < {n * tol:.3g})")
 
 
 # ------------------------------------------------------------------ shortest paths
 
 
-def bfs_distances(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
-    """All-pairs hop distances (s, v, d) by multi-source frontier expansion (weights ignored).
+def _source_blocks(nodes: DataFrame, block_sources: int) -> tuple[DataFrame, int]:
+    """(s, block): every node id as a source, hashed into blocks of about ``block_sources``."""
+    ids = nodes.select(F.col("id").alias("s")).distinct()
+    n = ids.count()
+    blocks = max(1, -(-n // block_sources))
+    return ids.withColumn("block", F.pmod(F.xxhash64("s"), F.lit(blocks))), blocks
 
-    State is one table; the frontier of round h is its rows with d = h, so each round costs
-    one join, one anti-join and one checkpoint of the state.
-    """
-    spark = nodes.sparkSession
-    adj = materialize(edges.select("src", "dst").distinct())
-    adj_side = bounded_broadcast(adj, adj.count(), EDGE_BROADCAST_ROWS)
-    loop = _Loop(spark)
-    reached = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d")))
-    h = 0
+
+def _hops(scratch: Scratch, sources: DataFrame, adj: DataFrame) -> DataFrame:
+    """(s, v, d): hop distances from each source, breadth first.  Each round writes only the new
+    frontier; a round's candidates are checked against the frontiers before."""
+    frontier = scratch.keep(sources.select("s", F.col("s").alias("v"), F.lit(0).alias("d")))
+    reached, h = frontier, 0
     while True:
         h += 1
-        frontier = reached.where(F.col("d") == h - 1)
         nxt = (
-            frontier.join(adj_side, frontier.v == adj_side.src)
+            frontier.join(adj, frontier.v == adj.src)
             .select("s", F.col("dst").alias("v"))
             .distinct()
             .join(reached.select("s", "v"), ["s", "v"], "left_anti")
             .withColumn("d", F.lit(h))
         )
-        reached = loop.keep(_bounded_partitions(reached.unionByName(nxt)), h)
-        if reached.where(F.col("d") == h).limit(1).count() == 0:
-            break
-    out = materialize(reached)
-    loop.release()
-    return out
+        frontier = scratch.keep(nxt)
+        if _empty(frontier):
+            return reached
+        reached = reached.union(frontier)
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, direction: str = "in") -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, direction: str = "in", block_sources: int = BLOCK_SOURCES) -> DataFrame:
     """N-4: closeness with the Wasserman-Faust correction, unweighted.
 
     ``direction="in"`` uses distances *to* the node (the default of the original), "out"
     distances from it.  c(u) = (r-1)/sum d * (r-1)/(n-1), r = nodes reaching u (incl. u).
+    Sources are taken in blocks: a block's distances (at most ``block_sources`` x n rows) are
+    summed per node and dropped, so no all-pairs table is ever held.
     """
-    n = nodes.select("id").distinct().count()
-    dist = bfs_distances(nodes, edges)
-    key = "v" if direction == "in" else "s"
-    agg = dist.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot"))
-    c = F.when((F.col("tot") > 0) & F.lit(n > 1), (F.col("r") - 1) / F.col("tot") * (F.col("r") - 1) / F.lit(float(max(n - 1, 1)))).otherwise(0.0)
-    return nodes.select("id").join(agg, "id", "left").select("id", F.coalesce(c, F.lit(0.0)).alias("closeness_centrality"))
-
-
-def weighted_distances(nodes: DataFrame, edges: DataFrame, scale: int = 10_000, checkpoint_every: int = 1) -> DataFrame:
-    """All-pairs shortest distances (s, v, d) with edge weight as length.
-
-    Lengths are rounded to integers of 1/scale so equal-length paths compare exactly.
-    Bellman-Ford style relaxation from the pairs improved in the previous round only
-    (flag column); weights must be > 0.  One checkpoint of the state per round.
-    """
+    adj = edges.select("src", "dst") if direction == "in" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     spark = nodes.sparkSession
-    ln = materialize(
-        edges.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len"))
-        .groupBy("src", "dst").agg(F.min("len").alias("len"))
-    )
-    ln_side = bounded_broadcast(ln, ln.count(), EDGE_BROADCAST_ROWS)
-    loop = _Loop(spark)
-    dist = materialize(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("chg")))
-    i = 0
+    with Scratch(spark, "closeness") as outer:
+        adj = outer.keep(adj.distinct())
+        sources, blocks = _source_blocks(nodes, block_sources)
+        sources = outer.keep(sources)
+        n = sources.count()
+        sums = None
+        for b in range(blocks):
+            with Scratch(spark, "hops") as scratch:
+                dist = _hops(scratch, sources.where(F.col("block") == b), adj)
+                part = outer.keep(dist.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot")))
+            sums = part if sums is None else sums.union(part)
+        agg = sums.groupBy("id").agg(F.sum("r").alias("r"), F.sum("tot").alias("tot"))
+        c = F.when(
+            (F.col("tot") > 0) & F.lit(n > 1), (F.col("r") - 1) / F.col("tot") * (F.col("r") - 1) / F.lit(float(max(n - 1, 1)))
+        ).otherwise(0.0)
+        out = nodes.select("id").join(agg, "id", "left").select("id", F.coalesce(c, F.lit(0.0)).alias("closeness_centrality"))
+        return materialize(out)
+
+
+def _distances(scratch: Scratch, sources: DataFrame, ln: DataFrame) -> DataFrame:
+    """(s, v, d): shortest distances from each source, lengths > 0.
+
+    Relaxes from the pairs that the round before improved.  A distance is the sum of its path's
+    lengths from the source on, in double precision, as Dijkstra's algorithm adds them.
+    """
+    dist = scratch.keep(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("chg")))
     while True:
-        i += 1
         cand = (
-            dist.where("chg").join(ln_side, F.col("v") == ln_side.src)
+            dist.where("chg").join(ln, F.col("v") == ln.src)
             .groupBy("s", F.col("dst").alias("v"))
             .agg(F.min(F.col("d") + F.col("len")).alias("dc"))
         )
-        merged = dist.join(cand, ["s", "v"], "full_outer").select(
+        dist = scratch.keep(dist.join(cand, ["s", "v"], "full_outer").select(
             "s", "v",
             F.least(F.col("d"), F.col("dc")).alias("d"),
             (F.col("dc").isNotNull() & (F.col("d").isNull() | (F.col("dc") < F.col("d")))).alias("chg"),
-        )
-        dist = loop.keep(merged, i)
-        if dist.where("chg").limit(1).count() == 0:
+        ))
+        if _empty(dist.where("chg")):
+            return dist.select("s", "v", "d")
+
+
+def _dependencies(scratch: Scratch, sources: DataFrame, ln: DataFrame) -> DataFrame:
+    """(id, b): Brandes' dependency sums of the given sources."""
+    dist = _distances(scratch, sources, ln)
+    du = dist.select("s", F.col("v").alias("src"), F.col("d").alias("du"))
+    dv = dist.select("s", F.col("v").alias("dst"), F.col("d").alias("dv"))
+    tight = scratch.keep(du.join(ln, "src").join(dv, ["s", "dst"]).where(F.col("du") + F.col("len") == F.col("dv")).select(
+        "s", F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("du") == F.col("dv")).alias("flat")
+    ))
+    if not _empty(tight.where("flat")):
+        raise ValueError("an edge is too short beside the distances for double precision to tell its ends apart")
+    # path counts by layers of hops; lengths are positive, so the tight edges have no cycle and
+    # the layers end.  The last layer of a node is its longest tight path: its level.
+    layer = scratch.keep(sources.select("s", F.col("s").alias("v"), F.lit(1).cast("decimal(38,0)").alias("c")))
+    layers, h = layer.withColumn("h", F.lit(0)), 0
+    while True:
+        h += 1
+        layer = scratch.keep(tight.join(layer.withColumnRenamed("v", "u"), ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")))
+        if _empty(layer):
             break
-    out = materialize(dist.select("s", "v", "d"))
-    loop.release()
-    return out
+        layers = layers.union(layer.withColumn("h", F.lit(h)))
+    sigma = scratch.keep(layers.groupBy("s", "v").agg(F.sum("c").cast("double").alias("sigma"), F.max("h").alias("level")))
+    su = sigma.select("s", F.col("v").alias("u"), F.col("sigma").alias("su"), F.col("level").alias("above"))
+    coef = scratch.path()
+    tight.join(su, ["s", "u"]).join(sigma, ["s", "v"]).select(
+        "s", "u", "v", "above", "level", (F.col("su") / F.col("sigma")).alias("q")
+    ).write.partitionBy("level").parquet(coef)
+    # dependencies from the deepest level up; each level is written once, split by the level that reads it
+    kind, read = sigma.schema["s"].dataType.simpleString(), scratch.spark.read
+    paths = read.schema(f"s {kind}, u {kind}, v {kind}, above int, q double, level int").parquet(coef)
+    given, schema = scratch.path(), f"s {kind}, v {kind}, x double, level int"
+    for level in range(h - 1, 0, -1):
+        here = paths.where(F.col("level") == level)
+        if level < h - 1:
+            delta = scratch.spark.read.schema(schema).parquet(given).where(F.col("level") == level).groupBy("s", "v").agg(F.sum("x").alias("delta"))
+            here = here.join(delta, ["s", "v"], "left")
+        else:
+            here = here.withColumn("delta", F.lit(0.0))
+        x = F.col("q") * (F.lit(1.0) + F.coalesce(F.col("delta"), F.lit(0.0)))
+        here.select("s", F.col("u").alias("v"), x.alias("x"), F.col("above").alias("level")).write.mode("append").partitionBy("level").parquet(given)
+    if h > 1:
+        total = scratch.spark.read.schema(schema).parquet(given).where(F.col("s") != F.col("v"))
+        return total.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("b"))
+    return sources.select(F.col("s").alias("id"), F.lit(0.0).alias("b"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, distance: str = "weight", scale: int = 10_000) -> DataFrame:
+def betweenness(
+    nodes: DataFrame, edges: DataFrame, normalized: bool = True, distance: str = "weight", block_sources: int = BLOCK_SOURCES
+) -> DataFrame:
     """N-2: shortest-path betweenness (Brandes accumulation as joins).
 
     ``distance="weight"`` uses the edge weight as length (the original's choice),
-    "inverse" uses 1/weight, "hops" ignores weights.  Steps: all-pairs distances; tight
-    edges d(s,u)+len(u,v) = d(s,v); path counts sigma by fixed-point over tight edges
-    (exact integers); dependencies delta(s,v) = sum over tight (v,w) of
-    sigma(s,v)/sigma(s,w) * (1 + delta(s,w)), iterated as many rounds as sigma needed.
+    "inverse" uses 1/weight, "hops" ignores weights.  Lengths are the doubles as given and must
+    be positive, else this raises.  Steps per block of sources: distances; tight edges
+    d(s,u)+len(u,v) = d(s,v); path counts sigma (exact integers); dependencies
+    delta(s,u) = sum over tight (u,v) of sigma(s,u)/sigma(s,v) * (1 + delta(s,v)), level by
+    level from the farthest.  A block's sums are added per node and its state (at most
+    ``block_sources`` rows per node and per edge) is dropped.
     Normalised for directed graphs by 1/((n-1)(n-2)).  Output (id, betweenness_centrality).
     """
-    spark = nodes.sparkSession
-    n = nodes.select("id").distinct().count()
     if distance == "weight":
-        e = edges
+        length: Column = F.col("weight").cast("double")
     elif distance == "inverse":
-        e = edges.withColumn("weight", F.lit(1.0) / F.col("weight"))
+        length = F.try_divide(F.lit(1.0), F.col("weight").cast("double"))
     elif distance == "hops":
-        e = edges.withColumn("weight", F.lit(1.0))
+        length = F.lit(1.0)
     else:
         raise ValueError(f"unknown distance {distance!r}")
-    e = materialize(e.where(F.col("src") != F.col("dst")).select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    dist = weighted_distances(nodes, e, scale)
-    ln = e.select("src", "dst", F.round(F.col("weight") * scale).cast("long").alias("len")).groupBy("src", "dst").agg(
-        F.min("len").alias("len")
-    )
-    # tight edges per source: (s, u, v)
-    du = dist.select("s", F.col("v").alias("u"), F.col("d").alias("du"))
-    dv = dist.select("s", "v", F.col("d").alias("dv"))
-    step = du.join(ln.withColumnRenamed("src", "u").withColumnRenamed("dst", "v"), "u")
-    tight = (
-        step.join(dv, ["s", "v"])
-        .where(F.col("du") + F.col("len") == F.col("dv"))
-        .select("s", "u", "v")
-    )
-    tight = materialize(tight)
-    loop = _Loop(spark)
-    layer = dist.where(F.col("s") == F.col("v")).select("s", "v", F.lit(1).cast("decimal(38,0)").alias("c"))
-    layers = [layer]
-    rounds = 0
-    while True:
-        rounds += 1
-        layer = loop.keep(
-            tight.join(layer.withColumnRenamed("v", "u"), ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")),
-            rounds,
-        )
-        if layer.limit(1).count() == 0:
-            break
-        layers.append(layer)
-    sigma = layers[0]
-    for lay in layers[1:]:
-        sigma = sigma.unionByName(lay)
-    sigma = sigma.groupBy("s", "v").agg(F.sum("c").alias("sigma"))
-    sig = materialize(sigma.select("s", "v", F.col("sigma").cast("double").alias("sigma")))
-    sv = sig.select("s", F.col("v").alias("u"), F.col("sigma").alias("su"))
-    sw = sig.select("s", "v", F.col("sigma").alias("sv"))
-    coef = materialize(tight.join(sv, ["s", "u"]).join(sw, ["s", "v"]).select("s", "u", "v", (F.col("su") / F.col("sv")).alias("q")))
-    delta = None
-    for i in range(1, rounds + 1):
-        if delta is None:
-            acc = coef.groupBy("s", "u").agg(F.sum("q").alias("delta"))
-        else:
-            acc = (
-                coef.join(delta.withColumnRenamed("u", "v").withColumnRenamed("delta", "dw"), ["s", "v"], "left")
-                .groupBy("s", "u")
-                .agg(F.sum(F.col("q") * (F.lit(1.0) + F.coalesce(F.col("dw"), F.lit(0.0)))).alias("delta"))
-            )
-        delta = loop.keep(acc, i)
-        delta.count()
-    scale_f = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
-    if delta is None:
-        b = nodes.select("id").withColumn("betweenness_centrality", F.lit(0.0))
-    else:
-        tot = delta.where(F.col("s") != F.col("u")).groupBy(F.col("u").alias("id")).agg(F.sum("delta").alias("b"))
-        b = nodes.select("id").join(tot, "id", "left").select(
-            "id", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale_f)).alias("betweenness_centrality")
-        )
-    out = materialize(b)
-    loop.release()
-    return out
+    spark = nodes.sparkSession
+    with Scratch(spark, "betweenness") as outer:
+        ln = edges.where(F.col("src") != F.col("dst")).select("src", "dst", length.alias("len"))
+        ln = outer.keep(ln.groupBy("src", "dst").agg(F.min("len").alias("len"), F.count_if(~F.coalesce(F.col("len") > 0, F.lit(False))).alias("bad")))
+        if not _empty(ln.where("bad > 0")):
+            raise ValueError("betweenness needs positive edge lengths")
+        ln = ln.select("src", "dst", "len")
+        sources, blocks = _source_blocks(nodes, block_sources)
+        sources = outer.keep(sources)
+        n = sources.count()
+        sums = None
+        for b in range(blocks):
+            with Scratch(spark, "paths") as scratch:
+                part = outer.keep(_dependencies(scratch, sources.where(F.col("block") == b).select("s"), ln))
+            sums = part if sums is None else sums.union(part)
+        total = sums.groupBy("id").agg(F.sum("b").alias("b"))
+        scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+        return materialize(nodes.select("id").join(total, "id", "left").select(
+            "id", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")
+        ))
 
 
 # ------------------------------------------------------------------ communities
@@ -438,77 +394,78 @@ def modularity(und: DataFrame, membership: DataFrame, community: str = "communit
     return per.agg(F.sum("q").alias("modularity"))
 
 
-def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "parallel", max_rounds: int = 1000) -> DataFrame:
+RENAMES = 16
+"""Single merges after which the labels are written again (until then they are renamed in the plan)."""
+
+
+def greedy_communities(nodes: DataFrame, und: DataFrame, mode: str = "sequential") -> DataFrame:
     """N-8: greedy modularity merging on an undirected weighted graph.
 
-    Start from singletons; per round every community picks the neighbouring community with
-    the largest gain dQ = w_ab/m - 2 (D_a/2m)(D_b/2m) (ties: smaller id); mutual best pairs
-    with dQ >= 0 merge (``mode="sequential"``: only the single best pair, the classic CNM
-    order).  Ends when no pair has dQ >= 0.  Community numbers are 0.. by size desc, then
-    smallest member.  Output (id, community).
+    Starts from singletons; joins communities while a pair of neighbouring ones has a gain
+    dQ = w_ab/m - 2 (D_a/2m)(D_b/2m) >= 0.  ``mode="sequential"``, the original's order, joins
+    the single best pair (ties: smaller ids) and costs one driver round per merge;
+    ``mode="parallel"`` joins every pair of communities that are each other's best, which
+    needs far fewer rounds and may end in another partition.  Both run until no pair is left.
+    Community numbers are 0.. by size desc, then smallest member.  Output (id, community).
     """
+    if mode not in ("sequential", "parallel"):
+        raise ValueError(f"unknown mode {mode!r}")
     spark = nodes.sparkSession
-    ids = nodes.select("id").distinct()
-    ends = und.select(F.col("u").alias("id"), "weight").unionByName(und.select(F.col("v").alias("id"), "weight"))
-    kdeg = materialize(ids.join(ends.groupBy("id").agg(F.sum("weight").alias("k")), "id", "left").select(
-        "id", F.coalesce("k", F.lit(0.0)).alias("k")
-    ))
-    m = und.agg(F.sum("weight")).first()[0] or 0.0
-    label = materialize(ids.select("id", F.col("id").alias("c")))
-    n_ids = label.count()
-    loop = _Loop(spark)
-    pairs = materialize(und.where(F.col("u") != F.col("v")))
-    rounds = 0
-    while m > 0 and rounds < max_rounds:
-        rounds += 1
-        lab = bounded_broadcast(label, n_ids, RANK_BROADCAST_ROWS)
-        lu = lab.withColumnRenamed("id", "u").withColumnRenamed("c", "a")
-        lv = lab.withColumnRenamed("id", "v").withColumnRenamed("c", "b")
-        cw = (
-            pairs.join(lu, "u").join(lv, "v").where(F.col("a") != F.col("b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
-            .groupBy("a", "b").agg(F.sum("weight").alias("w"))
-        )
-        dc = bounded_broadcast(kdeg.join(lab, "id").groupBy("c").agg(F.sum("k").alias("D")), n_ids, RANK_BROADCAST_ROWS)
-        gain = (
-            cw.join(dc.withColumnRenamed("c", "a").withColumnRenamed("D", "Da"), "a")
-            .join(dc.withColumnRenamed("c", "b").withColumnRenamed("D", "Db"), "b")
-            .select("a", "b", (F.col("w") / F.lit(m) - F.lit(2.0) * (F.col("Da") / F.lit(2 * m)) * (F.col("Db") / F.lit(2 * m))).alias("dq"))
-            .where(F.col("dq") >= 0)
-        )
-        both = gain.select(F.col("a").alias("x"), F.col("b").alias("y"), "dq").unionByName(
-            gain.select(F.col("b").alias("x"), F.col("a").alias("y"), "dq")
-        )
-        if mode == "sequential":
-            best = both.orderBy(F.desc("dq"), F.least("x", "y"), F.greatest("x", "y")).limit(1)
-            merges = best.select(F.least("x", "y").alias("keep"), F.greatest("x", "y").alias("drop"))
-        else:
-            # best neighbour per community: largest dq, then smallest id, as a partial
-            # aggregate (no window group per community, so a hub community is split up)
-            key = F.struct((-F.col("dq")).alias("neg_dq"), F.col("y").alias("y"))
-            choice = both.groupBy("x").agg(F.min_by("y", key).alias("y"))
-            mutual = choice.alias("p").join(
-                bounded_broadcast(choice, n_ids, RANK_BROADCAST_ROWS).alias("q"),
-                (F.col("p.x") == F.col("q.y")) & (F.col("p.y") == F.col("q.x")),
-            ).where(F.col("p.x") < F.col("p.y"))
-            merges = mutual.select(F.col("p.x").alias("keep"), F.col("p.y").alias("drop"))
-        merges = loop.keep(merges, rounds)
-        n_merges = merges.count()
-        if _DEBUG:
-            print(f"greedy round {rounds}: {n_merges} merges")
-        if n_merges == 0:
-            break
-        label = loop.keep(
-            label.join(bounded_broadcast(merges.withColumnRenamed("drop", "c"), n_merges, RANK_BROADCAST_ROWS), "c", "left").select(
-                "id", F.coalesce(F.col("keep"), F.col("c")).alias("c")
-            ),
-            rounds,
-        )
-    sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
-    order = dense_index(sizes, F.desc("size"), F.asc("first"), out="community")
-    out = materialize(label.join(order.select("c", "community"), "c").select("id", F.col("community").cast("int")))
-    loop.release()
-    return out
+    with Scratch(spark, "communities") as scratch:
+        ids = nodes.select("id").distinct()
+        ends = und.select(F.col("u").alias("id"), "weight").unionByName(und.select(F.col("v").alias("id"), "weight"))
+        m = und.agg(F.sum("weight")).first()[0] or 0.0
+        label = scratch.keep(ids.select("id", F.col("id").alias("c")))
+        # communities as a weighted graph of their own: it shrinks with every merge
+        deg = scratch.keep(ids.join(ends.groupBy("id").agg(F.sum("weight").alias("k")), "id", "left").select(
+            F.col("id").alias("c"), F.coalesce("k", F.lit(0.0)).alias("D")
+        ))
+        pairs = scratch.keep(und.where(F.col("u") != F.col("v")).groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(
+            F.sum("weight").alias("w")
+        ))
+        merged = 0
+        while m > 0:
+            gain = (
+                pairs.join(deg.select(F.col("c").alias("a"), F.col("D").alias("Da")), "a")
+                .join(deg.select(F.col("c").alias("b"), F.col("D").alias("Db")), "b")
+                .select("a", "b", (F.col("w") / F.lit(m) - F.lit(2.0) * (F.col("Da") / F.lit(2 * m)) * (F.col("Db") / F.lit(2 * m))).alias("dq"))
+                .where(F.col("dq") >= 0)
+            )
+            if mode == "sequential":
+                best = gain.agg(F.min(F.struct((-F.col("dq")).alias("order"), "a", "b")).alias("p")).first()["p"]
+                if best is None:
+                    break
+                merged += 1
+
+                def renamed(df, c, keep=best["a"], drop=best["b"]):
+                    return df.withColumn(c, F.when(F.col(c) == F.lit(drop), F.lit(keep)).otherwise(F.col(c)))
+
+            else:
+                # best neighbour per community: largest dq, then smallest id, as a partial
+                # aggregate (no window group per community, so a hub community is split up)
+                both = gain.select(F.col("a").alias("x"), F.col("b").alias("y"), "dq").unionByName(
+                    gain.select(F.col("b").alias("x"), F.col("a").alias("y"), "dq")
+                )
+                choice = scratch.keep(both.groupBy("x").agg(F.min_by("y", F.struct((-F.col("dq")).alias("order"), "y")).alias("y")))
+                merges = scratch.keep(choice.alias("p").join(
+                    choice.alias("q"), (F.col("p.x") == F.col("q.y")) & (F.col("p.y") == F.col("q.x"))
+                ).where(F.col("p.x") < F.col("p.y")).select(F.col("p.x").alias("_keep"), F.col("p.y").alias("_drop")))
+                if _empty(merges):
+                    break
+
+                def renamed(df, c, merges=merges):
+                    to = merges.withColumnRenamed("_drop", c)
+                    return df.join(to, c, "left").withColumn(c, F.coalesce("_keep", c)).drop("_keep")
+
+            label = renamed(label, "c").select("id", "c")
+            if mode == "parallel" or merged % RENAMES == 0:
+                label = scratch.keep(label)
+            deg = scratch.keep(renamed(deg, "c").groupBy("c").agg(F.sum("D").alias("D")))
+            moved = renamed(renamed(pairs, "a"), "b").where(F.col("a") != F.col("b"))
+            pairs = scratch.keep(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+        sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+        order = dense_index(sizes, F.desc("size"), F.asc("first"), out="community")
+        return materialize(label.join(order.select("c", "community"), "c").select("id", F.col("community").cast("int")))
 
 
 def community_attributes(nodes: DataFrame, membership: DataFrame, prefix: str = "Ecossistema") -> DataFrame:
@@ -519,14 +476,23 @@ def community_attributes(nodes: DataFrame, membership: DataFrame, prefix: str =
     )
 
 
-def community_members(membership: DataFrame, community: str = "community") -> DataFrame:
-    """G-16: sorted member list and size per community, largest first."""
-    return (
-        membership.groupBy(community)
-        .agg(F.sort_array(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("size"))
-        .withColumn("members_text", F.array_join("members", ", "))
-        .orderBy(F.desc("size"), F.asc(community))
+MEMBERS_PER_ROW = 1000
+
+
+def community_members(membership: DataFrame, community: str = "community", per_row: int = MEMBERS_PER_ROW) -> DataFrame:
+    """G-16, F-6: members per community in id order, as joined text, largest community first.
+
+    A row holds at most ``per_row`` members (``part`` 0, 1, ...), so that a community of any
+    size is no single array.  Output (community, size, part, members_text).
+    """
+    sizes = membership.groupBy(community).agg(F.count(F.lit(1)).alias("size"))
+    placed = dense_index(membership.select(community, "id"), community, "id", out="_at")
+    first = placed.groupBy(community).agg(F.min("_at").alias("_first"))
+    part = F.floor((F.col("_at") - F.col("_first")) / F.lit(per_row)).cast("int")
+    rows = placed.join(first, community).groupBy(community, part.alias("part")).agg(
+        F.array_join(F.sort_array(F.collect_list("id")), ", ").alias("members_text")  # <= per_row members
     )
+    return rows.join(sizes, community).select(community, "size", "part", "members_text").orderBy(F.desc("size"), F.asc(community), F.asc("part"))
 
 
 def centrality_ranking(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import graph as g
+from ..sources.tables import read_table
 from . import stand_ins as si
 from .registry import SQL_FACTS, register
 
@@ -18,14 +19,9 @@ flows AS (
   SELECT p.src_key, c.c_nationkey AS dst_key, sum(p.rev) AS revenue
   FROM per_order p JOIN orders o ON o.o_orderkey = p.okey JOIN customer c ON c.c_custkey = o.o_custkey
   WHERE p.src_key <> c.c_nationkey GROUP BY 1, 2),
-shares AS (
-  SELECT f.*, round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY dst_key) AS DOUBLE), 4) AS weight FROM flows f),
-E AS (
-  SELECT src, dst, weight FROM (
-    SELECT a.n_name AS src, b.n_name AS dst, s.weight,
-           row_number() OVER (PARTITION BY a.n_name ORDER BY s.revenue DESC, b.n_name) AS rk
-    FROM shares s JOIN nation a ON a.n_nationkey = s.src_key JOIN nation b ON b.n_nationkey = s.dst_key) t
-  WHERE rk <= 3),
+E AS MATERIALIZED (
+  SELECT a.n_name AS src, b.n_name AS dst, CAST(f.revenue AS DOUBLE) / CAST(sum(f.revenue) OVER (PARTITION BY f.dst_key) AS DOUBLE) AS weight
+  FROM flows f JOIN nation a ON a.n_nationkey = f.src_key JOIN nation b ON b.n_nationkey = f.dst_key),
 NODES AS (
   SELECT n.n_name AS id, CAST(n.n_nationkey AS VARCHAR) AS cnae, r.r_name AS categoria,
          1.0::DOUBLE + CAST(n.n_regionkey AS DOUBLE) / 4.0::DOUBLE AS base_weight, n.n_regionkey AS region
@@ -35,10 +31,10 @@ N AS (SELECT count(*) AS n FROM NODES)
 
 
 def _graph(spark, base):
-    """The derived nation graph, written once: every algorithm below reuses it many times."""
-    nodes, edges = si.trade_graph(spark, base)
-    nodes, edges = g.build_graph(nodes, edges)
-    return g.materialize(nodes), g.materialize(edges)
+    """The derived nation graph: the edges are written once, and the nodes derive from these."""
+    edges = g.materialize(si.trade_edges(spark, base))
+    nodes, edges = g.build_graph(si.nation_nodes(spark, base), edges)
+    return g.materialize(nodes), edges
 
 
 @register("graph_edges", f"WITH {SQL_GRAPH} SELECT src, dst, round(weight, 6) AS weight FROM E")
@@ -65,9 +61,8 @@ FROM NODES n LEFT JOIN means m ON m.uf = n.id""",
 )
 def q_graph_nodes(spark, base):
     """N-1 + J-6: nodes enriched with the per-territory mean of every numeric fact column."""
-    nodes, edges = si.trade_graph(spark, base)
     facts = si.sector_facts(spark, base).drop("setor")
-    out, _ = g.build_graph(nodes, edges, features=facts, feature_key="uf")
+    out, _ = g.build_graph(si.nation_nodes(spark, base), g.materialize(si.trade_edges(spark, base)), features=facts, feature_key="uf")
     return round_doubles(out)
 
 
@@ -155,28 +150,39 @@ def q_graph_closeness(spark, base):
     return round_doubles(g.closeness(*_graph(spark, base)))
 
 
-def _sql_betweenness(max_hops: int = 24) -> str:
-    ln = "LN AS (SELECT src, dst, min(CAST(round(weight * 10000) AS BIGINT)) AS len FROM E WHERE src <> dst GROUP BY 1, 2)"
-    dist = _sql_minplus("D", "SELECT id AS s, id AS t, CAST(0 AS BIGINT) AS d FROM NODES UNION ALL SELECT src, dst, len FROM LN")
+MAX_HOPS = 24  # of 25 nations
+
+
+def _sql_betweenness(max_hops: int = MAX_HOPS) -> str:
+    """Distances added up from the source on, hop by hop; path counts by layers; dependencies by the
+    pair formula (a node lies on a shortest path if the distances over it add up)."""
+    ln = "LN AS MATERIALIZED (SELECT src, dst, min(weight) AS len FROM E WHERE src <> dst GROUP BY 1, 2)"
+    dist = ["D0 AS (SELECT id AS s, id AS t, CAST(0 AS DOUBLE) AS d FROM NODES)"]
+    for h in range(max_hops):
+        dist.append(
+            f"""D{h + 1} AS MATERIALIZED (SELECT s, t, min(d) AS d FROM (
+  SELECT s, t, d FROM D{h} UNION ALL SELECT a.s, l.dst, a.d + l.len FROM D{h} a JOIN LN l ON l.src = a.t) u GROUP BY s, t)"""
+        )
     layers = ["S0 AS (SELECT id AS s, id AS v, CAST(1 AS HUGEINT) AS c FROM NODES)"]
     for h in range(max_hops):
         layers.append(
-            f"""S{h + 1} AS (SELECT a.s, l.dst AS v, sum(a.c) AS c FROM S{h} a JOIN LN l ON l.src = a.v
+            f"""S{h + 1} AS MATERIALIZED (SELECT a.s, l.dst AS v, sum(a.c) AS c FROM S{h} a JOIN LN l ON l.src = a.v
   JOIN D da ON da.s = a.s AND da.t = a.v JOIN D dv ON dv.s = a.s AND dv.t = l.dst
   WHERE da.d + l.len = dv.d GROUP BY a.s, l.dst)"""
         )
     union = " UNION ALL ".join(f"SELECT * FROM S{h}" for h in range(max_hops + 1))
     return f"""{ln},
-{dist},
-{",".join(layers)},
-SIG AS (SELECT s, v, CAST(sum(c) AS DOUBLE) AS sigma FROM ({union}) u GROUP BY s, v),
+{", ".join(dist)},
+D AS MATERIALIZED (SELECT * FROM D{max_hops}),
+{", ".join(layers)},
+SIG AS MATERIALIZED (SELECT s, v, CAST(sum(c) AS DOUBLE) AS sigma FROM ({union}) u GROUP BY s, v),
 PAIR AS (
   SELECT a.v AS id, sum(a.sigma * b.sigma / c.sigma) AS b
   FROM SIG a JOIN SIG b ON b.s = a.v JOIN SIG c ON c.s = a.s AND c.v = b.v
   JOIN D d1 ON d1.s = a.s AND d1.t = a.v JOIN D d2 ON d2.s = a.v AND d2.t = b.v JOIN D d3 ON d3.s = a.s AND d3.t = b.v
-  WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v AND d1.d + d2.d = d3.d
+  WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v AND abs(d1.d + d2.d - d3.d) < 1e-13
   GROUP BY a.v),
-BT AS (SELECT n.id, coalesce(p.b, 0.0) / CAST(((SELECT n FROM N) - 1) * ((SELECT n FROM N) - 2) AS DOUBLE) AS betweenness_centrality
+BT AS MATERIALIZED (SELECT n.id, coalesce(p.b, 0.0) / CAST(((SELECT n FROM N) - 1) * ((SELECT n FROM N) - 2) AS DOUBLE) AS betweenness_centrality
        FROM NODES n LEFT JOIN PAIR p ON p.id = n.id)"""
 
 
@@ -184,6 +190,44 @@ def _betweenness_sql_cte() -> str:
     return _sql_betweenness()
 
 
+def _sql_communities(mode: str, max_rounds: int = MAX_HOPS) -> str:
+    """The merge rounds unrolled (at most one less than there are nodes); CO is the final partition."""
+    out = [
+        "MM AS (SELECT sum(weight) AS m FROM UND)",
+        "K AS MATERIALIZED (SELECT n.id, coalesce(sum(x.weight), 0.0) AS k FROM NODES n LEFT JOIN (SELECT u AS id, weight FROM UND UNION ALL SELECT v, weight FROM UND) x ON x.id = n.id GROUP BY n.id)",
+        "L0 AS MATERIALIZED (SELECT id, id AS c FROM NODES)",
+    ]
+    for t in range(max_rounds):
+        out += [
+            f"DG{t} AS MATERIALIZED (SELECT l.c, sum(K.k) AS D FROM L{t} l JOIN K ON K.id = l.id GROUP BY l.c)",
+            f"""G{t} AS MATERIALIZED (SELECT p.a, p.b, p.w / MM.m - 2.0 * (x.D / (2 * MM.m)) * (y.D / (2 * MM.m)) AS dq
+  FROM (SELECT least(i.c, j.c) AS a, greatest(i.c, j.c) AS b, sum(weight) AS w FROM UND JOIN L{t} i ON i.id = UND.u JOIN L{t} j ON j.id = UND.v
+        WHERE i.c <> j.c GROUP BY 1, 2) p JOIN DG{t} x ON x.c = p.a JOIN DG{t} y ON y.c = p.b, MM)""",
+        ]
+        if mode == "sequential":
+            out.append(f"B{t} AS MATERIALIZED (SELECT a AS keep, b AS gone FROM G{t} WHERE dq >= 0 ORDER BY dq DESC, a, b LIMIT 1)")
+        else:
+            out.append(
+                f"""C{t} AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY dq DESC, y) AS rk
+  FROM (SELECT a AS x, b AS y, dq FROM G{t} WHERE dq >= 0 UNION ALL SELECT b, a, dq FROM G{t} WHERE dq >= 0) q) r WHERE rk = 1),
+B{t} AS MATERIALIZED (SELECT p.x AS keep, p.y AS gone FROM C{t} p JOIN C{t} q ON q.x = p.y AND q.y = p.x WHERE p.x < p.y)"""
+            )
+        out.append(f"L{t + 1} AS MATERIALIZED (SELECT l.id, coalesce(B{t}.keep, l.c) AS c FROM L{t} l LEFT JOIN B{t} ON B{t}.gone = l.c)")
+    out += [
+        f"CS AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS community FROM L{max_rounds} GROUP BY c)",
+        f"CO AS MATERIALIZED (SELECT l.id, CAST(CS.community AS INTEGER) AS community FROM L{max_rounds} l JOIN CS ON CS.c = l.c)",
+    ]
+    return ",\n".join(out)
+
+
+SQL_MODULARITY = """
+MQ AS (SELECT sum(coalesce(i.L, 0.0) / MM.m - (d.D / (2 * MM.m)) * (d.D / (2 * MM.m))) AS modularity
+  FROM (SELECT CO.community AS c, sum(K.k) AS D FROM CO JOIN K ON K.id = CO.id GROUP BY 1) d
+  LEFT JOIN (SELECT a.community AS c, sum(weight) AS L FROM UND JOIN CO a ON a.id = UND.u JOIN CO b ON b.id = UND.v
+             WHERE a.community = b.community GROUP BY 1) i ON i.c = d.c, MM)"""
+SQL_CO = f"{SQL_UND}, {_sql_communities('sequential')}"
+
+
 @register("graph_betweenness", f"WITH {SQL_GRAPH}, {_sql_betweenness()} SELECT id, round(betweenness_centrality, 6) AS betweenness_centrality FROM BT")
 def q_graph_betweenness(spark, base):
     """N-2: normalised shortest-path betweenness with the weight as length."""
@@ -209,55 +253,83 @@ def q_graph_centrality_ranking(spark, base):
     return round_doubles(g.centrality_ranking(*_graph(spark, base)))
 
 
-def _regions(nodes):
-    return nodes.select("id", F.col("region").alias("community"))
+def communities(spark, base, mode: str = "sequential"):
+    """(nodes, edges, undirected edges, detected membership)."""
+    nodes, edges = _graph(spark, base)
+    und = g.materialize(g.to_undirected(edges))
+    return nodes, edges, und, g.greedy_communities(nodes, und, mode)
+
+
+def _community_rows(spark, base, mode):
+    nodes, _, und, mem = communities(spark, base, mode)
+    return round_doubles(g.community_attributes(nodes.select("id"), mem).withColumn("modularity", g.modularity(und, mem).scalar()))
 
 
-@register(
-    "graph_modularity",
-    f"""WITH {SQL_GRAPH}, {SQL_UND},
-m AS (SELECT sum(weight) AS m FROM UND),
-deg AS (SELECT n.region AS c, sum(x.weight) AS D FROM (SELECT u AS id, weight FROM UND UNION ALL SELECT v, weight FROM UND) x
-        JOIN NODES n ON n.id = x.id GROUP BY n.region),
-ins AS (SELECT a.region AS c, sum(weight) AS L FROM UND JOIN NODES a ON a.id = UND.u JOIN NODES b ON b.id = UND.v
-        WHERE a.region = b.region GROUP BY a.region)
-SELECT round(sum(coalesce(ins.L, 0.0) / m.m - (deg.D / (2 * m.m)) * (deg.D / (2 * m.m))), 6) AS modularity
-FROM deg LEFT JOIN ins ON ins.c = deg.c, m""",
-)
+def _sql_community_rows(mode: str) -> str:
+    return f"""WITH {SQL_GRAPH}, {SQL_UND}, {_sql_communities(mode)}, {SQL_MODULARITY}
+SELECT CO.id, CO.community, 'Ecossistema ' || CAST(CO.community + 1 AS VARCHAR) AS community_label, round(MQ.modularity, 6) AS modularity FROM CO, MQ"""
+
+
+@register("graph_communities", _sql_community_rows("sequential"))
+def q_graph_communities(spark, base):
+    """N-8: greedy modularity communities, best pair first, with the modularity reached."""
+    return _community_rows(spark, base, "sequential")
+
+
+@register("graph_communities_parallel", _sql_community_rows("parallel"))
+def q_graph_communities_parallel(spark, base):
+    """N-8 by mutual-best merges: fewer rounds, another order."""
+    return _community_rows(spark, base, "parallel")
+
+
+@register("graph_modularity", f"WITH {SQL_GRAPH}, {SQL_CO}, {SQL_MODULARITY} SELECT round(modularity, 6) AS modularity FROM MQ")
 def q_graph_modularity(spark, base):
-    """N-9: modularity of the region partition on the undirected projection."""
-    nodes, edges = _graph(spark, base)
-    return round_doubles(g.modularity(g.to_undirected(edges), _regions(nodes)))
+    """N-9: modularity of the detected partition on the undirected projection."""
+    _, _, und, mem = communities(spark, base)
+    return round_doubles(g.modularity(und, mem))
 
 
 @register(
     "graph_community_members",
-    f"""WITH {SQL_GRAPH}
-SELECT region AS community, count(*) AS size, array_to_string(list_sort(list(id)), ', ') AS members_text
-FROM NODES GROUP BY region""",
+    f"""WITH {SQL_GRAPH}, {SQL_CO}
+SELECT community, count(*) AS size, CAST(0 AS INTEGER) AS part, array_to_string(list_sort(list(id)), ', ') AS members_text
+FROM CO GROUP BY community""",
 )
 def q_graph_community_members(spark, base):
-    """G-16, F-6: member lists of the region partition (as joined text), largest first."""
-    return g.community_members(_regions(_graph(spark, base)[0])).select("community", "size", "members_text")
+    """G-16, F-6: members of the detected communities (as joined text), largest first."""
+    return g.community_members(communities(spark, base)[3])
 
 
 @register(
     "graph_community_labels",
-    f"""WITH {SQL_GRAPH}
-SELECT id, cnae, categoria, round(base_weight, 6) AS base_weight, region, region AS community,
-       'Ecossistema ' || CAST(region + 1 AS VARCHAR) AS community_label FROM NODES""",
+    f"""WITH {SQL_GRAPH}, {SQL_CO}
+SELECT n.id, n.cnae, n.categoria, round(n.base_weight, 6) AS base_weight, n.region, CO.community,
+       'Ecossistema ' || CAST(CO.community + 1 AS VARCHAR) AS community_label FROM NODES n JOIN CO ON CO.id = n.id""",
 )
 def q_graph_community_labels(spark, base):
-    """N-10: community id and label attached to every node (region partition)."""
-    nodes = _graph(spark, base)[0]
-    return round_doubles(g.community_attributes(nodes, _regions(nodes)))
+    """N-10: detected community id and label attached to every node."""
+    nodes, _, _, mem = communities(spark, base)
+    return round_doubles(g.community_attributes(nodes, mem))
 
 
-@register("graph_communities")
-def q_graph_communities(spark, base):
-    """N-8: greedy modularity communities (mutual-best merges) with the modularity reached."""
-    nodes, edges = _graph(spark, base)
-    und = g.materialize(g.to_undirected(edges))
-    mem = g.greedy_communities(nodes, und)
-    q = g.modularity(und, mem).first()[0]
-    return round_doubles(g.community_attributes(nodes.select("id"), mem).withColumn("modularity", F.lit(q)))
+@register(
+    "graph_edge_upsert",
+    """SELECT src, dst, round(weight, 6) AS weight FROM (
+  SELECT c.c_nationkey AS src, s.s_nationkey AS dst, l.l_extendedprice AS weight,
+         row_number() OVER (PARTITION BY c.c_nationkey, s.s_nationkey ORDER BY l.l_orderkey DESC, l.l_linenumber DESC, l.l_extendedprice DESC) AS rk
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey) t WHERE rk = 1""",
+)
+def q_graph_edge_upsert(spark, base):
+    """U-2: every sale upserts its (buyer nation, seller nation) edge; the last sale's price stays."""
+    li = read_table(spark, base, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+    orders = read_table(spark, base, "orders", ["o_orderkey", "o_custkey"])
+    cust = read_table(spark, base, "customer", ["c_custkey", "c_nationkey"])
+    sup = read_table(spark, base, "supplier", ["s_suppkey", "s_nationkey"])
+    sales = li.join(orders, li.l_orderkey == orders.o_orderkey).join(cust, orders.o_custkey == cust.c_custkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    sales = sales.select(
+        F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_extendedprice").alias("weight"),
+        F.struct("l_orderkey", "l_linenumber").alias("ord"),
+    )
+    ends = sales.select(F.col("src").alias("id"))
+    return round_doubles(g.build_graph(ends.distinct(), sales, order_col="ord")[1])

@@ -6,7 +6,7 @@
 | territory x sector panel   | orders, customer, nation (year/month of the order date) |
 | points with a value        | embeddings (dims 1, 2 = x, y; dim 3 = value)            |
 | grid polygons              | unit cells of 10x, 10y occupied by the points            |
-| directed weighted graph    | nation -> nation revenue shares                          |
+| directed weighted graph    | nation -> nation revenue shares, all flows               |
 
 Each plan pushes projections into the scans and aggregates as early as the join
 graph allows, so the large tables are read once, column-pruned, and shuffled once.
@@ -74,20 +74,15 @@ def labour_panel(spark: SparkSession, base: str) -> DataFrame:
     orders = read_table(spark, base, "orders", ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
     cust = read_table(spark, base, "customer", ["c_custkey", "c_nationkey"])
     nat = read_table(spark, base, "nation", ["n_nationkey", "n_name"])
-    # Pre-aggregate orders per (customer, month, priority) before the customer join.
-    per_cust = orders.groupBy(
-        "o_custkey",
-        F.year("o_orderdate").alias("ano"),
-        F.month("o_orderdate").alias("mes"),
-        F.col("o_orderpriority").alias("setor"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast(MONEY)).alias("mass"))
-    located = per_cust.join(cust, per_cust.o_custkey == cust.c_custkey).join(
-        F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    return located.groupBy(F.col("n_name").alias("uf"), "ano", "mes", "setor").agg(
-        F.sum("n").cast("long").alias("empregos"),
-        F.sum("mass").alias("massa_salarial"),
-        (F.sum("mass").cast("double") / F.sum("n").cast("double")).alias("salario_medio_nominal"),
+    # The customer join comes first: a pre-aggregate per (customer, month) hardly shrinks the
+    # orders, while the partial aggregate per (nation, month, priority) leaves few rows to shuffle.
+    located = orders.join(cust, orders.o_custkey == cust.c_custkey).join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
+    return located.groupBy(
+        F.col("n_name").alias("uf"), F.year("o_orderdate").alias("ano"), F.month("o_orderdate").alias("mes"), F.col("o_orderpriority").alias("setor")
+    ).agg(
+        F.count(F.lit(1)).alias("empregos"),
+        F.sum(F.col("o_totalprice").cast(MONEY)).alias("massa_salarial"),
+        (F.sum(F.col("o_totalprice").cast(MONEY)).cast("double") / F.count(F.lit(1)).cast("double")).alias("salario_medio_nominal"),
     )
 
 
@@ -127,8 +122,8 @@ def grid_polygons(pts: DataFrame, scale: float = 10.0) -> DataFrame:
     )
 
 
-def trade_flows(spark: SparkSession, base: str) -> DataFrame:
-    """Supplier-nation -> customer-nation revenue (DECIMAL), self-flows excluded.
+def trade_flows(spark: SparkSession, base: str, self_flows: bool = False) -> DataFrame:
+    """Supplier-nation -> customer-nation revenue (DECIMAL); ``self_flows`` keeps those within a nation.
 
     lineitem is aggregated per (order, supplier nation) before it meets orders, so the
     big-big join on orderkey carries one row per order and nation instead of per line.
@@ -149,40 +144,31 @@ def trade_flows(spark: SparkSession, base: str) -> DataFrame:
         .agg(F.sum("r").alias("rev"))
     )
     buyers = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", F.col("c_nationkey").alias("dst_key"))
-    return (
-        per_order.join(buyers, per_order.l_orderkey == buyers.o_orderkey)
-        .where(F.col("src_key") != F.col("dst_key"))
-        .groupBy("src_key", "dst_key")
-        .agg(F.sum("rev").alias("revenue"))
-    )
-
+    flows = per_order.join(buyers, per_order.l_orderkey == buyers.o_orderkey)
+    if not self_flows:
+        flows = flows.where(F.col("src_key") != F.col("dst_key"))
+    return flows.groupBy("src_key", "dst_key").agg(F.sum("rev").alias("revenue"))
 
-def trade_graph(spark: SparkSession, base: str, top_k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Directed weighted nation graph (F11/F12 contract).
 
-    Edge weight = share of the target's inflow, DECIMAL(12,4); each origin keeps its
-    ``top_k`` targets by revenue (ties by target name).  Nodes carry region name and key
-    as categorical attributes.  Returns (nodes, edges).
-    """
+def nation_nodes(spark: SparkSession, base: str) -> DataFrame:
+    """Node table of the nation graph: region name and key as categorical attributes."""
     nat = read_table(spark, base, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     reg = read_table(spark, base, "region", ["r_regionkey", "r_name"])
-    flows = trade_flows(spark, base)
-    share = (F.col("revenue") / F.sum("revenue").over(Window.partitionBy("dst_key"))).cast("decimal(12,4)")
-    ranked = flows.withColumn("weight", share)
-    names = F.broadcast(nat.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("nm")))
-    named = (
-        ranked.join(names.withColumnRenamed("k", "src_key").withColumnRenamed("nm", "src"), "src_key")
-        .join(names.withColumnRenamed("k", "dst_key").withColumnRenamed("nm", "dst"), "dst_key")
-    )
-    top = named.withColumn(
-        "rk", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("revenue"), F.asc("dst")))
-    ).where(F.col("rk") <= top_k)
-    edges = top.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    nodes = nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey).select(
+    return nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey).select(
         F.col("n_name").alias("id"),
         F.col("n_nationkey").cast("string").alias("cnae"),
         F.col("r_name").alias("categoria"),
         (F.lit(1.0) + F.col("n_regionkey").cast("double") / F.lit(4.0)).alias("base_weight"),
         F.col("n_regionkey").alias("region"),
     )
-    return nodes, edges
+
+
+def trade_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Edge table of the nation graph: every flow, weight = share of the target's inflow."""
+    nat = read_table(spark, base, "nation", ["n_nationkey", "n_name"])
+    flows = trade_flows(spark, base)
+    inflow = F.sum("revenue").over(Window.partitionBy("dst_key"))  # at most one row per origin nation
+    shares = flows.withColumn("weight", F.col("revenue").cast("double") / inflow.cast("double"))
+    src = F.broadcast(nat.select(F.col("n_nationkey").alias("src_key"), F.col("n_name").alias("src")))
+    dst = F.broadcast(nat.select(F.col("n_nationkey").alias("dst_key"), F.col("n_name").alias("dst")))
+    return shares.join(src, "src_key").join(dst, "dst_key").select("src", "dst", "weight")

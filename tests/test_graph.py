@@ -51,8 +51,11 @@ def test_communities_and_modularity(sector_graph):
     assert q == pytest.approx(0.2612721893, abs=1e-9)
     singles = nodes.select("id", F.monotonically_increasing_id().alias("community"))
     assert q >= g.modularity(und, singles).first()[0]
-    seq = g.greedy_communities(nodes, und, mode="sequential")
-    assert g.modularity(und, seq).first()[0] == pytest.approx(q, abs=1e-9)
+    par = g.greedy_communities(nodes, und, mode="parallel")
+    assert g.modularity(und, par).first()[0] == pytest.approx(q, abs=1e-9)
+    rows = g.community_members(mem, per_row=3).collect()
+    assert {(r["community"], r["size"]) for r in rows} == {(0, 4), (1, 4)}
+    assert sorted(x for r in rows for x in r["members_text"].split(", ")) == sorted(x.id for x in nodes.collect())
 
 
 def test_reciprocal_policies(sector_graph):
@@ -96,3 +99,74 @@ def test_pagerank_hub_salting_gives_same_result(spark):
     assert plain.keys() == salted.keys()
     for k in plain:
         assert salted[k] == pytest.approx(plain[k], abs=1e-12)
+
+
+def _graph(spark, rows):
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges
+
+
+def test_betweenness_tells_close_lengths_apart(spark):
+    nodes, edges = _graph(spark, [("s", "a", 0.10001), ("a", "t", 0.10001), ("s", "b", 0.10002), ("b", "t", 0.10002)])
+    got = {r.id: r.betweenness_centrality for r in g.betweenness(nodes, edges).collect()}
+    assert got == {"s": 0.0, "a": pytest.approx(1 / 6), "b": 0.0, "t": 0.0}
+
+
+def test_betweenness_ends_on_a_short_cycle(spark):
+    nodes, edges = _graph(spark, [("a", "b", 0.00004), ("b", "a", 0.00004), ("b", "c", 1.0)])
+    got = {r.id: r.betweenness_centrality for r in g.betweenness(nodes, edges).collect()}
+    assert got == {"a": 0.0, "b": pytest.approx(0.5), "c": 0.0}
+
+
+@pytest.mark.parametrize("weight", [0.0, -1.0, None])
+def test_betweenness_needs_positive_lengths(spark, weight):
+    nodes, edges = _graph(spark, [("a", "b", 1.0), ("b", "c", weight)])
+    with pytest.raises(ValueError):
+        g.betweenness(nodes, edges)
+
+
+def _brute_betweenness(names, rows):
+    """All simple shortest paths by depth-first search."""
+    out = dict.fromkeys(names, 0.0)
+    near = {}
+    for s, d, w in rows:
+        near.setdefault(s, []).append((d, w))
+
+    def paths(at, goal, length, seen):
+        if at == goal:
+            yield length, seen
+        for d, w in near.get(at, ()):
+            if d not in seen:
+                yield from paths(d, goal, length + w, [*seen, d])
+
+    for s in names:
+        for t in names:
+            if s != t and (found := list(paths(s, t, 0.0, [s]))):
+                best = min(p[0] for p in found)
+                ways = [p[1] for p in found if abs(p[0] - best) < 1e-12]
+                for way in ways:
+                    for v in way[1:-1]:
+                        out[v] += 1 / len(ways)
+    n = len(names)
+    return {v: b / ((n - 1) * (n - 2)) for v, b in out.items()}
+
+
+def test_source_blocks_give_the_same_result(spark):
+    rows = [(a, b, float(1 + (ord(a) * 7 + ord(b) * 3) % 5)) for a in "abcdefg" for b in "abcdefg" if a != b and (ord(a) + 2 * ord(b)) % 3]
+    nodes, edges = _graph(spark, rows)
+    want = _brute_betweenness("abcdefg", rows)
+    for block in (4096, 2):
+        got = {r.id: r.betweenness_centrality for r in g.betweenness(nodes, edges, block_sources=block).collect()}
+        assert got == {v: pytest.approx(b, abs=1e-12) for v, b in want.items()}
+    one, many = [{r.id: r.closeness_centrality for r in g.closeness(nodes, edges, block_sources=b).collect()} for b in (4096, 2)]
+    assert one == many
+
+
+def test_no_silent_end(spark):
+    """A path needs a merge round per pair; PageRank says when it did not converge."""
+    nodes, edges = _graph(spark, [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(11)])
+    und = g.to_undirected(edges)
+    mem = g.greedy_communities(nodes, und)
+    assert mem.count() == 12 and mem.select("community").distinct().count() in (3, 4)
+    with pytest.raises(RuntimeError):
+        g.pagerank(nodes, edges, max_iter=2)
