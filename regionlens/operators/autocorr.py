@@ -9,20 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, normal_two_sided_p
-from ..functions.permutation import (
-    FLOYD_STAGED_MAX_K,
-    bounded_broadcast,
-    dense_index,
-    floyd_columns,
-    floyd_sample,
-    hash_u32,
-    pseudo_p,
-    spread_for_fanout,
-)
+from ..functions.permutation import broadcast_if_small, dense_index, permuted_position, pseudo_p, round_keys, spread_for_fanout
+from ..session import stage
 from ..sources.tables import require_columns
 from .weights import row_standardize, spatial_lag
 
@@ -56,9 +48,10 @@ def impute_mean(values: DataFrame, value: str = "value") -> tuple[DataFrame, int
 
 
 def centered(values: DataFrame, id_col: str = "id", value: str = "value") -> tuple[DataFrame, int, float]:
-    """(id, y, z = y - mean) plus n and sum(z^2)."""
-    imp, n, mean = impute_mean(values.select(id_col, value), value)
-    z = imp.select(F.col(id_col).alias("id"), F.col(value).alias("y"), (F.col(value) - F.lit(mean)).alias("z"))
+    """(id, y, z = y - mean), written once, plus n and sum(z^2)."""
+    values = stage(values.select(F.col(id_col).alias("id"), F.col(value).alias("y")), "values")
+    imp, n, mean = impute_mean(values, "y")
+    z = imp.select("id", "y", (F.col("y") - F.lit(mean)).alias("z"))
     zz = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0] or 0.0
     return z, n, float(zz)
 
@@ -71,20 +64,19 @@ def zscore(values: DataFrame, id_col: str = "id", value: str = "value") -> DataF
 
 
 def weight_sums(w: DataFrame) -> tuple[float, float, float]:
-    """S0 = sum w, S1 = 1/2 sum (w_ij + w_ji)^2, S2 = sum_i (w_i. + w_.i)^2."""
-    s0 = w.agg(F.sum("w")).first()[0] or 0.0
-    t = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("wt"))
-    sym = w.join(t, ["src", "dst"], "full_outer").select(
-        (F.coalesce(F.col("w"), F.lit(0.0)) + F.coalesce(F.col("wt"), F.lit(0.0))).alias("s")
-    )
-    s1 = 0.5 * (sym.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0)
-    rs = w.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("r"))
-    cs = w.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("c"))
-    both = rs.join(cs, "id", "full_outer").select(
-        (F.coalesce(F.col("r"), F.lit(0.0)) + F.coalesce(F.col("c"), F.lit(0.0))).alias("t")
-    )
-    s2 = both.agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return float(s0), float(s1), float(s2)
+    """S0 = sum w, S1 = 1/2 sum (w_ij + w_ji)^2, S2 = sum_i (w_i. + w_.i)^2.
+
+    S1 groups the weights by unordered pair (a pair's sum counts for both directions); S2
+    groups each weight under both of its ends.  No self-join.
+    """
+    pair = w.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("s"))
+    # a self weight stands for itself: (w_ii + w_ii)^2 / 2
+    s1 = pair.agg(
+        F.sum("s").alias("s0"), F.sum(F.col("s") * F.col("s") * F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0)).alias("s1")
+    ).first()
+    ends = w.select(F.explode(F.array("src", "dst")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("t"))
+    s2 = ends.agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return float(s1["s0"] or 0.0), float(s1["s1"] or 0.0), float(s2 or 0.0)
 
 
 def _prepare_w(w: DataFrame, transform: str) -> DataFrame:
@@ -109,10 +101,11 @@ def moran(
 
     One-row result: variable, n, moran_i, expected_i, z_norm, p_norm, p_value (pseudo p),
     z_score (z_sim), mean_sim, std_sim, pattern, permutations, s0, s1, s2.
-    Permutation p: ids ranked by md5(seed:perm:id) within each permutation receive the
-    values of the ids in id order; W is joined per permutation (|W| x P rows).
+    Permutation p gives the value of the id at position r (in id order) to that at position
+    pi_p(r), a keyed bijection (see ``global_permutations``).  A constant variable has no
+    I: moran_i, z and p are NaN or NULL and the pattern is the random one.
     """
-    w = _prepare_w(w, transform)
+    w = stage(_prepare_w(w, transform), "weights")
     z, n, zz = centered(values, id_col, value)
     s0, s1, s2 = weight_sums(w)
     lagged = spatial_lag(w, z.select("id", "z"), "id", "z", "lag")
@@ -145,65 +138,72 @@ def moran(
                 "pattern": F.lit(PATTERN_RANDOM),
             }
         )
-    sims = global_permutations(z, w, n, zz, s0, permutations, seed)
+    sims = global_permutations(z, w, n, zz, s0, permutations, seed) if zz and s0 else None
     agg = sims.agg(
         F.sum(F.when(F.col("i_sim") >= F.lit(i_obs), 1).otherwise(0)).alias("n_ge"),
         F.avg("i_sim").alias("mean_sim"),
         F.stddev_pop("i_sim").alias("std_sim"),
-    ).first()
-    p_sim = (min(agg["n_ge"], permutations - agg["n_ge"]) + 1.0) / (permutations + 1.0)
-    z_sim = (i_obs - agg["mean_sim"]) / agg["std_sim"] if agg["std_sim"] else float("nan")
+    ).first() if sims else {"n_ge": None, "mean_sim": None, "std_sim": None}
+    p_sim = z_sim = None
     pattern = PATTERN_RANDOM
-    if p_sim < 0.05:
-        pattern = PATTERN_CLUSTERED if i_obs > ei else PATTERN_DISPERSED
+    if agg["n_ge"] is not None:
+        p_sim = (min(agg["n_ge"], permutations - agg["n_ge"]) + 1.0) / (permutations + 1.0)
+        z_sim = (i_obs - agg["mean_sim"]) / agg["std_sim"] if agg["std_sim"] else float("nan")
+        if p_sim < 0.05:
+            pattern = PATTERN_CLUSTERED if i_obs > ei else PATTERN_DISPERSED
     return base.withColumns(
         {
-            "p_value": F.lit(p_sim),
-            "z_score": F.lit(z_sim),
-            "mean_sim": F.lit(agg["mean_sim"]),
-            "std_sim": F.lit(agg["std_sim"]),
+            "p_value": F.lit(p_sim).cast("double"),
+            "z_score": F.lit(z_sim).cast("double"),
+            "mean_sim": F.lit(agg["mean_sim"]).cast("double"),
+            "std_sim": F.lit(agg["std_sim"]).cast("double"),
             "pattern": F.lit(pattern),
         }
     )
 
 
+def _perm_keys(spark, permutations: int, seed: int, n: int) -> DataFrame:
+    """(perm, keys): the round keys of every permutation of 0..n-1, ``permutations`` rows."""
+    perms = spark.range(permutations).select(F.col("id").cast("int").alias("perm"))
+    return stage(round_keys(perms, seed, n), "perm_keys")
+
+
 def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float, permutations: int, seed: int) -> DataFrame:
     """X-3: one simulated I per permutation, ``(perm, i_sim)``.
 
-    Permutation p gives the id at position r (in id order) the value of the id ranked r-th
-    by md5(seed:p:id).  All ranks come from distributed sorts: the id positions from one
-    dense index over n rows, and the hash ranks from one dense index over the n x P rows in
-    (perm, hash, id) order - every permutation holds exactly n rows, so the rank within a
-    permutation is the global position minus perm * n.  No task ever holds a whole
-    permutation.  Replicas are made with ``explode`` (no join).
+    Permutation p gives the value of the id at position r (in id order) to the id at position
+    pi_p(r), a keyed bijection computed per row: no sort.  The values that a position gets
+    under all permutations meet in one array (n x P small rows shuffled once, arrays of length
+    P); a weight then multiplies the arrays of its two ends, and the products are summed per
+    permutation, first within each task.
     """
-    idx = dense_index(z.select("id", "z"), "id", out="pos")
-    small = spread_for_fanout(idx, n, permutations)
-    reps = small.select(
-        "id", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    ).withColumn("h", hash_u32(seed, "perm", "id"))
-    ranked = dense_index(reps, "perm", "h", "id", out="g")
-    draws = ranked.select("perm", (F.col("g") - F.col("perm").cast("long") * F.lit(n)).alias("pos"), F.col("z").alias("zp"))
-    permuted = draws.join(bounded_broadcast(idx.select("pos", "id"), n), "pos").select("perm", "id", "zp")
-    w_rows = w.count()
-    lag = (
-        bounded_broadcast(w, w_rows).join(permuted.withColumnRenamed("id", "dst"), "dst")
-        .groupBy("perm", "src")
-        .agg(F.sum(F.col("w") * F.col("zp")).alias("lag"))
+    idx = stage(dense_index(z.select("id", "z"), "id", out="pos"), "positions")
+    reps = spread_for_fanout(idx.select("pos", "z"), n, permutations)
+    reps = reps.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    reps = reps.join(broadcast_if_small(_perm_keys(z.sparkSession, permutations, seed, n)), "perm")
+    given = reps.groupBy(permuted_position(F.col("pos"), n, F.col("keys")).alias("pos")).agg(
+        F.array_sort(F.collect_list(F.struct("perm", "z"))).alias("v")  # one value a permutation
     )
-    cross = lag.join(permuted.withColumnRenamed("id", "src"), ["perm", "src"])
-    return cross.groupBy("perm").agg(
-        (F.lit(n / s0) * F.sum(F.col("zp") * F.col("lag")) / F.lit(zz)).alias("i_sim")
+    given = idx.select("id", "pos").join(given.select("pos", F.col("v.z").alias("v")), "pos")
+    given = stage(given.select("id", "v"), "permuted")
+    ends = w.join(given.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(
+        given.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst"
     )
+    products = ends.select(F.posexplode(F.zip_with("a", "b", lambda x, y: x * y * F.col("w"))).alias("perm", "x"))
+    return products.groupBy("perm").agg((F.lit(n / s0 / zz) * F.sum("x")).alias("i_sim"))
 
 
 def local_moran(values: DataFrame, w: DataFrame, id_col: str = "id", value: str = "value", transform: str = "r") -> DataFrame:
     """X-5 + P-12: I_i = (n-1) z_i lag_i / sum z^2 and the Moran quadrant.
 
-    Quadrant: 1 HH (z>0, lag>0), 2 LH, 3 LL, 4 HL (zero counts as low).
+    Quadrant: 1 HH (z>0, lag>0), 2 LH, 3 LL, 4 HL (zero counts as low).  NULL statistic for a
+    constant variable.
     """
-    w = _prepare_w(w, transform)
     z, n, zz = centered(values, id_col, value)
+    return _local(z, n, zz, _prepare_w(w, transform))
+
+
+def _local(z: DataFrame, n: int, zz: float, w: DataFrame) -> DataFrame:
     lagged = spatial_lag(w, z, "id", "z", "lag")
     hi_z, hi_l = F.col("z") > 0, F.col("lag") > 0
     quad = (
@@ -211,7 +211,7 @@ def local_moran(values: DataFrame, w: DataFrame, id_col: str = "id", value: str
     )
     return lagged.select(
         "id", "y", "z", "lag",
-        (F.lit(float(n - 1)) * F.col("z") * F.col("lag") / F.lit(zz)).alias("lisa_i"),
+        F.try_divide(F.lit(float(n - 1)) * F.col("z") * F.col("lag"), F.lit(zz)).alias("lisa_i"),
         quad.alias("quadrant"),
     )
 
@@ -228,52 +228,37 @@ def lisa(
 ) -> DataFrame:
     """X-6, X-7, P-11, J-8: local Moran with conditional permutation inference.
 
-    For every (i, perm) the value of i stays, and card(i) other ids are drawn without
-    replacement: Floyd's algorithm over positions 0..n-2 (md5 draws), position >= pos(i)
-    shifted by one, then an equi-join on the dense id position.  Rows: n x P x card.
+    For every (i, perm) the value of i stays and card(i) other ids are drawn without
+    replacement: draw r is the image of r under the permutation's keyed bijection of the
+    positions 0..n-2, those from pos(i) on shifted by one (the draws of a permutation are
+    shared by all i, so there are P x max(card) of them).  Equi-joins on r and on the dense id
+    position fetch draws and values.  Rows: |W| x P.  Ids without neighbours have no distribution: NULL p, quadrant 0.
     Output: id, y, z, lag, lisa_i, quadrant, n_ge, lisa_p_value, lisa_quad, lisa_label.
     """
-    w = _prepare_w(w, transform)
-    loc = local_moran(values, w, id_col, value, transform="none")
+    spark = values.sparkSession
+    w = stage(_prepare_w(w, transform), "weights")
     z, n, zz = centered(values, id_col, value)
-    idx = dense_index(z.select("id", "z"), "id", out="pos")
-    nbr = w.select(
-        "src", "w", (F.row_number().over(_win_src()) - 1).alias("r")
-    )
-    card = nbr.groupBy("src").agg(F.count(F.lit(1)).alias("card"))
-    base = idx.join(card, idx.id == card.src).select("id", "pos", "z", "card")
-    base = spread_for_fanout(base, n, permutations)
-    reps = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    k_max = int(card.agg(F.max("card")).first()[0] or 0)
-    if k_max <= FLOYD_STAGED_MAX_K:
-        with_draws = floyd_columns(reps, F.lit(n - 1), "card", k_max, seed, ["perm", "id"])
-    else:
-        with_draws = reps.withColumn("draws", floyd_sample(F.lit(n - 1), F.col("card"), seed, F.col("perm"), F.col("id")))
-    drawn = with_draws.select("id", "pos", "perm", F.posexplode_outer("draws").alias("r", "q")).where(F.col("q").isNotNull())
+    loc = stage(_local(z, n, zz, w), "local")
+    idx = stage(dense_index(z.select("id", "z"), "id", out="pos"), "positions")
+    nbr = w.select("src", "w", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("r"))
+    base = nbr.join(idx.select(F.col("id").alias("src"), "pos"), "src").join(loc.select(F.col("id").alias("src"), "z", "lisa_i"), "src")
+    base = stage(base, "draw_rows")
+    most = int(base.agg(F.max("r")).first()[0] or 0)
+    q = permuted_position(F.col("r"), max(n - 1, 1), F.col("keys"))
+    draws = spread_for_fanout(_perm_keys(spark, permutations, seed, max(n - 1, 1)), permutations, most + 1)
+    draws = stage(draws.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("perm", "r", q.alias("q")), "draws")
+    drawn = spread_for_fanout(base, base.count(), permutations).join(broadcast_if_small(draws), "r")
     drawn = drawn.withColumn("q", F.when(F.col("q") >= F.col("pos"), F.col("q") + 1).otherwise(F.col("q")))
-    w_rows = w.count()
-    valued = drawn.join(bounded_broadcast(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj")), n), "q")
-    weighted = valued.join(bounded_broadcast(nbr.withColumnRenamed("src", "id"), w_rows), ["id", "r"])
-    lag_sim = weighted.groupBy("id", "perm").agg(F.sum(F.col("w") * F.col("zj")).alias("lag_sim"))
-    counts = (
-        lag_sim.join(bounded_broadcast(loc.select("id", "z", "lisa_i"), n), "id")
-        .withColumn("i_sim", F.lit(float(n - 1)) * F.col("z") * F.col("lag_sim") / F.lit(zz))
-        .groupBy("id")
-        .agg(F.sum(F.when(F.col("i_sim") >= F.col("lisa_i"), 1).otherwise(0)).alias("n_ge"))
-    )
-    out = loc.join(counts, "id", "left").withColumn("n_ge", F.coalesce(F.col("n_ge"), F.lit(0)))
-    p = pseudo_p(F.col("n_ge"), permutations)
-    out = out.withColumn("lisa_p_value", F.when(F.col("lisa_i").isNotNull(), p))
+    valued = drawn.join(broadcast_if_small(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj"))), "q")
+    i_sim = F.try_divide(F.lit(float(n - 1)) * F.first("z") * F.sum(F.col("w") * F.col("zj")), F.lit(zz))
+    sims = valued.groupBy("src", "perm").agg(i_sim.alias("i_sim"), F.first("lisa_i").alias("lisa_i"))
+    counts = sims.groupBy(F.col("src").alias("id")).agg(F.sum(F.when(F.col("i_sim") >= F.col("lisa_i"), 1).otherwise(0)).alias("n_ge"))
+    out = loc.join(counts, "id", "left")
+    out = out.withColumn("lisa_p_value", F.when(F.col("lisa_i").isNotNull(), pseudo_p(F.col("n_ge"), permutations)))
     sig_q = F.when(F.col("lisa_p_value") < F.lit(p_threshold), F.col("quadrant")).otherwise(F.lit(0))
     return out.withColumn("lisa_quad", sig_q).withColumn("lisa_label", _label_expr(F.col("lisa_quad")))
 
 
-def _win_src():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("src").orderBy("dst")
-
-
 def label_counts(lisa_df: DataFrame, label: str = "lisa_label") -> DataFrame:
     """G-11: observations per LISA label, most frequent first."""
     return lisa_df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(label))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from ..sources.tables import require_columns
 
 PANEL_FEATURES = (
@@ -75,9 +76,11 @@ def territory_features(panel: DataFrame, key="uf", year="ano", month="mes", sect
                        jobs="empregos", wages="massa_salarial", mean_wage="salario_medio_nominal") -> DataFrame:
     """F4 contract: one row per territory with the five panel features.
 
-    All five inputs aggregate to one row per territory, so the joins are between
-    territory-sized frames (co-partitioned on ``key`` after their aggregations).
+    The panel (one row per territory, period and sector) is written once and read by all five.
+    They aggregate to one row per territory, so the joins are between territory-sized frames
+    (co-partitioned on ``key`` after their aggregations).
     """
+    panel = stage(panel, "panel")
     parts = [
         avg_growth_rate(panel, key, year, jobs),
         volatility_index(panel, key, year, month, jobs),

@@ -6,18 +6,15 @@ W is never a dense matrix: it is a sparse edge list partitioned like any other t
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import Scratch, stage
 from ..sources.tables import require_columns
 
 # ------------------------------------------------------------------ k nearest neighbours
 
-_DEBUG = bool(os.environ.get("REGIONLENS_DEBUG"))
-
 
 def _bbox(points: DataFrame, x: str, y: str) -> tuple[int, float, float, float, float]:
     r = points.agg(
@@ -26,139 +23,134 @@ def _bbox(points: DataFrame, x: str, y: str) -> tuple[int, float, float, float,
     return int(r["n"]), float(r["x0"] or 0.0), float(r["x1"] or 0.0), float(r["y0"] or 0.0), float(r["y1"] or 0.0)
 
 
-def knn(
-    points: DataFrame,
-    k: int = 4,
-    id_col: str = "id",
-    x: str = "x",
-    y: str = "y",
-    hot_cell_factor: int = 16,
-    remainder_budget: int = 20_000_000,
-) -> DataFrame:
+def knn(points: DataFrame, k: int = 4, id_col: str = "id", x: str = "x", y: str = "y", hot_cell_factor: int = 16) -> DataFrame:
     """J-2: exact k nearest neighbours (Euclidean, self excluded, ties broken by neighbour id).
 
     Returns ``(src, dst, d2, rank)``.  No all-pairs join: points are bucketed into square
     cells; each point compares itself with the 3x3 block of cells around it and is accepted
     once its k-th distance is strictly inside the block's border (so no point outside the
-    block can be closer).  Unresolved points retry on a grid twice as coarse.  Cells holding
-    more than ``hot_cell_factor * (k+1)`` points start on a finer grid, so a dense hot spot
-    does not become a quadratic candidate set in one task.
+    block can be closer).  Unresolved points retry on a grid twice as coarse, level by level,
+    until one cell spans all points.
+
+    A cell with more than ``hot_cell_factor * (k+1)`` points is halved, and its hot quarters
+    again, until every cell is below that bound or holds one location; a point starts on the
+    level of its cell.  So a dense spot of any shape is no quadratic candidate set.  A sparse
+    point beside a dense spot still looks at the spot's points within its own, larger block.
     """
     require_columns(points, id_col, x, y)
+    spark = points.sparkSession
     pts = points.select(F.col(id_col).alias("pid"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
     pts = pts.where(F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py"))
-    n, x0, x1, y0, y1 = _bbox(pts, "px", "py")
-    if n == 0:
-        return points.sparkSession.createDataFrame([], "src " + _id_type(points, id_col) + ", dst " + _id_type(points, id_col) + ", d2 double, rank int")
-    extent = max(x1 - x0, y1 - y0, 1e-12)
-    area = max((x1 - x0) * (y1 - y0), extent * extent * 1e-6)
-    c0 = min(extent, math.sqrt(area * (k + 1) / max(n, 1)))
-    max_level = max(0, math.ceil(math.log2(extent / c0)) + 1)  # at this level one cell spans the bbox
-
-    def cell(level_col_size):
-        return (
-            F.floor((F.col("px") - F.lit(x0)) / level_col_size).cast("long"),
-            F.floor((F.col("py") - F.lit(y0)) / level_col_size).cast("long"),
-        )
-
-    # Identical coordinates: points at one location are at equal distance from everyone,
-    # so (ties by id) only the k smallest ids of a location can be anyone's neighbour.  The
-    # candidate side keeps just those (row_number filter, limited per group before the
-    # shuffle), and points of a location holding more than k points take their neighbours
-    # directly from its k+1 smallest ids at distance 0 - a location holding a third of all
-    # points never becomes a quadratic candidate set.
-    cached = []
-    results = []
-    gsize = pts.groupBy("px", "py").agg(F.count(F.lit(1)).alias("m"))
-    max_m = int(gsize.agg(F.max("m")).first()[0] or 0)
-    probe_pts, build_pts = pts, pts
-    if max_m > k:
-        first_ids = pts.withColumn("drk", F.row_number().over(Window.partitionBy("px", "py").orderBy("pid")))
-        first_ids = first_ids.where(F.col("drk") <= k + 1).persist()
-        cached.append(first_ids)
-        crowded = gsize.where(F.col("m") > k).select("px", "py")
-        members = pts.join(crowded, ["px", "py"], "left_semi").select(F.col("pid").alias("src"), "px", "py")
-        same = members.join(first_ids.select("px", "py", F.col("pid").alias("dst"), "drk"), ["px", "py"]).where(
-            F.col("src") != F.col("dst")
-        )
-        same = same.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("drk"))).where(F.col("rank") <= k)
-        results.append(same.select("src", "dst", F.lit(0.0).alias("d2"), "rank"))
-        probe_pts = pts.join(crowded, ["px", "py"], "left_anti")
-        build_pts = first_ids.where(F.col("drk") <= k).select("pid", "px", "py")
-
-    # start level per point: finer than the base grid only inside hot cells
-    cx0, cy0 = cell(F.lit(c0))
-    base = probe_pts.withColumns({"bx": cx0, "by": cy0})
-    hot = hot_cell_factor * (k + 1)
-    cnt = build_pts.withColumns({"bx": cx0, "by": cy0}).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("cnt"))
-    max_cnt = int(cnt.agg(F.max("cnt")).first()[0] or 0)
-    if max_cnt > hot:
-        start = F.when(
-            F.col("cnt") > hot, -F.ceil(F.log(4.0, F.col("cnt") / F.lit(float(k + 1))))
-        ).otherwise(F.lit(0)).cast("int")
-        probes = base.join(cnt, ["bx", "by"], "left").select("pid", "px", "py", F.coalesce(start, F.lit(0)).alias("lvl")).persist()
-        cached.append(probes)
-        level = int(probes.agg(F.min("lvl")).first()[0] or 0)
-    else:
-        probes = probe_pts.withColumn("lvl", F.lit(0))
-        level = 0
-
-    waiting = probes
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    with Scratch(spark, "knn") as scratch:
+        pts = scratch.keep(pts)
+        n, x0, x1, y0, y1 = _bbox(pts, "px", "py")
+        if n == 0:
+            return spark.createDataFrame([], f"src {_id_type(points, id_col)}, dst {_id_type(points, id_col)}, d2 double, rank int")
+        extent = max(x1 - x0, y1 - y0, 1e-12)
+        area = max((x1 - x0) * (y1 - y0), extent * extent * 1e-6)
+        c0 = min(extent, math.sqrt(area * (k + 1) / n))
+        max_level = max(0, math.ceil(math.log2(extent / c0)) + 1)  # at this level one cell spans the bbox
+
+        def cell(size: float):
+            return (
+                F.floor((F.col("px") - F.lit(x0)) / F.lit(size)).cast("long"),
+                F.floor((F.col("py") - F.lit(y0)) / F.lit(size)).cast("long"),
+            )
+
+        # Identical coordinates: points at one location are at equal distance from everyone,
+        # so (ties by id) only the k smallest ids of a location can be anyone's neighbour.  The
+        # candidate side keeps just those (row_number filter, limited per group before the
+        # shuffle), and points of a location holding more than k points take their neighbours
+        # directly from its k+1 smallest ids at distance 0 - a location holding a third of all
+        # points never becomes a quadratic candidate set.
+        results = []
+        gsize = pts.groupBy("px", "py").agg(F.count(F.lit(1)).alias("m"))
+        max_m = int(gsize.agg(F.max("m")).first()[0] or 0)
+        probe_pts, build_pts = pts, pts
+        if max_m > k:
+            first_ids = pts.withColumn("drk", F.row_number().over(Window.partitionBy("px", "py").orderBy("pid")))
+            first_ids = scratch.keep(first_ids.where(F.col("drk") <= k + 1))
+            crowded = gsize.where(F.col("m") > k).select("px", "py")
+            members = pts.join(crowded, ["px", "py"], "left_semi").select(F.col("pid").alias("src"), "px", "py")
+            same = members.join(first_ids.select("px", "py", F.col("pid").alias("dst"), "drk"), ["px", "py"]).where(
+                F.col("src") != F.col("dst")
+            )
+            same = same.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("drk"))).where(F.col("rank") <= k)
+            results.append(scratch.keep(same.select("src", "dst", F.lit(0.0).alias("d2"), "rank")))
+            probe_pts = scratch.keep(pts.join(crowded, ["px", "py"], "left_anti"))
+            build_pts = scratch.keep(first_ids.where(F.col("drk") <= k).select("pid", "px", "py"))
+
+        waiting, level = _start_levels(scratch, probe_pts, build_pts, cell, c0, extent, hot_cell_factor * (k + 1))
+        offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        while True:
+            size = c0 * (2.0 ** level)
+            covers_all = level >= max_level
+            active = waiting.where(F.col("lvl") <= level)
+            qx, qy = cell(size)
+            probe_cells = active.select(
+                F.col("pid").alias("src"), F.col("px").alias("sx"), F.col("py").alias("sy"), "lvl", qx.alias("cx"), qy.alias("cy")
+            )
+            lo_x = F.lit(x0) + (F.col("cx") - 1).cast("double") * F.lit(size)
+            hi_x = F.lit(x0) + (F.col("cx") + 2).cast("double") * F.lit(size)
+            lo_y = F.lit(y0) + (F.col("cy") - 1).cast("double") * F.lit(size)
+            hi_y = F.lit(y0) + (F.col("cy") + 2).cast("double") * F.lit(size)
+            border = F.least(F.col("sx") - lo_x, hi_x - F.col("sx"), F.col("sy") - lo_y, hi_y - F.col("sy")) - F.lit(1e-9 * size)
+            probe_cells = probe_cells.withColumn("border", border).withColumn("o", F.explode(offsets)).select(
+                "src", "sx", "sy", "lvl", "border", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky")
+            )
+            build = build_pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
+            # left join: a probe whose block is empty still yields one (NULL) row and stays visible
+            cand = probe_cells.join(build, ["kx", "ky"], "left").where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
+            dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+            cand = cand.withColumn("d2", dx * dx + dy * dy)
+            w = Window.partitionBy("src").orderBy(F.asc_nulls_last("d2"), F.asc_nulls_last("dst"))
+            top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            # per-source resolution stats over the same partitioning as the window (no new shuffle)
+            g = Window.partitionBy("src")
+            top = top.withColumns({"m": F.count("dst").over(g), "kth": F.max("d2").over(g)})
+            ok = F.lit(True) if covers_all else (F.col("m") >= k) & (F.col("kth") < F.col("border") * F.col("border"))
+            top = scratch.keep(top.withColumn("ok", ok).select("src", "dst", "d2", "rank", "sx", "sy", "lvl", "ok"))
+            results.append(top.where(F.col("ok") & F.col("dst").isNotNull()).select("src", "dst", "d2", "rank"))
+            if covers_all:
+                break
+            retry = top.where(~F.col("ok") & (F.col("rank") == 1)).select(
+                F.col("src").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"), "lvl"
+            )
+            waiting = scratch.keep(retry.unionByName(waiting.where(F.col("lvl") > level)))
+            if waiting.isEmpty():
+                break
+            level += 1
+        out = results[0]
+        for r in results[1:]:
+            out = out.unionByName(r)
+        # n x k rows, reused by every statistic built on W
+        return stage(out, "neighbours")
+
+
+def _start_levels(scratch: Scratch, probes: DataFrame, build: DataFrame, cell, c0: float, extent: float, hot: int) -> tuple[DataFrame, int]:
+    """(probes with the level ``lvl`` they start on, the lowest level).
+
+    Level by level, only the points of cells that are still too full go on; a cell that a
+    double cannot halve any more (and thus one location) stays as it is.
+    """
+    level, going, inside, settled = 0, probes, build, []
     while True:
         size = c0 * (2.0 ** level)
-        covers_all = level >= max_level
-        active = waiting.where(F.col("lvl") <= level)
-        qx, qy = cell(F.lit(size))
-        probe_cells = active.select(
-            F.col("pid").alias("src"), F.col("px").alias("sx"), F.col("py").alias("sy"), "lvl", qx.alias("cx"), qy.alias("cy")
-        )
-        lo_x = F.lit(x0) + (F.col("cx") - 1).cast("double") * F.lit(size)
-        hi_x = F.lit(x0) + (F.col("cx") + 2).cast("double") * F.lit(size)
-        lo_y = F.lit(y0) + (F.col("cy") - 1).cast("double") * F.lit(size)
-        hi_y = F.lit(y0) + (F.col("cy") + 2).cast("double") * F.lit(size)
-        border = F.least(F.col("sx") - lo_x, hi_x - F.col("sx"), F.col("sy") - lo_y, hi_y - F.col("sy")) - F.lit(1e-9 * size)
-        probe_cells = probe_cells.withColumn("border", border).withColumn("o", F.explode(offsets)).select(
-            "src", "sx", "sy", "lvl", "border", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky")
-        )
-        build = build_pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
-        # left join: a probe whose block is empty still yields one (NULL) row and stays visible
-        cand = probe_cells.join(build, ["kx", "ky"], "left").where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
-        dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
-        cand = cand.withColumn("d2", dx * dx + dy * dy)
-        w = Window.partitionBy("src").orderBy(F.asc_nulls_last("d2"), F.asc_nulls_last("dst"))
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        # per-source resolution stats over the same partitioning as the window (no new shuffle)
-        g = Window.partitionBy("src")
-        top = top.withColumns({"m": F.count("dst").over(g), "kth": F.max("d2").over(g)})
-        ok = F.lit(True) if covers_all else (F.col("m") >= k) & (F.col("kth") < F.col("border") * F.col("border"))
-        top = top.withColumn("ok", ok).select("src", "dst", "d2", "rank", "sx", "sy", "lvl", "ok").persist()
-        cached.append(top)
-        results.append(top.where(F.col("ok") & F.col("dst").isNotNull()).select("src", "dst", "d2", "rank"))
-        if covers_all:
-            break
-        retry = top.where(~F.col("ok") & (F.col("rank") == 1)).select(
-            F.col("src").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"), "lvl"
-        )
-        waiting = retry.unionByName(waiting.where(F.col("lvl") > level)).persist()
-        cached.append(waiting)
-        remaining = waiting.count()
-        if _DEBUG:
-            print(f"knn level {level}: size {size:.4g} remaining {remaining}")
-        if remaining == 0:
+        bx, by = cell(size)
+        full = inside.groupBy(bx.alias("bx"), by.alias("by")).agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > hot)
+        full = scratch.keep(full.select("bx", "by"))
+        if full.isEmpty() or extent / size > 2.0**50:
+            settled.append(going.withColumn("lvl", F.lit(level)))
             break
-        level = max_level if remaining * n <= remainder_budget else level + 1
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    # The result is small (n x k rows) and reused by every statistic built on W:
-    # materialise it once in the shared checkpoint folder (lineage cut, survives executor loss).
-    ensure_checkpoint_dir(points.sparkSession)
-    staged = out.persist()
-    out = staged.checkpoint()
-    for c in cached + [staged]:
-        c.unpersist()
-    return out
+        cells = going.withColumns({"bx": bx, "by": by})
+        settled.append(scratch.keep(cells.join(full, ["bx", "by"], "left_anti").drop("bx", "by").withColumn("lvl", F.lit(level))))
+        going = scratch.keep(cells.join(full, ["bx", "by"], "left_semi").drop("bx", "by"))
+        inside = scratch.keep(inside.withColumns({"bx": bx, "by": by}).join(full, ["bx", "by"], "left_semi").drop("bx", "by"))
+        level -= 1
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return scratch.keep(out), level
 
 
 def _id_type(df: DataFrame, c: str) -> str:

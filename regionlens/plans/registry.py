@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import kpi
+from ..session import stage
 from . import stand_ins as si
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,30 +372,30 @@ def q_spatial_lag(spark, base):
 
 # ---------------------------------------------------------------- autocorrelation
 from ..functions.columns import erfc_sql  # noqa: E402
+from ..functions.permutation import PRIME, ROUNDS  # noqa: E402
 from ..operators import autocorr as ac  # noqa: E402
 
 PERMS = 999
 SEED = 123
 
 
-def _sql_hash(*parts: str) -> str:
-    text = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
-
-
-SQL_Z = f"""
-stats AS (SELECT count(*) AS n, avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS m FROM ({SQL_POINTS}) p),
+def sql_z(points: str, w: str) -> str:
+    return f"""
+pts AS MATERIALIZED ({points}),
+stats AS (SELECT count(*) AS n, avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS m FROM pts),
 zt AS (SELECT p.id, coalesce(CASE WHEN isnan(p.value) THEN NULL ELSE p.value END, s.m) AS y,
               coalesce(CASE WHEN isnan(p.value) THEN NULL ELSE p.value END, s.m) - s.m AS z
-       FROM ({SQL_POINTS}) p, stats s),
-w AS ({SQL_KNN_W}),
+       FROM pts p, stats s),
+w AS MATERIALIZED ({w}),
 zz AS (SELECT sum(z * z) AS zz FROM zt),
 lag AS (SELECT zt.id, zt.y, zt.z, coalesce(l.lag, 0.0) AS lag FROM zt LEFT JOIN
         (SELECT w.src, sum(w.w * zt.z) AS lag FROM w JOIN zt ON zt.id = w.dst GROUP BY w.src) l ON l.src = zt.id)
 """
 
-SQL_LOCAL = f"""
-WITH {SQL_Z},
+
+def sql_local(points: str, w: str) -> str:
+    return f"""
+WITH {sql_z(points, w)},
 loc AS (SELECT id, y, z, lag, (s.n - 1) * z * lag / zz.zz AS lisa_i,
                CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2
                     WHEN z <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant
@@ -402,6 +403,10 @@ loc AS (SELECT id, y, z, lag, (s.n - 1) * z * lag / zz.zz AS lisa_i,
 """
 
 
+SQL_Z = sql_z(SQL_POINTS, SQL_KNN_W)
+SQL_LOCAL = sql_local(SQL_POINTS, SQL_KNN_W)
+
+
 @register(
     "spatial_local_moran",
     SQL_LOCAL + "SELECT id, round(y, 6) AS y, round(z, 6) AS z, round(lag, 6) AS lag, round(lisa_i, 6) AS lisa_i, quadrant FROM loc",
@@ -411,77 +416,86 @@ def q_spatial_local_moran(spark, base):
     return round_doubles(ac.local_moran(_points(spark, base), _knn_w(spark, base), transform="none"))
 
 
-def _sql_u32(block: int, part: int) -> str:
-    text = f"CAST({SEED} AS VARCHAR) || ':' || CAST(perm AS VARCHAR) || ':' || CAST(id AS VARCHAR) || ':' || '{block}'"
-    return f"('0x' || substr(md5({text}), {part * 8 + 1}, 8))::BIGINT"
-
-
-def _sql_floyd(k: int) -> tuple[str, str]:
-    """Unrolled Floyd draws s1..sk for pool size N (column N) -> (select list, names)."""
-    sel, prev = [], []
-    for step in range(k):
-        j = f"(N - {k - step})"
-        t = f"({_sql_u32(step // 4, step % 4)} % ({j} + 1))"
-        if prev:
-            sel.append(f"CASE WHEN {t} IN ({', '.join(prev)}) THEN {j} ELSE {t} END AS s{step + 1}")
-        else:
-            sel.append(f"{t} AS s{step + 1}")
-        prev.append(f"s{step + 1}")
-    # later draws refer to earlier ones: use a lateral chain of subqueries
-    return sel, prev
-
-
-def _sql_lisa(k: int = 4, threshold: float = 0.05) -> str:
-    sel, names = _sql_floyd(k)
-    chain = "SELECT id, pos, perm, N FROM reps"
-    for i, s in enumerate(sel):
-        keep = ", ".join(["id", "pos", "perm", "N"] + names[:i])
-        chain = f"SELECT {keep}, {s} FROM ({chain}) c{i}"
-    unpivot = " UNION ALL ".join(f"SELECT id, pos, perm, {r} AS r, {names[r]} AS q FROM draws" for r in range(k))
-    labels = " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items())
+def sql_perm_keys() -> str:
+    """(perm, k0, s0, k1, s1, ...): the round keys of the keyed bijections."""
+    cols = []
+    for i in range(ROUNDS):
+        digest = f"md5('{SEED}:' || CAST(range AS VARCHAR) || ':{i}')"
+        cols += [f"('0x' || substr({digest}, 1, 15))::BIGINT AS k{i}", f"('0x' || substr({digest}, 16, 7))::BIGINT AS s{i}"]
+    return f"SELECT range AS perm, {', '.join(cols)} FROM range(0, {PERMS})"
+
+
+def sql_bijection(rows: str) -> str:
+    """``rows`` (.., perm, x, n) with x replaced by its image: the rounds of the shuffle unrolled."""
+    out = f"SELECT r.*, keys.* EXCLUDE (perm) FROM ({rows}) r JOIN keys ON keys.perm = r.perm"
+    for i in range(ROUNDS):
+        t = f"((greatest(x, y) + s{i}) % {PRIME})"
+        bit = f"((({t} * {t} + s{i}) % {PRIME}) >> 10) % 2"
+        out = f"SELECT * EXCLUDE (y, k{i}, s{i}) REPLACE (CASE WHEN {bit} = 1 THEN y ELSE x END AS x) FROM (SELECT *, ((k{i} - x) % n + n) % n AS y FROM ({out}) a{i}) b{i}"
+    return out
+
+
+def sql_lisa(points: str, w: str, threshold: float = 0.05) -> str:
     return f"""
-{SQL_LOCAL},
+{sql_local(points, w)},
+keys AS MATERIALIZED ({sql_perm_keys()}),
 idx AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS pos FROM zt),
 nbr AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r FROM w),
-reps AS (SELECT i.id, i.pos, p.perm, s.n - 1 AS N FROM idx i, stats s, (SELECT range AS perm FROM range(0, {PERMS})) p),
-draws AS ({chain}),
-flat AS ({unpivot}),
-shifted AS (SELECT id, perm, r, CASE WHEN q >= pos THEN q + 1 ELSE q END AS q FROM flat),
-sim AS (SELECT sh.id, sh.perm, sum(nb.w * ix.z) AS lag_sim
-        FROM shifted sh JOIN idx ix ON ix.pos = sh.q JOIN nbr nb ON nb.src = sh.id AND nb.r = sh.r
-        GROUP BY sh.id, sh.perm),
+draws AS MATERIALIZED ({sql_bijection("SELECT p.perm, r.r, r.r AS x, s.n - 1 AS n FROM (SELECT DISTINCT r FROM nbr) r, stats s, (SELECT perm FROM keys) p")}),
+sim AS (SELECT i.id, d.perm, sum(nb.w * ix.z) AS lag_sim
+        FROM nbr nb JOIN idx i ON i.id = nb.src JOIN draws d ON d.r = nb.r
+        JOIN idx ix ON ix.pos = CASE WHEN d.x >= i.pos THEN d.x + 1 ELSE d.x END
+        GROUP BY i.id, d.perm),
 cnt AS (SELECT l.id, CAST(sum(CASE WHEN (s.n - 1) * l.z * sim.lag_sim / zz.zz >= l.lisa_i THEN 1 ELSE 0 END) AS BIGINT) AS n_ge
         FROM loc l JOIN sim ON sim.id = l.id, stats s, zz GROUP BY l.id),
-res AS (SELECT l.*, c.n_ge, (least(c.n_ge, {PERMS} - c.n_ge) + 1.0) / {PERMS + 1}.0 AS lisa_p_value FROM loc l JOIN cnt c USING (id)),
+res AS (SELECT l.*, c.n_ge, (least(c.n_ge, {PERMS} - c.n_ge) + 1.0) / {PERMS + 1}.0 AS lisa_p_value FROM loc l LEFT JOIN cnt c USING (id)),
 fin AS (SELECT *, CASE WHEN lisa_p_value < {threshold} THEN quadrant ELSE 0 END AS lisa_quad FROM res)
 """
 
 
-SQL_LISA_BODY = _sql_lisa(4, 0.05)
-SQL_LISA = SQL_LISA_BODY + """
-SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad,
-       CASE lisa_quad {labels} END AS lisa_label FROM fin
-""".replace("{labels}", " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items()))
+SQL_LISA_LABEL = "CASE lisa_quad " + " ".join(f"WHEN {q} THEN '{t}'" for q, t in ac.LISA_LABELS.items()) + " END"
+SQL_LISA_OUT = f"""
+SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad, {SQL_LISA_LABEL} AS lisa_label FROM fin
+"""
+SQL_LISA_BODY = sql_lisa(SQL_POINTS, SQL_KNN_W)
+LISA_COLUMNS = ["id", "lisa_i", "quadrant", "n_ge", "lisa_p_value", "lisa_quad", "lisa_label"]
 
 
 def _lisa(spark, base):
     return ac.lisa(_points(spark, base), _knn_w(spark, base), permutations=PERMS, seed=SEED, p_threshold=0.05, transform="none")
 
 
-@register("spatial_lisa", SQL_LISA)
+@register("spatial_lisa", SQL_LISA_BODY + SQL_LISA_OUT)
 def q_spatial_lisa(spark, base):
     """X-6, X-7, P-11: local Moran with 999 conditional permutations, significance 0.05."""
-    out = _lisa(spark, base).select("id", "lisa_i", "quadrant", "n_ge", "lisa_p_value", "lisa_quad", "lisa_label")
-    return round_doubles(out)
+    return round_doubles(_lisa(spark, base).select(*LISA_COLUMNS))
+
+
+SQL_QUEEN_W = f"SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM ({SQL_QUEEN}) q"
+SQL_RANK_W = f"SELECT src, dst, (1.0 / rank) / sum(1.0 / rank) OVER (PARTITION BY src) AS w FROM ({SQL_KNN4}) k"
+
+
+@register("spatial_lisa_queen", sql_lisa(SQL_CELLS, SQL_QUEEN_W) + SQL_LISA_OUT)
+def q_spatial_lisa_queen(spark, base):
+    """P-14, X-6: LISA of the grid cells on queen weights from the dispatcher; cells without
+    neighbours get no p and no label."""
+    cells = stage(si.grid_polygons(_points(spark, base)), "cells")
+    w = wts.create_weights(cells, "queen")
+    return round_doubles(ac.lisa(cells.select("id", "value"), w, permutations=PERMS, seed=SEED, transform="none").select(*LISA_COLUMNS))
+
+
+@register("spatial_lisa_weighted", sql_lisa(SQL_POINTS, SQL_RANK_W) + SQL_LISA_OUT)
+def q_spatial_lisa_weighted(spark, base):
+    """X-6 with unequal weights: 1 / rank of the neighbour, row-standardised."""
+    pts = _points(spark, base)
+    e = wts.knn(pts, k=4)
+    w = wts.row_standardize(e.select("src", "dst", (F.lit(1.0) / F.col("rank")).alias("w")))
+    return round_doubles(ac.lisa(pts, w, permutations=PERMS, seed=SEED, transform="none").select(*LISA_COLUMNS))
 
 
 @register(
     "spatial_lisa_counts",
-    SQL_LISA.replace(
-        "SELECT id, round(lisa_i, 6) AS lisa_i, quadrant, n_ge, round(lisa_p_value, 6) AS lisa_p_value, lisa_quad,",
-        "SELECT lisa_label, count(*) AS n FROM (SELECT",
-    ).rstrip().rstrip(";")
-    + ") t GROUP BY lisa_label ORDER BY n DESC, lisa_label",
+    SQL_LISA_BODY + f"SELECT {SQL_LISA_LABEL} AS lisa_label, count(*) AS n FROM fin GROUP BY 1 ORDER BY n DESC, lisa_label",
 )
 def q_spatial_lisa_counts(spark, base):
     """G-11: observations per LISA label."""
@@ -525,11 +539,10 @@ def q_spatial_moran(spark, base):
 SQL_MORAN_PERM = (
     SQL_MORAN
     + f""",
-reps AS (SELECT p.perm, zt.id, zt.z, {_sql_hash(SEED, 'p.perm', 'zt.id')} AS h
-         FROM zt, (SELECT range AS perm FROM range(0, {PERMS})) p),
-ranked AS (SELECT perm, id, z, row_number() OVER (PARTITION BY perm ORDER BY h, id) AS r_h,
-                  row_number() OVER (PARTITION BY perm ORDER BY id) AS r_id FROM reps),
-permuted AS (SELECT a.perm, a.id, b.z AS zp FROM ranked a JOIN ranked b ON a.perm = b.perm AND a.r_id = b.r_h),
+keys AS MATERIALIZED ({sql_perm_keys()}),
+idx AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS pos FROM zt),
+images AS ({sql_bijection("SELECT p.perm, i.z, i.pos AS x, s.n AS n FROM idx i, stats s, (SELECT perm FROM keys) p")}),
+permuted AS MATERIALIZED (SELECT im.perm, ix.id, im.z AS zp FROM images im JOIN idx ix ON ix.pos = im.x),
 lagp AS (SELECT p.perm, w.src, sum(w.w * p.zp) AS lag FROM w JOIN permuted p ON p.id = w.dst GROUP BY p.perm, w.src),
 sims AS (SELECT l.perm, (SELECT n / s0 FROM res) * sum(p.zp * l.lag) / (SELECT zz FROM res) AS i_sim
          FROM lagp l JOIN permuted p ON p.perm = l.perm AND p.id = l.src GROUP BY l.perm),

@@ -86,12 +86,51 @@ def test_constant_variable_does_not_fail(spark, w27):
     assert math.isnan(r.moran_i)
 
 
-def test_floyd_staged_equals_aggregate_form(spark):
-    from regionlens.functions.permutation import floyd_columns, floyd_sample
-
-    df = spark.range(300).withColumn("k", (F.col("id") % 7).cast("int")).withColumn("perm", F.lit(3))
-    a = df.withColumn("a", floyd_sample(F.lit(40), F.col("k"), 5, F.col("perm"), F.col("id")))
-    b = floyd_columns(a, F.lit(40), "k", 6, 5, ["perm", "id"], out="b")
-    for r in b.collect():
-        got = [x for x in r.b if x is not None]
-        assert got == list(r.a) and len(set(got)) == r.k and all(0 <= x < 40 for x in got)
+def test_constant_variable_with_permutations(spark, w27):
+    const = uf_centroids(spark).select(F.col("uf").alias("id"), F.lit(5.0).alias("value"))
+    r = ac.moran(const, w27, permutations=49, transform="none").first()
+    assert math.isnan(r.moran_i) and r.p_value is None and r.pattern == ac.PATTERN_RANDOM
+    assert {x.lisa_i for x in ac.local_moran(const, w27, transform="none").collect()} == {None}
+    rows = ac.lisa(const, w27, permutations=49, transform="none").collect()
+    assert {(x.lisa_p_value, x.lisa_quad) for x in rows} == {(None, 0)}
+
+
+def test_islands_have_no_p(spark):
+    w = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("a", "c"), ("c", "a")], "src string, dst string")
+    values = spark.createDataFrame([(x, float(v)) for x, v in zip("abcdef", [9, 8, 1, 2, 3, 7])], "id string, value double")
+    got = {r.id: r for r in ac.lisa(values, w, permutations=99).collect()}
+    for island in "ef":
+        assert got[island].lisa_p_value is None and got[island].lisa_quad == 0 and got[island].lisa_label == ac.LISA_LABELS[0]
+    assert all(0 < got[x].lisa_p_value <= 0.5 for x in "abcd")
+
+
+def test_bijection_is_uniform_and_a_permutation(spark):
+    from regionlens.functions.permutation import permuted_position, round_keys
+
+    for n in (1, 2, 7, 40):
+        perms = round_keys(spark.range(1500).select(F.col("id").cast("int").alias("perm")), 5, n)
+        rows = perms.select("perm", F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at", "x"), "keys")
+        got = rows.select("perm", "x", permuted_position(F.col("x"), n, F.col("keys")).alias("y")).collect()
+        images = {}
+        for r in got:
+            images.setdefault(r.perm, {})[r.x] = r.y
+        assert all(sorted(m.values()) == list(range(n)) for m in images.values())
+        if n == 7:
+            # every position goes everywhere about equally often, the first one too
+            for x in range(n):
+                seen = [sum(m[x] == y for m in images.values()) for y in range(n)]
+                assert min(seen) > 1500 / 7 * 0.7 and max(seen) < 1500 / 7 * 1.3
+            pairs = {}
+            for m in images.values():
+                pairs[m[0], m[1]] = pairs.get((m[0], m[1]), 0) + 1
+            assert len(pairs) == 42 and min(pairs.values()) > 10
+
+
+def test_weight_sums_with_a_self_weight(spark):
+    rows = [("a", "b", 0.5), ("b", "a", 0.25), ("a", "a", 2.0), ("b", "c", 1.0)]
+    w = spark.createDataFrame(rows, "src string, dst string, w double")
+    m = {(a, b): x for a, b, x in rows}
+    ids = "abc"
+    s1 = 0.5 * sum((m.get((i, j), 0) + m.get((j, i), 0)) ** 2 for i in ids for j in ids)
+    s2 = sum((sum(m.get((i, j), 0) for j in ids) + sum(m.get((j, i), 0) for j in ids)) ** 2 for i in ids)
+    assert ac.weight_sums(w) == pytest.approx((3.75, s1, s2))

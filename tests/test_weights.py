@@ -99,3 +99,37 @@ def test_knn_third_of_points_at_one_location(spark):
     pts += [(1000 + i, 0.5, 0.5) for i in range(100)]  # a third of all points, identical coordinates
     pts += [(5000, 0.5000001, 0.5)]
     _check(spark, pts, 4)
+
+
+def test_knn_dense_cluster_and_a_far_point(spark):
+    """The whole cluster lies in one cell of the first grid; no cell that a point starts on is too full."""
+    import math
+
+    from regionlens.session import Scratch
+
+    rnd = random.Random(4)
+    pts = [(i, 0.5 + rnd.random() * 1e-6, 0.5 + rnd.random() * 1e-6) for i in range(400)] + [(9999, 1e4, 1e4)]
+    _check(spark, pts, 4)
+    df = spark.createDataFrame(pts, "pid long, px double, py double")
+    x0, c0 = min(p[1] for p in pts), math.sqrt(1e8 * 5 / len(pts))
+
+    def cell(size):
+        return (F.floor((F.col("px") - F.lit(x0)) / F.lit(size)).cast("long"), F.floor((F.col("py") - F.lit(x0)) / F.lit(size)).cast("long"))
+
+    with Scratch(spark) as scratch:
+        probes, lowest = wts._start_levels(scratch, df, df, cell, c0, 1e4, 80)
+        levels = {r["lvl"] for r in probes.select("lvl").distinct().collect()}
+        assert lowest < -25 and max(levels) == 0
+        full = 0
+        for level in levels:
+            bx, by = cell(c0 * 2.0**level)
+            started = probes.where(F.col("lvl") == level).groupBy(bx.alias("bx"), by.alias("by")).count()
+            full = max(full, started.agg(F.max("count")).first()[0])
+        assert full <= 80
+
+
+def test_create_weights_on_polygons(spark):
+    poly = si.grid_polygons(si.points(spark, "/root/testdata/sf0.001"))
+    for method in ("queen", "rook"):
+        w = wts.create_weights(poly, method)
+        assert w.groupBy("src").agg(F.sum("w").alias("s")).where("abs(s - 1) > 1e-12").count() == 0
