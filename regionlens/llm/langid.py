@@ -34,8 +34,9 @@ QUANTILE, MARGIN = 0.999, 0.5
 half-way to what texts cost under a foreign language's model, if that is more."""
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
-_FLUSH = 400_000
-_CACHE = 300_000
+_WORDS = 50_000
+_CACHE = 400_000
+_GRAMS = 1_000_000
 UND = "und"
 
 
@@ -48,28 +49,38 @@ def letters_of(word: str) -> str:
     return word if word.isascii() or word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of (language, 4-gram)."""
-    grams: Counter = Counter()
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the padded words, the places of the predicted characters among them, and each
+    word's number of these."""
+    padded = "".join(_START * (ORDER - 1) + w + _END for w in words)
+    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
+    at = np.arange(len(points))
+    at = at[at - np.repeat(np.cumsum(size) - size, size) >= ORDER - 1]
+    return points, at, size - ORDER + 1
+
+
+def _grams_at(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ORDER code points up to each place, as rows."""
+    return points[at[:, None] + np.arange(1 - ORDER, 1)]
 
-    def out():
-        return pd.DataFrame([(lang, g, n) for (lang, g), n in grams.items()], columns=["lang", "gram", "n"])
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of (language, 4-gram) in each batch."""
     for batch in batches:
         words: dict[str, Counter] = {}
         for text, lang in zip(batch["text"], batch["lang"], strict=True):
             words.setdefault(lang, Counter()).update(words_of(text))
         for lang, counted in words.items():
-            for w, n in counted.items():
-                if w := letters_of(w):
-                    w = _START * (ORDER - 1) + w + _END
-                    for i in range(len(w) - ORDER + 1):
-                        grams[lang, w[i : i + ORDER]] += n
-                if len(grams) > _FLUSH:
-                    yield out()
-                    grams.clear()
-    if grams:
-        yield out()
+            some = [(x, n) for w, n in counted.items() if (x := letters_of(w))]
+            for i in range(0, len(some), _WORDS):
+                types, n = zip(*some[i : i + _WORDS], strict=True)
+                points, at, size = _points(list(types))
+                _, first, same = np.unique(_window_hashes(points, ORDER)[at - ORDER + 1], return_index=True, return_inverse=True)
+                total = np.bincount(same.ravel(), np.repeat(np.array(n, float), size))
+                text = _grams_at(points, at[first]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                grams = [text[j : j + ORDER] for j in range(0, len(text), ORDER)]
+                yield pd.DataFrame({"lang": lang, "gram": grams, "n": total.astype(np.int64)})
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
@@ -86,6 +97,7 @@ def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     many = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("n")))
     cut = sizes.withColumn("many", many).where(F.col("many") > max_grams).groupBy("lang").agg(F.max("n").alias("cut"))
     level = grams.join(F.broadcast(cut), "lang", "left").where("cut is null or n > cut").select("lang", "gram", "n")
+    level = written(level, "level")
     tables = []
     for order in range(ORDER, 0, -1):
         ones = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
@@ -102,7 +114,8 @@ def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
         tables.append(
             totals.select("lang", F.lit(order).alias("order"), F.lit("g").alias("kind"), F.col("context").alias("gram"), (F.col("d") * F.col("types") / F.col("total")).alias("value"))
         )
-        level = level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        if order > 1:
+            level = written(level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "level")
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
@@ -115,30 +128,43 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Hash of the code points of each row."""
+    h = np.full(len(rows), rows.shape[1], np.uint64)
+    for i in range(rows.shape[1]):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, i].astype(np.uint64))
+    return h
+
+
 def _window_hashes(points: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n code points from each place on (fewer places at the end)."""
-    h = np.full(len(points) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(h)].astype(np.uint64))
-    return h
+    return _row_hashes(np.lib.stride_tricks.sliding_window_view(points, n))
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, order, kind, gram, value) with the gram's hash in its place."""
+    for batch in batches:
+        size = batch["gram"].str.len().to_numpy()
+        hashes = np.zeros(len(batch), np.uint64)
+        for n in set(size.tolist()) - {0}:
+            at = np.flatnonzero(size == n)
+            points = np.frombuffer("".join(batch["gram"].iloc[at]).encode("utf-32-le", "surrogatepass"), "<u4")
+            hashes[at] = _window_hashes(points, int(n))[:: int(n)]
+        yield batch[["lang", "order", "kind", "value"]].assign(hash=hashes.view(np.int64))
 
 
 class Model:
-    """Sorted hash arrays per language and order, with the scores of words."""
+    """Sorted hash arrays per language, order and kind, with the scores of words.
 
-    def __init__(self, rows: pd.DataFrame):
-        self.langs = sorted(rows["lang"].unique())
-        self.uniform = 1.0 / (len(set(rows.loc[(rows["order"] == 1) & (rows["kind"] == "p"), "gram"])) + 1)
-        self.tables: dict = {}
+    ``rows``: lang (place in ``langs``), order, kind (0: shares, 1: weights of the next order), hash, value.
+    """
+
+    def __init__(self, langs: list[str], alphabet: int, rows: pd.DataFrame):
+        self.langs, self.uniform, self.tables = langs, 1.0 / (alphabet + 1), {}
         for (lang, order, kind), part in rows.groupby(["lang", "order", "kind"]):
-            n = order if kind == "p" else order - 1
-            if n:
-                points = np.frombuffer("".join(part["gram"]).encode("utf-32-le", "surrogatepass"), "<u4")
-                h = _window_hashes(points, n)[::n]
-            else:
-                h = np.zeros(len(part), np.uint64)
+            h = part["hash"].to_numpy(np.int64).view(np.uint64)
             at = np.argsort(h)
-            self.tables[lang, order, kind] = h[at], part["value"].to_numpy(np.float32)[at]
+            self.tables[langs[lang], order, "pg"[kind]] = h[at], part["value"].to_numpy(np.float32)[at]
 
     def _value(self, key: tuple, h: np.ndarray, missing: float) -> np.ndarray:
         if key not in self.tables:
@@ -147,33 +173,54 @@ class Model:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, values[at], np.float32(missing))
 
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """For each word the bits under every language, and its characters with the end mark."""
-        padded = "".join(_START * (ORDER - 1) + w + _END for w in words)
-        points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4")
-        size = np.fromiter((len(w) + ORDER for w in words), np.int64, len(words))
-        ends = np.cumsum(size)
-        at = np.arange(len(points))
-        at = at[at - np.repeat(ends - size, size) >= ORDER - 1]  # the predicted characters
-        hashes = {n: _window_hashes(points, n) for n in range(1, ORDER + 1)}
-        first = np.cumsum(size - ORDER + 1) - (size - ORDER + 1)
-        out = np.empty((len(words), len(self.langs) + 1), np.float32)
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last code point of each row after those before it, under every language."""
+        hashes = {0: np.zeros(len(grams), np.uint64)}
+        tails = {0: hashes[0]}  # of the points before the last one
+        for n in range(1, ORDER + 1):
+            hashes[n] = _row_hashes(grams[:, ORDER - n :])
+            tails[n] = _row_hashes(grams[:, ORDER - 1 - n : ORDER - 1]) if n < ORDER else hashes[0]
+        out = np.empty((len(grams), len(self.langs)), np.float32)
         for k, lang in enumerate(self.langs):
-            p = np.full(len(at), self.uniform)
+            p = np.full(len(grams), self.uniform)
             for order in range(1, ORDER + 1):
-                context = hashes[order - 1][at - order + 1] if order > 1 else np.zeros(len(at), np.uint64)
-                p = self._value((lang, order, "p"), hashes[order][at - order + 1], 0.0) + self._value((lang, order, "g"), context, 1.0) * p
-            out[:, k] = np.add.reduceat(-np.log2(p), first)
-        out[:, -1] = size - ORDER + 1
+                p = self._value((lang, order, "p"), hashes[order], 0.0) + self._value((lang, order, "g"), tails[order - 1], 1.0) * p
+            out[:, k] = -np.log2(p)
         return out
 
 
 class Scorer:
-    """Sums word scores; the scores of a bounded number of words are kept."""
+    """Sums word scores; the scores of a bounded number of 4-grams and words are kept."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
         self.rows = np.zeros((0, len(model.langs) + 1), np.float32)
+        self.keys, self.bits = np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
+
+    def _gram_rows(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of the characters at the given places, from the table of known 4-grams."""
+        h, first, same = np.unique(_window_hashes(points, ORDER)[at - ORDER + 1], return_index=True, return_inverse=True)
+        if len(self.keys) > _GRAMS:
+            self.keys, self.bits = self.keys[:0], self.bits[:0]
+        place = np.searchsorted(self.keys, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != h[inside]
+        if new.any():
+            bits = self.model.gram_bits(_grams_at(points, at[first[new]]))
+            keys, bits = np.concatenate([self.keys, h[new]]), np.concatenate([self.bits, bits])
+            order = np.argsort(keys)
+            self.keys, self.bits = keys[order], bits[order]
+            place = np.searchsorted(self.keys, h)
+        return self.bits[place[same.ravel()]]
+
+    def word_bits(self, words: list[str]) -> np.ndarray:
+        """For each word the bits under every language, and its characters with the end mark."""
+        points, at, size = _points(words)
+        out = np.empty((len(words), len(self.model.langs) + 1), np.float32)
+        out[:, :-1] = np.add.reduceat(self._gram_rows(points, at), np.cumsum(size) - size, axis=0)
+        out[:, -1] = size
+        return out
 
     def sums(self, texts: list) -> np.ndarray:
         words = [words_of(t) for t in texts]
@@ -181,9 +228,9 @@ class Scorer:
             self.known, self.rows = {}, self.rows[:0]
         new = [w for w in set().union(*words) if w not in self.known] if words else []
         fresh = [self.rows]
-        for i in range(0, len(new), 20_000):
-            part = [letters_of(w) for w in new[i : i + 20_000]]
-            bits = self.model.word_bits([w or "a" for w in part])
+        for i in range(0, len(new), _WORDS):
+            part = [letters_of(w) for w in new[i : i + _WORDS]]
+            bits = self.word_bits([w or "a" for w in part])
             bits[[not w for w in part]] = 0
             fresh.append(bits)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -200,10 +247,10 @@ class Scorer:
 _SCORED = "struct<lang: string, score: double, bits: double, next: double, chars: bigint>"
 
 
-def with_scores(docs: DataFrame, rows: pd.DataFrame, out: str, text_col: str = "text") -> DataFrame:
+def with_scores(docs: DataFrame, model: Model | None, out: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``out``: lang (``und`` without letters), score (probability of the
-    language among the learned ones), bits (cross-entropy a character), chars."""
-    model = Model(rows) if len(rows) else None
+    language among the learned ones), bits (cross-entropy a character), next (that of the second best
+    language), chars."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf(_SCORED)
@@ -235,17 +282,26 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2, F.lit(False))
 
 
-def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> pd.DataFrame:
-    """The model's rows from all rows of ``train`` (text, lang); rows with a null in either teach nothing.
+def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> Model | None:
+    """The model of all rows of ``train`` (text, lang); rows with a null in either teach nothing, and
+    without any letter to learn from there is none.
 
     Size: at most ``max_grams`` 4-grams a language and their suffixes, at most MAX_LANGUAGES languages.
+    Only their hashes and values (12 bytes each) come to the driver.
     """
     known = train.where("text is not null and lang is not null")
     grams = written(gram_counts(known), "grams")
-    if grams.select("lang").distinct().count() > MAX_LANGUAGES:
+    langs = sorted(r[0] for r in grams.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not langs:
+        return None
     rows = written(kneser_ney(grams, max_grams), "kneser_ney")
-    return rows.toPandas()
+    alphabet = rows.where("`order` = 1 and kind = 'p'").select("gram").distinct().count()
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    rows = rows.select(place[F.col("lang")].alias("lang"), "order", (F.col("kind") == "g").cast("int").alias("kind"), "gram", "value")
+    hashed = rows.mapInPandas(_hashed, "lang int, order int, kind int, value float, hash bigint")
+    return Model(langs, alphabet, hashed.toPandas())
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -275,29 +331,31 @@ def _size(chars: Column) -> Column:
     return F.least(F.floor(F.log2(F.greatest(chars, F.lit(1)))), F.lit(SIZES)).cast("int")
 
 
-def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with a struct ``out``: lang, score, bits, chars, held_out, rejected.
+def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``out``: lang, score, bits, next, chars, held_out,
+    rejected.
 
     Learns from all rows with a text and a language whose crc32(id) mod 4 is not 2, and predicts from
-    the text alone. Rejected are texts without letters (and null ones) and texts whose cross-entropy
-    exceeds the limit of their language and size. A null id is neither held out nor learned from;
-    without any training row everything is ``und`` and rejected. Equal entropies take the first
-    language in order. Rows and other columns stay.
+    the text alone; every text is scored once, and the scored rows are written. Rejected are texts
+    without letters (and null ones) and texts whose cross-entropy exceeds the limit of their language
+    and size. A null id is neither held out nor learned from; without any training row everything is
+    ``und`` and rejected. Equal entropies take the first language in order. Rows and other columns stay.
     """
-    train = docs.where(train_rows(docs, id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = fit(train)
-    taught = written(with_scores(train.where("lang is not null").select("text"), rows, "s").select("s.lang", "s.bits", "s.next", "s.chars"), "calibration")
+    keep = docs.columns if keep is None else keep
+    train = train_rows(docs, id_col)
+    model = fit(docs.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    names = [free_name([*keep, out], x) for x in ("_lang", "_size", "_limit", "_teaches")]
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    scored = with_scores(docs, model, out, text_col)
+    scored = scored.select(*keep, F.col(out).withField("held_out", held).alias(out), (train & F.col(lang_col).isNotNull()).alias(names[3]))
+    scored = written(scored, "scored")
+    taught = scored.where(F.col(names[3])).select(F.col(out)["lang"].alias("lang"), *[F.col(out)[c].alias(c) for c in ("bits", "next", "chars")])
     limit = written(limits(taught), "limits")
-    scored = with_scores(docs, rows, out, text_col)
-    # at most MAX_LANGUAGES x (SIZES + 1) rows
-    names = [free_name([*docs.columns, out], x) for x in ("_lang", "_size", "_limit")]
-    limit = F.broadcast(limit.toDF(*names))
+    limit = F.broadcast(limit.toDF(*names[:3]))  # at most MAX_LANGUAGES x (SIZES + 1) rows
     size = _size(F.col(out)["chars"])
     joined = scored.join(limit, (F.col(out)["lang"] == F.col(names[0])) & (size == F.col(names[1])), "left")
     rejected = (F.col(out)["chars"] == 0) | F.coalesce(F.col(out)["bits"] > F.col(names[2]), F.lit(False))
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    whole = F.col(out).withField("held_out", held).withField("rejected", rejected)
-    return joined.select(*[F.col(c) for c in docs.columns], whole.alias(out))
+    return joined.select(*[F.col(c) for c in keep], F.col(out).withField("rejected", rejected).alias(out))
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
@@ -308,5 +366,5 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
 def op8_language(spark, sf_dir: str) -> DataFrame:
     """Predicted language, score and rejection of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    x = identify(docs, "x").select("doc_id", "x.*")
+    x = identify(docs, "x", keep=["doc_id"]).select("doc_id", "x.*")
     return x.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score", F.col("bits").alias("bits_per_char"), "rejected")

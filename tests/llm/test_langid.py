@@ -49,13 +49,12 @@ def brute_bits(word, model, uniform):
 
 def test_model_against_brute_force(spark):
     train = spark.createDataFrame([(t, lang) for lang, ts in TEXTS.items() for t in ts], "text string, lang string")
-    rows = m.fit(train)
-    model = m.Model(rows)
+    model = m.fit(train)
     assert model.langs == ["aa", "bb"]
     letters = {c for ts in TEXTS.values() for t in ts for c in t if c != " "}
     assert model.uniform == pytest.approx(1 / (len(letters) + 2))
     words = ["banana", "kirk", "zebra", "a", "naban"]
-    got = model.word_bits(words)
+    got = m.Scorer(model).word_bits(words)
     for k, lang in enumerate(model.langs):
         brute = brute_probability(None, TEXTS[lang])
         assert got[:, k] == pytest.approx([brute_bits(w, brute, model.uniform) for w in words], rel=1e-4)
@@ -74,13 +73,14 @@ def test_probabilities_sum_to_one(spark):
                 q = p[order].get(x, 0.0) + g[order].get(x[:-1], 1.0) * q
             total += q
         assert total == pytest.approx(1.0)
-    assert len(m.fit(train)) == sum(map(len, p.values())) + sum(map(len, g.values()))
+    tables = m.fit(train).tables
+    assert sum(len(h) for h, _ in tables.values()) == sum(map(len, p.values())) + sum(map(len, g.values()))
 
 
 def test_bound_of_the_model(spark):
     train = spark.createDataFrame([(t, lang) for lang, ts in TEXTS.items() for t in ts], "text string, lang string")
-    rows = m.fit(train, max_grams=10)
-    assert rows[(rows["order"] == 4) & (rows["kind"] == "p")].groupby("lang").size().max() <= 10
+    tables = m.fit(train, max_grams=10).tables
+    assert all(len(tables[lang, 4, "p"][0]) <= 10 for lang in TEXTS)
 
 
 def test_held_out_accuracy(spark):
