@@ -22,7 +22,7 @@ from .common import positions, ship, table, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 400_000
+_CACHE = 800_000
 _PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
 
 
@@ -79,19 +79,24 @@ class WordIds:
         if len(self.chunks) > _CACHE:
             self.older, self.chunks = self.chunks, {"": b""}
         chunks, older, parts = self.chunks, self.older, self.parts
-        new, halves, other = every.difference(chunks), [], []
+        new, halves, other, need = every.difference(chunks), [], [], set()
         if len(parts) > _CACHE:
             parts = self.parts = {"": b""}
         for c in new:
             if (ids := older.get(c)) is not None:
                 chunks[c] = ids
                 continue
-            body = c.rstrip(".,;:!?|%$&*#")
-            if (body.isalpha() or not body) and _latin(c):
-                halves.append((c, body.lower(), c[len(body) :]))
+            alpha = c.isalpha()
+            body = c if alpha else c.rstrip(".,;:!?|%$&*#")
+            if (alpha or body.isalpha() or not body) and (c.isascii() or _latin(c)):
+                tail, body = c[len(body) :], body.lower()
+                halves.append((c, body, tail))
+                need.add(body)
+                if tail:
+                    need.add(tail)
             else:
                 other.append(c)
-        self._learn([p for p in {p for _, *both in halves for p in both} if p not in parts])
+        self._learn([p for p in need if p not in parts])
         for c, body, tail in halves:
             chunks[c] = parts[body] + parts[tail] if tail else parts[body]
         for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
@@ -127,8 +132,8 @@ def token_pieces(path: str, capacity: int = CAPACITY):
         for batch in batches:
             out = []
             texts = batch.tolist()
-            for i in range(0, len(texts), 500):
-                for raw in ids.of(texts[i : i + 500]):
+            for i in range(0, len(texts), 2000):
+                for raw in ids.of(texts[i : i + 2000]):
                     raw += b"\0\0\0\0"
                     out.append([
                         {"start": a // 4, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)}
