@@ -2,7 +2,9 @@
 
 MLlib does the model fitting (distributed, broadcasting only k centres); the closed-form
 evaluators below are DataFrame expressions over per-cluster sufficient statistics
-(count, sum vector, sum of squared norms), which are k x d scalars regardless of n.
+(count, sum vector, sum of squared norms): one row per cluster, whatever n is.  A point is
+compared with all clusters, so these rows reach every task as a scalar subquery, in blocks
+of at most ``BLOCK_NUMBERS`` numbers; more clusters take more passes.
 """
 
 from __future__ import annotations
@@ -14,11 +16,16 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.permutation import dense_index
+from ..session import stage
 from ..sources.tables import require_columns
 
+BLOCK_NUMBERS = 1_000_000
+
 # The labelling rules of the original cluster interpretation
 # (first match wins): productivity > 200000, innovation < 0.015, labour cost > 3500.
 LABEL_RULES = (
@@ -102,17 +109,31 @@ def cluster_centers(model, prediction_col: str = "cluster_id") -> DataFrame:
 
 
 def kmeans_sweep(df: DataFrame, features_col: str = "features", ks: Sequence[int] = range(2, 7), seed: int = 42) -> DataFrame:
-    """M-7, M-8, R-6: silhouette and training cost (WSSSE) for each k on one cached frame."""
-    data = df.select(features_col).persist()
+    """M-7, M-8, R-6: silhouette and training cost (WSSSE) for each k on one cached frame, with
+    what must hold of each fit (``fit_facts``).  Null features raise; impute them before."""
+    data = df.select(features_col, vector_to_array(features_col).alias("_x")).persist()
     evaluator = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction", metricName="silhouette",
                                     distanceMeasure="squaredEuclidean")
     rows = []
     for k in ks:
         model = KMeans(featuresCol=features_col, k=k, seed=seed).fit(data)
         pred = model.transform(data)
-        rows.append((int(k), float(evaluator.evaluate(pred)), float(model.summary.trainingCost)))
+        facts = fit_facts(pred, "_x", "prediction", cluster_centers(model, "c")).first()
+        closed = silhouette(pred, "_x", "prediction").first()["silhouette"]
+        sil, cost = float(evaluator.evaluate(pred)), float(model.summary.trainingCost)
+        rows.append((int(k), sil, cost, facts["n_rows"], facts["n_clusters"], facts["n_not_nearest"], facts["max_center_gap"], abs(facts["cost"] - cost), abs(closed - sil)))
     data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
+    return df.sparkSession.createDataFrame(
+        rows, "k int, silhouette double, cost double, n_rows long, n_clusters long, n_not_nearest long, max_center_gap double, cost_gap double, silhouette_gap double"
+    )
+
+
+def impute_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """NULL and NaN in ``cols`` replaced by the column's mean; a column without any value gets 0."""
+    from ..functions.columns import nan_to_null
+
+    means = df.agg(*[F.coalesce(F.avg(nan_to_null(c)), F.lit(0.0)).alias(c) for c in cols]).first()
+    return df.withColumns({c: F.coalesce(nan_to_null(c), F.lit(means[c])) for c in cols})
 
 
 def pca_2d(df: DataFrame, features_col: str = "features_scaled", k: int = 2):
@@ -142,25 +163,26 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
 
 
-def cluster_stats(df: DataFrame, vec: str, cluster: str) -> list[tuple[int, int, list[float], float]]:
-    """Per cluster: (id, n, sum vector, sum of squared norms).  k rows, gathered once."""
+def cluster_stats(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+    """Per cluster one row (c, n, s, psi): count, sum vector, sum of squared norms.
+
+    The sums are MLlib's vector summaries, so the width of the vectors need not be known."""
     x = _vec(vec)
-    dim = df.select(F.size(vec).alias("d")).first()["d"]
-    stats = df.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(x[i]) for i in range(dim)]).alias("s"),
-        F.sum(_dot(x, x)).alias("psi"),
+    rows = df.select(F.col(cluster).alias("c"), array_to_vector(x).alias("v"), _dot(x, x).alias("q"))
+    return rows.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s"), F.sum("q").alias("psi")
     )
-    return [(int(r[cluster]), int(r["n"]), [float(v) for v in r["s"]], float(r["psi"])) for r in stats.collect()]
 
 
-def _stats_literal(stats) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(c).alias("c"), F.lit(n).alias("n"), F.array(*[F.lit(v) for v in s]).alias("s"), F.lit(psi).alias("psi"))
-            for c, n, s, psi in stats
-        ]
-    )
+def _blocks(rows: DataFrame, key: str, vec: str):
+    """The rows, as scalar arrays of structs, in blocks of at most BLOCK_NUMBERS numbers."""
+    rows = stage(dense_index(rows, key, out="_pos"), "clusters")
+    size = rows.agg(F.count(F.lit(1)).alias("k"), F.max(F.size(vec)).alias("d")).first()
+    per = max(1, BLOCK_NUMBERS // max(1, size["d"] or 1))
+    entry = F.struct(*[c for c in rows.columns if c != "_pos"])
+    for first in range(0, size["k"], per):
+        part = rows.where((F.col("_pos") >= first) & (F.col("_pos") < first + per))
+        yield part.agg(F.collect_list(entry).alias("e")).scalar()
 
 
 def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
@@ -168,19 +190,22 @@ def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     d(x, C) = |x|^2 + psi_C/n_C - 2 x.S_C/n_C; a = d(x, own) * n/(n-1); b = min over other
     clusters; s = 1 - a/b if a < b, b/a - 1 if a > b, else 0 (0 for a singleton cluster).
     Returns one row (silhouette, n)."""
-    stats = cluster_stats(df, vec, cluster)
-    lit = _stats_literal(stats)
-    x = _vec(vec)
-    sq = _dot(x, x)
-    d = F.transform(lit, lambda s: F.struct(s["c"].alias("c"), s["n"].alias("n"),
-                                           (sq + s["psi"] / s["n"] - F.lit(2.0) * _dot(x, s["s"]) / s["n"]).alias("d")))
-    own = F.filter(d, lambda e: e["c"] == F.col(cluster))[0]
-    others = F.filter(d, lambda e: e["c"] != F.col(cluster))
-    b = F.array_min(F.transform(others, lambda e: e["d"]))
-    per = df.select(own.alias("own"), b.alias("b"))
-    a = F.col("own.d") * F.col("own.n") / (F.col("own.n") - 1)
+    x = F.col("x")
+    per = df.select(F.col(cluster).alias("own"), _vec(vec).alias("x")).withColumns(
+        {"sq": _dot(x, x), "a": F.lit(None).cast("double"), "b": F.lit(None).cast("double"), "m": F.lit(None).cast("long")}
+    )
+    for stats in _blocks(cluster_stats(df, vec, cluster), "c", "s"):
+        per = per.withColumn("e", stats)
+        d = F.transform("e", lambda s: F.struct(
+            s["c"].alias("c"), s["n"].alias("n"), (F.col("sq") + s["psi"] / s["n"] - F.lit(2.0) * _dot(x, s["s"]) / s["n"]).alias("d")
+        ))
+        per = per.withColumn("d", d)
+        own = F.get(F.filter("d", lambda e: e["c"] == F.col("own")), F.lit(0))
+        others = F.array_min(F.transform(F.filter("d", lambda e: e["c"] != F.col("own")), lambda e: e["d"]))
+        per = per.withColumns({"a": F.coalesce("a", own["d"]), "m": F.coalesce("m", own["n"]), "b": F.least("b", others)})
+    a = F.col("a") * F.col("m") / (F.col("m") - 1)
     s = (
-        F.when(F.col("own.n") <= 1, F.lit(0.0))
+        F.when(F.col("m") <= 1, F.lit(0.0))
         .when(a < F.col("b"), F.lit(1.0) - a / F.col("b"))
         .when(a > F.col("b"), F.col("b") / a - F.lit(1.0))
         .otherwise(F.lit(0.0))
@@ -200,31 +225,43 @@ def silhouette_mllib(df: DataFrame, vec: str, cluster: str) -> float:
 def wssse(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """M-8 for a given assignment: sum over clusters of psi_C - |S_C|^2 / n_C (one aggregate
     per cluster, then a sum).  Returns one row (wssse, k)."""
-    x = _vec(vec)
-    dim = df.select(F.size(vec).alias("d")).first()["d"]
-    per = df.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(x[i]) for i in range(dim)]).alias("s"),
-        F.sum(_dot(x, x)).alias("psi"),
-    )
+    per = cluster_stats(df, vec, cluster)
     return per.select((F.col("psi") - _dot(F.col("s"), F.col("s")) / F.col("n")).alias("w")).agg(
         F.sum("w").alias("wssse"), F.count(F.lit(1)).alias("k")
     )
 
 
-def assign_nearest(df: DataFrame, vec: str, centers: list[tuple[int, list[float]]], out: str = "cluster") -> DataFrame:
-    """M-11: nearest centre by squared Euclidean distance (ties: smaller centre id).  The k
-    centres are a literal array, so every row is scored JVM-side without a join."""
-    lit = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(v) for v in ctr]).alias("m")) for c, ctr in centers])
-    x = _vec(vec)
-    scored = F.transform(lit, lambda e: F.struct(
-        F.aggregate(F.zip_with(x, e["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t).alias("d2"),
-        e["c"].alias("c"),
-    ))
-    best = F.array_min(scored)
-    return df.withColumns({out: best["c"], f"{out}_d2": best["d2"]})
-
-
-def centers_from_labels(df: DataFrame, vec: str, cluster: str) -> list[tuple[int, list[float]]]:
-    """Mean vector per given label (k x d scalars)."""
-    return [(c, [v / n for v in s]) for c, n, s, _ in sorted(cluster_stats(df, vec, cluster))]
+def assign_nearest(df: DataFrame, vec: str, centers: DataFrame, out: str = "cluster") -> DataFrame:
+    """M-11: nearest of ``centers`` (c, center) by squared Euclidean distance (ties: smaller c),
+    with the distance in ``{out}_d2``."""
+    x, best, block_col = _vec(vec), f"{out}_best", f"{out}_centers"
+    kind = f"struct<d2: double, c: {centers.schema['c'].dataType.simpleString()}>"
+    df = df.withColumn(best, F.lit(None).cast(kind))
+    for block in _blocks(centers.select("c", "center"), "c", "center"):
+        df = df.withColumn(block_col, block)
+        scored = F.transform(block_col, lambda e: F.struct(
+            F.aggregate(F.zip_with(x, e["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t).alias("d2"),
+            e["c"].alias("c"),
+        ))
+        df = df.withColumn(best, F.least(F.col(best), F.array_min(scored)))
+    return df.withColumns({out: F.col(best)["c"], f"{out}_d2": F.col(best)["d2"]}).drop(best, block_col)
+
+
+def centers_from_labels(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+    """Mean vector per given label: (c, center)."""
+    return cluster_stats(df, vec, cluster).select("c", F.transform("s", lambda v: v / F.col("n")).alias("center"))
+
+
+def fit_facts(pred: DataFrame, vec: str, cluster: str, centers: DataFrame) -> DataFrame:
+    """What must hold of a K-Means result, as one row: n_rows, n_clusters, n_not_nearest (rows whose
+    cluster's centre is not the nearest one), max_center_gap (largest distance per coordinate
+    between a centre and its members' mean) and cost (sum of squared distances to the centres)."""
+    near = assign_nearest(pred.select(vec, cluster), vec, centers, "_near")
+    rows = near.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(cluster).alias("n_clusters"),
+        F.count_if(F.col("_near") != F.col(cluster)).alias("n_not_nearest"), F.sum("_near_d2").alias("cost"),
+    )
+    means = centers_from_labels(pred, vec, cluster).withColumnRenamed("center", "mean")
+    gap = F.array_max(F.zip_with("center", "mean", lambda a, b: F.abs(a - b)))
+    gaps = means.join(centers, "c").agg(F.max(gap).alias("g"))
+    return rows.withColumn("max_center_gap", gaps.scalar())

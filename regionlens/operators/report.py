@@ -25,7 +25,7 @@ LISA_COLOR_DEFAULT = "#e0e0e0"
 
 
 def fixed_decimals(c: Column | str, digits: int) -> Column:
-    """Text of ``c`` with exactly ``digits`` decimals (like printf "%.Nf")."""
+    """Text of ``c`` with exactly ``digits`` decimals, halves rounded up (0.125 gives 0.13)."""
     c = F.col(c) if isinstance(c, str) else c
     scale = 10 ** digits
     units = F.floor(F.abs(c) * F.lit(float(scale)) + F.lit(0.5)).cast("long")
@@ -39,6 +39,11 @@ def _map(d: dict) -> Column:
     return F.create_map(*[x for kv in d.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
 
 
+#: Size scales and the hover text of the original network view.
+NODE_SIZE = (25.0, 70.0)
+NODE_STATIC = (3000.0, 0.1)
+
+
 def network_node_view(nodes: DataFrame, betweenness: DataFrame, membership: DataFrame) -> DataFrame:
     """R-1: id, size = 25 + 70 b, static_size = 3000 (b + 0.1), colour by community, hover text."""
     df = (
@@ -57,8 +62,8 @@ def network_node_view(nodes: DataFrame, betweenness: DataFrame, membership: Data
     )
     return df.select(
         "id",
-        (F.lit(25.0) + b * F.lit(70.0)).alias("size"),
-        (F.lit(3000.0) * (b + F.lit(0.1))).alias("static_size"),
+        (F.lit(NODE_SIZE[0]) + b * F.lit(NODE_SIZE[1])).alias("size"),
+        (F.lit(NODE_STATIC[0]) * (b + F.lit(NODE_STATIC[1]))).alias("static_size"),
         F.coalesce(F.element_at(_map(COMMUNITY_COLORS), comm), F.lit(COMMUNITY_COLOR_DEFAULT)).alias("color"),
         hover.alias("title"),
     )

@@ -11,10 +11,10 @@ from ..operators import graph as g
 from ..operators import kpi, report
 from ..operators import weights as wts
 from ..session import scratch_path
-from ..sources.sinks import write_delimited
+from ..sources.sinks import write_delimited, write_parquet
 from ..sources.tables import TABLES, lower_headers, read_delimited, read_table
 from . import stand_ins as si
-from .graph_queries import SQL_GRAPH, _betweenness_sql_cte, _graph
+from .graph_queries import SQL_CO, SQL_GRAPH, _betweenness_sql_cte, _graph, communities
 from .registry import SQL_LISA_BODY, SQL_POINTS, SQL_PROFILE, _knn_w, _lisa, _points, register
 
 
@@ -50,13 +50,43 @@ REPORT_SCHEMA = T.StructType(
 FROM ({SQL_PROFILE}) p""",
 )
 def q_io_csv_roundtrip(spark, base):
-    """S-2, S-3, S-7, S-8: KPI report written as one ';'-separated file with header to the
-    shared scratch folder, read back with an explicit schema, headers lower-cased."""
+    """S-2, S-3, S-8: KPI report written as one ';'-separated file with header to the shared
+    scratch folder, read back with an explicit schema, headers lower-cased."""
     path = scratch_path(spark, "kpi_report_csv")
-    write_delimited(kpi.kpi_report(kpi.territory_profile(si.sector_facts(spark, base))), path, sep=";")
+    write_delimited(kpi.kpi_report(kpi.territory_profile(si.sector_facts(spark, base))), path, sep=";", single_file=True)
     return lower_headers(read_delimited(spark, path, REPORT_SCHEMA, sep=";"))
 
 
+@register(
+    "io_parquet_roundtrip",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS o_year
+FROM orders WHERE year(o_orderdate) >= 1995""",
+)
+def q_io_parquet_roundtrip(spark, base):
+    """S-7: a partitioned table written, overwritten with another set of rows and read back."""
+    path = scratch_path(spark, "orders_by_year")
+    orders = read_table(spark, base, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    orders = orders.withColumn("o_year", F.year("o_orderdate")).drop("o_orderdate")
+    write_parquet(orders.where("o_year < 1995"), path, ["o_year"])
+    write_parquet(orders.where("o_year >= 1995"), path, ["o_year"])
+    return round_doubles(spark.read.parquet(path))
+
+
+@register(
+    "spatial_impute_missing",
+    f"""WITH p AS (SELECT id, CASE WHEN label = 3 THEN NULL WHEN label = 5 THEN 'NaN'::DOUBLE ELSE value END AS value FROM ({SQL_POINTS}) q),
+m AS (SELECT avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS m FROM p)
+SELECT id, round(coalesce(CASE WHEN isnan(value) THEN NULL ELSE value END, m.m), 6) AS value,
+       CASE WHEN value IS NULL OR isnan(value) THEN 1 ELSE 0 END AS imputed FROM p, m""",
+)
+def q_spatial_impute_missing(spark, base):
+    """G-12, F-7 with missing values: one label's values are NULL and another's NaN."""
+    hidden = F.when(F.col("label") == 3, F.lit(None)).when(F.col("label") == 5, F.lit(float("nan"))).otherwise(F.col("value"))
+    pts = _points(spark, base).select("id", hidden.cast("double").alias("value"))
+    out, _, _ = ac.impute_mean(pts.withColumn("imputed", F.when(nan_to_null("value").isNull(), 1).otherwise(0)), "value")
+    return round_doubles(out)
+
+
 @register(
     "spatial_attach_attributes",
     f"""SELECT n.n_name AS uf, n.n_regionkey AS region, p.total_emprego, round(p.produtividade_media_uf, 6) AS produtividade_media_uf
@@ -103,23 +133,21 @@ def _colors_sql(d: dict, expr: str, default: str) -> str:
 
 @register(
     "report_network_nodes",
-    f"""WITH {SQL_GRAPH}, {_betweenness_sql_cte()}
+    f"""WITH {SQL_GRAPH}, {SQL_CO}, {_betweenness_sql_cte()}
 SELECT n.id, round(25.0 + bt.betweenness_centrality * 70.0, 6) AS size,
        round(3000.0 * (bt.betweenness_centrality + 0.1), 6) AS static_size,
-       {_colors_sql(report.COMMUNITY_COLORS, 'n.region', report.COMMUNITY_COLOR_DEFAULT)} AS color,
+       {_colors_sql(report.COMMUNITY_COLORS, 'CO.community', report.COMMUNITY_COLOR_DEFAULT)} AS color,
        '<b>Setor:</b> ' || n.id || '<br><b>CNAE:</b> ' || n.cnae || '<br><b>Categoria:</b> ' || n.categoria ||
        '<br><b>Betweenness Centrality:</b> ' ||
        CAST(CAST(floor(bt.betweenness_centrality * 10000.0 + 0.5) AS BIGINT) // 10000 AS VARCHAR) || '.' ||
        lpad(CAST(CAST(floor(bt.betweenness_centrality * 10000.0 + 0.5) AS BIGINT) % 10000 AS VARCHAR), 4, '0') ||
-       '<br><b>Comunidade:</b> Ecossistema ' || CAST(n.region + 1 AS VARCHAR) AS title
-FROM NODES n JOIN BT bt ON bt.id = n.id""",
+       '<br><b>Comunidade:</b> Ecossistema ' || CAST(CO.community + 1 AS VARCHAR) AS title
+FROM NODES n JOIN BT bt ON bt.id = n.id JOIN CO ON CO.id = n.id""",
 )
 def q_report_network_nodes(spark, base):
-    """R-1: network node view (community = region)."""
-    nodes, edges = _graph(spark, base)
-    bt = g.betweenness(nodes, edges)
-    view = report.network_node_view(nodes, bt, nodes.select("id", F.col("region").alias("community")))
-    return round_doubles(view)
+    """R-1: network node view (detected communities)."""
+    nodes, edges, _, mem = communities(spark, base)
+    return round_doubles(report.network_node_view(nodes, g.betweenness(nodes, edges), mem))
 
 
 @register(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import kpi, ml
+from ..operators import panel as pnl
+from ..session import stage
 from ..sources.tables import read_table
 from . import stand_ins as si
-from .registry import SQL_PROFILE, register
+from .registry import SQL_PANEL, SQL_PROFILE, register
 
 INDICATORS = list(kpi.PROFILE_INDICATORS)
 # Display names of cluster ids 0..3 in the original scatter view.
@@ -125,59 +129,114 @@ def q_ml_assign_nearest(spark, base):
     return round_doubles(ml.assign_nearest(emb, "embedding", centers).select("id", "cluster", "cluster_d2"))
 
 
+K = 4
+
+
 def _kmeans(spark, base):
     # the profile is an aggregate over lineitem; MLlib makes several passes (scaler fit,
     # k-means|| init, iterations, transform, evaluation), so it is written once first
-    from ..operators.graph import materialize
-
-    prof = materialize(ml.stable_layout(_profile(spark, base), "uf", 4))
-    return ml.kmeans_pipeline(prof, INDICATORS, k=4, seed=123)
+    prof = ml.stable_layout(stage(_profile(spark, base), "profile"), "uf", 4)
+    model, pred = ml.kmeans_pipeline(prof, INDICATORS, k=K, seed=123)
+    return model, pred.withColumn("fs", vector_to_array("features_scaled"))
 
 
-@register("ml_kmeans")
+@register(
+    "ml_kmeans",
+    f"SELECT count(*) AS n_rows, CAST({K} AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_not_nearest, 0.0::DOUBLE AS max_center_gap, 0.0::DOUBLE AS silhouette_gap FROM ({SQL_PROFILE}) p",
+)
 def q_ml_kmeans(spark, base):
-    """M-1..M-4, M-6: scaled K-Means (k=4, seed 123) on the territory indicators + silhouette."""
+    """M-1..M-4, M-6: scaled K-Means (k=4, seed 123) on the territory indicators, by what must hold
+    of it: every row in the cluster of its nearest centre, centres at their members' means, and
+    MLlib's silhouette equal to the closed form."""
     model, pred = _kmeans(spark, base)
-    sil = ml.silhouette_mllib(pred.select("uf", "cluster_id", vector_col("features_scaled")), "fs", "cluster_id")
-    out = ml.drop_vector_columns(pred).select("uf", "cluster_id", *INDICATORS)
-    return round_doubles(out.withColumn("silhouette", F.lit(sil)))
+    facts = ml.fit_facts(pred, "fs", "cluster_id", ml.cluster_centers(model, "c"))
+    closed = ml.silhouette(pred, "fs", "cluster_id").select("silhouette").scalar()
+    gap = F.abs(closed - F.lit(ml.silhouette_mllib(pred, "fs", "cluster_id")))
+    facts = facts.withColumns({"silhouette_gap": F.round(gap, 6), "max_center_gap": F.round("max_center_gap", 6)})
+    return facts.select("n_rows", "n_clusters", "n_not_nearest", "max_center_gap", "silhouette_gap")
 
 
-def vector_col(c):
-    from pyspark.ml.functions import vector_to_array
+@register("ml_kmeans_centers", f"SELECT range AS d, CAST({K} AS BIGINT) AS n_centers, 0.0::DOUBLE AS weighted_mean FROM range(0, {len(INDICATORS)})")
+def q_ml_kmeans_centers(spark, base):
+    """M-5: centres in scaled feature space; weighted by their members they balance at 0."""
+    model, pred = _kmeans(spark, base)
+    sizes = pred.groupBy(F.col("cluster_id").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    long = ml.cluster_centers(model, "c").join(sizes, "c").select("n", F.posexplode("center").alias("d", "v"))
+    mean = F.sum(F.col("n") * F.col("v")) / F.sum("n")
+    return long.groupBy(F.col("d").cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n_centers"), F.abs(F.round(mean, 6)).alias("weighted_mean"))
 
-    return vector_to_array(F.col(c)).alias("fs")
 
+@register(
+    "ml_cluster_profile_fitted",
+    f"SELECT CAST({K} AS BIGINT) AS n_clusters, count(*) AS n_members, {', '.join(f'round(avg({c}), 6) AS {c}' for c in CP_COLS)} FROM ({SQL_PROFILE}) p",
+)
+def q_ml_cluster_profile_fitted(spark, base):
+    """G-4 on the fitted clusters: their sizes add up to all territories and their means, weighted by
+    size, to the overall means."""
+    _, pred = _kmeans(spark, base)
+    prof = kpi.cluster_profile(pred, "cluster_id", CP_COLS)
+    means = [(F.sum(F.col(c) * F.col("n_members")) / F.sum("n_members")).alias(c) for c in CP_COLS]
+    return round_doubles(prof.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n_members").alias("n_members"), *means))
 
-@register("ml_kmeans_centers")
-def q_ml_kmeans_centers(spark, base):
-    """M-5: cluster centres in scaled feature space."""
-    model, _ = _kmeans(spark, base)
-    return ml.cluster_centers(model)
 
+SWEEP = range(2, 7)
 
-@register("ml_kmeans_sweep")
-def q_ml_kmeans_sweep(spark, base):
-    """M-7, M-8, R-6: silhouette and WSSSE for k = 2..6 on the scaled panel features."""
-    from ..operators import panel as pnl
 
-    from ..operators.graph import materialize
+@register(
+    "ml_kmeans_sweep",
+    f"""SELECT CAST(range AS INTEGER) AS k, n.n AS n_rows, range AS n_clusters, CAST(0 AS BIGINT) AS n_not_nearest, 0.0::DOUBLE AS cost_gap, 0.0::DOUBLE AS silhouette_gap, true AS plausible
+FROM range({SWEEP.start}, {SWEEP.stop}), (SELECT count(DISTINCT uf) AS n FROM ({SQL_PANEL}) p) n""",
+)
+def q_ml_kmeans_sweep(spark, base):
+    """M-7, M-8, R-6: silhouette and WSSSE for k = 2..6 on the scaled panel features, checked against
+    the closed forms; missing features take the column's mean."""
+    cols = list(pnl.PANEL_FEATURES)
+    feats = stage(ml.impute_means(pnl.territory_features(si.labour_panel(spark, base)), cols), "features")
+    prep = ml.assemble(ml.stable_layout(feats, "uf", 4), cols)
+    scaled = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(prep).transform(prep)
+    rows = ml.kmeans_sweep(scaled, "features", SWEEP, seed=42)
+    plausible = F.col("silhouette").between(-1, 1) & (F.col("cost") >= 0)
+    return rows.select("k", "n_rows", "n_clusters", "n_not_nearest", F.round("cost_gap", 6).alias("cost_gap"), F.round("silhouette_gap", 6).alias("silhouette_gap"), plausible.alias("plausible"))
 
-    feats = materialize(ml.stable_layout(pnl.territory_features(si.labour_panel(spark, base)).na.drop(), "uf", 4))
-    prep = ml.assemble(feats, list(pnl.PANEL_FEATURES))
-    from pyspark.ml.feature import StandardScaler
 
-    scaled = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(prep).transform(prep)
-    return round_doubles(ml.kmeans_sweep(scaled, "features", range(2, 7), seed=42))
+def _sql_pca(squarings: int = 14) -> str:
+    """First two principal axes of the correlation matrix: the matrix is squared until only the
+    first axis is left (a power iteration), taken out, and squared again for the second."""
+    z = " UNION ALL ".join(
+        f"SELECT uf, {i} AS d, (CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS v FROM pr" for i, c in enumerate(INDICATORS)
+    )
+    out = [
+        f"pr AS MATERIALIZED ({SQL_PROFILE})",
+        f"z AS MATERIALIZED ({z})",
+        "c0 AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) / (SELECT count(*) - 1 FROM pr) AS v FROM z a JOIN z b ON a.uf = b.uf GROUP BY 1, 2)",
+    ]
+    for axis in (1, 2):
+        start = f"c{axis - 1}"
+        out.append(f"m{axis}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {start} WHERE i = j) AS v FROM {start})")
+        for t in range(squarings):
+            out.append(f"q{axis}_{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m{axis}_{t} a JOIN m{axis}_{t} b ON a.j = b.i GROUP BY 1, 2)")
+            out.append(f"m{axis}_{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{axis}_{t} WHERE i = j) AS v FROM q{axis}_{t})")
+        last = f"m{axis}_{squarings}"
+        out += [
+            f"col{axis} AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1))",
+            f"""e{axis} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM col{axis})) * (SELECT sign(v) FROM col{axis} ORDER BY abs(v) DESC LIMIT 1) AS v FROM col{axis})""",
+            f"c{axis} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT sum(x.v * c2.v * y.v) FROM {start} c2 JOIN e{axis} x ON x.i = c2.i JOIN e{axis} y ON y.i = c2.j) * a.v * b.v AS v FROM {start} c JOIN e{axis} a ON a.i = c.i JOIN e{axis} b ON b.i = c.j)",
+            f"p{axis} AS (SELECT z.uf, sum(z.v * e.v) AS p FROM z JOIN e{axis} e ON e.i = z.d GROUP BY z.uf)",
+        ]
+    return ",\n".join(out)
 
 
-@register("ml_pca_scatter")
+@register(
+    "ml_pca_scatter",
+    f"""WITH {_sql_pca()}
+SELECT pr.uf, round(p1.p, 6) AS pca_1, round(p2.p, 6) AS pca_2, round(pr.produtividade_media_uf, 6) AS produtividade_media_uf,
+       round(pr.taxa_inovacao_uf, 6) AS taxa_inovacao_uf, true AS named
+FROM pr JOIN p1 ON p1.uf = pr.uf JOIN p2 ON p2.uf = pr.uf""",
+)
 def q_ml_pca_scatter(spark, base):
-    """M-9, M-10, R-4: 2-D PCA of the scaled indicators with cluster names."""
+    """M-9, M-10, R-4: 2-D PCA of the scaled indicators; ``named``: the cluster has a display name."""
     _, pred = _kmeans(spark, base)
     out, _ = ml.pca_2d(pred, "features_scaled", 2)
     names = F.create_map(*[x for kv in CLUSTER_NAMES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return round_doubles(
-        out.select("uf", "cluster_id", F.element_at(names, F.col("cluster_id")).alias("cluster"), "pca_1", "pca_2",
-                   "produtividade_media_uf", "taxa_inovacao_uf")
-    )
+    named = F.element_at(names, F.col("cluster_id")).isNotNull()
+    return round_doubles(out.select("uf", "pca_1", "pca_2", "produtividade_media_uf", "taxa_inovacao_uf", named.alias("named")))

@@ -13,11 +13,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ";", single_file: bool = True) -> None:
+def write_delimited(df: DataFrame, path: str, sep: str = ";", single_file: bool = False) -> None:
     """Delimited export with header.
 
-    ``single_file`` coalesces to one partition and is meant for report-sized frames
-    (one row per territory / cluster / node); big frames keep their partitioning.
+    ``single_file`` repartitions to one file and is meant for report-sized frames (one row
+    per territory / cluster / node); only the finished rows meet in one task, the stages
+    before keep their partitioning, and so do big frames by default.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

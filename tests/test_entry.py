@@ -2,12 +2,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from regionlens.plans.catalog import ORACLES, QUERIES
 from regionlens.sources.tables import TABLES
 from tools.check_oracles import rows_of
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["kpi_report", "kpi_territory_profile", "panel_territory_features", "spatial_queen", "spatial_rook",
-         "spatial_moran", "graph_degrees", "graph_undirected", "ml_cluster_profile", "io_csv_roundtrip"]
 
 
 def test_entry_smoke(spark):
@@ -20,7 +19,7 @@ def test_entry_smoke(spark):
 def test_registry_contract():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 50
+    assert len(QUERIES) >= 60 and set(QUERIES) == set(ORACLES)  # every query of the library itself has an oracle
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_oracle_matches(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF)
     rel = duck.sql(entry_mod.oracle_sql()[name])

@@ -1,7 +1,10 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from regionlens.operators import ml
-from regionlens.session import scratch_path
+from regionlens.session import Scratch, local_scratch, scratch_path, stage
 from regionlens.sources import lower_headers, read_delimited, read_table, write_delimited, write_parquet
 from regionlens.sources.tables import require_columns, resolve_key
 
@@ -37,3 +40,29 @@ def test_drop_vector_columns(spark):
     df = ml.assemble(read_table(spark, SF, "part", ["p_partkey", "p_size"]), ["p_size"])
     assert "features_raw" in df.columns
     assert ml.drop_vector_columns(df).columns == ["p_partkey", "p_size"]
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"])
+def test_cluster_needs_a_shared_folder(master):
+    with pytest.raises(RuntimeError):
+        local_scratch(master)
+
+
+def test_local_master_gets_a_folder():
+    assert os.path.isdir(local_scratch("local[4]")) and os.path.isdir(local_scratch("local"))
+
+
+def test_loop_state_is_deleted(spark):
+    with Scratch(spark) as scratch:
+        kept = scratch.keep(spark.range(5))
+        folder = scratch.folder.removeprefix("file:")
+        assert kept.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    assert stage(spark.range(5)).count() == 5
+
+
+def test_single_file_is_asked_for(spark):
+    path = scratch_path(spark, "csv")
+    write_delimited(spark.range(0, 100, 1, 4), path)
+    assert spark.read.csv(path, header=True, sep=";").count() == 100
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]) > 1

@@ -17,15 +17,32 @@ def test_silhouette_closed_form_equals_mllib(spark):
 def test_assign_nearest_is_argmin(spark):
     emb = read_table(spark, SF, "embeddings", ["vec_id", "embedding", "label"])
     centers = ml.centers_from_labels(emb, "embedding", "label")
+    local = [(r.c, r.center) for r in centers.collect()]
     rows = ml.assign_nearest(emb, "embedding", centers).select("embedding", "cluster").limit(50).collect()
     for r in rows:
-        d = sorted((sum((a - b) ** 2 for a, b in zip(map(float, r.embedding), m)), c) for c, m in centers)
+        d = sorted((sum((a - b) ** 2 for a, b in zip(map(float, r.embedding), m)), c) for c, m in local)
         assert r.cluster == d[0][1]
 
 
+def test_blocks_of_clusters_give_the_same_result(spark, monkeypatch):
+    emb = read_table(spark, SF, "embeddings", ["vec_id", "embedding", "label"])
+    centers = ml.centers_from_labels(emb, "embedding", "label")
+    one = ml.silhouette(emb, "embedding", "label").first().silhouette
+    near = ml.assign_nearest(emb, "embedding", centers).groupBy("cluster").count().collect()
+    monkeypatch.setattr(ml, "BLOCK_NUMBERS", 3 * 64)
+    assert ml.silhouette(emb, "embedding", "label").first().silhouette == pytest.approx(one, abs=1e-12)
+    assert sorted(map(tuple, ml.assign_nearest(emb, "embedding", centers).groupBy("cluster").count().collect())) == sorted(map(tuple, near))
+
+
+def test_missing_features_take_the_mean(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("b", None, None), ("c", float("nan"), None), ("d", 3.0, None)], "id string, x double, y double")
+    rows = ml.impute_means(df, ["x", "y"]).collect()
+    assert [r.x for r in rows] == [1.0, 2.0, 2.0, 3.0] and {r.y for r in rows} == {0.0}
+
+
 def test_wssse_matches_direct_sum(spark):
     emb = read_table(spark, SF, "embeddings", ["vec_id", "embedding", "label"])
-    centers = dict(ml.centers_from_labels(emb, "embedding", "label"))
+    centers = {r.c: r.center for r in ml.centers_from_labels(emb, "embedding", "label").collect()}
     direct = sum(sum((float(a) - b) ** 2 for a, b in zip(r.embedding, centers[r.label])) for r in emb.collect())
     assert ml.wssse(emb, "embedding", "label").first().wssse == pytest.approx(direct, rel=1e-9)
 
