@@ -22,7 +22,7 @@ from .common import positions, ship, table, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 800_000
+_CACHE = 400_000
 _PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
 
 
@@ -32,14 +32,48 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_TAIL = ".,;:!?|%$&*#"
+#: Fixed: classes of Latin-1 characters as the tokenizer splits them: letters and numbers, white space, the
+#: two marks that are set apart here, separators that Python takes for white space and the tokenizer not, others.
+_CLASS = bytes(
+    ord("a") if chr(i).isalpha() or chr(i).isnumeric() else ord(".") if chr(i) in ".," else ord("?") if 0x1C <= i <= 0x1F else ord(" ") if chr(i).isspace() else ord("!")
+    for i in range(256)
+)
+
+
+def _chunks(text: str) -> list[str]:
+    """Pieces of a text over whose ends no pre-token of the tokenizer reaches.
+
+    In a text of Latin-1 characters (whose accents are composed already) case is lost as the tokenizer
+    does it, and full stops and commas that touch no other mark are pieces of their own.
+    """
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    kinds = raw.translate(_CLASS)
+    if b"?" in kinds:
+        return text.replace("\n", " ").split(" ")
+    text = text.lower()
+    if b"!." not in kinds and b".!" not in kinds and b".." not in kinds:
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds:
-    """Token ids (little-endian unsigned 32-bit) of texts.
+    """Token ids (little-endian unsigned 32-bit) of texts: those of their pieces, joined.
 
-    The tokenizer's pre-tokens never reach over a space or a line feed, so a text's ids are those of
-    its chunks between them; the ids of a bounded number of chunks are kept, those that came up last.
-    Texts of Latin-1 characters are lower-cased first, as the tokenizer would do (its composition of
-    accents leaves them alone). New chunks that are letters with punctuation behind are split into both
-    parts, and parts are encoded many at a time: a part's last token is the one that ends a word.
+    The ids of a bounded number of pieces are kept, those that came up last. New pieces that are
+    letters, with marks behind or not, are single pre-tokens or two; these are encoded many at a time,
+    as a pre-token's last token is the one that ends a word. Other pieces are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -52,12 +86,8 @@ class WordIds:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _one(self, s: str) -> bytes:
-        return array("I", self.tok.encode(s, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of parts that are one pre-token each."""
@@ -66,56 +96,41 @@ class WordIds:
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(some) or stop[-1] != len(ids):
-                self.parts.update((p, self._one(p)) for p in some)
+                self._learn_singly(some)
                 continue
             raw, a = ids.tobytes(), 0
             for p, b in zip(some, (stop * 4).tolist(), strict=True):
-                self.parts[p] = raw[a:b]
+                self.kept[p] = raw[a:b]
                 a = b
 
+    def _learn_singly(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.kept[p] = array("I", e.ids).tobytes()
+
     def of(self, texts: list[str | None]) -> list[bytes]:
         split = [_chunks(t) if t else [] for t in texts]
         every = set().union(*split) if split else set()
-        if len(self.chunks) > _CACHE:
-            self.older, self.chunks = self.chunks, {"": b""}
-        chunks, older, parts = self.chunks, self.older, self.parts
-        new, halves, other, need = every.difference(chunks), [], [], set()
-        if len(parts) > _CACHE:
-            parts = self.parts = {"": b""}
-        for c in new:
+        if len(self.kept) > _CACHE:
+            self.older, self.kept = self.kept, {"": b""}
+        kept, older = self.kept, self.older
+        plain, halves, other = [], [], []
+        for c in every.difference(kept):
             if (ids := older.get(c)) is not None:
-                chunks[c] = ids
-                continue
-            alpha = c.isalpha()
-            body = c if alpha else c.rstrip(".,;:!?|%$&*#")
-            if (alpha or body.isalpha() or not body) and (c.isascii() or _latin(c)):
-                tail, body = c[len(body) :], body.lower()
-                halves.append((c, body, tail))
-                need.add(body)
-                if tail:
-                    need.add(tail)
+                kept[c] = ids
+            elif c.isalpha() and c.islower() and (c.isascii() or _latin(c)):
+                plain.append(c)
             else:
-                other.append(c)
-        self._learn([p for p in need if p not in parts])
+                body = c.rstrip(_TAIL)
+                if (body.isalpha() or not body) and _latin(c):
+                    halves.append((c, body.lower(), c[len(body) :]))
+                else:
+                    other.append(c)
+        self._learn(plain)
+        self._learn([p for p in {p for _, *both in halves for p in both} if p not in kept])
         for c, body, tail in halves:
-            chunks[c] = parts[body] + parts[tail] if tail else parts[body]
-        for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            chunks[c] = array("I", e.ids).tobytes()
-        return [b"".join(map(chunks.__getitem__, s)) for s in split]
-
-
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _chunks(text: str) -> list[str]:
-    if _latin(text):
-        text = text.lower()
-    return text.replace("\n", " ").split(" ")
+            kept[c] = kept[body] + kept[tail]
+        self._learn_singly(other)
+        return [b"".join(map(kept.__getitem__, s)) for s in split]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -132,8 +147,8 @@ def token_pieces(path: str, capacity: int = CAPACITY):
         for batch in batches:
             out = []
             texts = batch.tolist()
-            for i in range(0, len(texts), 2000):
-                for raw in ids.of(texts[i : i + 2000]):
+            for i in range(0, len(texts), 1000):
+                for raw in ids.of(texts[i : i + 1000]):
                     raw += b"\0\0\0\0"
                     out.append([
                         {"start": a // 4, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)}
