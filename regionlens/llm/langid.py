@@ -35,7 +35,8 @@ half-way to what texts cost under a foreign language's model, if that is more.""
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 _WORDS = 50_000
-_CACHE = 400_000
+_CACHE = 500_000
+_CHARS = 4_000_000
 _GRAMS = 1_000_000
 UND = "und"
 
@@ -223,10 +224,21 @@ class Scorer:
         return out
 
     def sums(self, texts: list) -> np.ndarray:
-        words = [words_of(t) for t in texts]
+        """Bits under every language and characters of each text."""
+        parts, i = [np.zeros((0, len(self.model.langs) + 1))], 0
+        while i < len(texts):
+            j, size = i, 0  # some million characters at a time: their words are held at once
+            while j < len(texts) and (j == i or size < _CHARS):
+                size += len(texts[j] or "")
+                j += 1
+            parts.append(self._sums([words_of(t) for t in texts[i:j]]))
+            i = j
+        return np.concatenate(parts)
+
+    def _sums(self, words: list[list[str]]) -> np.ndarray:
         if len(self.known) > _CACHE:
             self.known, self.rows = {}, self.rows[:0]
-        new = [w for w in set().union(*words) if w not in self.known] if words else []
+        new = list(set().union(*words).difference(self.known))
         fresh = [self.rows]
         for i in range(0, len(new), _WORDS):
             part = [letters_of(w) for w in new[i : i + _WORDS]]
@@ -235,7 +247,7 @@ class Scorer:
             fresh.append(bits)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.rows = np.concatenate(fresh)
-        out = np.zeros((len(texts), self.rows.shape[1]))
+        out = np.zeros((len(words), self.rows.shape[1]))
         for i, w in enumerate(words):
             if w:
                 at = np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .ann import op6_ann
 from .decontaminate import op4_decontaminate
 from .langid import op8_language
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_chat": oracles.CHAT,
+    "op4_decontaminate": oracles.DECONTAMINATE,
+    "op10_secrets": oracles.SECRETS,
+}
