@@ -29,8 +29,9 @@ MAX_GRAMS = 500_000
 MAX_LANGUAGES = 300
 SIZES = 40
 """Size classes: powers of two of the characters, the last one open."""
-QUANTILE, MARGIN = 0.999, 0.5
-"""A text is rejected above the QUANTILE of its calibration class plus MARGIN bits a character, or
+QUANTILE, MARGIN, SPREAD = 0.999, 0.5, 12.5
+"""A text is rejected above the QUANTILE of its calibration class plus MARGIN bits a character and SPREAD
+over the root of its characters (about five standard errors of the mean bits of so many characters), or
 half-way to what texts cost under a foreign language's model, if that is more."""
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
@@ -319,7 +320,7 @@ def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> Model | None:
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(lang, size, limit) from scored training rows (lang, bits, next, chars): the quantile of the
     cross-entropy among texts of the same language and at least the same size (powers of two), plus
-    the margin or half the way to the median under the next best language, whichever is more. Shorter
+    the margins or half the way to the median under the next best language, whichever is more. Shorter
     texts get wider limits, never narrower ones."""
     part = scored.where("chars > 0").groupBy("lang", _size(F.col("chars")).alias("size")).agg(
         F.percentile_approx("bits", quantile, 10_000).alias("q"), F.count("*").alias("n")
@@ -336,7 +337,7 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
     shorter = Window.partitionBy("lang").orderBy("size")
     # sizes beyond the longest training text take the limit of that
     part = part.withColumn("q", F.max("q").over(longer)).withColumn("q", F.last("q", ignorenulls=True).over(shorter))
-    return part.select("lang", "size", F.greatest(F.col("q") + margin, (F.col("q") + F.col("foreign")) / 2).alias("limit"))
+    return part.select("lang", "size", F.greatest(F.col("q") + margin + SPREAD / F.sqrt(F.pow(F.lit(2.0), "size")), (F.col("q") + F.col("foreign")) / 2).alias("limit"))
 
 
 def _size(chars: Column) -> Column:
