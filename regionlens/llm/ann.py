@@ -205,7 +205,7 @@ def nearest(
     n = stored.count()
     share = min(1.0, sample / n)
     some = stored.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec")
-    some = some.limit(2 * sample).toPandas()["vec"]  # about ``sample`` rows; the hash spreads them evenly
+    some = some.limit(sample).toPandas()["vec"]  # the hash spreads them evenly
     lists = max(1, min(n // list_size, len(some) // LEAF))
     shared = spark.sparkContext.broadcast(Centroids.of(_unit(some) if len(some) else np.ones((1, sizes[0])), lists))
     rows = "list int, kind int, ids array<bigint>, vec array<double>"

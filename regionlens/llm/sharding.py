@@ -91,9 +91,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     capacity = spark.range(shards).select(
         F.col("id").cast("int").alias("shard"), (F.lit(n // shards) + (F.col("id") < n % shards).cast("bigint")).alias("cap")
     )
-    linked = rows.groupBy("grp").count().where("count > 1").select("grp", F.col("count").alias("members"))
-    linked = written(linked, "linked")
-    first = rows.join(linked, "grp").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n"))
+    # counted per group and shard before anything is joined, so that a group of any size is few rows
+    counts = written(rows.groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n")), "counts")
+    linked = written(counts.groupBy("grp").agg(F.sum("n").alias("members")).where("members > 1"), "linked")
+    first = counts.join(linked, "grp", "left_semi").select("grp", "shard", "n")
     # what the hashes put beyond a shard's capacity (small or empty shards only) is shed group by group
     state = written(_within(written(first, "state"), capacity), "state")
     state = propagate(state, capacity, rounds)
