@@ -171,7 +171,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     found = written(findings(scan_new(docs, scratch_path(docs.sparkSession, "ledger"), text_col)), "findings")
     names = [free_name(docs.columns, x) for x in ("_blob", "_spans")]
     found = found.select(F.col("blob").alias(names[0]), F.col("merged").alias(names[1]))
-    joined = docs.join(found, address(text_col) == F.col(names[0]), "left")
+    # by shuffling at every size: the findings grow with the documents
+    joined = docs.join(found.hint("merge"), address(text_col) == F.col(names[0]), "left")
     text = F.col(text_col)
     clean = F.aggregate(
         F.reverse(F.col(names[1])), text,

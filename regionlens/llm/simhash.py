@@ -195,7 +195,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = written(near_duplicates(docs, id_col, text_col), "near")
     keep = written(near.where("id = component").groupBy("component").agg(F.count("*").alias("n")), "kept")
     key, n = free_name(docs.columns, "_component"), free_name(docs.columns, "_rows")
-    kept = docs.join(keep.select(F.col("component").alias(key), F.col("n").alias(n)), F.col(id_col) == F.col(key))
+    # by shuffling at every size: the list of those kept grows with the documents
+    kept = docs.join(keep.select(F.col("component").alias(key), F.col("n").alias(n)).hint("merge"), F.col(id_col) == F.col(key))
     if not keep.where("n > 1").isEmpty():
         kept = kept.where(F.col(n) == 1).union(kept.where(F.col(n) > 1).dropDuplicates([id_col]))
     kept = kept.select(*docs.columns)
