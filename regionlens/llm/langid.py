@@ -3,8 +3,9 @@
 A word (a run of letters, lower-cased) is scored as a sequence of characters with three start marks
 and an end mark. Spark counts the character 4-grams of all training texts per language, derives the
 continuation counts of the lower orders, discounts and back-off weights by grouped aggregations, and
-the model becomes one table of sorted 64-bit hashes per language and order. The predicted language
-has the lowest cross-entropy per character; a text is rejected if that value is above the limit that
+these tables stay in Spark, whole and however many 4-grams there are. The documents are dealt into blocks;
+the distinct 4-grams of the corpus are joined with the tables, order by order, to their bits under every
+language, and each block gets the bits of its own 4-grams beside its texts. The predicted language has the lowest cross-entropy per character; a text is rejected if that value is above the limit that
 the training texts of its language and length calibrate, from their entropies under their own and
 under the next best language.
 """
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import free_name, ship, table, written
 
 ORDER = 4
-MAX_GRAMS = 500_000
-"""Distinct 4-grams kept per language (rarest counts go first): the bound of the broadcast model."""
+BLOCK = 1 << 26
+"""Bytes of text in a block, about: a task holds the distinct 4-grams of one block."""
 MAX_LANGUAGES = 300
 SIZES = 40
 """Size classes: powers of two of the characters, the last one open."""
@@ -68,12 +69,12 @@ def _grams_at(points: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (language, 4-gram) in each batch."""
+    """Counts of (block, language, 4-gram) in each batch; the language may be null."""
     for batch in batches:
-        words: dict[str, Counter] = {}
-        for text, lang in zip(batch["text"], batch["lang"], strict=True):
-            words.setdefault(lang, Counter()).update(words_of(text))
-        for lang, counted in words.items():
+        words: dict[tuple, Counter] = {}
+        for block, text, lang in zip(batch["block"], batch["text"], batch["lang"], strict=True):
+            words.setdefault((block, lang), Counter()).update(words_of(text))
+        for (block, lang), counted in words.items():
             some = [(x, n) for w, n in counted.items() if (x := letters_of(w))]
             for i in range(0, len(some), _WORDS):
                 types, n = zip(*some[i : i + _WORDS], strict=True)
@@ -82,25 +83,24 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total = np.bincount(same.ravel(), np.repeat(np.array(n, float), size))
                 text = _grams_at(points, at[first]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                 grams = [text[j : j + ORDER] for j in range(0, len(text), ORDER)]
-                yield pd.DataFrame({"lang": lang, "gram": grams, "n": total.astype(np.int64)})
+                yield pd.DataFrame({"block": block, "lang": pd.Series([lang] * len(grams), dtype=object), "gram": grams, "n": total.astype(np.int64)})
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows of ``train`` (text, lang)."""
-    ship(train.sparkSession)
-    part = train.mapInPandas(_counted, "lang string, gram string, n bigint")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def block_counts(rows: DataFrame) -> DataFrame:
+    """(block, lang, gram, n) over all ``rows`` (block, text, lang), several rows of the same key among them."""
+    ship(rows.sparkSession)
+    return rows.select("block", "text", "lang").mapInPandas(_counted, "block bigint, lang string, gram string, n bigint")
 
 
-def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def gram_counts(part: DataFrame) -> DataFrame:
+    """(lang, gram, n) of the block counts that have a language."""
+    return part.where("lang is not null").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(grams: DataFrame) -> DataFrame:
     """(lang, order, kind, gram, value): kind ``p`` is the discounted share of a gram in its context,
     kind ``g`` the weight of the next lower order after a context."""
-    sizes = grams.groupBy("lang", "n").count()
-    many = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    cut = sizes.withColumn("many", many).where(F.col("many") > max_grams).groupBy("lang").agg(F.max("n").alias("cut"))
-    level = grams.join(F.broadcast(cut), "lang", "left").where("cut is null or n > cut").select("lang", "gram", "n")
-    level = written(level, "level")
-    tables = []
+    level, tables = grams, []
     for order in range(ORDER, 0, -1):
         ones = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         # the usual estimate of the discount; kept inside (0, 1) where counts are few
@@ -124,6 +124,34 @@ def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     return out
 
 
+def gram_bits(rows: DataFrame, grams: DataFrame, langs: list[str], uniform: float) -> DataFrame:
+    """(gram, bits): the bits of the last character of each of the distinct ``grams`` after those before it,
+    under every language, from the Kneser-Ney ``rows``. Lower orders come first, each one a join by gram,
+    by context and by the gram without its first character."""
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+
+    def by(order: int, kind: str, key: str) -> DataFrame:
+        some = rows.where((F.col("order") == order) & (F.col("kind") == kind))
+        pairs = F.collect_list(F.struct(place[F.col("lang")], "value"))  # one a language
+        return some.groupBy(F.col("gram").alias(key)).agg(F.map_from_entries(pairs).alias(kind))
+
+    need = {ORDER: grams.select("gram")}
+    for order in range(ORDER - 1, 0, -1):
+        need[order] = need[order + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+    low = None
+    for order in range(1, ORDER + 1):
+        level = need[order].withColumn("context", F.substring("gram", 1, order - 1)).withColumn("rest", F.expr("substring(gram, 2)"))
+        weights = by(order, "g", "context")
+        level = level.join(by(order, "p", "gram"), "gram", "left").join(F.broadcast(weights) if order == 1 else weights, "context", "left")
+        if low is None:
+            level = level.withColumn("low", F.array_repeat(F.lit(uniform), len(langs)))
+        else:
+            level = level.join(low, "rest")
+        value = lambda x, i: F.coalesce(F.try_element_at("p", i), F.lit(0.0)) + F.coalesce(F.try_element_at("g", i), F.lit(1.0)) * x
+        low = level.select(F.col("gram").alias("rest"), F.transform("low", value).alias("low"))
+    return low.select(F.col("rest").alias("gram"), F.transform("low", lambda x: (-F.log2(x)).cast("float")).alias("bits"))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -191,6 +219,23 @@ class Model:
         return out
 
 
+class Known:
+    """The bits of a block's 4-grams under every language, in place of the whole model."""
+
+    def __init__(self, langs: list[str], grams: list[str], bits: np.ndarray):
+        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
+        h = _row_hashes(points)
+        at = np.argsort(h)
+        self.langs, self.keys, self.bits = langs, h[at], bits[at]
+
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        h = _row_hashes(grams)
+        at = np.searchsorted(self.keys, h)
+        if len(h) and (not len(self.keys) or (self.keys[np.minimum(at, len(self.keys) - 1)] != h).any()):
+            raise ValueError("a text of the block has 4-grams that were not counted: the table changed meanwhile")
+        return self.bits[at]
+
+
 class Scorer:
     """Sums word scores; the scores of a bounded number of 4-grams and words are kept."""
 
@@ -243,8 +288,9 @@ class Scorer:
         fresh = [self.rows]
         for i in range(0, len(new), _WORDS):
             part = [letters_of(w) for w in new[i : i + _WORDS]]
-            bits = self.word_bits([w or "a" for w in part])
-            bits[[not w for w in part]] = 0
+            bits = np.zeros((len(part), self.rows.shape[1]), np.float32)
+            if some := [w for w in part if w]:
+                bits[[bool(w) for w in part]] = self.word_bits(some)
             fresh.append(bits)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.rows = np.concatenate(fresh)
@@ -260,34 +306,71 @@ class Scorer:
 _SCORED = "struct<lang: string, score: double, bits: double, next: double, chars: bigint>"
 
 
-def with_scores(docs: DataFrame, model: Model | None, out: str, text_col: str = "text") -> DataFrame:
+def _scores(langs: list[str], sums: np.ndarray) -> pd.DataFrame:
+    """The rows of _SCORED from the sums of some texts."""
+    bits, chars = sums[:, :-1], sums[:, -1]
+    best, some = bits.argmin(axis=1), chars > 0
+    least = bits.min(axis=1)
+    second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.full(len(sums), np.nan)
+    score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+    lang = np.array(langs, dtype=object)[best]
+    return pd.DataFrame({
+        "lang": np.where(some, lang, UND), "score": np.where(some, score, 0.0),
+        "bits": np.where(some, least / np.maximum(chars, 1), np.nan),
+        "next": np.where(some, second / np.maximum(chars, 1), np.nan), "chars": chars.astype(np.int64),
+    })
+
+
+def _no_scores(n: int) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [UND] * n, "score": 0.0, "bits": np.nan, "next": np.nan, "chars": 0})
+
+
+def with_scores(docs: DataFrame, bits: DataFrame | None, langs: list[str], out: str, block: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``out``: lang (``und`` without letters), score (probability of the
     language among the learned ones), bits (cross-entropy a character), next (that of the second best
-    language), chars."""
-    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+    language), chars. ``bits`` (block, gram, bits) has all 4-grams of the texts of each ``block``."""
+    ship(docs.sparkSession)
+    if bits is None:
+        none = F.struct(F.lit(UND), F.lit(0.0), F.lit(float("nan")), F.lit(float("nan")), F.lit(0).cast("bigint")).cast(_SCORED)
+        return docs.withColumn(out, none)
 
     @F.pandas_udf(_SCORED)
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value) if shared.value else None
-        for batch in batches:
-            n = len(batch)
-            if scorer is None:
-                yield pd.DataFrame({"lang": [UND] * n, "score": 0.0, "bits": np.nan, "next": np.nan, "chars": 0})
-                continue
-            sums = scorer.sums(batch.tolist())
-            bits, chars = sums[:, :-1], sums[:, -1]
-            best, some = bits.argmin(axis=1), chars > 0
-            least = bits.min(axis=1)
-            second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.full(n, np.nan)
-            score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-            lang = np.array(scorer.model.langs, dtype=object)[best]
-            yield pd.DataFrame({
-                "lang": np.where(some, lang, UND), "score": np.where(some, score, 0.0),
-                "bits": np.where(some, least / np.maximum(chars, 1), np.nan),
-                "next": np.where(some, second / np.maximum(chars, 1), np.nan), "chars": chars.astype(np.int64),
-            })
-
-    return docs.withColumn(out, scored.asNondeterministic()(F.col(text_col)))
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        now, grams, values, scorer = None, [], [], None
+        for block, gram, bits, text in batches:
+            block, parts = block.to_numpy(), []
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and block[a] != now:
+                    now, grams, values, scorer = block[a], [], [], None
+                n = int(gram.iloc[a:b].notna().sum())  # 4-grams come before texts
+                if n:
+                    grams += gram.iloc[a : a + n].tolist()
+                    values.append(np.stack(bits.iloc[a : a + n].to_list()).astype(np.float32))
+                    parts.append(_no_scores(n))
+                if a + n < b:
+                    if scorer is None:
+                        scorer = Scorer(Known(langs, grams, np.concatenate([np.zeros((0, len(langs)), np.float32), *values])))
+                        grams, values = [], []
+                    parts.append(_scores(langs, scorer.sums(text.iloc[a + n : b].tolist())))
+            yield pd.concat(parts, ignore_index=True) if parts else _no_scores(0)
+
+    names = [free_name([*docs.columns, out], x) for x in ("_gram", "_bits")]
+    both = bits.toDF(block, *names).unionByName(docs, allowMissingColumns=True)
+    dealt = both.repartition(block).sortWithinPartitions(block, F.col(names[0]).isNull())
+    dealt = dealt.withColumn(out, scored.asNondeterministic()(block, names[0], names[1], text_col))
+    return dealt.where(F.col(names[0]).isNull()).select(*docs.columns, out)
+
+
+def with_block(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``out``, the hash of the row's file and of a piece of about BLOCK bytes in it: the same at
+    every reading. Rows that come from no file are dealt by hash alone."""
+    file = free_name(docs.columns, "_file")
+    named = docs.withColumn(file, F.input_file_name())
+    size, files = named.agg(F.sum(F.octet_length(text_col)), F.approx_count_distinct(file)).first()
+    pieces = -(-(size or 0) // (BLOCK * max(files, 1))) or 1
+    piece = F.pmod(F.xxhash64(id_col, text_col), F.lit(pieces))
+    return named.withColumn(out, F.xxhash64(file, piece)).drop(file)
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id"):
@@ -295,26 +378,37 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2, F.lit(False))
 
 
-def fit(train: DataFrame, max_grams: int = MAX_GRAMS) -> Model | None:
-    """The model of all rows of ``train`` (text, lang); rows with a null in either teach nothing, and
-    without any letter to learn from there is none.
-
-    Size: at most ``max_grams`` 4-grams a language and their suffixes, at most MAX_LANGUAGES languages.
-    Only their hashes and values (12 bytes each) come to the driver.
-    """
-    known = train.where("text is not null and lang is not null")
-    grams = written(gram_counts(known), "grams")
+def learn(part: DataFrame) -> tuple[list[str], float, DataFrame | None]:
+    """The languages, the uniform share of a character and the written Kneser-Ney rows of the block counts
+    ``part``; without any letter to learn from there is no language. At most MAX_LANGUAGES languages."""
+    grams = written(gram_counts(part), "grams")
     langs = sorted(r[0] for r in grams.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not langs:
-        return None
-    rows = written(kneser_ney(grams, max_grams), "kneser_ney")
+        return [], 1.0, None
+    rows = written(kneser_ney(grams), "kneser_ney")
     alphabet = rows.where("`order` = 1 and kind = 'p'").select("gram").distinct().count()
+    return langs, 1.0 / (alphabet + 1), rows
+
+
+def fit(train: DataFrame, max_grams: int | None = None) -> Model | None:
+    """The model of all rows of ``train`` (text, lang) in the memory of this process, for small tables and
+    comparisons (``identify`` does not need it); rows with a null in either teach nothing, and without any
+    letter to learn from there is none. With ``max_grams``, at most so many 4-grams a language keep their own
+    share (the smallest shares go first); discounts, weights and lower orders are those of all counts.
+    """
+    known = train.where("text is not null and lang is not null").withColumn("block", F.lit(0).cast("bigint"))
+    langs, uniform, rows = learn(block_counts(known))
+    if not langs:
+        return None
+    if max_grams is not None:
+        rank = F.row_number().over(Window.partitionBy("lang", "order", "kind").orderBy(F.desc("value"), "gram"))
+        rows = rows.withColumn("rank", rank).where((F.col("order") < ORDER) | (F.col("kind") != "p") | (F.col("rank") <= max_grams))
     place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     rows = rows.select(place[F.col("lang")].alias("lang"), "order", (F.col("kind") == "g").cast("int").alias("kind"), "gram", "value")
     hashed = rows.mapInPandas(_hashed, "lang int, order int, kind int, value float, hash bigint")
-    return Model(langs, alphabet, hashed.toPandas())
+    return Model(langs, round(1 / uniform) - 1, hashed.toPandas())
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -356,11 +450,28 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     """
     keep = docs.columns if keep is None else keep
     train = train_rows(docs, id_col)
-    model = fit(docs.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    names = [free_name([*keep, out], x) for x in ("_lang", "_size", "_limit", "_teaches")]
+    names = [free_name([*docs.columns, *keep, out], x) for x in ("_lang", "_size", "_limit", "_teaches", "_block", "_text")]
+    dealt = with_block(docs, names[4], id_col, text_col)
+    teaches = F.when(train, F.col(lang_col)).alias("lang")
+    texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(names[4]).alias("block"), F.col(text_col).alias("text"), teaches)
+    part = written(block_counts(texts), "block_grams")
+    langs, uniform, rows = learn(part)
+    bits = None
+    if langs:
+        needed = written(part.select("block", "gram").distinct(), "needed")
+        bits = gram_bits(rows, needed.select("gram").distinct(), langs, uniform)
+        bits = needed.join(bits, "gram").select("block", "gram", "bits")
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    scored = with_scores(docs, model, out, text_col)
-    scored = scored.select(*keep, F.col(out).withField("held_out", held).alias(out), (train & F.col(lang_col).isNotNull()).alias(names[3]))
+    # only what is kept crosses the shuffle beside the text
+    some = dealt.select(
+        *keep, names[4], F.col(text_col).alias(names[5]), held.alias(names[0]), (train & F.col(lang_col).isNotNull()).alias(names[3])
+    )
+    if text_col in keep:
+        some, text = some.drop(names[5]), text_col
+    else:
+        text = names[5]
+    scored = with_scores(some, bits, langs, out, names[4], text)
+    scored = scored.select(*keep, F.col(out).withField("held_out", F.col(names[0])).alias(out), names[3])
     scored = written(scored, "scored")
     taught = scored.where(F.col(names[3])).select(F.col(out)["lang"].alias("lang"), *[F.col(out)[c].alias(c) for c in ("bits", "next", "chars")])
     limit = written(limits(taught), "limits")

@@ -83,6 +83,35 @@ def test_bound_of_the_model(spark):
     assert all(len(tables[lang, 4, "p"][0]) <= 10 for lang in TEXTS)
 
 
+def test_every_count_is_kept(spark):
+    """A language of 540,000 4-grams, most of them seen once: what scoring gathers is not cut."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, w)) for w in (rng.integers(0, 20_000, (176_000, 3)) + 0x4E00).tolist()]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]  # all but one text teach
+    held = next(i for i in range(1000) if i not in ids)
+    zh = dict(zip([held, *ids], texts, strict=False))
+    rows = [(i, t, "zh") for i, t in zh.items()] + [(ids[-1 - i], t, "aa") for i, t in enumerate(TEXTS["aa"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["x"] for r in m.identify(df, "x").collect()}
+    brute = brute_probability(None, [t for i, t in zh.items() if i != held])
+    assert len(brute[0][4]) > 500_000
+    letters = {c for i, t, _ in rows if i != held for c in t if c != " "}
+    for i in (held, *ids[:2]):
+        some = zh[i].split()
+        bits = sum(brute_bits(w, brute, 1 / (len(letters) + 2)) for w in some) / (4 * len(some))
+        assert (got[i]["lang"], got[i]["chars"]) == ("zh", 4 * len(some)) and got[i]["bits"] == pytest.approx(bits, rel=1e-4)
+
+
+def test_joined_scores_equal_the_models(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    scorer = m.Scorer(m.fit(docs.where(m.train_rows(docs)).select("text", "lang")))
+    got = m.identify(docs, "x").collect()
+    sums = scorer.sums([r["text"] for r in got])
+    assert [r["x"]["chars"] for r in got] == sums[:, -1].tolist()
+    assert [r["x"]["bits"] for r in got] == pytest.approx(sums[:, :-1].min(axis=1) / np.maximum(sums[:, -1], 1), rel=1e-4)
+
+
 def test_held_out_accuracy(spark):
     got = m.op8_language(spark, SF).join(documents(spark).select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
