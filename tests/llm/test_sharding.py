@@ -44,6 +44,14 @@ def test_linked_documents_meet(spark):
     assert sum(n > 1 for total, n in sizes if total == 10) <= 6
 
 
+def test_every_document_linked(spark):
+    """Pairs only, so that there is no free room beside the documents' own."""
+    rows = [(i, f"pair {i % 3000}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    where = check(s.shard_documents(df, shards=10).collect(), rows, 10)
+    assert sum(len(c) == 1 for c in where.values()) >= 0.9 * len(where)
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).withColumn("shard", F.lit(-1)).withColumn("grp", F.lit("x"))
     given = [(r["doc_id"], r["text"]) for r in docs.collect()]
