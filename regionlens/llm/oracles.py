@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .curriculum import BASE_WEIGHTS, CAP, stated_schedules
 from .decontaminate import WINDOW
 from .secrets import BASE, RULES
 
@@ -99,3 +100,36 @@ SELECT o.conv_id, o.turn, o.role, l.parent, coalesce(r.root, o.t) AS root, coale
        row_number() OVER (PARTITION BY o.conv ORDER BY coalesce(r.root, o.t), o.t, o.role NULLS FIRST, o.own NULLS FIRST) - 1 AS reply_pos, o.own AS text
 FROM o LEFT JOIN links l ON l.conv = o.conv AND l.t = o.t LEFT JOIN roots r ON r.conv = o.conv AND r.t = o.t
 """
+
+
+def _time_of(part: str) -> str:
+    """The stated schedules' time of a share of their integral, one CASE branch a schedule and piece."""
+    branches = []
+    for k, knots in enumerate(stated_schedules()):
+        whole, behind = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)), 0.0
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+            ahead = behind + (t1 - t0) * (w0 + w1) / 2
+            more = f"({part} * {whole!r}::DOUBLE - {behind!r}::DOUBLE)"
+            root = f"sqrt({w0 * w0!r}::DOUBLE + {2 * (w1 - w0) / (t1 - t0)!r}::DOUBLE * {more})"
+            branches.append(f"WHEN kind = {k} AND {part} * {whole!r}::DOUBLE < {ahead!r}::DOUBLE THEN {t0!r}::DOUBLE + 2 * {more} / ({w0!r}::DOUBLE + {root})")
+            behind = ahead
+    return f"CASE {' '.join(branches)} ELSE 1.0::DOUBLE END"
+
+
+MIX = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', CAST(doc_id AS VARCHAR), coalesce(text, ''))) AS o FROM documents),
+s AS (SELECT source, sum(size) AS ssize, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
+w AS MATERIALIZED (SELECT *, rk % {len(BASE_WEIGHTS)} AS kind, [{', '.join(f'{x!r}::DOUBLE' for x in BASE_WEIGHTS)}][rk % {len(BASE_WEIGHTS)} + 1] AS weight FROM s),
+r AS (SELECT *, {CAP} * ssize / weight AS brim, row_number() OVER (ORDER BY {CAP} * ssize / weight, rk) AS nr FROM w),
+l AS (SELECT a.nr, a.brim, ((SELECT sum(ssize) FROM w) - coalesce((SELECT sum({CAP} * b.ssize) FROM r b WHERE b.nr < a.nr), 0))
+             / (SELECT sum(b.weight) FROM r b WHERE b.nr >= a.nr) AS level FROM r a),
+t AS MATERIALIZED (SELECT w.*, least({CAP}.0::DOUBLE * ssize, weight * (SELECT level FROM l WHERE level <= brim ORDER BY nr LIMIT 1)) AS target FROM w),
+c AS (SELECT d.*, t.ssize, t.target, t.kind, floor(t.target + 0.5) AS asked,
+             sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.o, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, CASE WHEN target > 0 THEN start / target ELSE 0 END AS part,
+             {' + '.join(f'greatest(least(size, asked - {i} * ssize - start), 0)' for i in range(CAP))} AS taken,
+             {' + '.join(f'CASE WHEN size > 0 AND asked - {i} * ssize - start > 0 THEN 1 ELSE 0 END' for i in range(CAP))} AS n_copies FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ssize AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(taken AS BIGINT) AS taken, CAST(n_copies AS BIGINT) AS n_copies,
+       CASE WHEN n_copies > 0 THEN {_time_of('part')} END AS position FROM e
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .ann import op6_ann
+from .curriculum import op11_mix
 from .decontaminate import op4_decontaminate
 from .langid import op8_language
 from .licences import op2_licences
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_mix": op11_mix,
 }
 
 ORACLES = {
     "op3_chat": oracles.CHAT,
     "op4_decontaminate": oracles.DECONTAMINATE,
     "op10_secrets": oracles.SECRETS,
+    "op11_mix": oracles.MIX,
 }
