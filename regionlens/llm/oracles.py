@@ -5,6 +5,7 @@ from __future__ import annotations
 from .curriculum import BASE_WEIGHTS, CAP, stated_schedules
 from .decontaminate import WINDOW
 from .secrets import BASE, RULES
+from .trie import SHARE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -133,3 +134,29 @@ e AS (SELECT *, CASE WHEN target > 0 THEN start / target ELSE 0 END AS part,
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ssize AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(taken AS BIGINT) AS taken, CAST(n_copies AS BIGINT) AS n_copies,
        CASE WHEN n_copies > 0 THEN {_time_of('part')} END AS position FROM e
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+
+
+TRIE = rf"""
+WITH m AS MATERIALIZED (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS MATERIALIZED (SELECT c, g, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, g) - 1 AS pos FROM m),
+ids AS MATERIALIZED (SELECT c, c - c % {SHARE} AS base, {_crc32('CAST(c AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT c FROM t) x),
+built AS (SELECT i.c, t.pos, t.g, t.words FROM ids i JOIN t ON t.c = i.base AND t.pos < i.h UNION ALL SELECT i.c, t.pos, t.g, t.words FROM ids i JOIN t ON t.c = i.c AND t.pos >= i.h),
+lists AS MATERIALIZED (SELECT i.c, coalesce(list(b.g ORDER BY b.pos) FILTER (b.g IS NOT NULL), []) AS gs, coalesce(list(b.words ORDER BY b.pos) FILTER (b.g IS NOT NULL), []) AS ws FROM ids i LEFT JOIN built b ON b.c = i.c GROUP BY i.c),
+pre AS MATERIALIZED (SELECT c, d, array_to_string(gs[1:d], ',') AS k, array_to_string(gs[1:d - 1], ',') AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(gs) AS ends
+                     FROM (SELECT *, unnest(range(0, len(gs) + 1)) AS d FROM lists) x),
+node AS MATERIALIZED (SELECT k, d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(words) AS words, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ends FROM pre GROUP BY k, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+sub AS (SELECT p.k, p.d, sum((v.n - 1) * v.words) AS saved, count(*) FILTER (x.n IS NULL) AS leaves
+        FROM node v JOIN pre p ON p.c = v.c AND p.d <= v.d LEFT JOIN kids x ON x.up = v.k AND x.d = v.d GROUP BY 1, 2)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, a.c AS parent_conv_id, v.n AS n_convs, coalesce(x.n, 0) AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM node v JOIN sub s ON s.k = v.k AND s.d = v.d LEFT JOIN kids x ON x.up = v.k AND x.d = v.d LEFT JOIN node a ON a.k = v.up AND a.d = v.d - 1
+"""

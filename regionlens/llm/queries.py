@@ -14,6 +14,7 @@ from .quotes import op3_chat
 from .secrets import op10_secrets
 from .sharding import op7_sharding
 from .simhash import op5_simhash
+from .trie import op12_trie
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
     "op11_mix": op11_mix,
+    "op12_trie": op12_trie,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op4_decontaminate": oracles.DECONTAMINATE,
     "op10_secrets": oracles.SECRETS,
     "op11_mix": oracles.MIX,
+    "op12_trie": oracles.TRIE,
 }
