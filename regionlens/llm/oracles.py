@@ -160,3 +160,55 @@ SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, a.c AS parent_conv_id, v.n
        CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM node v JOIN sub s ON s.k = v.k AND s.d = v.d LEFT JOIN kids x ON x.up = v.k AND x.d = v.d LEFT JOIN node a ON a.k = v.up AND a.d = v.d - 1
 """
+
+
+def _step(state: str, cost: str, edit: str) -> str:
+    return f"{{'s': {state}, 'c': c + {cost}, 'a': a || '{edit}'}}"
+
+
+_FOLLOW = "CASE WHEN s = 2 THEN 3 ELSE 2 END"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Insertions at one place: none, one or two (a third one only leads back).
+_INSERTED = f"[e, {{'s': CASE WHEN e.s = 2 THEN 3 ELSE 2 END, 'c': e.c + 5, 'a': e.a || 'I'}}, {{'s': CASE WHEN e.s = 2 THEN 2 ELSE 3 END, 'c': e.c + 10, 'a': e.a || 'II'}}]"
+
+#: The least (cost, audit) of every place and state, message by message; a state is 0 (nothing), 1 (system), 2 (user) or 3 (assistant).
+REPAIR = rf"""
+WITH RECURSIVE named AS (SELECT DISTINCT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS nm FROM conversations),
+kinds AS MATERIALIZED (SELECT conv_id, turn, {_crc32('nm')} % 20 AS kind FROM named),
+dm AS MATERIALIZED (
+  SELECT m.conv_id, m.turn, CASE WHEN k.kind = 4 THEN 'user' ELSE coalesce(m.role, ' ') END AS role,
+         CASE k.kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(m.text, ' '), '[.!?]', '', 'g') ELSE coalesce(m.text, ' ') END AS text,
+         unnest(CASE WHEN k.kind = 3 THEN [0, 1] ELSE [0] END) AS twice
+  FROM conversations m JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM m.conv_id AND k.turn IS NOT DISTINCT FROM m.turn WHERE k.kind <> 0),
+pl AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, role, text, rtrim(text, {_SPACES}) AS stem,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM dm),
+fl AS MATERIALIZED (
+  SELECT *, CASE WHEN stem = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'd' WHEN right(stem, 1) IN ('.', '!', '?') THEN 'o' ELSE 't' END AS f,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS i, lag(role[1]) OVER (PARTITION BY conv ORDER BY pos) || role[1] AS pair FROM pl),
+cv AS MATERIALIZED (
+  SELECT conv, count(*) AS n, list(f ORDER BY pos) AS fs, list(i ORDER BY pos) AS ins, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM fl GROUP BY conv),
+dp AS (
+  SELECT conv, 0 AS at_, e.s AS s, e.c AS c, e.a AS a FROM (SELECT conv, unnest([{{'s': 0, 'c': 0, 'a': ''}}, {{'s': 2, 'c': 5, 'a': 'I'}}, {{'s': 3, 'c': 10, 'a': 'II'}}]) AS e FROM cv) x
+  UNION ALL
+  SELECT conv, at_, s, best['c'], best['a'] FROM (SELECT conv, at_, z['s'] AS s, min({{'c': z['c'], 'a': z['a']}}) AS best FROM (
+    SELECT conv, at_, unnest({_INSERTED}) AS z FROM (
+      SELECT conv, at_, unnest([{_step('s', '2', 'D')},
+        CASE WHEN f IN ('o', 't') AND ((s = 0 AND i IN ('s', 'u')) OR (s IN (1, 3) AND i = 'u') OR (s = 2 AND i = 'a'))
+             THEN {_step("CASE i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END", "CASE WHEN f = 't' THEN 5 ELSE 0 END", 'K')} END,
+        CASE WHEN f IN ('o', 't') THEN {_step(_FOLLOW, "1 + CASE WHEN f = 't' THEN 5 ELSE 0 END", 'R')} END]) AS e
+      FROM (SELECT dp.conv, dp.at_ + 1 AS at_, dp.s, dp.c, dp.a, cv.fs[dp.at_ + 1] AS f, cv.ins[dp.at_ + 1] AS i FROM dp JOIN cv ON cv.conv = dp.conv AND dp.at_ < cv.n) q) w WHERE e IS NOT NULL) v
+  GROUP BY conv, at_, z['s']) y),
+fin AS MATERIALIZED (SELECT cv.conv, min({{'c': dp.c, 'a': dp.a}}) AS best FROM dp JOIN cv ON cv.conv = dp.conv AND dp.at_ = cv.n WHERE dp.s IN (0, 3) GROUP BY cv.conv),
+ops AS (SELECT conv, nr, best.a[nr] AS op, nr - length(replace(best.a[1:nr], 'I', '')) AS ahead FROM (SELECT *, unnest(range(1, length(best.a) + 1)) AS nr FROM fin) x),
+kept AS (SELECT o.conv, o.nr, o.op, fl.role, CASE WHEN o.op = 'I' THEN '' ELSE fl.text END AS text, row_number() OVER (PARTITION BY o.conv ORDER BY o.nr) AS k,
+                max(CASE WHEN o.op = 'K' AND fl.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv) AS led
+         FROM ops o LEFT JOIN fl ON fl.conv = o.conv AND fl.pos = o.nr - o.ahead AND o.op <> 'I' WHERE o.op <> 'D'),
+said AS (SELECT conv, string_agg(CASE WHEN op = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nr) AS lines FROM kept GROUP BY conv)
+SELECT d.conv_id, CAST(coalesce(cv.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(cv.blank, 0) AS BIGINT) AS blank, CAST(coalesce(cv.duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(cv.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(cv.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(fin.best.c, 0) AS BIGINT) AS cost,
+       coalesce(fin.best.a, '') AS audit, sha256(coalesce(said.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv FROM conversations) d
+LEFT JOIN cv ON cv.conv = d.conv LEFT JOIN fin ON fin.conv = d.conv LEFT JOIN said ON said.conv = d.conv
+"""

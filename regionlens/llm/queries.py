@@ -11,6 +11,7 @@ from .licences import op2_licences
 from .packing import op9_packing
 from .quality import op1_quality
 from .quotes import op3_chat
+from .repair import op13_repair
 from .secrets import op10_secrets
 from .sharding import op7_sharding
 from .simhash import op5_simhash
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_mix": op11_mix,
     "op12_trie": op12_trie,
+    "op13_repair": op13_repair,
 }
 
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op10_secrets": oracles.SECRETS,
     "op11_mix": oracles.MIX,
     "op12_trie": oracles.TRIE,
+    "op13_repair": oracles.REPAIR,
 }

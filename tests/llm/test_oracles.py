@@ -6,7 +6,9 @@ import hashlib
 import duckdb
 import pytest
 import test_quotes
+import test_repair
 import test_secrets
+import test_trie
 from llm_cases import SF
 
 from regionlens.llm.queries import ORACLES, QUERIES
@@ -38,3 +40,20 @@ def test_secrets_in_sql():
     for r in con.sql(ORACLES["op10_secrets"]).fetchall():
         n, base = test_secrets.brute(None if r[0] == 99 else test_secrets.TEXTS[r[0]])
         assert (list(r[1:4]), r[4]) == (n, hashlib.sha256(base.encode()).hexdigest())
+
+
+def _conversations(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return con
+
+
+def test_trie_in_sql():
+    rows = [r for r in test_trie.awkward() if r[0] not in (200, 220)]
+    assert sorted(_conversations(rows).sql(ORACLES["op12_trie"]).fetchall(), key=repr) == test_trie.brute(test_trie.rebuilt(rows))
+
+
+def test_repair_in_sql():
+    rows = test_repair.awkward()
+    assert sorted(_conversations(rows).sql(ORACLES["op13_repair"]).fetchall(), key=repr) == test_repair.brute(rows)
