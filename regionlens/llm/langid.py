@@ -25,9 +25,12 @@ from pyspark.sql.window import Window
 from .common import free_name, ship, table, written
 
 ORDER = 4
-BLOCK = 1 << 26
+BLOCK = 1 << 24
 """Bytes of text in a block, about: a task holds the distinct 4-grams of one block."""
-MAX_LANGUAGES = 300
+MOST_PARTS = 100_000
+"""Blocks are dealt into so many partitions at most, each block into one."""
+LANGUAGES = 256
+"""Languages scored at once; with more of them the texts pass several times."""
 SIZES = 40
 """Size classes: powers of two of the characters, the last one open."""
 QUANTILE, MARGIN, SPREAD = 0.999, 0.5, 12.5
@@ -325,8 +328,8 @@ def _no_scores(n: int) -> pd.DataFrame:
     return pd.DataFrame({"lang": [UND] * n, "score": 0.0, "bits": np.nan, "next": np.nan, "chars": 0})
 
 
-def with_scores(docs: DataFrame, bits: DataFrame | None, langs: list[str], out: str, block: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``out``: lang (``und`` without letters), score (probability of the
+def with_scores(docs: DataFrame, bits: DataFrame | None, langs: list[str], out: str, block: str, text_col: str = "text", parts: int = 1) -> DataFrame:
+    """``docs``, dealt into ``parts`` partitions by ``block``, with a struct ``out``: lang (``und`` without letters), score (probability of the
     language among the learned ones), bits (cross-entropy a character), next (that of the second best
     language), chars. ``bits`` (block, gram, bits) has all 4-grams of the texts of each ``block``."""
     ship(docs.sparkSession)
@@ -357,20 +360,36 @@ def with_scores(docs: DataFrame, bits: DataFrame | None, langs: list[str], out:
 
     names = [free_name([*docs.columns, out], x) for x in ("_gram", "_bits")]
     both = bits.toDF(block, *names).unionByName(docs, allowMissingColumns=True)
-    dealt = both.repartition(block).sortWithinPartitions(block, F.col(names[0]).isNull())
+    dealt = both.repartition(parts, block).sortWithinPartitions(block, F.col(names[0]).isNull())
     dealt = dealt.withColumn(out, scored.asNondeterministic()(block, names[0], names[1], text_col))
     return dealt.where(F.col(names[0]).isNull()).select(*docs.columns, out)
 
 
-def with_block(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def better(one: Column, other: Column) -> Column:
+    """The scores of a text under two sets of languages (structs of _SCORED) as those under both; of equal
+    entropies the first one's language."""
+    size = F.greatest(one["chars"].cast("double"), F.lit(1.0))
+    first = one["bits"] <= other["bits"]
+    least = F.least(one["bits"], other["bits"])
+    share = lambda x: F.try_divide(F.pow(F.lit(2.0), F.greatest((least - x["bits"]) * size, F.lit(-1000.0))), x["score"])
+    none = lambda x: F.nanvl(x, F.lit(float("inf")))  # noqa: E731  no second language
+    second = F.least(F.when(first, other["bits"]).otherwise(one["bits"]), none(one["next"]), none(other["next"]))
+    both = F.struct(
+        F.when(first, one["lang"]).otherwise(other["lang"]).alias("lang"), F.try_divide(F.lit(1.0), share(one) + share(other)).alias("score"),
+        least.alias("bits"), second.alias("next"), one["chars"].alias("chars"),
+    )
+    return F.when(one["chars"] > 0, both).otherwise(one)
+
+
+def with_block(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """``docs`` with ``out``, the hash of the row's file and of a piece of about BLOCK bytes in it: the same at
-    every reading. Rows that come from no file are dealt by hash alone."""
+    every reading; and the number of blocks, about. Rows that come from no file are dealt by hash alone."""
     file = free_name(docs.columns, "_file")
     named = docs.withColumn(file, F.input_file_name())
     size, files = named.agg(F.sum(F.octet_length(text_col)), F.approx_count_distinct(file)).first()
     pieces = -(-(size or 0) // (BLOCK * max(files, 1))) or 1
     piece = F.pmod(F.xxhash64(id_col, text_col), F.lit(pieces))
-    return named.withColumn(out, F.xxhash64(file, piece)).drop(file)
+    return named.withColumn(out, F.xxhash64(file, piece)).drop(file), pieces * max(files, 1)
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id"):
@@ -380,11 +399,9 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id"):
 
 def learn(part: DataFrame) -> tuple[list[str], float, DataFrame | None]:
     """The languages, the uniform share of a character and the written Kneser-Ney rows of the block counts
-    ``part``; without any letter to learn from there is no language. At most MAX_LANGUAGES languages."""
+    ``part``; without any letter to learn from there is no language. Only the languages' names are collected."""
     grams = written(gram_counts(part), "grams")
-    langs = sorted(r[0] for r in grams.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if not langs:
         return [], 1.0, None
     rows = written(kneser_ney(grams), "kneser_ney")
@@ -392,19 +409,15 @@ def learn(part: DataFrame) -> tuple[list[str], float, DataFrame | None]:
     return langs, 1.0 / (alphabet + 1), rows
 
 
-def fit(train: DataFrame, max_grams: int | None = None) -> Model | None:
+def fit(train: DataFrame) -> Model | None:
     """The model of all rows of ``train`` (text, lang) in the memory of this process, for small tables and
     comparisons (``identify`` does not need it); rows with a null in either teach nothing, and without any
-    letter to learn from there is none. With ``max_grams``, at most so many 4-grams a language keep their own
-    share (the smallest shares go first); discounts, weights and lower orders are those of all counts.
+    letter to learn from there is none.
     """
     known = train.where("text is not null and lang is not null").withColumn("block", F.lit(0).cast("bigint"))
     langs, uniform, rows = learn(block_counts(known))
     if not langs:
         return None
-    if max_grams is not None:
-        rank = F.row_number().over(Window.partitionBy("lang", "order", "kind").orderBy(F.desc("value"), "gram"))
-        rows = rows.withColumn("rank", rank).where((F.col("order") < ORDER) | (F.col("kind") != "p") | (F.col("rank") <= max_grams))
     place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     rows = rows.select(place[F.col("lang")].alias("lang"), "order", (F.col("kind") == "g").cast("int").alias("kind"), "gram", "value")
     hashed = rows.mapInPandas(_hashed, "lang int, order int, kind int, value float, hash bigint")
@@ -446,21 +459,18 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     the text alone; every text is scored once, and the scored rows are written. Rejected are texts
     without letters (and null ones) and texts whose cross-entropy exceeds the limit of their language
     and size. A null id is neither held out nor learned from; without any training row everything is
-    ``und`` and rejected. Equal entropies take the first language in order. Rows and other columns stay.
+    ``und`` and rejected. Equal entropies take the first language in order; there may be any number of
+    languages (LANGUAGES at a time). Texts of any length count whole. Rows and other columns stay.
     """
     keep = docs.columns if keep is None else keep
     train = train_rows(docs, id_col)
-    names = [free_name([*docs.columns, *keep, out], x) for x in ("_lang", "_size", "_limit", "_teaches", "_block", "_text")]
-    dealt = with_block(docs, names[4], id_col, text_col)
+    names = [free_name([*docs.columns, *keep, out], x) for x in ("_lang", "_size", "_limit", "_teaches", "_block", "_text", "_more")]
+    dealt, blocks = with_block(docs, names[4], id_col, text_col)
     teaches = F.when(train, F.col(lang_col)).alias("lang")
     texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(names[4]).alias("block"), F.col(text_col).alias("text"), teaches)
     part = written(block_counts(texts), "block_grams")
     langs, uniform, rows = learn(part)
-    bits = None
-    if langs:
-        needed = written(part.select("block", "gram").distinct(), "needed")
-        bits = gram_bits(rows, needed.select("gram").distinct(), langs, uniform)
-        bits = needed.join(bits, "gram").select("block", "gram", "bits")
+    needed = written(part.select("block", "gram").distinct(), "needed") if langs else None
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     # only what is kept crosses the shuffle beside the text
     some = dealt.select(
@@ -470,21 +480,35 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
         some, text = some.drop(names[5]), text_col
     else:
         text = names[5]
-    scored = with_scores(some, bits, langs, out, names[4], text)
+    scored = some
+    for i in range(0, max(len(langs), 1), LANGUAGES):
+        bits, now = None, langs[i : i + LANGUAGES]
+        if langs:
+            mine = rows.where(F.col("lang").isin(now)) if len(now) < len(langs) else rows
+            bits = needed.join(gram_bits(mine, needed.select("gram").distinct(), now, uniform), "gram").select("block", "gram", "bits")
+        scored = with_scores(scored, bits, now, names[6] if i else out, names[4], text, min(blocks, MOST_PARTS))
+        if i:
+            scored = scored.withColumn(out, better(F.col(out), F.col(names[6]))).drop(names[6])
     scored = scored.select(*keep, F.col(out).withField("held_out", F.col(names[0])).alias(out), names[3])
     scored = written(scored, "scored")
     taught = scored.where(F.col(names[3])).select(F.col(out)["lang"].alias("lang"), *[F.col(out)[c].alias(c) for c in ("bits", "next", "chars")])
     limit = written(limits(taught), "limits")
-    limit = F.broadcast(limit.toDF(*names[:3]))  # at most MAX_LANGUAGES x (SIZES + 1) rows
+    limit = F.broadcast(limit.toDF(*names[:3]))  # SIZES + 1 rows a language
     size = _size(F.col(out)["chars"])
     joined = scored.join(limit, (F.col(out)["lang"] == F.col(names[0])) & (size == F.col(names[1])), "left")
     rejected = (F.col(out)["chars"] == 0) | F.coalesce(F.col(out)["bits"] > F.col(names[2]), F.lit(False))
     return joined.select(*[F.col(c) for c in keep], F.col(out).withField("rejected", rejected).alias(out))
 
 
-def drop_rejected(docs: DataFrame) -> DataFrame:
-    out = free_name(docs.columns, "_language")
-    return identify(docs, out).where(~F.col(out)["rejected"]).select(*docs.columns)
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects. A verdict depends on the text alone: the rejected
+    rows' ids and text hashes are joined back, so that no text is carried or written beside the scores."""
+    mark, x = free_name(docs.columns, "_hash"), free_name(docs.columns, "_language")
+    named = docs.withColumn(mark, F.xxhash64(text_col))
+    verdicts = identify(named, x, id_col, text_col, keep=[id_col, mark])
+    gone = written(verdicts.where(F.col(f"{x}.rejected")).select(F.col(id_col).alias("_id"), F.col(mark).alias("_text")).distinct(), "rejected")
+    kept = named.join(gone, named[id_col].eqNullSafe(gone["_id"]) & (named[mark] == gone["_text"]), "left_anti")
+    return kept.select(*docs.columns)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

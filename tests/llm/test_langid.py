@@ -77,12 +77,6 @@ def test_probabilities_sum_to_one(spark):
     assert sum(len(h) for h, _ in tables.values()) == sum(map(len, p.values())) + sum(map(len, g.values()))
 
 
-def test_bound_of_the_model(spark):
-    train = spark.createDataFrame([(t, lang) for lang, ts in TEXTS.items() for t in ts], "text string, lang string")
-    tables = m.fit(train, max_grams=10).tables
-    assert all(len(tables[lang, 4, "p"][0]) <= 10 for lang in TEXTS)
-
-
 def test_every_count_is_kept(spark):
     """A language of 540,000 4-grams, most of them seen once: what scoring gathers is not cut."""
     rng = np.random.default_rng(1)
@@ -129,6 +123,37 @@ def test_foreign_texts_are_rejected(spark):
     assert got[10_000] and got[10_001] and sum(got.values()) == 2
 
 
+def test_languages_in_several_passes(spark, monkeypatch):
+    """Three languages at a time, two, one: the same scores as all at once."""
+    docs = documents(spark).select("doc_id", "text", "lang")
+    want = {r["doc_id"]: r["x"] for r in m.identify(docs, "x").collect()}
+    for n in (3, 1):
+        monkeypatch.setattr(m, "LANGUAGES", n)
+        for r in m.identify(docs, "x").collect():
+            a, b = want[r["doc_id"]], r["x"]
+            assert (a["lang"], a["chars"], a["rejected"]) == (b["lang"], b["chars"], b["rejected"])
+            assert [a["score"], a["bits"], a["next"]] == pytest.approx([b["score"], b["bits"], b["next"]], rel=1e-4)
+
+
+def test_a_hidden_language_is_rejected(spark):
+    """Texts of a language that the training rows lack are rejected nearly all, those of the others not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    hidden = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    got = m.identify(hidden, "x", keep=["doc_id"]).join(docs, "doc_id").collect()
+    unseen = [r["x"]["rejected"] for r in got if r["lang"] == "de"]
+    assert len(unseen) > 50 and np.mean(unseen) > 0.95
+    assert not any(r["x"]["rejected"] for r in got if r["lang"] != "de")
+
+
+def test_rejected_rows_go_with_repeated_ids(spark):
+    odd = [(1, "пример текста на другом языке " * 9, None, "a", 1), (1, None, "en", "a", 0)]
+    docs = documents(spark)
+    both = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("_hash", F.lit(1)).withColumn("_text", F.lit(2)).withColumn("_ID", F.lit(3))
+    kept = m.drop_rejected(both)
+    assert kept.columns == both.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).withColumn("score", F.lit(5)).withColumn("_lang", F.lit(5))
     got = m.identify(docs, "x")
