@@ -99,8 +99,15 @@ class Centroids:
         return np.sqrt(np.maximum(2 - 2 * np.einsum("rkd,rd->rk", self.points[at], v), 0))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _scaled(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows, each times the power of two that brings its largest component below one: cosines
+    stay as they are, squares neither overflow nor vanish."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -153,7 +160,7 @@ def _compare(k: int):
                 own = part[part["kind"] == 0]
                 if len(own):
                     ids += [tuple(x) for x in own["ids"]]
-                    raw += [np.asarray(v, np.float64) for v in own["vec"]]
+                    raw += list(_scaled(own["vec"]))
                 asked = part[part["kind"] == 1]
                 if not len(asked) or not raw:
                     continue
@@ -162,7 +169,7 @@ def _compare(k: int):
                     norms = np.sqrt(np.einsum("ij,ij->i", stored, stored))
                 for i in range(0, len(asked), 256):
                     some = asked.iloc[i : i + 256]
-                    q = np.stack([np.asarray(v, np.float64) for v in some["vec"]])
+                    q = _scaled(some["vec"])
                     near = (q @ (stored / norms[:, None]).T)
                     best = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, : k + 1]
                     # ties at the edge are all looked at: smaller ids go first
@@ -185,7 +192,7 @@ def nearest(
     by ``every``, by cosine, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id,
-    take no part; vectors of another dimension than the most frequent one raise. Repeated rows count
+    take no part; vectors of more than one dimension raise. Components of any finite size are compared. Repeated rows count
     once. Queries without any candidate return nothing; an empty table gives an empty result.
     """
     spark = ship(vectors.sparkSession)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table, utf8, written
+from .common import free_name, ship, table, utf8, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -161,12 +161,14 @@ def find_windows(
     hits = hits.groupBy("_text").agg(
         _flat("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items")
     )
-    hits = hits.select("_text", F.pandas_udf(_merge, "array<struct<start: bigint, end: bigint>>")("_spans").alias("_spans"), "_items")
+    own, digest, spans, items = (free_name([*docs.columns, out], x) for x in ("_key", "_digest", "_spans", "_items"))
+    merge = F.pandas_udf(_merge, "array<struct<start: bigint, end: bigint>>")
+    hits = hits.select(F.col("_text").alias(digest), merge("_spans").alias(spans), F.col("_items").alias(items))
     base = _searched(docs, text_col, [], out)
-    joined = base.withColumn("_key", key).join(hits, F.col("_key") == F.col("_text"), "left")
+    joined = base.withColumn(own, key).join(hits, F.col(own) == F.col(digest), "left")
     whole = F.struct(
-        F.col(out)["n_words"].alias("n_words"), F.coalesce(F.col("_spans"), F.col(out)["spans"]).alias("spans"),
-        F.coalesce(F.col("_items"), F.col(out)["items"]).alias("items"),
+        F.col(out)["n_words"].alias("n_words"), F.coalesce(F.col(spans), F.col(out)["spans"]).alias("spans"),
+        F.coalesce(F.col(items), F.col(out)["items"]).alias("items"),
     )
     return joined.select(*[F.col(c) for c in docs.columns], whole.alias(out))
 
@@ -199,8 +201,6 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a test item occurs, with their own columns."""
-    from .common import free_name
-
     out = free_name(docs.columns, "_found")
     kept = find_windows(docs, benchmark, out).where(F.size(F.col(out)["spans"]) == 0)
     return kept.select(*docs.columns)

@@ -190,20 +190,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; of rows that repeat this
-    id, one. A group whose ids are all null keeps one row."""
+    """One document of each near-duplicate group, that with the smallest id (of rows of the group that share
+    it, one with the smallest fingerprint). An id on rows of several groups stands for itself in each of
+    them. A group whose ids are all null keeps one row."""
     near = written(near_duplicates(docs, id_col, text_col), "near")
-    keep = written(near.where("id = component").groupBy("component").agg(F.count("*").alias("n")), "kept")
+    chosen = near.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("x")).select("x.id", "x.fp")
+    times = near.groupBy("id").agg(F.count("*").alias("n"))
+    keep = written(chosen.join(times, "id"), "kept")
     key, n = free_name(docs.columns, "_component"), free_name(docs.columns, "_rows")
+    fp = free_name([*docs.columns, key, n], "_fp")
     # by shuffling at every size: the list of those kept grows with the documents
-    kept = docs.join(keep.select(F.col("component").alias(key), F.col("n").alias(n)).hint("merge"), F.col(id_col) == F.col(key))
-    if not keep.where("n > 1").isEmpty():
-        kept = kept.where(F.col(n) == 1).union(kept.where(F.col(n) > 1).dropDuplicates([id_col]))
-    kept = kept.select(*docs.columns)
+    once = keep.where("n = 1").select(F.col("id").alias(key))
+    kept = docs.join(once.hint("merge"), F.col(id_col) == F.col(key)).select(*docs.columns)
+    often = keep.where("n > 1").select(F.col("id").alias(key), F.col("fp").alias(n))
+    if not often.isEmpty():  # ids that repeat: the fingerprint tells their rows apart
+        rows = docs.join(often.select(key).distinct(), F.col(id_col) == F.col(key), "left_semi")
+        rows = with_fingerprint(rows, fp, text_col).join(often, (F.col(id_col) == F.col(key)) & (F.col(fp) == F.col(n)))
+        kept = kept.union(rows.dropDuplicates([key, n]).select(*docs.columns))
     nameless = near.where("component is null").select(F.col("fp").alias(key), F.col("root").alias(n)).distinct()
     if nameless.isEmpty():
         return kept
-    fp = free_name([*docs.columns, key, n], "_fp")
     rest = with_fingerprint(docs.where(F.col(id_col).isNull()), fp, text_col)
     rest = rest.join(nameless, F.col(fp) == F.col(key)).dropDuplicates([n])
     return kept.union(rest.select(*docs.columns))

@@ -97,3 +97,18 @@ def test_empty_and_mixed(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0], 1)], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         ann.nearest(spark.createDataFrame([(0, [1.0], 1), (1, [1.0, 2.0], 1)], SCHEMA))
+
+
+def test_extreme_components(spark):
+    """Vectors whose squares overflow or vanish are compared like any other, and harm none."""
+    big = [(50, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, -1e-200]), (3, [1.0, 1.0]), (4, [1.0, 2.0]), (100, [3e-310, 1e-310]), (5, [1e308, -1e308])]
+    rows = spark.createDataFrame(big, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ones = {i: np.array(v) / np.abs(v).max() for i, v in big}
+    for q in (50, 100):
+        cos = sorted((-float(ones[q] @ x / np.linalg.norm(ones[q]) / np.linalg.norm(x)), i) for i, x in ones.items() if i != q)[:5]
+        mine = sorted(got[q])
+        assert [x[2] for x in mine] == pytest.approx([-c for c, _ in cos], abs=1e-9)
+        assert {x[1] for x in mine[:2]} == {i for _, i in cos[:2]}

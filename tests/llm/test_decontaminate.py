@@ -61,10 +61,13 @@ def test_awkward_rows_in_one_block_and_in_many(spark, most):
     items = [(1, "no id here"), (1, "no id here"), (None, "one"), (2, None), (3, ""), (4, "Ñandú 日本語"), (5, "many words a very long text with many words a very")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = awkward(spark).withColumn("spans", F.lit(1)).withColumn("items", F.lit("x"))
+    for c in ("_key", "_text", "_spans", "_items", "_Digest"):
+        docs = docs.withColumn(c, F.lit("mine"))
     got = d.find_windows(docs, bench, "found", block_windows=most)
     assert got.columns == [*docs.columns, "found"] and got.count() == docs.count()
     for r in got.collect():
         n, hit, found = brute(r["text"], items)
+        assert r["_key"] == r["_text"] == r["_spans"] == r["_items"] == r["_Digest"] == "mine"
         assert (r["found"]["n_words"], sum(s["end"] - s["start"] for s in r["found"]["spans"]), set(r["found"]["items"])) == (n, hit, found)
 
 

@@ -99,3 +99,12 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     assert s.near_duplicates(no_documents(spark)).count() == 0
     assert s.keep_one(no_documents(spark)).count() == 0
+
+
+def test_an_id_on_rows_of_several_groups(spark):
+    """Choices are made per group, by id and fingerprint."""
+    a, b = "one two three four five six seven eight nine", "completely other words that stand in another text here"
+    rows = [(1, a, "first"), (1, b, "second"), (2, a, "third"), (3, b, "fourth"), (3, "a third text of its own with some more words", "fifth"), (3, b, "sixth")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = sorted((r["doc_id"], r["text"]) for r in s.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (3, "a third text of its own with some more words")])
