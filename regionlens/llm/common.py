@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch_path
+from ..session import Scratch, scratch_path
 
 
 _shipped: set[str] = set()
@@ -42,11 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+FILE_ROWS = 1 << 18
+"""Rows of small columns that a file of an intermediate table may hold before there is a second one."""
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` small rows, in no more partitions than files of FILE_ROWS need."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the plan behind it is cut, and the
-    rows survive the loss of any executor."""
+    rows survive the loss of any executor. Where a bound of its ``rows`` is known, a small table gets few files."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else gathered(df, rows)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,29 +104,29 @@ def positions(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected ``edges`` (two long columns): one row per node that
-    has an edge, ``node`` and ``component`` (the smallest node reachable).
+    has an edge, ``node`` and ``component`` (the smallest node reachable); a written table.
 
     Alternates large-star (every larger neighbour of a node is linked to the node's smallest
     neighbour) and small-star until the edges are stars around the smallest nodes. Each round is
-    two aggregations and two joins, written to the shared folder; the rounds grow with the
-    logarithm of the longest path. Only counts and a checksum reach the driver.
+    two aggregations and two joins, written to the shared folder until the next one is; the rounds grow
+    with the logarithm of the longest path. Only counts and a checksum reach the driver.
     """
     hi, lo = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    cur = written(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
-            F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        )
-        cur = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
+    with Scratch(edges.sparkSession, "edges") as scratch:
+        cur = scratch.keep(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+        n, mark = cur.count(), None
+        while True:
+            both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(
+                F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+            )
+            cur = scratch.keep(gathered(small.select("e.u", "e.v").where("u != v").distinct(), 2 * n))
+            now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if now == mark or now[0] == 0:
+                break
+            n, mark = now[0], now
+        roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return written(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components", 2 * now[0])

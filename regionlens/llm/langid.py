@@ -103,7 +103,7 @@ def gram_counts(part: DataFrame) -> DataFrame:
 def kneser_ney(grams: DataFrame) -> DataFrame:
     """(lang, order, kind, gram, value): kind ``p`` is the discounted share of a gram in its context,
     kind ``g`` the weight of the next lower order after a context."""
-    level, tables = grams, []
+    level, tables, n = grams, [], grams.count()
     for order in range(ORDER, 0, -1):
         ones = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         # the usual estimate of the discount; kept inside (0, 1) where counts are few
@@ -120,7 +120,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
             totals.select("lang", F.lit(order).alias("order"), F.lit("g").alias("kind"), F.col("context").alias("gram"), (F.col("d") * F.col("types") / F.col("total")).alias("value"))
         )
         if order > 1:
-            level = written(level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "level")
+            level = written(level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "level", n)
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
@@ -400,11 +400,11 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id"):
 def learn(part: DataFrame) -> tuple[list[str], float, DataFrame | None]:
     """The languages, the uniform share of a character and the written Kneser-Ney rows of the block counts
     ``part``; without any letter to learn from there is no language. Only the languages' names are collected."""
-    grams = written(gram_counts(part), "grams")
+    grams = written(gram_counts(part), "grams", part.count())
     langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if not langs:
         return [], 1.0, None
-    rows = written(kneser_ney(grams), "kneser_ney")
+    rows = written(kneser_ney(grams), "kneser_ney", 2 * ORDER * grams.count())
     alphabet = rows.where("`order` = 1 and kind = 'p'").select("gram").distinct().count()
     return langs, 1.0 / (alphabet + 1), rows
 
@@ -470,7 +470,7 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(names[4]).alias("block"), F.col(text_col).alias("text"), teaches)
     part = written(block_counts(texts), "block_grams")
     langs, uniform, rows = learn(part)
-    needed = written(part.select("block", "gram").distinct(), "needed") if langs else None
+    needed = written(part.select("block", "gram").distinct(), "needed", part.count()) if langs else None
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     # only what is kept crosses the shuffle beside the text
     some = dealt.select(
@@ -492,7 +492,7 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     scored = scored.select(*keep, F.col(out).withField("held_out", F.col(names[0])).alias(out), names[3])
     scored = written(scored, "scored")
     taught = scored.where(F.col(names[3])).select(F.col(out)["lang"].alias("lang"), *[F.col(out)[c].alias(c) for c in ("bits", "next", "chars")])
-    limit = written(limits(taught), "limits")
+    limit = written(limits(taught), "limits", (SIZES + 1) * len(langs))
     limit = F.broadcast(limit.toDF(*names[:3]))  # SIZES + 1 rows a language
     size = _size(F.col(out)["chars"])
     joined = scored.join(limit, (F.col(out)["lang"] == F.col(names[0])) & (size == F.col(names[1])), "left")

@@ -179,13 +179,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names a component unless all ids of the component are null; repeated rows stay repeated.
     """
     rows = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp").select("id", "fp"), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    comp = written(components(links(distinct, bits)), "components")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct", rows.count())
+    comp = components(links(distinct, bits))
     named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = written(named.join(roots, "root").select("fp", "root", "component"), "classes")
+    by_fp = written(named.join(roots, "root").select("fp", "root", "component"), "classes", distinct.count())
     return rows.join(by_fp, "fp").select("id", "fp", "root", "component")
 
 
@@ -196,7 +196,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = written(near_duplicates(docs, id_col, text_col), "near")
     chosen = near.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("x")).select("x.id", "x.fp")
     times = near.groupBy("id").agg(F.count("*").alias("n"))
-    keep = written(chosen.join(times, "id"), "kept")
+    keep = written(chosen.join(times, "id"), "kept", near.count())
     key, n = free_name(docs.columns, "_component"), free_name(docs.columns, "_rows")
     fp = free_name([*docs.columns, key, n], "_fp")
     # by shuffling at every size: the list of those kept grows with the documents
