@@ -230,35 +230,61 @@ def lisa(
 
     For every (i, perm) the value of i stays and card(i) other ids are drawn without
     replacement: draw r is the image of r under the permutation's keyed bijection of the
-    positions 0..n-2, those from pos(i) on shifted by one (the draws of a permutation are
-    shared by all i, so there are P x max(card) of them).  Equi-joins on r and on the dense id
-    position fetch draws and values.  Rows: |W| x P.  Ids without neighbours have no distribution: NULL p, quadrant 0.
+    positions 0..n-2, those from pos(i) on shifted by one.  The draws of a permutation are
+    shared by all i: one table of max(card) rows holds for every r, as an array over the permutations, the
+    position drawn and the values there and at the next position.  A weight reads its row of that table
+    (broadcast: at most DRAWN_BYTES) and takes the one or the other value, so |W| rows are dealt out by id once
+    and nothing of |W| x P rows is shuffled.  Ids with more neighbours than the broadcast part has rows are
+    summed up by a join on r and a shuffle instead.  Ids without neighbours have no distribution: NULL p, quadrant 0.
     Output: id, y, z, lag, lisa_i, quadrant, n_ge, lisa_p_value, lisa_quad, lisa_label.
     """
-    spark = values.sparkSession
     w = stage(_prepare_w(w, transform), "weights")
     z, n, zz = centered(values, id_col, value)
     loc = stage(_local(z, n, zz, w), "local")
     idx = stage(dense_index(z.select("id", "z"), "id", out="pos"), "positions")
+    cards = w.groupBy("src").agg(F.count(F.lit(1)).alias("card"))
     nbr = w.select("src", "w", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("r"))
-    base = nbr.join(idx.select(F.col("id").alias("src"), "pos"), "src").join(loc.select(F.col("id").alias("src"), "z", "lisa_i"), "src")
-    base = stage(base, "draw_rows")
+    own = idx.select(F.col("id").alias("src"), "pos").join(loc.select(F.col("id").alias("src"), "z", "lisa_i"), "src").join(cards, "src")
+    base = stage(nbr.join(own, "src"), "draw_rows")
     most = int(base.agg(F.max("r")).first()[0] or 0)
-    q = permuted_position(F.col("r"), max(n - 1, 1), F.col("keys"))
-    draws = spread_for_fanout(_perm_keys(spark, permutations, seed, max(n - 1, 1)), permutations, most + 1)
-    draws = stage(draws.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("perm", "r", q.alias("q")), "draws")
-    drawn = spread_for_fanout(base, base.count(), permutations).join(broadcast_if_small(draws), "r")
-    drawn = drawn.withColumn("q", F.when(F.col("q") >= F.col("pos"), F.col("q") + 1).otherwise(F.col("q")))
-    valued = drawn.join(broadcast_if_small(idx.select(F.col("pos").alias("q"), F.col("z").alias("zj"))), "q")
-    i_sim = F.try_divide(F.lit(float(n - 1)) * F.first("z") * F.sum(F.col("w") * F.col("zj")), F.lit(zz))
-    sims = valued.groupBy("src", "perm").agg(i_sim.alias("i_sim"), F.first("lisa_i").alias("lisa_i"))
-    counts = sims.groupBy(F.col("src").alias("id")).agg(F.sum(F.when(F.col("i_sim") >= F.col("lisa_i"), 1).otherwise(0)).alias("n_ge"))
+    table = stage(_drawn_values(idx, n, permutations, seed, most), "drawn_values")
+    held = max(1, DRAWN_BYTES // (24 * max(permutations, 1)))
+    mine = F.transform("drawn", lambda x: F.col("w") * F.when(x["q"] >= F.col("pos"), x["z1"]).otherwise(x["z0"]))
+    factor = F.lit(float(n - 1)) * F.col("z")
+    few = spread_for_fanout(base.where(F.col("card") <= held), base.count(), permutations)
+    few = few.repartition(max(few.rdd.getNumPartitions(), 1), "src").join(F.broadcast(table.where(F.col("r") < held)), "r")
+    lists = few.select("src", "z", "lisa_i", mine.alias("t")).groupBy("src", "z", "lisa_i").agg(F.collect_list("t").alias("ts"))  # <= held arrays
+    sums = F.aggregate("ts", F.array_repeat(F.lit(0.0), permutations), lambda s, t: F.zip_with(s, t, lambda a, b: a + b))
+    reached = F.filter(F.transform(sums, lambda x: F.try_divide(factor * x, F.lit(zz))), lambda x: x >= F.col("lisa_i"))
+    counts = lists.select(F.col("src").alias("id"), F.size(reached).cast("long").alias("n_ge"))
+    if most >= held:
+        many = base.where(F.col("card") > held).join(table, "r").select("src", "z", "lisa_i", F.posexplode(mine).alias("perm", "t"))
+        many = many.groupBy("src", "z", "lisa_i", "perm").agg(F.try_divide(factor * F.sum("t"), F.lit(zz)).alias("i_sim"))
+        counts = counts.union(many.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("i_sim") >= F.col("lisa_i")).alias("n_ge")))
     out = loc.join(counts, "id", "left")
     out = out.withColumn("lisa_p_value", F.when(F.col("lisa_i").isNotNull(), pseudo_p(F.col("n_ge"), permutations)))
     sig_q = F.when(F.col("lisa_p_value") < F.lit(p_threshold), F.col("quadrant")).otherwise(F.lit(0))
     return out.withColumn("lisa_quad", sig_q).withColumn("lisa_label", _label_expr(F.col("lisa_quad")))
 
 
+DRAWN_BYTES = 16 * 1024 * 1024
+"""Size of the part of the draw table that is broadcast (24 bytes a draw and permutation)."""
+
+
+def _drawn_values(idx: DataFrame, n: int, permutations: int, seed: int, most: int) -> DataFrame:
+    """(r, drawn) for r = 0..most: an array over the permutations of the position q drawn and the values of the ids
+    at q and at q + 1."""
+    draws = spread_for_fanout(_perm_keys(idx.sparkSession, permutations, seed, max(n - 1, 1)), permutations, most + 1)
+    q = permuted_position(F.col("r"), max(n - 1, 1), F.col("keys"))
+    draws = draws.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("perm", "r", q.alias("q"))
+    here = idx.select(F.col("pos").alias("q"), F.col("z").alias("z0"))
+    after = idx.select((F.col("pos") - 1).alias("q"), F.col("z").alias("z1"))
+    pairs = stage(here.join(after, "q", "left"), "neighbours")
+    valued = draws.join(broadcast_if_small(pairs), "q")
+    rows = valued.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("perm", "q", "z0", "z1"))).alias("x"))  # one a permutation
+    return rows.select("r", F.transform("x", lambda x: F.struct(x["q"].alias("q"), x["z0"].alias("z0"), x["z1"].alias("z1"))).alias("drawn"))
+
+
 def label_counts(lisa_df: DataFrame, label: str = "lisa_label") -> DataFrame:
     """G-11: observations per LISA label, most frequent first."""
     return lisa_df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(label))

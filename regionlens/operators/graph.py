@@ -8,6 +8,7 @@ ends.  Sides small enough to broadcast are left to Spark, which knows their writ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.permutation import dense_index
 from ..session import Scratch, stage
 from ..sources.tables import require_columns
+from .hubs import HubJoin
 from .kpi import group_means
 
 BLOCK_SOURCES = 4096
@@ -323,6 +325,35 @@ def _dependencies(scratch: Scratch, sources: DataFrame, ln: DataFrame) -> DataFr
     return sources.select(F.col("s").alias("id"), F.lit(0.0).alias("b"))
 
 
+def _lengths(edges: DataFrame, distance: str) -> DataFrame:
+    """(src, dst, len, bad): the shortest length per ordered pair of different nodes; ``bad`` counts those not positive."""
+    if distance == "weight":
+        length: Column = F.col("weight").cast("double")
+    elif distance == "inverse":
+        length = F.try_divide(F.lit(1.0), F.col("weight").cast("double"))
+    elif distance == "hops":
+        length = F.lit(1.0)
+    else:
+        raise ValueError(f"unknown distance {distance!r}")
+    ln = edges.where(F.col("src") != F.col("dst")).select("src", "dst", length.alias("len"))
+    return ln.groupBy("src", "dst").agg(F.min("len").alias("len"), F.count_if(~F.coalesce(F.col("len") > 0, F.lit(False))).alias("bad"))
+
+
+def _dependency_sums(outer: Scratch, sources: DataFrame, blocks: int, edges: DataFrame, distance: str) -> DataFrame:
+    """(id, b): Brandes' dependencies of the ``sources`` (s, block), summed over the blocks; raises unless all
+    lengths are positive."""
+    ln = outer.keep(_lengths(edges, distance))
+    if not _empty(ln.where("bad > 0")):
+        raise ValueError("betweenness needs positive edge lengths")
+    ln = ln.select("src", "dst", "len")
+    sums = None
+    for b in range(blocks):
+        with Scratch(sources.sparkSession, "paths") as scratch:
+            part = outer.keep(_dependencies(scratch, sources.where(F.col("block") == b).select("s"), ln))
+        sums = part if sums is None else sums.union(part)
+    return sums.groupBy("id").agg(F.sum("b").alias("b"))
+
+
 def betweenness(
     nodes: DataFrame, edges: DataFrame, normalized: bool = True, distance: str = "weight", block_sources: int = BLOCK_SOURCES
 ) -> DataFrame:
@@ -337,36 +368,90 @@ def betweenness(
     ``block_sources`` rows per node and per edge) is dropped.
     Normalised for directed graphs by 1/((n-1)(n-2)).  Output (id, betweenness_centrality).
     """
-    if distance == "weight":
-        length: Column = F.col("weight").cast("double")
-    elif distance == "inverse":
-        length = F.try_divide(F.lit(1.0), F.col("weight").cast("double"))
-    elif distance == "hops":
-        length = F.lit(1.0)
-    else:
-        raise ValueError(f"unknown distance {distance!r}")
-    spark = nodes.sparkSession
-    with Scratch(spark, "betweenness") as outer:
-        ln = edges.where(F.col("src") != F.col("dst")).select("src", "dst", length.alias("len"))
-        ln = outer.keep(ln.groupBy("src", "dst").agg(F.min("len").alias("len"), F.count_if(~F.coalesce(F.col("len") > 0, F.lit(False))).alias("bad")))
-        if not _empty(ln.where("bad > 0")):
-            raise ValueError("betweenness needs positive edge lengths")
-        ln = ln.select("src", "dst", "len")
+    with Scratch(nodes.sparkSession, "betweenness") as outer:
         sources, blocks = _source_blocks(nodes, block_sources)
         sources = outer.keep(sources)
         n = sources.count()
-        sums = None
-        for b in range(blocks):
-            with Scratch(spark, "paths") as scratch:
-                part = outer.keep(_dependencies(scratch, sources.where(F.col("block") == b).select("s"), ln))
-            sums = part if sums is None else sums.union(part)
-        total = sums.groupBy("id").agg(F.sum("b").alias("b"))
+        total = _dependency_sums(outer, sources, blocks, edges, distance)
         scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
         return materialize(nodes.select("id").join(total, "id", "left").select(
             "id", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")
         ))
 
 
+def sampled_sources(nodes: DataFrame, samples: int, seed: int = 123) -> DataFrame:
+    """(s): the ``samples`` node ids with the smallest md5 of ``seed:id`` (all, if there are fewer)."""
+    ids = nodes.select(F.col("id").alias("s")).distinct()
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string")).cast("binary"))
+    return ids.withColumn("order", order).orderBy("order", "s").limit(samples).select("s")
+
+
+def sampled_betweenness(
+    nodes: DataFrame, edges: DataFrame, samples: int, normalized: bool = True, distance: str = "weight", seed: int = 123,
+    failure: float = 0.1, block_sources: int = BLOCK_SOURCES,
+) -> DataFrame:
+    """N-2 for large graphs: Brandes' dependencies of ``samples`` hash-chosen sources, scaled by n / samples.
+
+    The work is samples * m instead of n * m.  Output (id, betweenness_centrality, error_bound): a source's
+    dependency on a node is between 0 and n - 2, so by Hoeffding's inequality over all nodes at once, every node
+    is within ``error_bound`` of the exact value but with probability ``failure``.  With as many samples as nodes
+    the result is exact and the bound 0.
+    """
+    with Scratch(nodes.sparkSession, "sampled") as outer:
+        n = nodes.select("id").distinct().count()
+        sources = outer.keep(sampled_sources(nodes, samples, seed))
+        k = sources.count()
+        blocks = max(1, -(-k // block_sources))
+        sources = outer.keep(sources.withColumn("block", F.pmod(F.xxhash64("s"), F.lit(blocks))))
+        total = _dependency_sums(outer, sources, blocks, edges, distance)
+        scale = n / k if k else 0.0
+        bound = scale * (n - 2) * math.sqrt(k * math.log(2 * n / failure) / 2) if 0 < k < n and n > 2 else 0.0
+        if normalized and n > 2:
+            scale, bound = scale / ((n - 1) * (n - 2)), bound / ((n - 1) * (n - 2))
+        return materialize(nodes.select("id").join(total, "id", "left").select(
+            "id", (F.coalesce(F.col("b"), F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality"), F.lit(float(bound)).alias("error_bound")
+        ))
+
+
+def sketched_closeness(nodes: DataFrame, edges: DataFrame, direction: str = "in", lg_k: int = 12) -> DataFrame:
+    """N-4 for large graphs: closeness from a sketch of the nodes that reach each node within h hops, h = 1, 2, ...
+
+    A node keeps one HyperLogLog sketch of 2^lg_k registers; in a round it takes the union with the sketches
+    that changed at the other ends of its edges (hubs in sub-keys), and what its estimate grows by lies h hops away. n rows of
+    state and one pass over the edges a round, as many rounds as the longest shortest path.  The number of nodes
+    reached has a relative standard error of about 1.04 / 2^(lg_k / 2) (1.6 % by default), the sum of distances
+    likewise; sets of up to some 2^lg_k / 11 nodes are counted exactly.
+    Output (id, closeness_centrality, reached): ``reached`` estimates the nodes that reach this one, itself included.
+    """
+    near, far = ("src", "dst") if direction == "in" else ("dst", "src")
+    spark = nodes.sparkSession
+    with Scratch(spark, "sketches") as scratch:
+        ids = scratch.keep(nodes.select("id").distinct())
+        n = ids.count()
+        if n == 0:
+            return materialize(ids.select("id", F.lit(0.0).alias("closeness_centrality"), F.lit(0).cast("long").alias("reached")))
+        arcs = edges.select(F.col(near).alias("from"), F.col(far).alias("to")).where(F.col("from") != F.col("to")).distinct()
+        arcs = arcs.join(ids.select(F.col("id").alias("from")), "from").join(ids.select(F.col("id").alias("to")), "to")
+        hubs = HubJoin(scratch.keep(arcs.select("from", "to")), "from", "to")
+        arcs = scratch.keep(hubs.edges)
+        state = ids.groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("sketch"))
+        state = scratch.keep(state.select("id", "sketch", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("tot"), F.lit(True).alias("grew")))
+        h = 0
+        while True:
+            h += 1
+            sent = hubs.join(state.where("grew").select("id", "sketch"), edges=arcs)
+            sent = sent.groupBy(F.col("to").alias("id")).agg(F.hll_union_agg("sketch").alias("more"))
+            both = state.join(sent, "id", "left").withColumn("sketch", F.coalesce(F.hll_union("sketch", "more"), "sketch"))
+            both = both.withColumn("now", F.greatest(F.hll_sketch_estimate("sketch"), "r"))
+            state = scratch.keep(both.select(
+                "id", "sketch", F.col("now").alias("r"), (F.col("tot") + h * (F.col("now") - F.col("r"))).alias("tot"), (F.col("now") > F.col("r")).alias("grew")
+            ))
+            if _empty(state.where("grew")):
+                break
+        c = F.when((F.col("tot") > 0) & F.lit(n > 1), (F.col("r") - 1) / F.col("tot") * (F.col("r") - 1) / F.lit(float(max(n - 1, 1)))).otherwise(0.0)
+        return materialize(nodes.select("id").join(state.select("id", c.alias("closeness_centrality"), F.col("r").alias("reached")), "id"))
+
+
 # ------------------------------------------------------------------ communities
 
 

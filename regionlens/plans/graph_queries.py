@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import graph as g
+from ..operators.louvain import louvain
 from ..sources.tables import read_table
 from . import stand_ins as si
 from .registry import SQL_FACTS, register
@@ -151,9 +152,10 @@ def q_graph_closeness(spark, base):
 
 
 MAX_HOPS = 24  # of 25 nations
+SAMPLES, SAMPLE_SEED, FAILURE = 10, 123, 0.1
 
 
-def _sql_betweenness(max_hops: int = MAX_HOPS) -> str:
+def _sql_betweenness(max_hops: int = MAX_HOPS, samples: int | None = None) -> str:
     """Distances added up from the source on, hop by hop; path counts by layers; dependencies by the
     pair formula (a node lies on a shortest path if the distances over it add up)."""
     ln = "LN AS MATERIALIZED (SELECT src, dst, min(weight) AS len FROM E WHERE src <> dst GROUP BY 1, 2)"
@@ -171,6 +173,11 @@ def _sql_betweenness(max_hops: int = MAX_HOPS) -> str:
   WHERE da.d + l.len = dv.d GROUP BY a.s, l.dst)"""
         )
     union = " UNION ALL ".join(f"SELECT * FROM S{h}" for h in range(max_hops + 1))
+    # the pairs' first nodes: all, or those with the smallest hashes
+    chosen, times = "SIG", "1.0::DOUBLE"
+    if samples:
+        chosen = f"(SELECT * FROM SIG WHERE s IN (SELECT id FROM NODES ORDER BY md5('{SAMPLE_SEED}:' || id), id LIMIT {samples}))"
+        times = f"(SELECT n FROM N)::DOUBLE / {samples}"
     return f"""{ln},
 {", ".join(dist)},
 D AS MATERIALIZED (SELECT * FROM D{max_hops}),
@@ -178,11 +185,11 @@ D AS MATERIALIZED (SELECT * FROM D{max_hops}),
 SIG AS MATERIALIZED (SELECT s, v, CAST(sum(c) AS DOUBLE) AS sigma FROM ({union}) u GROUP BY s, v),
 PAIR AS (
   SELECT a.v AS id, sum(a.sigma * b.sigma / c.sigma) AS b
-  FROM SIG a JOIN SIG b ON b.s = a.v JOIN SIG c ON c.s = a.s AND c.v = b.v
+  FROM {chosen} a JOIN SIG b ON b.s = a.v JOIN SIG c ON c.s = a.s AND c.v = b.v
   JOIN D d1 ON d1.s = a.s AND d1.t = a.v JOIN D d2 ON d2.s = a.v AND d2.t = b.v JOIN D d3 ON d3.s = a.s AND d3.t = b.v
   WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v AND abs(d1.d + d2.d - d3.d) < 1e-13
   GROUP BY a.v),
-BT AS MATERIALIZED (SELECT n.id, coalesce(p.b, 0.0) / CAST(((SELECT n FROM N) - 1) * ((SELECT n FROM N) - 2) AS DOUBLE) AS betweenness_centrality
+BT AS MATERIALIZED (SELECT n.id, coalesce(p.b, 0.0) * {times} / CAST(((SELECT n FROM N) - 1) * ((SELECT n FROM N) - 2) AS DOUBLE) AS betweenness_centrality
        FROM NODES n LEFT JOIN PAIR p ON p.id = n.id)"""
 
 
@@ -234,6 +241,30 @@ def q_graph_betweenness(spark, base):
     return round_doubles(g.betweenness(*_graph(spark, base)))
 
 
+@register(
+    "graph_betweenness_sampled",
+    f"""WITH {SQL_GRAPH}, {_sql_betweenness(samples=SAMPLES)}
+SELECT id, round(betweenness_centrality, 6) AS betweenness_centrality,
+       round((SELECT n FROM N) / ((SELECT n FROM N) - 1.0::DOUBLE) * sqrt(ln(2 * (SELECT n FROM N) / {FAILURE}::DOUBLE) / (2 * {SAMPLES})), 6) AS error_bound FROM BT""",
+)
+def q_graph_betweenness_sampled(spark, base):
+    """N-2 estimated from ten hash-chosen sources, with the error bound that holds for all nodes at once."""
+    return round_doubles(g.sampled_betweenness(*_graph(spark, base), samples=SAMPLES, seed=SAMPLE_SEED, failure=FAILURE))
+
+
+@register(
+    "graph_closeness_sketched",
+    f"""WITH {SQL_GRAPH}, {SQL_HOPS},
+agg AS (SELECT t AS id, count(*) AS r, sum(d) AS tot FROM H GROUP BY t)
+SELECT n.id, round(CASE WHEN a.tot > 0 THEN (a.r - 1) / CAST(a.tot AS DOUBLE) * (a.r - 1) / CAST((SELECT n FROM N) - 1 AS DOUBLE)
+                   ELSE 0.0 END, 6) AS closeness_centrality, CAST(a.r AS BIGINT) AS reached
+FROM NODES n LEFT JOIN agg a ON a.id = n.id""",
+)
+def q_graph_closeness_sketched(spark, base):
+    """N-4 by reach sketches (sets as small as these are counted exactly)."""
+    return round_doubles(g.sketched_closeness(*_graph(spark, base)))
+
+
 @register(
     "graph_centrality_ranking",
     f"""WITH {SQL_GRAPH}, {_sql_pagerank()}, {SQL_HOPS}, {_sql_betweenness()},
@@ -282,6 +313,16 @@ def q_graph_communities_parallel(spark, base):
     return _community_rows(spark, base, "parallel")
 
 
+@register("graph_louvain")
+def q_graph_louvain(spark, base):
+    """N-8 by multi-level local moving, with the modularity reached (tests hold it against a plain version)."""
+    nodes, edges = _graph(spark, base)
+    und = g.materialize(g.to_undirected(edges))
+    mem = louvain(nodes, und)
+    rows = g.community_attributes(nodes.select("id"), mem).withColumn("modularity", g.modularity(und, mem).scalar())
+    return round_doubles(rows)
+
+
 @register("graph_modularity", f"WITH {SQL_GRAPH}, {SQL_CO}, {SQL_MODULARITY} SELECT round(modularity, 6) AS modularity FROM MQ")
 def q_graph_modularity(spark, base):
     """N-9: modularity of the detected partition on the undirected projection."""

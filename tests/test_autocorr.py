@@ -1,3 +1,4 @@
+import random
 import math
 
 import pytest
@@ -134,3 +135,24 @@ def test_weight_sums_with_a_self_weight(spark):
     s1 = 0.5 * sum((m.get((i, j), 0) + m.get((j, i), 0)) ** 2 for i in ids for j in ids)
     s2 = sum((sum(m.get((i, j), 0) for j in ids) + sum(m.get((j, i), 0) for j in ids)) ** 2 for i in ids)
     assert ac.weight_sums(w) == pytest.approx((3.75, s1, s2))
+
+
+def test_lisa_shuffles_no_row_per_weight_and_permutation(spark, tmp_path):
+    """The draws come as one broadcast table: between the weights and the counts nothing is exchanged but the weights
+    (by id); ids with more neighbours than the table's broadcast part are counted alike."""
+    from regionlens.operators import autocorr as ac
+
+    rng = random.Random(3)
+    n = 60
+    values = spark.createDataFrame([(i, rng.random()) for i in range(n)], "id bigint, value double")
+    weights = [(i, (i + d) % n, 1.0) for i in range(n) for d in range(1, 4)] + [(0, j, 1.0) for j in range(5, 40)]
+    w = spark.createDataFrame(weights, "src bigint, dst bigint, w double")
+    want = {r.id: (r.n_ge, r.lisa_label) for r in ac.lisa(values, w, permutations=99).collect()}
+    plan = ac.lisa(values, w, permutations=99)._jdf.queryExecution().executedPlan().toString()
+    assert "perm" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+    small, ac.DRAWN_BYTES = ac.DRAWN_BYTES, 24 * 99 * 4  # four neighbours
+    try:
+        assert {r.id: (r.n_ge, r.lisa_label) for r in ac.lisa(values, w, permutations=99).collect()} == want
+    finally:
+        ac.DRAWN_BYTES = small
+    assert len({c for c, _ in want.values()}) > 10

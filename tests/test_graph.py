@@ -1,8 +1,12 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from goldens import CENTRALITY, COMMUNITIES
 from regionlens.operators import graph as g
+from regionlens.operators import hubs
 from regionlens.sources.builtin_dims import sector_edges, sector_nodes
 
 
@@ -170,3 +174,65 @@ def test_no_silent_end(spark):
     assert mem.count() == 12 and mem.select("community").distinct().count() in (3, 4)
     with pytest.raises(RuntimeError):
         g.pagerank(nodes, edges, max_iter=2)
+
+
+def _random_graph(spark, n, m, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+    edges |= {(0, v) for v in range(1, n, 3)}  # a hub
+    df = spark.createDataFrame([(a, b, 0.5 + rng.random()) for a, b in sorted(edges)], "src bigint, dst bigint, weight double")
+    return spark.range(n).select("id"), g.materialize(df), edges
+
+
+def test_sampled_betweenness(spark, sector_graph):
+    """All sources: the exact values, bound 0. Some: within the bound, and the mean over all seeds' sources."""
+    nodes, edges = sector_graph
+    exact = {r.id: r.betweenness_centrality for r in g.betweenness(nodes, edges).collect()}
+    full = g.sampled_betweenness(nodes, edges, samples=100).collect()
+    assert {r.id: r.betweenness_centrality for r in full} == pytest.approx(exact) and {r.error_bound for r in full} == {0.0}
+    nodes, edges, _ = _random_graph(spark, 120, 400, 3)
+    exact = {r.id: r.betweenness_centrality for r in g.betweenness(nodes, edges).collect()}
+    some = g.sampled_betweenness(nodes, edges, samples=60).collect()
+    worst = max(abs(r.betweenness_centrality - exact[r.id]) for r in some)
+    assert 0 < worst <= some[0].error_bound < 0.3
+    chosen = [r.s for r in g.sampled_sources(nodes, 60).collect()]
+    assert chosen == sorted(range(120), key=lambda v: hashlib.md5(f"123:{v}".encode()).hexdigest())[:60]
+
+
+def test_sketched_closeness(spark, sector_graph, monkeypatch):
+    """Exact on small graphs, in both directions; on 2,000 nodes within the sketch's error."""
+    for direction in ("in", "out"):
+        exact = {r.id: r.closeness_centrality for r in g.closeness(*sector_graph, direction=direction).collect()}
+        got = {r.id: r.closeness_centrality for r in g.sketched_closeness(*sector_graph, direction=direction).collect()}
+        assert got == pytest.approx(exact)
+    monkeypatch.setattr(hubs, "LEAST", 50)
+    nodes, edges, pairs = _random_graph(spark, 2000, 6000, 5)
+    into = {}
+    for a, b in pairs:
+        into.setdefault(b, set()).add(a)
+    got = {r.id: (r.closeness_centrality, r.reached) for r in g.sketched_closeness(nodes, edges).collect()}
+    off, reach = [], []
+    for v in range(0, 2000, 40):
+        seen, front, tot, h = {v}, {v}, 0, 0
+        while front:
+            h += 1
+            front = set().union(*(into.get(x, ()) for x in front)) - seen
+            seen |= front
+            tot += h * len(front)
+        exact = (len(seen) - 1) / tot * (len(seen) - 1) / 1999 if tot else 0.0
+        off.append(abs(got[v][0] - exact) / exact if exact else got[v][0])
+        reach.append(abs(got[v][1] - len(seen)) / len(seen))
+    assert max(reach) < 4 * 1.04 / 64 and max(off) < 0.15 and sum(off) / len(off) < 0.05
+    none = nodes.limit(0)
+    assert g.sketched_closeness(none, edges).count() == 0
+    assert {r.closeness_centrality for r in g.sketched_closeness(spark.range(2), edges.limit(0)).collect()} == {0.0}
+
+
+def test_louvain_reaches_the_greedy_modularity(spark):
+    from regionlens.operators.louvain import louvain
+    from regionlens.plans import graph_queries as q
+
+    nodes, edges = q._graph(spark, "/root/testdata/sf0.001")
+    und = g.materialize(g.to_undirected(edges))
+    best = g.modularity(und, louvain(nodes, und)).first()[0]
+    assert best >= g.modularity(und, g.greedy_communities(nodes, und)).first()[0] - 1e-9
