@@ -128,6 +128,82 @@ def kmeans_sweep(df: DataFrame, features_col: str = "features", ks: Sequence[int
     )
 
 
+SEED_ROWS = 2000
+"""Rows that the starting centres are chosen from, at most."""
+
+
+def _starts(rows, k: int, seed: int):
+    """Starting centres among ``rows`` (an array): each with a probability by its squared distance to those before."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    chosen = [rows[rng.integers(len(rows))]]
+    while len(chosen) < k:
+        d2 = np.min([((rows - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        at = rng.choice(len(rows), p=d2 / d2.sum()) if d2.sum() > 0 else rng.integers(len(rows))
+        chosen.append(rows[at])
+    return [[float(v) for v in c] for c in chosen]
+
+
+def kmeans_all(df: DataFrame, vec: str, ks: Sequence[int] = range(2, 7), seed: int = 42, starts: int = 8, max_iter: int = 40, tol: float = 1e-6) -> DataFrame:
+    """M-7, M-5: K-Means for every k at once.  Each iteration is one scan: a row finds its nearest centre under every
+    fit (k, start), and sums are kept per (fit, cluster); the fits that still move are in the next scan.
+
+    ``starts`` fits per k begin at different centres, chosen from SEED_ROWS rows by hash; the one with the
+    smallest cost is returned: one row per (k, cluster) with center, n (members), cost (squared distances of its members).
+    Vectors must be without nulls.  A cluster that loses all members keeps its centre.  Only centres and
+    sums travel to the driver: at most sum(ks) * starts rows.
+    """
+    import numpy as np
+
+    rows = df.select(_vec(vec).alias("x"))
+    some = rows.distinct().orderBy(F.xxhash64("x"), "x").limit(SEED_ROWS).collect()
+    if not some:
+        return df.sparkSession.createDataFrame([], "k int, cluster int, center array<double>, n long, cost double")
+    points = np.array([r["x"] for r in some])
+    fits = {(k, s): _starts(points, k, seed + s) for k in ks for s in range(starts)}
+    live, best = dict(fits), {}
+    for _ in range(max_iter + 1):
+        names = list(live)
+        table = F.array(*[F.array(*[F.array(*[F.lit(v) for v in c]) for c in live[f]]) for f in names])
+        near = F.transform(table, lambda cs: F.array_min(F.transform(cs, lambda c, i: F.struct(
+            F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t).alias("d2"), i.alias("c")
+        ))))
+        found = rows.select("x", F.posexplode(near).alias("f", "e")).select("f", "e.c", "e.d2", array_to_vector("x").alias("v"))
+        sums = found.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("cost"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s")).collect()
+        per = {}
+        for r in sums:
+            per.setdefault(names[r["f"]], {})[r["c"]] = (r["n"], r["cost"], np.array(r["s"]) / r["n"])
+        moving = {}
+        for f, stats in per.items():
+            old = live[f]
+            best[f] = (sum(c for _, c, _ in stats.values()), [(old[c], *stats.get(c, (0, 0.0))[:2]) for c in range(f[0])])
+            new = [[float(v) for v in stats[c][2]] if c in stats else old[c] for c in range(f[0])]
+            if max(abs(a - b) for x, y in zip(old, new, strict=True) for a, b in zip(x, y, strict=True)) > tol:
+                moving[f] = new
+        live = moving
+        if not live:
+            break
+    out = []
+    for k in ks:
+        cost, clusters = min((best[k, s] for s in range(starts)), key=lambda x: x[0])
+        out += [(int(k), c, center, int(n), float(d)) for c, (center, n, d) in enumerate(clusters)]
+    return df.sparkSession.createDataFrame(out, "k int, cluster int, center array<double>, n long, cost double")
+
+
+def elbow(df: DataFrame, vec: str, fits: DataFrame) -> DataFrame:
+    """R-6: per k of ``fits`` (``kmeans_all``) the cost (WSSSE) and the silhouette of the rows at their nearest centres."""
+    out = None
+    for k in [r[0] for r in fits.select("k").distinct().orderBy("k").collect()]:
+        mine = fits.where(F.col("k") == k)
+        near = assign_nearest(df.select(vec), vec, mine.select(F.col("cluster").alias("c"), "center"), "near")
+        row = silhouette(near, vec, "near").select(
+            F.lit(k).alias("k"), mine.agg(F.sum("cost")).scalar().alias("cost"), "silhouette", F.col("n").alias("n_rows")
+        )
+        out = row if out is None else out.union(row)
+    return out
+
+
 def impute_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL and NaN in ``cols`` replaced by the column's mean; a column without any value gets 0."""
     from ..functions.columns import nan_to_null

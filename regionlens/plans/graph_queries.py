@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import graph as g
 from ..operators.louvain import louvain
+from ..sources.edge_store import EdgeStore
 from ..sources.tables import read_table
 from . import stand_ins as si
 from .registry import SQL_FACTS, register
@@ -353,16 +354,15 @@ def q_graph_community_labels(spark, base):
     return round_doubles(g.community_attributes(nodes, mem))
 
 
-@register(
-    "graph_edge_upsert",
-    """SELECT src, dst, round(weight, 6) AS weight FROM (
+SQL_UPSERT = """SELECT src, dst, round(weight, 6) AS weight FROM (
   SELECT c.c_nationkey AS src, s.s_nationkey AS dst, l.l_extendedprice AS weight,
          row_number() OVER (PARTITION BY c.c_nationkey, s.s_nationkey ORDER BY l.l_orderkey DESC, l.l_linenumber DESC, l.l_extendedprice DESC) AS rk
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
-  JOIN supplier s ON s.s_suppkey = l.l_suppkey) t WHERE rk = 1""",
-)
-def q_graph_edge_upsert(spark, base):
-    """U-2: every sale upserts its (buyer nation, seller nation) edge; the last sale's price stays."""
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey) t WHERE rk = 1"""
+
+
+def _sales(spark, base):
+    """Every sale as an edge (buyer nation, seller nation, price) with its order."""
     li = read_table(spark, base, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
     orders = read_table(spark, base, "orders", ["o_orderkey", "o_custkey"])
     cust = read_table(spark, base, "customer", ["c_custkey", "c_nationkey"])
@@ -372,5 +372,23 @@ def q_graph_edge_upsert(spark, base):
         F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_extendedprice").alias("weight"),
         F.struct("l_orderkey", "l_linenumber").alias("ord"),
     )
+    return sales
+
+
+@register("graph_edge_upsert", SQL_UPSERT)
+def q_graph_edge_upsert(spark, base):
+    """U-2: every sale upserts its (buyer nation, seller nation) edge; the last sale's price stays."""
+    sales = _sales(spark, base)
     ends = sales.select(F.col("src").alias("id"))
     return round_doubles(g.build_graph(ends.distinct(), sales, order_col="ord")[1])
+
+
+@register("graph_edge_store", SQL_UPSERT)
+def q_graph_edge_store(spark, base):
+    """U-2 in batches: a stored table takes the sales of even orders, then those of odd ones; the last sale stays,
+    whatever batch it came in."""
+    sales = g.materialize(_sales(spark, base))
+    store = EdgeStore(spark)
+    for rest in (0, 1):
+        store.upsert(sales.where(F.col("ord.l_orderkey") % 2 == rest))
+    return round_doubles(store.edges())

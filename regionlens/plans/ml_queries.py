@@ -199,6 +199,58 @@ def q_ml_kmeans_sweep(spark, base):
     return rows.select("k", "n_rows", "n_clusters", "n_not_nearest", F.round("cost_gap", 6).alias("cost_gap"), F.round("silhouette_gap", 6).alias("silhouette_gap"), plausible.alias("plausible"))
 
 
+def _named(cluster: str):
+    names = F.create_map(*[x for kv in CLUSTER_NAMES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return F.element_at(names, F.col(cluster))
+
+
+@register("ml_kmeans_clusters")
+def q_ml_kmeans_clusters(spark, base):
+    """M-3, M-4, M-11: every territory with its fitted cluster, the cluster's name and its indicators (tests hold
+    them to the facts of ml_kmeans)."""
+    _, pred = _kmeans(spark, base)
+    return round_doubles(pred.select("uf", "cluster_id", _named("cluster_id").alias("cluster_name"), *INDICATORS))
+
+
+@register("ml_kmeans_center_values")
+def q_ml_kmeans_center_values(spark, base):
+    """M-5: the fitted centres in scaled feature space, one row per cluster and indicator, with the cluster's size."""
+    model, pred = _kmeans(spark, base)
+    sizes = pred.groupBy(F.col("cluster_id").alias("c")).agg(F.count(F.lit(1)).alias("n_members"))
+    rows = ml.cluster_centers(model, "c").join(sizes, "c").select(F.col("c").alias("cluster_id"), "n_members", F.posexplode("center").alias("d", "center"))
+    names = F.array(*[F.lit(c) for c in INDICATORS])
+    return round_doubles(rows.select("cluster_id", "n_members", F.get(names, F.col("d")).alias("indicator"), "center"))
+
+
+@register("ml_cluster_profiles")
+def q_ml_cluster_profiles(spark, base):
+    """G-4, L-2, P-10 on the fitted clusters: sizes, means and the rule-based label."""
+    _, pred = _kmeans(spark, base)
+    prof = kpi.cluster_profile(pred, "cluster_id", CP_COLS)
+    return round_doubles(ml.label_clusters(prof)).orderBy("cluster_id")
+
+
+def _panel_vectors(spark, base):
+    cols = list(pnl.PANEL_FEATURES)
+    feats = ml.standardize(ml.impute_means(pnl.territory_features(si.labour_panel(spark, base)), cols), cols)
+    return stage(feats.select("uf", F.array(*[F.coalesce(f"{c}_z", F.lit(0.0)) for c in cols]).alias("x")), "features")
+
+
+@register("ml_kmeans_elbow")
+def q_ml_kmeans_elbow(spark, base):
+    """M-7, M-8, R-6: cost and silhouette for k = 2..6 on the scaled panel features, all k fitted in the same scans."""
+    rows = _panel_vectors(spark, base)
+    return round_doubles(ml.elbow(rows, "x", ml.kmeans_all(rows, "x", SWEEP)))
+
+
+@register("ml_pca_clusters")
+def q_ml_pca_clusters(spark, base):
+    """R-4: the scatter of territories on two principal axes with fitted cluster and cluster name."""
+    _, pred = _kmeans(spark, base)
+    out, _ = ml.pca_2d(pred, "features_scaled", 2)
+    return round_doubles(out.select("uf", "pca_1", "pca_2", "produtividade_media_uf", "taxa_inovacao_uf", "cluster_id", _named("cluster_id").alias("cluster_name")))
+
+
 def _sql_pca(squarings: int = 14) -> str:
     """First two principal axes of the correlation matrix: the matrix is squared until only the
     first axis is left (a power iteration), taken out, and squared again for the second."""

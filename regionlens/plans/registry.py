@@ -197,14 +197,15 @@ GROUP BY 1, 2, 3, 4
 
 SQL_GROWTH_Y = f"""
 SELECT uf, avg(g) AS avg_growth_rate FROM (
-  SELECT uf, (j - lag(j) OVER (PARTITION BY uf ORDER BY ano)) / CAST(lag(j) OVER (PARTITION BY uf ORDER BY ano) AS DOUBLE) AS g
+  SELECT uf, CASE WHEN ano - lag(ano) OVER (PARTITION BY uf ORDER BY ano) = 1
+                  THEN (j - lag(j) OVER (PARTITION BY uf ORDER BY ano)) / CAST(lag(j) OVER (PARTITION BY uf ORDER BY ano) AS DOUBLE) END AS g
   FROM (SELECT uf, ano, sum(empregos) AS j FROM ({SQL_PANEL}) p GROUP BY uf, ano) t) s
 GROUP BY uf
 """
 
 SQL_VOL = f"""
 SELECT uf, stddev_samp(g) AS volatility_index FROM (
-  SELECT uf, (j - lag(j) OVER w) / CAST(lag(j) OVER w AS DOUBLE) AS g
+  SELECT uf, CASE WHEN ano * 12 + mes - lag(ano * 12 + mes) OVER w = 1 THEN (j - lag(j) OVER w) / CAST(lag(j) OVER w AS DOUBLE) END AS g
   FROM (SELECT uf, ano, mes, sum(empregos) AS j FROM ({SQL_PANEL}) p GROUP BY uf, ano, mes) t
   WINDOW w AS (PARTITION BY uf ORDER BY ano, mes)) s
 GROUP BY uf
@@ -247,6 +248,33 @@ def q_panel_volatility(spark, base):
     return round_doubles(pnl.volatility_index(si.labour_panel(spark, base)))
 
 
+SQL_CELLS = f"SELECT uf, setor, ano, mes, empregos AS jobs, ano * 12 + mes - 1 AS t FROM ({SQL_PANEL}) p"
+
+
+@register(
+    "panel_sector_growth",
+    f"""SELECT uf, setor, ano, mes, jobs, round(CASE WHEN t - lag(t) OVER w = 1 THEN (jobs - lag(jobs) OVER w) / CAST(lag(jobs) OVER w AS DOUBLE) END, 6) AS growth
+FROM ({SQL_CELLS}) c WINDOW w AS (PARTITION BY uf, setor ORDER BY t)""",
+)
+def q_panel_sector_growth(spark, base):
+    """W-2 per territory and sector, where many months are missing: no growth across a gap."""
+    return round_doubles(pnl.period_growth(si.labour_panel(spark, base), ["uf", "setor"], ["ano", "mes"], "empregos"))
+
+
+@register(
+    "panel_sector_calendar",
+    f"""WITH c AS MATERIALIZED ({SQL_CELLS}),
+d AS (SELECT uf, setor, unnest(range(a, b + 1)) AS t FROM (SELECT uf, setor, min(t) AS a, max(t) AS b FROM c GROUP BY 1, 2) s)
+SELECT d.uf, d.setor, CAST(d.t // 12 AS INTEGER) AS ano, CAST(d.t % 12 + 1 AS INTEGER) AS mes, c.jobs,
+       last_value(c.jobs IGNORE NULLS) OVER (PARTITION BY d.uf, d.setor ORDER BY d.t) AS filled
+FROM d LEFT JOIN c ON c.uf = d.uf AND c.setor = d.setor AND c.t = d.t""",
+)
+def q_panel_sector_calendar(spark, base):
+    """W-2: every month of a territory's sector from its first to its last, filled as of the last known one."""
+    totals = si.labour_panel(spark, base).groupBy("uf", "setor", "ano", "mes").agg(F.sum("empregos").alias("jobs"))
+    return pnl.calendar(totals, ["uf", "setor"], ["ano", "mes"], "jobs")
+
+
 @register(
     "panel_levels",
     f"SELECT uf, round(avg_salary_nominal, 6) AS avg_salary_nominal, round(productivity_proxy, 6) AS productivity_proxy FROM ({SQL_LEVELS}) x",

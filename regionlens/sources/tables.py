@@ -25,15 +25,20 @@ def read_delimited(
     schema: T.StructType | str,
     sep: str = ";",
     header: bool = True,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """Delimited text with a header and an explicit schema (no inference pass over the data)."""
-    return (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("header", header)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    """Delimited text with a header and an explicit schema (no inference pass over the data).
+
+    A row with too few or too many fields, or a field that is not of its type, fails the job; with a column
+    name ``corrupt`` it is kept instead, what could be read in its columns and its text in that column (NULL
+    in good rows).
+    """
+    given = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    read = spark.read.option("sep", sep).option("header", header)
+    if corrupt is None:
+        return read.schema(given).option("mode", "FAILFAST").csv(path)
+    kept = T.StructType([*given.fields, T.StructField(corrupt, T.StringType())])
+    return read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).csv(path)
 
 
 def lower_headers(df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,38 @@ def test_single_file_is_asked_for(spark):
     write_delimited(spark.range(0, 100, 1, 4), path)
     assert spark.read.csv(path, header=True, sep=";").count() == 100
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]) > 1
+
+
+def test_malformed_rows(spark, tmp_path):
+    """A broken row fails the job, or is kept with its text where a column for it is named."""
+    (tmp_path / "t.csv").write_text("id;x\n1;2.5\n2;abc\n3\n4;5.0;6\n5;7.5\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_delimited(spark, str(tmp_path / "t.csv"), "id int, x double").collect()
+    rows = read_delimited(spark, str(tmp_path / "t.csv"), "id int, x double", corrupt="broken").collect()
+    assert [(r.id, r.x, r.broken) for r in rows] == [(1, 2.5, None), (2, None, "2;abc"), (3, None, "3"), (4, 5.0, "4;5.0;6"), (5, 7.5, None)]
+
+
+def test_edge_store(spark, tmp_path):
+    """Batches in any order leave the last rows; buckets that a batch does not touch keep their files."""
+    from regionlens.sources.edge_store import EdgeStore
+
+    schema = "src string, dst string, weight double, ord int"
+    rows = [(f"s{i % 7}", f"d{i % 5}", float(i), (i * 37) % 101) for i in range(100)] + [("s0", None, 1.0, 1), ("s0", None, 2.0, 2)]
+    want = {}
+    for a, b, w, o in rows:
+        want[a, b] = max(want.get((a, b), (-1, 0.0)), (o, w))
+    for parts in ([rows], [rows[60:], rows[:60], []], [rows[::2], rows[1::2], rows[:10]]):
+        store = EdgeStore(spark, str(tmp_path / f"e{len(parts)}{len(parts[0])}"), buckets=8)
+        for p in parts:
+            store.upsert(spark.createDataFrame(p, schema))
+        assert {(r.src, r.dst): r.weight for r in store.edges().collect()} == {k: w for k, (_, w) in want.items()}
+    path = store.path
+    before = {str(f) for f in pathlib.Path(path).rglob("*.parquet")}
+    assert EdgeStore(spark, path, buckets=8).open().upsert(spark.createDataFrame([("s1", "d1", 9.0, 500)], schema)) == 1
+    after = {str(f) for f in pathlib.Path(path).rglob("*.parquet")}
+    kept = {f for f in before if f in after}
+    folder = lambda f: f.rsplit("/", 1)[0]
+    assert len({folder(f) for f in before - kept}) == 1 and len({folder(f) for f in kept}) >= 6
+    assert {(r.src, r.dst): r.weight for r in store.edges().collect()}["s1", "d1"] == 9.0
+    with pytest.raises(ValueError):
+        EdgeStore(spark, str(tmp_path / "none")).edges()
