@@ -27,6 +27,8 @@ from .common import free_name, ship, table, written
 ORDER = 4
 BLOCK = 1 << 24
 """Bytes of text in a block, about: a task holds the distinct 4-grams of one block."""
+FILES = 1 << 16
+"""Files told apart in dealing blocks; of more, those of one hash share their blocks."""
 MOST_PARTS = 100_000
 """Blocks are dealt into so many partitions at most, each block into one."""
 LANGUAGES = 256
@@ -382,14 +384,19 @@ def better(one: Column, other: Column) -> Column:
 
 
 def with_block(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``docs`` with ``out``, the hash of the row's file and of a piece of about BLOCK bytes in it: the same at
-    every reading; and the number of blocks, about. Rows that come from no file are dealt by hash alone."""
-    file = free_name(docs.columns, "_file")
-    named = docs.withColumn(file, F.input_file_name())
-    size, files = named.agg(F.sum(F.octet_length(text_col)), F.approx_count_distinct(file)).first()
-    pieces = -(-(size or 0) // (BLOCK * max(files, 1))) or 1
-    piece = F.pmod(F.xxhash64(id_col, text_col), F.lit(pieces))
-    return named.withColumn(out, F.xxhash64(file, piece)).drop(file), pieces * max(files, 1)
+    """``docs`` with ``out``, the hash of the row's file (with very many files, of some of them) and of a piece of
+    about BLOCK bytes in it: the same at every reading; and the number of blocks. A file has as many pieces
+    as its texts' bytes need, so large and small files give blocks alike. Rows that come from no file are
+    dealt by hash alone."""
+    file, same, pieces = (free_name([*docs.columns, out], x) for x in ("_file", "_same", "_pieces"))
+    named = docs.withColumn(file, F.pmod(F.xxhash64(F.input_file_name()), F.lit(FILES)))
+    size = F.sum(F.octet_length(text_col).cast("bigint"))
+    sizes = named.groupBy(F.col(file).alias(same)).agg(F.greatest(F.ceil(F.coalesce(size, F.lit(0)) / BLOCK), F.lit(1)).cast("bigint").alias(pieces))
+    sizes = written(sizes, "file_sizes", FILES)  # at most FILES rows of two numbers
+    blocks = sizes.agg(F.sum(pieces)).first()[0] or 1
+    named = named.join(F.broadcast(sizes), F.col(file) == F.col(same))
+    piece = F.pmod(F.xxhash64(id_col, text_col), F.col(pieces))
+    return named.withColumn(out, F.xxhash64(file, piece)).drop(file, same, pieces), blocks
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id"):
