@@ -46,6 +46,10 @@ FILE_ROWS = 1 << 18
 """Rows of small columns that a file of an intermediate table may hold before there is a second one."""
 
 
+ROW_GROUP = 1 << 24
+"""Bytes of a row group of an intermediate table: what a writer holds of it in memory."""
+
+
 def gathered(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which has at most ``rows`` small rows, in no more partitions than files of FILE_ROWS need."""
     return df.coalesce(max(1, -(-rows // FILE_ROWS)))
@@ -55,7 +59,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the plan behind it is cut, and the
     rows survive the loss of any executor. Where a bound of its ``rows`` is known, a small table gets few files."""
     path = scratch_path(df.sparkSession, name)
-    (df if rows is None else gathered(df, rows)).write.parquet(path)
+    (df if rows is None else gathered(df, rows)).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -42,8 +42,8 @@ half-way to what texts cost under a foreign language's model, if that is more.""
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 _WORDS = 50_000
-_CACHE = 500_000
-_CHARS = 4_000_000
+_CACHE = 250_000
+_CHARS = 1_000_000
 _GRAMS = 1_000_000
 UND = "und"
 
