@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names a component unless all ids of the component are null; repeated rows stay repeated.
     """
     rows = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp").select("id", "fp"), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct", rows.count())
+    # each of them becomes 64 rows of the index where it is read
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct", 64 * rows.count())
     comp = components(links(distinct, bits))
     named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
