@@ -1,17 +1,24 @@
 """Licence scans by the Dice coefficient of word bigrams.
 
-A passage is a run of sentences or lines of a text. It is compared with a licence template only where
-the sizes allow the threshold: with a and b bigrams, Dice >= t needs b*t/(2-t) <= a <= b*(2-t)/t, and at
-least t*(a+b)/2 shared bigrams. A text that holds too few bigrams of every template is left at once.
+A passage is a run of words of a text; it may begin and end at any word. The sizes prune: with a and b
+bigrams, Dice >= t needs b*t/(2-t) <= a <= b*(2-t)/t, and at least b*t/(2-t) shared bigrams. So only places
+are looked at from which the largest allowed size holds that many bigrams of the template, and a text that
+holds too few bigrams of every template is left at once.
+
+A passage whose first or last bigram is not the template's has a lower Dice than the one without it, so
+passages run from one such bigram to another. Of those from one place the best is taken (of equal ones the
+shortest).
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +91,6 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: A sentence ends at . ! ? ; or : before white space, or at a line's end.
-_END = re.compile(rb"[.!?;:](?=\s)|[\r\n]")
 
 
 def bigrams(words: list[bytes]) -> Counter:
@@ -113,6 +118,30 @@ class Templates:
             self.rows.append((name, grams, b, b * threshold / (2 - threshold), b * (2 - threshold) / threshold))
         self.all = frozenset(self.of)
 
+    def _best(self, k: int, words: list[bytes], hits: list[int]) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first word, end word) of the best passage for template ``k`` from each of its bigrams' places."""
+        _, grams, b, least, most = self.rows[k]
+        need = max(1, math.ceil(least - 1e-9))
+        if len(hits) < need:
+            return
+        # a bigram that the template has c times is shared unless its c-th place before lies in the passage too
+        earlier, seen = np.full(len(hits), -1, np.int64), {}
+        for i, h in enumerate(hits):
+            g = (words[h], words[h + 1])
+            places = seen.setdefault(g, [])
+            if len(places) >= grams[g]:
+                earlier[i] = places[-grams[g]]
+            places.append(h)
+        at = np.array(hits, np.int64)
+        first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] + 1 <= most + 1e-9)
+        ends = np.searchsorted(at, at[first] + (most + 1e-9 - 1), side="right")
+        for i, j in zip(first.tolist(), ends.tolist(), strict=True):
+            size = at[i:j] - at[i] + 1
+            scores = 2 * np.cumsum(earlier[i:j] < at[i]) / (size + b)
+            x = int(scores.argmax())
+            if scores[x] >= self.t:
+                yield float(scores[x]), hits[i], hits[i] + int(size[x]) + 1
+
     def find(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
         """(licence, Dice, first byte, end) of the best passages, none over another, in order."""
         words = words_of(text)
@@ -120,37 +149,21 @@ class Templates:
             return []
         places: dict[int, list[int]] = {}
         for i, g in enumerate(zip(words, words[1:], strict=False)):
-            for k in self.of.get(g, ()):
+            for k in dict.fromkeys(self.of.get(g, ())):
                 places.setdefault(k, []).append(i)
-        # below least bigrams, no allowed size can share enough
-        likely = {k: p for k, p in places.items() if len(p) >= self.rows[k][3] - 1e-9}
-        if not likely:
-            return []
-        spans = [m.span() for m in _WORD.finditer(text)]
-        ends = sorted({bisect_left(spans, (m.end(),)) for m in _END.finditer(text)} | {len(words)} - {0})
-        starts = [0, *ends[:-1]]
         found = []
-        for k, hits in likely.items():
-            name, grams, b, least, most = self.rows[k]
-            for i, start in enumerate(starts):
-                if (h := bisect_left(hits, start)) == len(hits):
-                    break
-                if hits[h] >= ends[i] and i + 1 < len(starts):
-                    continue  # a passage that starts a sentence later is better
-                for end in ends[i:]:
-                    a = end - start - 1
-                    if a > most + 1e-9:
-                        break
-                    if a < least - 1e-9 or bisect_left(hits, end - 1) - h < self.t * (a + b) / 2 - 1e-9:
-                        continue
-                    score = dice(bigrams(words[start:end]), grams)
-                    if score >= self.t:
-                        found.append((-score, -b, start, end, name))
+        for k, hits in places.items():
+            name, _, b, _, _ = self.rows[k]
+            found += [(-score, -b, start, end, name) for score, start, end in self._best(k, words, hits)]
+        if not found:
+            return []
         out: list = []
         for score, _, start, end, name in sorted(found):
-            if all(end <= x[2] or start >= x[3] for x in out):
-                out.append((name, -score, start, end))
-        return [(name, score, spans[a][0], spans[z - 1][1]) for name, score, a, z in sorted(out, key=lambda x: x[2])]
+            i = bisect_left(out, (start,))
+            if (i == len(out) or end <= out[i][0]) and (i == 0 or out[i - 1][1] <= start):
+                insort(out, (start, end, name, -score))
+        spans = [m.span() for m in _WORD.finditer(text)]
+        return [(name, score, spans[a][0], spans[z - 1][1]) for a, z, name, score in out]
 
 
 _FOUND = "array<struct<licence: string, dice: double, start: bigint, end: bigint>>"
@@ -160,9 +173,10 @@ def scan(docs: DataFrame, out: str, text_col: str = "text", templates=TEMPLATES,
     """``docs`` with ``out``: the passages that match a template (licence, dice, first byte, end byte in
     UTF-8), none over another, in order of place.
 
-    Whole texts are searched. Null, empty and one-word texts have no passage. Of passages that overlap the
-    higher Dice stays, then the larger template, then the earlier place, then the name. Rows and other
-    columns stay.
+    Whole texts are searched, and passages lie anywhere in a sentence or line. Null, empty and one-word texts
+    have no passage. Of passages that overlap the higher Dice stays, then the larger template, then the earlier
+    place, then the shorter, then the name. A very long text takes time and memory in proportion to its words.
+    Rows and other columns stay, repeated rows too; a column called ``out`` is replaced.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(Templates(templates, threshold))
 
