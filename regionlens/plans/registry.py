@@ -303,6 +303,7 @@ def q_panel_territory_features(spark, base):
 
 
 # ---------------------------------------------------------------- spatial weights
+from ..operators import contact  # noqa: E402
 from ..operators import weights as wts  # noqa: E402
 
 SQL_POINTS = """
@@ -366,6 +367,39 @@ def q_spatial_rook(spark, base):
     return wts.rook(si.grid_polygons(_points(spark, base)))
 
 
+SQL_MIXED = f"""
+SELECT DISTINCT side, gx - CASE WHEN side = 2 THEN ((gx % 2) + 2) % 2 ELSE 0 END AS gx,
+       gy - CASE WHEN side = 2 THEN ((gy % 2) + 2) % 2 ELSE 0 END AS gy
+FROM (SELECT gx, gy, CASE WHEN CAST(floor(gx / 2.0) + floor(gy / 2.0) AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END AS side
+      FROM ({SQL_CELLS}) c) s
+"""
+
+
+def sql_contact(shared: str) -> str:
+    """Pairs of squares with ``shared``, of the lengths ``sx`` and ``sy`` that their closed extents have in common."""
+    return f"""
+WITH m AS ({SQL_MIXED})
+SELECT src, dst FROM (
+  SELECT a.side || ':' || a.gx || ':' || a.gy AS src, b.side || ':' || b.gx || ':' || b.gy AS dst,
+         least(a.gx + a.side, b.gx + b.side) - greatest(a.gx, b.gx) AS sx,
+         least(a.gy + a.side, b.gy + b.side) - greatest(a.gy, b.gy) AS sy
+  FROM m a JOIN m b ON (a.side, a.gx, a.gy) <> (b.side, b.gx, b.gy)) p
+WHERE {shared}
+"""
+
+
+@register("spatial_touching", sql_contact("sx >= 0 AND sy >= 0"))
+def q_spatial_touching(spark, base):
+    """J-3: squares of two sizes whose boundaries share a point (T-junctions, no common vertices needed)."""
+    return contact.touching(si.mixed_polygons(_points(spark, base)))
+
+
+@register("spatial_bordering", sql_contact("sx >= 0 AND sy >= 0 AND sx + sy > 0"))
+def q_spatial_bordering(spark, base):
+    """J-4: squares of two sizes whose boundaries share a stretch of some length."""
+    return contact.bordering(si.mixed_polygons(_points(spark, base)))
+
+
 @register(
     "spatial_row_standardize",
     f"SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 6) AS w FROM ({SQL_QUEEN}) q",

@@ -6,6 +6,7 @@
 | territory x sector panel   | orders, customer, nation (year/month of the order date) |
 | points with a value        | embeddings (dims 1, 2 = x, y; dim 3 = value)            |
 | grid polygons              | unit cells of 10x, 10y occupied by the points            |
+| squares of two sizes       | the same, every other cell of side 2 whole               |
 | directed weighted graph    | nation -> nation revenue shares, all flows               |
 
 Each plan pushes projections into the scans and aggregates as early as the join
@@ -122,6 +123,24 @@ def grid_polygons(pts: DataFrame, scale: float = 10.0) -> DataFrame:
     )
 
 
+def mixed_polygons(pts: DataFrame, scale: float = 10.0) -> DataFrame:
+    """Squares of side 2 and 1 that meet in T-junctions: occupied cells of side 2 whose coordinates' sum is even stay
+    whole, of the others the occupied unit cells are taken.
+
+    Output: id (string "side:x:y"), ring array<struct<x:double,y:double>>.
+    """
+    cell = pts.select(F.floor(F.col("x") * scale).cast("long").alias("gx"), F.floor(F.col("y") * scale).cast("long").alias("gy"))
+    wide = F.pmod(F.floor(F.col("gx") / 2) + F.floor(F.col("gy") / 2), F.lit(2)) == 0
+
+    def corner(c):
+        return F.when(wide, F.floor(F.col(c) / 2) * 2).otherwise(F.col(c)).cast("long").alias(c)
+
+    cells = cell.select(F.when(wide, 2).otherwise(1).alias("side"), corner("gx"), corner("gy")).distinct()
+    gx, gy, side = (F.col(c).cast("double") for c in ("gx", "gy", "side"))
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((gx, gy), (gx + side, gy), (gx + side, gy + side), (gx, gy + side))])
+    return cells.select(F.concat_ws(":", "side", "gx", "gy").alias("id"), ring.alias("ring"))
+
+
 def trade_flows(spark: SparkSession, base: str, self_flows: bool = False) -> DataFrame:
     """Supplier-nation -> customer-nation revenue (DECIMAL); ``self_flows`` keeps those within a nation.
 
