@@ -35,7 +35,8 @@ def knn(points: DataFrame, k: int = 4, id_col: str = "id", x: str = "x", y: str
     A cell with more than ``hot_cell_factor * (k+1)`` points is halved, and its hot quarters
     again, until every cell is below that bound or holds one location; a point starts on the
     level of its cell.  So a dense spot of any shape is no quadratic candidate set.  A sparse
-    point beside a dense spot still looks at the spot's points within its own, larger block.
+    point whose larger block reaches into a dense spot goes down the spot's quarters by their
+    counts and looks only at the points of cells near enough (``_near_cells``).
     """
     require_columns(points, id_col, x, y)
     spark = points.sparkSession
@@ -80,7 +81,23 @@ def knn(points: DataFrame, k: int = 4, id_col: str = "id", x: str = "x", y: str
             probe_pts = scratch.keep(pts.join(crowded, ["px", "py"], "left_anti"))
             build_pts = scratch.keep(first_ids.where(F.col("drk") <= k).select("pid", "px", "py"))
 
-        waiting, level = _start_levels(scratch, probe_pts, build_pts, cell, c0, extent, hot_cell_factor * (k + 1))
+        hot = hot_cell_factor * (k + 1)
+        waiting, lowest = _start_levels(scratch, probe_pts, build_pts, cell, c0, extent, hot)
+        level = lowest
+        slack = 1e-15 * (extent + abs(x0) + abs(y0))  # of a point against its cell's box
+
+        def reach(lvl):
+            """Squared distances from (sx, sy) to the nearest and the farthest place of the cell (kx, ky) on ``lvl``."""
+            side = F.lit(c0) * F.pow(F.lit(2.0), lvl)
+            near, far = F.lit(0.0), F.lit(0.0)
+            for at, key, low in ((F.col("sx"), F.col("kx"), x0), (F.col("sy"), F.col("ky"), y0)):
+                pad = side * 1e-9 + F.lit(slack)
+                lo, hi = F.lit(low) + key * side - pad, F.lit(low) + (key + 1) * side + pad
+                outside = F.greatest(lo - at, at - hi, F.lit(0.0))
+                across = F.greatest(F.abs(at - lo), F.abs(hi - at))
+                near, far = near + outside * outside, far + across * across
+            return near, far
+
         offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
         while True:
             size = c0 * (2.0 ** level)
@@ -100,7 +117,18 @@ def knn(points: DataFrame, k: int = 4, id_col: str = "id", x: str = "x", y: str
             )
             build = build_pts.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
             # left join: a probe whose block is empty still yields one (NULL) row and stays visible
-            cand = probe_cells.join(build, ["kx", "ky"], "left").where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
+            near = None
+            if level > lowest:
+                full = build.groupBy("kx", "ky").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > hot)
+                crossing = scratch.keep(probe_cells.join(full, ["kx", "ky"], "left_semi").select("src").distinct())
+                if not crossing.isEmpty():
+                    blocks = probe_cells.join(crossing, "src", "left_semi")
+                    near = _near_cells(scratch, blocks, build_pts, cell, c0, reach, level, lowest, k, hot)
+                    probe_cells = probe_cells.join(crossing, "src", "left_anti")
+            cand = probe_cells.join(build, ["kx", "ky"], "left")
+            if near is not None:
+                cand = cand.unionByName(_cell_points(near, build_pts, cell, c0))
+            cand = cand.where(F.col("dst").isNull() | (F.col("src") != F.col("dst")))
             dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
             cand = cand.withColumn("d2", dx * dx + dy * dy)
             w = Window.partitionBy("src").orderBy(F.asc_nulls_last("d2"), F.asc_nulls_last("dst"))
@@ -117,9 +145,10 @@ def knn(points: DataFrame, k: int = 4, id_col: str = "id", x: str = "x", y: str
                 F.col("src").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"), "lvl"
             )
             waiting = scratch.keep(retry.unionByName(waiting.where(F.col("lvl") > level)))
-            if waiting.isEmpty():
+            least = waiting.agg(F.min("lvl")).first()[0]
+            if least is None:
                 break
-            level += 1
+            level = max(level + 1, least)  # levels on which no point waits are left out
         out = results[0]
         for r in results[1:]:
             out = out.unionByName(r)
@@ -153,6 +182,57 @@ def _start_levels(scratch: Scratch, probes: DataFrame, build: DataFrame, cell, c
     return scratch.keep(out), level
 
 
+_STEP = 4
+"""Levels that a round of ``_near_cells`` goes down: at most 256 parts of a cell."""
+
+
+def _near_cells(scratch: Scratch, blocks: DataFrame, build: DataFrame, cell, c0: float, reach, level: int, lowest: int, k: int, hot: int) -> DataFrame:
+    """The cells (``kx``, ``ky`` on level ``clvl``) of each probe's block that can hold one of its k nearest.
+
+    Starts with the block's cells on ``level`` and their counts.  The nearest cells that hold
+    more than k points bound the distance of the k-th one; cells wholly beyond that bound go, and
+    those left with more than ``hot`` points are cut into cells ``_STEP`` levels below, until there is
+    none or the lowest level is reached.  A round is two joins on cells, the points are only counted.
+    """
+    probe = ["src", "sx", "sy", "lvl", "border"]
+    qx, qy = cell(c0 * 2.0**level)
+    counts = build.groupBy(qx.alias("kx"), qy.alias("ky")).agg(F.count(F.lit(1)).alias("cnt"))
+    front = blocks.join(counts, ["kx", "ky"]).select(*probe, F.lit(level).alias("clvl"), "kx", "ky", "cnt")
+    while True:
+        near2, far2 = reach(F.col("clvl"))
+        # cells of a probe: those kept in the round before, and the parts of them
+        sofar = F.sum("cnt").over(Window.partitionBy("src").orderBy("far2"))  # equal distances count together
+        front = front.withColumns({"near2": near2, "far2": far2})
+        front = front.withColumn("bound", F.when(sofar > k, F.col("far2")))  # one of them may be the probe itself
+        front = front.withColumn("bound", F.min("bound").over(Window.partitionBy("src")))
+        front = front.where(F.col("bound").isNull() | (F.col("near2") <= F.col("bound")))
+        front = scratch.keep(front.select(*probe, "clvl", "kx", "ky", "cnt"))
+        wide = front.where((F.col("clvl") == level) & (F.col("cnt") > hot))
+        step = min(_STEP, level - lowest)
+        if step <= 0 or wide.isEmpty():
+            return front
+        hx, hy = cell(c0 * 2.0 ** (level - step))
+        parts = build.select(qx.alias("kx"), qy.alias("ky"), hx.alias("hx"), hy.alias("hy"))
+        parts = parts.join(wide.select("kx", "ky").distinct(), ["kx", "ky"], "left_semi")
+        parts = parts.groupBy("kx", "ky", "hx", "hy").agg(F.count(F.lit(1)).alias("cnt"))
+        parts = wide.drop("cnt", "clvl").join(parts, ["kx", "ky"])
+        parts = parts.select(*probe, F.lit(level - step).alias("clvl"), F.col("hx").alias("kx"), F.col("hy").alias("ky"), "cnt")
+        front = front.where((F.col("clvl") > level) | (F.col("cnt") <= hot)).unionByName(parts)
+        level -= step
+        qx, qy = hx, hy
+
+
+def _cell_points(cells: DataFrame, build: DataFrame, cell, c0: float) -> DataFrame:
+    """The points ``dst`` (at ``tx``, ``ty``) of each probe's cells of any levels."""
+    out = None
+    for (clvl,) in cells.select("clvl").distinct().collect():  # as many as the grid has levels
+        qx, qy = cell(c0 * 2.0**clvl)
+        points = build.select(F.col("pid").alias("dst"), F.col("px").alias("tx"), F.col("py").alias("ty"), qx.alias("kx"), qy.alias("ky"))
+        found = cells.where(F.col("clvl") == clvl).drop("clvl", "cnt").join(points, ["kx", "ky"])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _id_type(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 

@@ -38,6 +38,23 @@ def test_knn_hot_spot_and_ties(spark):
     _check(spark, pts, 4)
 
 
+def test_knn_sparse_points_beside_a_dense_spot(spark, monkeypatch):
+    rnd = random.Random(7)
+    spot = [(i, 50 + rnd.random(), 50 + rnd.random()) for i in range(1500)]
+    pts = spot + [(5000 + i, rnd.random() * 40, rnd.random() * 100) for i in range(10)]
+    pts += [(6000 + i, 48.0 - 3 * i, 50.0) for i in range(3)]
+    seen, points_of = [], wts._cell_points
+
+    def counted(cells, *rest):
+        found = points_of(cells, *rest)
+        seen.append(found.groupBy("src").count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(wts, "_cell_points", counted)
+    _check(spark, pts, 4)
+    assert seen and max(seen) <= 9 * 16 * 5  # of 1,513: no more than a block of nine cells that are not too full
+
+
 def test_knn_k_at_least_n(spark):
     pts = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 2.0)]
     _check(spark, pts, 5)
