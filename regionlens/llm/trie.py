@@ -3,9 +3,9 @@
 Every conversation becomes a chain of prefix digests, one a turn. A count-min sketch counts all prefixes: rows
 of saturating counters (none, one, more) kept as two bitmaps, filled by the tasks and merged block by block.
 Its estimates are never too low, so an estimate of one proves that no other conversation has the prefix. From
-there on a conversation's nodes are its own: their rows are made where the prefix lies, and only prefixes that
-may be shared (and the first own one of each conversation, as a child of its parent) shuffle for exact
-grouping. Subtree sums need no walk through the levels: what a node adds is laid on the path of its smallest
+there on a conversation's nodes are its own, whatever the estimates of longer prefixes: their rows are made where
+the prefix lies, and only prefixes that may be shared (and the first own one of each conversation, as a child of its
+parent) shuffle for exact grouping. Subtree sums need no walk through the levels: what a node adds is laid on the path of its smallest
 member, summed up along that conversation from its end, and then grouped per node.
 """
 
@@ -176,6 +176,18 @@ def screen(rows: DataFrame) -> Sketch:
     return Sketch(counters, more)
 
 
+def owned(rows: DataFrame, single: Column, above: Column) -> DataFrame:
+    """``rows`` with ``own`` (from the first prefix that is proven single on, also where the sketch cannot prove a
+    longer one) and ``first`` (the first own prefix below a shared one). ``single`` and ``above`` are the proofs of a
+    prefix and its parent; only rows that are not proven by both are sorted by conversation."""
+    rows = written(rows.withColumn("single", single).withColumn("edge", F.col("single") & (~above | F.col("parent").isNull())), "screened")
+    before = Window.partitionBy("conv").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = rows.where("edge or not single").withColumn("_since", F.coalesce(F.max("edge").over(before), F.lit(False)))
+    open_ = open_.select("*", (F.col("_since") | F.col("edge")).alias("own"), (F.col("edge") & ~F.col("_since") & F.col("parent").isNotNull()).alias("first"))
+    settled = rows.where("single and not edge").select("*", F.lit(True).alias("own"), F.lit(False).alias("first"))
+    return written(settled.union(open_.drop("_since")).drop("single", "edge"), "owned")
+
+
 def _salted(big: DataFrame, small: DataFrame, key: str, hub: str, spread: str) -> DataFrame:
     """``big`` joined (left) to ``small`` on ``key``; keys marked ``hub`` in both are joined in SALTS parts, dealt by
     the hash of ``spread``."""
@@ -239,7 +251,7 @@ def trie(turns: DataFrame) -> DataFrame:
     def single(node: pd.Series) -> pd.Series:
         return pd.Series(Sketch(counters, more).single(node) if len(node) else np.zeros(0, bool))
 
-    rows = written(rows.withColumn("own", single("node")).withColumn("first", F.col("own") & ~single(F.coalesce("parent", "node"))), "screened")
+    rows = owned(rows, single("node"), single(F.coalesce("parent", "node")))
     none, empty = F.lit(0).cast("bigint"), F.lit(_EMPTY_SHA)
     one = F.lit(1).cast("bigint")
     tail = rows.where("own").select(

@@ -92,6 +92,15 @@ def test_full_sketch(spark, monkeypatch):
     assert got(run(spark, awkward())) == brute(rebuilt(awkward()))
 
 
+@pytest.mark.parametrize("counters", [1 << 9, 1 << 11, 1 << 13])
+def test_single_below_unproven(spark, monkeypatch, counters):
+    """Prefixes that a sketch of some load cannot prove single stand below proven ones."""
+    monkeypatch.setattr(t, "MOST_COUNTERS", counters)
+    monkeypatch.setattr(t, "LEAST_COUNTERS", min(counters, t.LEAST_COUNTERS))
+    rows = awkward() + [(c, i, "user", f"own {c} {i}") for c in range(1000, 1300) for i in range(9)]
+    assert got(run(spark, rows)) == brute(rebuilt(rows))
+
+
 def test_sketch_never_too_low():
     digests = pd.Series([hashlib.sha256(str(i % 700).encode()).digest()[:16] for i in range(1000)])  # 300 of them twice
     parts = [pd.DataFrame({"node": digests[a : a + 130]}) for a in range(0, 1000, 130)]
