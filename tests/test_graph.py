@@ -236,3 +236,20 @@ def test_louvain_reaches_the_greedy_modularity(spark):
     und = g.materialize(g.to_undirected(edges))
     best = g.modularity(und, louvain(nodes, und)).first()[0]
     assert best >= g.modularity(und, g.greedy_communities(nodes, und)).first()[0] - 1e-9
+
+
+def test_trade_flows_parts_follow_the_tables(spark, monkeypatch, capsys):
+    """Lines and orders meet in parts of a bounded number of rows, and no table of sums by order is held."""
+    from regionlens.plans import stand_ins as si
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, si.trade_flows(spark, sf, self_flows=True).collect()))
+    rows = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    monkeypatch.setattr(si, "ROWS_A_PART", 300)
+    flows = si.trade_flows(spark, sf, self_flows=True)
+    flows.explain()
+    plan = capsys.readouterr().out
+    parts = -(-rows // 300)
+    assert parts > 16 and f", {parts}), REPARTITION_BY_NUM" in plan
+    assert "keys=[l_orderkey" not in plan
+    assert sorted(map(tuple, flows.collect())) == want
