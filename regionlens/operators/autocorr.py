@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, normal_two_sided_p
-from ..functions.permutation import broadcast_if_small, dense_index, permuted_position, pseudo_p, round_keys, spread_for_fanout
+from ..functions.permutation import broadcast_if_small, dense_index, permuted_position, permuted_rows, pseudo_p, round_keys, rows_of, spread_for_fanout
 from ..session import stage
 from ..sources.tables import require_columns
 from .weights import row_standardize, spatial_lag
@@ -168,24 +168,26 @@ def _perm_keys(spark, permutations: int, seed: int, n: int) -> DataFrame:
     return stage(round_keys(perms, seed, n), "perm_keys")
 
 
+IMAGES_A_PART = 2_000_000
+"""Permuted values that a task sorts by position."""
+
+
 def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float, permutations: int, seed: int) -> DataFrame:
     """X-3: one simulated I per permutation, ``(perm, i_sim)``.
 
     Permutation p gives the value of the id at position r (in id order) to the id at position
-    pi_p(r), a keyed bijection computed per row: no sort.  The values that a position gets
-    under all permutations meet in one array (n x P small rows shuffled once, arrays of length
-    P); a weight then multiplies the arrays of its two ends, and the products are summed per
+    pi_p(r), a keyed bijection computed for blocks of positions at once: no sort of the values.  Those that a position gets
+    under all permutations meet in one array (n x P small rows shuffled once, into parts of about IMAGES_A_PART; arrays of
+    length P, read off the sorted rows); a weight then multiplies the arrays of its two ends, and the products are summed per
     permutation, first within each task.
     """
     idx = stage(dense_index(z.select("id", "z"), "id", out="pos"), "positions")
-    reps = spread_for_fanout(idx.select("pos", "z"), n, permutations)
-    reps = reps.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    reps = reps.join(broadcast_if_small(_perm_keys(z.sparkSession, permutations, seed, n)), "perm")
-    given = reps.groupBy(permuted_position(F.col("pos"), n, F.col("keys")).alias("pos")).agg(
-        F.array_sort(F.collect_list(F.struct("perm", "z"))).alias("v")  # one value a permutation
-    )
-    given = idx.select("id", "pos").join(given.select("pos", F.col("v.z").alias("v")), "pos")
-    given = stage(given.select("id", "v"), "permuted")
+    keys = _perm_keys(z.sparkSession, permutations, seed, n).orderBy("perm").collect()  # one row a permutation
+    reps = spread_for_fanout(idx.select("pos", "z"), n, permutations).mapInPandas(permuted_rows(keys, n), "perm int, pos bigint, z double")
+    parts = max(z.sparkSession.sparkContext.defaultParallelism, -(-n * permutations // IMAGES_A_PART))
+    dealt = reps.repartition(parts, "pos").sortWithinPartitions("pos", "perm")
+    given = dealt.select("pos", "z").mapInPandas(rows_of(permutations), "pos bigint, v array<double>")
+    given = stage(idx.select("id", "pos").join(given, "pos").select("id", "v"), "permuted")
     ends = w.join(given.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(
         given.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst"
     )

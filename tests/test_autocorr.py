@@ -156,3 +156,40 @@ def test_lisa_shuffles_no_row_per_weight_and_permutation(spark, tmp_path):
     finally:
         ac.DRAWN_BYTES = small
     assert len({c for c, _ in want.values()}) > 10
+
+
+def test_images_of_blocks_are_those_of_the_expression(spark, monkeypatch):
+    """All images in arrays, whatever the blocks and batches, at sizes on both sides of the prime's reduction."""
+    import pandas as pd
+
+    from regionlens.functions import permutation as pm
+
+    for n, at in ((1, [0]), (7, range(7)), (1000, range(1000)), (3_000_000_000, [0, 1, 2_147_483_646, 2_999_999_999])):
+        keys = pm.round_keys(spark.range(13).select(F.col("id").cast("int").alias("perm")), 5, n)
+        rows = keys.join(spark.createDataFrame([(x,) for x in at], "x bigint"))
+        want = sorted(map(tuple, rows.select("perm", pm.permuted_position(F.col("x"), n, F.col("keys")), F.col("x").cast("double")).collect()))
+        monkeypatch.setattr(pm, "IMAGES", 50)
+        batches = [pd.DataFrame({"pos": list(at)[a : a + 300], "z": [float(x) for x in list(at)[a : a + 300]]}) for a in range(0, len(at), 300)]
+        found = pd.concat(pm.permuted_rows(keys.orderBy("perm").collect(), n)(iter(batches)))
+        assert sorted(map(tuple, found.itertuples(index=False))) == want
+        if n == 1000:
+            dealt = found.sort_values(["pos", "perm"])[["pos", "z"]]
+            lists = pd.concat(pm.rows_of(13)(iter([dealt[:5], dealt[5:40], dealt[40:40], dealt[40:]])))
+            assert lists["pos"].tolist() == list(range(1000)) and [x for v in lists["v"] for x in v] == dealt["z"].tolist()
+
+
+def test_simulated_values_are_those_of_single_rows(spark):
+    """Every permutation's I against rows (position, permutation) one by one."""
+    from regionlens.functions import permutation as pm
+    from regionlens.operators import autocorr as ac
+
+    rng = random.Random(4)
+    n, seed, perms = 40, 9, 25
+    z = spark.createDataFrame([(10 + i, rng.random() - 0.5) for i in range(n)], "id bigint, z double")
+    edges = [(10 + i, 10 + (i + d) % n, 1.0 / d) for i in range(n) for d in (1, 2, 5)]
+    sims = ac.global_permutations(z, spark.createDataFrame(edges, "src bigint, dst bigint, w double"), n, 2.0, 3.0, perms, seed)
+    keys = pm.round_keys(spark.range(perms).select(F.col("id").cast("int").alias("perm")), seed, n)
+    images = keys.join(z.select((F.col("id") - 10).alias("pos"), "z")).select("perm", pm.permuted_position(F.col("pos"), n, F.col("keys")), "z").collect()
+    value = {(p, x): v for p, x, v in images}
+    want = {p: n / 3.0 / 2.0 * sum(w * value[p, s - 10] * value[p, d - 10] for s, d, w in edges) for p in range(perms)}
+    assert {r.perm: r.i_sim for r in sims.collect()} == pytest.approx(want, abs=1e-12)
