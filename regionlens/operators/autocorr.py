@@ -183,10 +183,11 @@ def global_permutations(z: DataFrame, w: DataFrame, n: int, zz: float, s0: float
     """
     idx = stage(dense_index(z.select("id", "z"), "id", out="pos"), "positions")
     keys = _perm_keys(z.sparkSession, permutations, seed, n).orderBy("perm").collect()  # one row a permutation
-    reps = spread_for_fanout(idx.select("pos", "z"), n, permutations).mapInPandas(permuted_rows(keys, n), "perm int, pos bigint, z double")
+    reps = spread_for_fanout(idx.select("pos", "z"), n, permutations).mapInPandas(permuted_rows(keys, n), "place bigint, z double")
     parts = max(z.sparkSession.sparkContext.defaultParallelism, -(-n * permutations // IMAGES_A_PART))
-    dealt = reps.repartition(parts, "pos").sortWithinPartitions("pos", "perm")
-    given = dealt.select("pos", "z").mapInPandas(rows_of(permutations), "pos bigint, v array<double>")
+    # one number to sort by: position and permutation at once
+    dealt = reps.repartition(parts, F.expr(f"place div {permutations}")).sortWithinPartitions("place")
+    given = dealt.mapInPandas(rows_of(permutations), "pos bigint, v array<double>")
     given = stage(idx.select("id", "pos").join(given, "pos").select("id", "v"), "permuted")
     ends = w.join(given.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(
         given.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst"
